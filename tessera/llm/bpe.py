@@ -182,7 +182,7 @@ class Encoder:
         at, token, last = 0, longest[0], -1
         while True:
             end = at + size[token]
-            if open_at[end] and (last < 0 or (compatible(last, token) if (fits := known((last, token))) is None else fits):
+            if open_at[end] and (last < 0 or (compatible(last, token) if (fits := known((last, token))) is None else fits)):
                 ids.append(token)
                 if end == n:
                     return ids

@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_encode
+from .feistel import op7_training_order
+from .langid import op3_language_id
+from .linededup import OP10_SQL, op10_line_dedup
+from .mixing import OP1_SQL, op1_mix_sources
+from .quality import op6_quality
+from .webp import op9_media
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mix_sources": op1_mix_sources,
         "op2_bpe_encode": op2_bpe_encode,
+        "op3_language_id": op3_language_id,
+        "op6_quality": op6_quality,
+        "op7_training_order": op7_training_order,
+        "op9_media": op9_media,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_mix_sources": OP1_SQL,
+        "op10_line_dedup": OP10_SQL,
+    }

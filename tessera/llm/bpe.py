@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import reader, text_chunks
+from .common import map_arrow, reader, text_chunks
 
 #: Pieces that a worker remembers; the memo is emptied when it is full.
 MEMO_PIECES = 1_000_000
@@ -265,7 +265,7 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str
                     columns.append(pa.array([encoder.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return map_arrow(df.select(id_col, text_col), run, T.StructType(fields))
 
 
 def op2_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:

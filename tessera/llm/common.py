@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Bytes of text that one Arrow batch of an operator's output comes from, at most (a longer text makes a batch of its own).
 CHUNK_BYTES = 4 << 20
 
@@ -35,6 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of what has been written and is no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def group_arrow(df: DataFrame, key: str, function, schema) -> DataFrame:
+    """applyInArrow on the groups of a key, with this package sent to the executors."""
+    ship(df.sparkSession)
+    return df.groupBy(key).applyInArrow(function, schema)
+
+
 def reader(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, reader, text_chunks
+from .common import map_arrow, new_path, reader, text_chunks
 
 STRIDE = 1024
 PER_SHARD = 4096
@@ -94,7 +94,7 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
         if at != stop:
             raise RuntimeError(f"a partition held {at - stop:+d} sequences against the count")
 
-    return rows.mapInArrow(run, schema), total
+    return map_arrow(rows, run, schema), total
 
 
 def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
@@ -115,7 +115,7 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
                 new = [pa.array(seq), pa.array(part, pa.int32()), pa.array(slot), pa.array(slot // per_shard), pa.array(tokens, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*kept, *new], names=[f.name for f in fields])
 
-    return df.select(*ids, text_col, "_first").mapInArrow(run, T.StructType(fields))
+    return map_arrow(df.select(*ids, text_col, "_first"), run, T.StructType(fields))
 
 
 def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
@@ -165,7 +165,7 @@ def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int
     # Ranges of shards by id: task k takes shards k * size and on.
     size = -(-shards // tasks)
     dealt = rows.repartitionById(tasks, (F.col("shard") / F.lit(size)).cast("int")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(run, T.StructType(fields))
+    return map_arrow(dealt, run, T.StructType(fields))
 
 
 def read_slots(path: str, start: int, count: int, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[bytes]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, reader, text_chunks
+from .common import crc_of_id, map_arrow, reader, text_chunks
 
 FEATURES = 1 << 13
 SAMPLE_PER_LANG = 800
@@ -125,7 +125,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
                 much = [c[c > 0].astype("<u4").tobytes() if c is not None else None for c in found]
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("_order"), pa.array(at, pa.binary()), pa.array(much, pa.binary())], names=["lang", "_order", "at", "much"])
 
-    made = low.mapInArrow(count, "lang string, _order long, at binary, much binary").where("at is not null")
+    made = map_arrow(low, count, "lang string, _order long, at binary, much binary").where("at is not null")
     ranked = made.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "at")))
     sample = ranked.where(F.col("_rank") <= most).orderBy("lang", "_rank").collect()
     counts = np.zeros((len(sample), FEATURES), np.uint32)
@@ -149,7 +149,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *new], names=[*[f.name for f in kept], "lang_pred", "score", "rejected"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def filter_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -163,7 +163,7 @@ def filter_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
                 keep = [not model.score(ngram_counts(t) if t is not None else None)[2] for t in texts]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_arrow(df, run, df.schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

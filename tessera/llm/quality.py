@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, reader, text_chunks
+from .common import crc_of_id, map_arrow, reader, text_chunks
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(sample, id_col)
     rows = rows.select(order.alias("_order"), F.col("_label").cast("int").alias("_label"), "text")
-    found = sorted((r["_order"], r["_label"], bytes(r["at"])) for r in rows.mapInArrow(count, "_order long, _label int, at binary").collect())
+    found = sorted((r["_order"], r["_label"], bytes(r["at"])) for r in map_arrow(rows, count, "_order long, _label int, at binary").collect())
     label = np.array([r[1] for r in found], int)
     return fit_indicators([np.frombuffer(r[2], "<u2").astype(np.int64) for r in found], label, sizes.get(1, 0) / max(1, sum(sizes.values())))
 
@@ -160,7 +160,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 new = pa.array([model.score(t or b"") for t in texts], pa.float64())
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], new], names=[*[f.name for f in kept], "score"])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_encode
 from .feistel import op7_training_order
+from .jaccard import op4_jaccard_join
 from .langid import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op2_bpe_encode": op2_bpe_encode,
         "op3_language_id": op3_language_id,
+        "op4_jaccard_join": op4_jaccard_join,
         "op6_quality": op6_quality,
         "op7_training_order": op7_training_order,
         "op9_media": op9_media,

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import reader, text_chunks
+from .common import map_arrow, reader, text_chunks
 
 UNIT = 64
 MOST_SIDE = 1 << 14
@@ -556,7 +556,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 media = [to_media(t + b"\0" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t))) for t in whole]
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(map(len, whole), pa.int64()), pa.array(media, pa.binary())], names=[f.name for f in fields])
 
-    return df.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
+    return map_arrow(df.select(id_col, text_col), run, T.StructType(fields))
 
 
 def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -576,7 +576,7 @@ def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("n_bytes"), *columns], names=[f.name for f in fields])
 
-    return media.mapInArrow(run, T.StructType(fields))
+    return map_arrow(media, run, T.StructType(fields))
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:

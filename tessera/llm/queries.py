@@ -13,6 +13,7 @@ from .langid import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
 from .quality import op6_quality
+from .suffix import op8_suffix_dedup
 from .webp import op9_media
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard_join": op4_jaccard_join,
         "op6_quality": op6_quality,
         "op7_training_order": op7_training_order,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_media": op9_media,
         "op10_line_dedup": op10_line_dedup,
     }

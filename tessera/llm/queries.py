@@ -12,6 +12,7 @@ from .jaccard import op4_jaccard_join
 from .langid import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
 from .mixing import OP1_SQL, op1_mix_sources
+from .multiindex import op5_nearest
 from .quality import op6_quality
 from .suffix import op8_suffix_dedup
 from .webp import op9_media
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bpe_encode": op2_bpe_encode,
         "op3_language_id": op3_language_id,
         "op4_jaccard_join": op4_jaccard_join,
+        "op5_nearest": op5_nearest,
         "op6_quality": op6_quality,
         "op7_training_order": op7_training_order,
         "op8_suffix_dedup": op8_suffix_dedup,

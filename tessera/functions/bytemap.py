@@ -28,8 +28,8 @@ def to_mapped(binary: Column) -> Column:
 def from_mapped(text: Column) -> Column:
     """Characters of the alphabet to bytes; null if any is outside it."""
     inside = ~text.rlike("[^" + "".join(f"\\x{{{ord(c):x}}}" for c in ALPHABET) + "]")
-    # Two steps, so that a changed byte's own character isn't taken for it: those can't be in the text.
-    plain = F.translate(text, CHANGED_TO, CHANGED)
+    # translate() takes a NUL on its right side as "drop", so byte 0 goes by itself.
+    plain = F.replace(F.translate(text, CHANGED_TO[1:], CHANGED[1:]), F.lit(CHANGED_TO[0]), F.lit("\0"))
     return F.when(inside, F.encode(plain, "ISO-8859-1"))
 
 

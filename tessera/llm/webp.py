@@ -17,6 +17,7 @@ of over 1 GiB exceeds the format's sides and raises an error.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import struct
@@ -106,6 +107,13 @@ class Code:
         self.only = used[0] if len(used) == 1 else (0 if not used else None)
         self.flat = lengths[:256] == FLAT and not any(lengths[256:])
         self.table = {(n, c): s for s, (n, c) in canonical(lengths).items()}
+        #: For the next eight bits, the symbol and length of a code that is no longer.
+        self.short: list[tuple[int, int] | None] = [None] * 256
+        for (n, c), s in self.table.items():
+            if n <= 8:
+                first = int(f"{c:0{n}b}"[::-1], 2)
+                for rest in range(1 << (8 - n)):
+                    self.short[first | rest << n] = (s, n)
         room = sum(1 << (15 - lengths[s]) for s in used)
         if len(used) > 1 and room != 1 << 15:
             raise ValueError("a prefix code that isn't complete")
@@ -113,6 +121,11 @@ class Code:
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        found = self.short[bits.take(8)]
+        bits.at -= 8
+        if found:
+            bits.at += found[1]
+            return found[0]
         code = 0
         for n in range(1, 16):
             code = code << 1 | bits.take(1)
@@ -132,6 +145,11 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
+@functools.lru_cache(maxsize=256)
+def _code(lengths: tuple[int, ...]) -> Code:
+    return Code(list(lengths))
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if bits.take(1):  # one or two symbols
@@ -139,12 +157,12 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         lengths[bits.take(8 if wide else 1)] = 1
         if two:
             lengths[bits.take(8)] = 1
-        return Code(lengths)
+        return _code(tuple(lengths))
     own = [0] * 19
     for k in range(4 + bits.take(4)):
         own[LENGTH_ORDER[k]] = bits.take(3)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    code, at, last = Code(own), 0, 8
+    code, at, last = _code(tuple(own)), 0, 8
     while at < alphabet and left:
         left -= 1
         n = code.read(bits)
@@ -158,7 +176,7 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             raise ValueError("code lengths that run over the alphabet")
         lengths[at : at + repeat] = [last if n == 16 else 0] * repeat
         at += repeat
-    return Code(lengths)
+    return _code(tuple(lengths))
 
 
 def _prefixed(symbol: int, bits: Bits) -> int:
@@ -378,8 +396,8 @@ def _write_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
     if len(used) == 1:  # one symbol that the short form can't name gets a partner
         lengths = [1 if s in (0, used[0]) else 0 for s in range(len(lengths))]
     w.put(0, 1)
-    own = [int(n in set(lengths)) for n in range(16)] + [0, 0, 0]
-    own = _lengths([own[n] * lengths.count(n) if n < 16 else 0 for n in range(19)], 7)
+    steps = _run_lengths(lengths)
+    own = _lengths([sum(s[0] == n for s in steps) for n in range(19)], 7)
     order = [own[k] for k in LENGTH_ORDER]
     many = max(4, max(k for k, n in enumerate(order) if n) + 1)
     w.put(many - 4, 4)
@@ -387,11 +405,41 @@ def _write_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
         w.put(n, 3)
     w.put(0, 1)
     codes = canonical(own) if sum(map(bool, own)) > 1 else {next(s for s, n in enumerate(own) if n): (0, 0)}
-    for n in lengths:
+    for n, extra, wide in steps:
         _put_code(w, codes[n])
+        w.put(extra, wide)
     return canonical(lengths)
 
 
+def _run_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Code lengths as (symbol, extra bits, their number): 16 repeats the last length, 17 and 18 are runs of zeros."""
+    out, at = [], 0
+    while at < len(lengths):
+        n, run = lengths[at], 1
+        while at + run < len(lengths) and lengths[at + run] == n:
+            run += 1
+        at += run
+        if n:
+            out.append((n, 0, 0))
+            run -= 1
+        while run >= 3:
+            most, least, symbol, wide = (6, 3, 16, 2) if n else (138, 11, 18, 7) if run >= 11 else (10, 3, 17, 3)
+            out.append((symbol, min(run, most) - least, wide))
+            run -= min(run, most)
+        out += [(n, 0, 0)] * run
+    return out
+
+
+@functools.cache
+def _flat_header() -> tuple[int, int]:
+    """The bits that stand for flat codes, and their number."""
+    w = BitWriter()
+    for n in (280, 256, 256, 256, 40):
+        _write_code(w, ([8] * 256 + [0] * (n - 256)) if n >= 256 else [0] * n)
+    whole = len(w.out) * 8 + w.n
+    return int.from_bytes(w.out + bytes([w.value & 255]), "little"), whole
+
+
 def _put_code(w: BitWriter, code: tuple[int, int]) -> None:
     n, value = code
     w.put(int(f"{value:0{n}b}"[::-1], 2) if n else 0, n)
@@ -414,8 +462,7 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
     if main:
         w.put(0, 1)
     if flat:
-        for n in (280, 256, 256, 256, 40):
-            _write_code(w, ([8] * 256 + [0] * (n - 256)) if n >= 256 else [0] * n)
+        w.put(*_flat_header())
         p = pixels.astype(np.uint32)
         w.put_bytes(_REVERSED[np.stack([p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24], -1).astype(np.uint8).reshape(-1)])
         return

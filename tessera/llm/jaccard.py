@@ -120,8 +120,9 @@ def _deal(buckets: int, text_col: str):
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
             run_of = np.diff(np.append(first, len(h)))
             hot = np.repeat(run_of > HOT, run_of)
+            cut = (h >> _U(16) << _U(16)) | (h & _U(buckets - 1))  # as the buckets give them back
             if hot.any():  # known here to be hot: goes straight to the documents' side
-                yield _pack([{"bucket": -1 - blob, "kind": _SHARED, "blob": blob, "tokens": h[hot].tobytes(), "docs": doc[hot].tobytes(), "numbers": np.full(int(hot.sum()), HOTTEST, "<i4").tobytes()}])
+                yield _pack([{"bucket": -1 - blob, "kind": _SHARED, "blob": blob, "tokens": cut[hot].tobytes(), "docs": doc[hot].tobytes(), "numbers": np.full(int(hot.sum()), HOTTEST, "<i4").tobytes()}])
             marked = h[first[run_of > HOT]]
             h, doc = h[~hot], doc[~hot]
             bucket = (h & _U(buckets - 1)).astype(np.int64)

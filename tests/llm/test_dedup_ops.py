@@ -71,10 +71,8 @@ def test_jaccard(spark, monkeypatch, hot):
     assert kept.columns == df.columns
 
 
-def test_jaccard_bands_and_matches(spark, monkeypatch):
-    """Levels below the whole set, and documents in two bands."""
-    monkeypatch.setattr(jaccard, "BANDS", (1, 64, 256))
-    monkeypatch.setattr(jaccard, "level", lambda k: (1.0, 0.95, 0.75)[k])
+def test_jaccard_bands_and_matches(spark):
+    """Sizes in the first band, in the second, whose level is below the whole set, and in both."""
     rng = random.Random(9)
     rows = []
     for i in range(40):

@@ -5,7 +5,7 @@ Sequences are numbered 0 to n - 1 (partition by partition of the table, by a has
 along its cycle until the value is below n, is a permutation of the numbers: a sequence's slot. Shard k
 holds the slots from k * per_shard on, each at ``offset`` = (slot - first slot) * stride bytes, so a reader
 that has taken s sequences goes on at slot s by arithmetic alone. Nothing is sorted globally: a shard is a
-range of slots, goes to one task whole, and is ordered and written there.
+range of slots, goes to one task whole, and is ordered and written there. Sequences travel by the batch, compressed.
 
 The tokens here are bytes (ids 0 to 255; 255, which UTF-8 never holds, ends a text and pads), one byte
 each; ``sequences`` takes any ids of a fixed width.
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,10 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, new_path, reader, text_chunks
 
-STRIDE = 1024
-PER_SHARD = 4096
+STRIDE = 512
+PER_SHARD = 8192
+#: Bytes of text whose sequences are dealt to shards together.
+BATCH_BYTES = 16 << 20
 END = 255
 ROUNDS = 6
 _U = np.uint64
@@ -98,22 +101,31 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
 
 
 def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
-    """A row for each sequence: ids, ``seq``, ``part`` (its place in the text), ``slot``, ``shard``, ``tokens`` binary of stride bytes."""
-    fields = [*[df.schema[c] for c in ids], T.StructField("seq", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("tokens", T.BinaryType())]
+    """Sequences by shard: each row holds those of a batch of texts that fall to one shard, their tokens compressed.
+
+    ``shard``; arrays of the ids, ``seq``, ``part`` (the place in the text) and ``slot``; ``tokens`` binary.
+    """
+    arrays = [*[T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in ids], T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("part", T.ArrayType(T.IntegerType())), T.StructField("slot", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("shard", T.LongType()), *arrays, T.StructField("tokens", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for rows, texts in text_chunks(batch, text_col, 2 << 20):
+            for rows, texts in text_chunks(batch, text_col, BATCH_BYTES):
                 many = np.array([(len(t or b"") + stride) // stride for t in texts], np.int64)
                 of = np.repeat(np.arange(len(texts)), many)
                 part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                 seq = np.asarray(rows.column("_first"))[of] + part
                 slot = permute(seq, n, key)
-                padded = [(t or b"").ljust(m * stride, bytes([END])) for t, m in zip(texts, many.tolist(), strict=True)]
-                tokens = [padded[i][p * stride : (p + 1) * stride] for i, p in zip(of.tolist(), part.tolist(), strict=True)]
-                kept = [rows.column(c).take(pa.array(of)) for c in ids]
-                new = [pa.array(seq), pa.array(part, pa.int32()), pa.array(slot), pa.array(slot // per_shard), pa.array(tokens, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*kept, *new], names=[f.name for f in fields])
+                order = np.argsort(slot, kind="stable")
+                of, part, seq, slot = of[order], part[order], seq[order], slot[order]
+                shard = slot // per_shard
+                edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+                tokens = [(texts[i] or b"")[p * stride : (p + 1) * stride].ljust(stride, bytes([END])) for i, p in zip(of.tolist(), part.tolist(), strict=True)]
+                offsets = pa.array(edges, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (*[rows.column(c).take(pa.array(of)) for c in ids], pa.array(seq), pa.array(part, pa.int32()), pa.array(slot))]
+                packed = [pack.compress(b"".join(tokens[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]]), *lists, pa.array(packed, pa.binary())], names=[f.name for f in fields])
 
     return map_arrow(df.select(*ids, text_col, "_first"), run, T.StructType(fields))
 
@@ -121,50 +133,49 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
 def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
     """Write ``path``/shard-########.bin and give what was read back: ids, seq, part, slot, shard, offset, crc.
 
-    ``path`` is a folder that all executors share. A task writes each of its shards under a name of its
-    own and renames it when it is whole, so that a task that is run again leaves the same files.
+    ``path`` is a folder that all executors share. A task holds one shard at a time (``stride * per_shard``
+    bytes), writes it under a name of its own and renames it when it is whole, so that a task that is run
+    again leaves the same files.
     """
-    shards = max(1, -(-n // per_shard))
-    tasks = min(shards, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     if "://" in path.removeprefix("file://"):
         raise ValueError("shards are written by plain file calls: the folder must be mounted on every executor")
+    shards = max(1, -(-n // per_shard))
+    tasks = min(shards, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folder = path.removeprefix("file://")
-    fields = [*[rows.schema[c] for c in ids], *[T.StructField(c, t) for c, t in (("seq", T.LongType()), ("part", T.IntegerType()), ("slot", T.LongType()), ("shard", T.LongType()), ("offset", T.LongType()), ("crc", T.LongType()))]]
+    inner = [*ids, "seq", "part", "slot"]
+    fields = [*[T.StructField(c, rows.schema[c].dataType.elementType) for c in inner], *[T.StructField(c, T.LongType()) for c in ("shard", "offset", "crc")]]
+
+    def write(shard: int, blocks: list[pa.RecordBatch]) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor()
+        columns = [pa.concat_arrays([b.column(c).flatten() for b in blocks]) for c in inner]
+        slot = np.asarray(columns[-1])
+        data = b"".join(unpack.decompress(x.as_py(), max_output_size=stride * per_shard) for b in blocks for x in b.column("tokens"))
+        order = np.argsort(slot)
+        name, final = os.path.join(folder, f".{shard:08d}-{uuid.uuid4().hex}"), os.path.join(folder, f"shard-{shard:08d}.bin")
+        with open(name, "wb") as f:
+            f.write(np.frombuffer(data, np.uint8).reshape(-1, stride)[order].tobytes())
+        os.replace(name, final)
+        with open(final, "rb") as f:
+            crcs = [zlib.crc32(f.read(stride)) for _ in order]
+        at = pa.array(order)
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in columns], pa.array(np.full(len(order), shard)), pa.array(slot[order] % per_shard * stride), pa.array(crcs, pa.int64())], names=[f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        state: dict = {"shard": None}
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if state["shard"] is None:
-                return
-            state["file"].close()
-            final = os.path.join(folder, f"shard-{state['shard']:08d}.bin")
-            os.replace(state["name"], final)
-            with open(final, "rb") as f:
-                for block in state["rows"]:
-                    crcs = [zlib.crc32(f.read(stride)) for _ in range(block.num_rows)]
-                    first = pa.array(np.asarray(block.column("slot")) % per_shard * stride)
-                    yield pa.RecordBatch.from_arrays([*[block.column(c) for c in (*ids, "seq", "part", "slot", "shard")], first, pa.array(crcs, pa.int64())], names=[f.name for f in fields])
-
-        for batch in batches:  # ordered by slot
-            shard = np.asarray(batch.column("shard"))
-            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for a, b in zip(edges, edges[1:], strict=False):
-                if a == b:
-                    continue
-                if state["shard"] != shard[a]:
-                    yield from close()
-                    name = os.path.join(folder, f".{shard[a]:08d}-{uuid.uuid4().hex}")
-                    state = {"shard": int(shard[a]), "name": name, "file": open(name, "wb"), "rows": []}  # noqa: SIM115
-                piece = batch.slice(a, b - a)
-                state["file"].write(b"".join(piece.column("tokens").to_pylist()))
-                state["rows"].append(piece.drop_columns(["tokens"]))
-        yield from close()
+        now, blocks = None, []
+        for batch in batches:  # ordered by shard
+            for i, shard in enumerate(batch.column("shard").to_pylist()):
+                if shard != now and blocks:
+                    yield write(now, blocks)
+                    blocks = []
+                now = shard
+                blocks.append(batch.slice(i, 1))
+        if blocks:
+            yield write(now, blocks)
 
     # Ranges of shards by id: task k takes shards k * size and on.
     size = -(-shards // tasks)
-    dealt = rows.repartitionById(tasks, (F.col("shard") / F.lit(size)).cast("int")).sortWithinPartitions("slot")
+    dealt = rows.repartitionById(tasks, (F.col("shard") / F.lit(size)).cast("int")).sortWithinPartitions("shard")
     return map_arrow(dealt, run, T.StructType(fields))
 
 

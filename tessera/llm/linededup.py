@@ -77,8 +77,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     likely = materialize(_segment_keys(lines, half).select("_key", "_h").join(shared, "_key").select("_h").distinct(), "lines-likely")
     some = lines.select("_h", "_g", "_line", "_n").join(_bounded(likely), "_h", "left_semi").dropDuplicates(["_h", "_g"])
     some = materialize(some.join(first, ["_h", "_g"]), "lines-some")
-    keys = _segment_keys(some, F.ceil(F.sqrt(F.col("_m"))))
-    cut = keys.join(_shared(keys), "_key", "left_semi").select("_h", "_g", "_line", "_n", "_m", "_j", "_size", "_first")
+    keys = _segment_keys(some, F.ceil(F.sqrt(F.col("_m")))).select("_key", "_h", "_g", "_m", "_j", "_size")
+    hit = keys.join(_bounded(materialize(_shared(keys), "line-segments")), "_key", "left_semi").drop("_key")
+    cut = hit.join(some, ["_h", "_g"])  # texts come in only here
     # The variants. Kind 1: without character i, lines of one length. Kind 2: the whole of the shorter line, and the longer without character i.
     longer = F.col("_m") < F.col("_n")
     last = F.least((F.col("_j") + 1) * F.col("_size"), F.col("_m")) - 1 + longer.cast("int")
@@ -87,7 +88,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     kept = ["_h", "_g", "_first"]
     made = at.select(*kept, longer.alias("_longer"), F.when(longer, F.xxhash64(F.lit(2), without)).otherwise(F.xxhash64(F.lit(1), F.col("_i"), without)).alias("_key"))
     whole = cut.where(~longer).select(*kept, F.lit(None).cast("boolean").alias("_longer"), F.xxhash64(F.lit(2), F.col("_line")).alias("_key"))
-    variants = materialize(made.unionByName(whole).distinct(), "line-variants")
+    variants = materialize(made.unionByName(whole), "line-variants")
+    # Most variants are one line's alone; two longs of each are enough to tell.
+    variants = variants.join(_bounded(materialize(_shared(variants), "variants-shared")), "_key", "left_semi")
     # Roles under a key: same (false), longer (true), whole (null). The partner of "same" is "same", of the others each other.
     place = F.struct("_first", "_h", "_g")
     best = variants.groupBy("_key").agg(
@@ -119,7 +122,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts:
     """``df`` with the lines that go taken out of its text; ``counts`` adds ``n_lines`` and ``n_removed`` longs."""
     gone = removed_lines(df, id_col, text_col).select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_gone")
     keyed = df.withColumn("_row", _row_key(id_col, text_col))
-    joined = keyed.join(gone, (F.col("_row") == F.col("_gone_row")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+    # By a shuffle at every size: the fates of all lines grow with the corpus.
+    joined = keyed.join(gone.hint("merge"), (F.col("_row") == F.col("_gone_row")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
     pairs = F.arrays_zip(F.split(F.col(text_col), "\n", -1).alias("line"), F.col("_gone").alias("gone"))
     stay = F.transform(F.filter(pairs, lambda x: ~x["gone"]), lambda x: x["line"])
     out = joined.withColumn("_kept", F.array_join(stay, "\n"))

@@ -26,8 +26,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``u`` and ``root`` (the smallest number that it reaches) for every number in ``edges`` (``u``, ``v`` longs) but the roots."""
     edges = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     while True:
-        done = edges.groupBy("u").agg(F.count("*").alias("n"))
-        chained = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
-        if not done.where("n > 1").limit(1).count() and not chained.limit(1).count():
+        # A forest of stars: every number has one edge down, and none of those has another.
+        done = edges.groupBy("u").agg((F.count("*") - 1).alias("n"))
+        ups = edges.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct().join(edges.select("u").distinct(), "u", "left_semi").select("u", F.lit(1).alias("n"))
+        if not done.where("n > 0").unionByName(ups, allowMissingColumns=True).limit(1).count():
             return edges.withColumnRenamed("v", "root")
         edges = materialize(_star(edges), name)

@@ -8,7 +8,7 @@ join is exact, up to 64-bit hashes:
    of n, so a level that is passed by more than that many decides as well as the whole set. Small sets
    are dealt whole; each band of sizes has a level, and sizes near a border belong to both bands.
 2. A set's prefix holds its rarest shingles: n - ceil(0.8 n) + l of them, and a pair must share l of both
-   prefixes. l is chosen for each document by the cost that its shingles' numbers let expect: common ones
+   prefixes (of the smaller set's first n - ceil(8 / 9 n) + l even, and more the closer their sizes are). l is chosen for each document by the cost that its shingles' numbers let expect: common ones
    make a longer prefix with more matches cheaper than verifying what one match would bring.
 3. Rounds pair each document of a shingle's group with the group's first one, a row per document and not per
    pair, verify, and join what links into components. Only documents of a group that are still in different
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buckets_for, group_arrow, map_arrow, materialize, reader, release, text_chunks
@@ -49,6 +49,8 @@ BLOB_SHINGLES, BLOB_DOCS, HOT = 1_000_000, 60_000, 256
 HOTTEST = (1 << 31) - 1
 MOST_BROADCAST = 500_000
 STAR_ROUNDS = 2
+#: Heads of a group, and partners of a set, in a round.
+HEADS = 6
 _U = np.uint64
 _DOC, _SHARED = 0, 1
 
@@ -58,6 +60,11 @@ def missing(n):
     return n - (n * PERCENT + 99) // 100
 
 
+def missing_of_larger(n):
+    """The most shingles of n that a linked set at least as large may lack."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT))
+
+
 def level(band: int) -> float:
     """The share of hashes that decides in a band: nine deviations above what may be missing, so never too few in practice."""
     return 1.0 if not band else 0.2 + 9 * (0.25 / BANDS[band]) ** 0.5
@@ -230,11 +237,11 @@ def _prefixes(table: pa.Table) -> pa.Table:
             many = matches_for(c, own, n)
             t = t[: max(0, missing(n) + many - own)]
             if len(t):
-                found.append((band, t, d["s"], n, many))
+                found.append((band, t, d["s"], n, many, 1000 * own // max(1, size), own + np.arange(len(t)) < missing_of_larger(n) + many))
     length = [len(f[1]) for f in found]
     column = lambda i, t: pa.array(np.repeat(np.array([f[i] for f in found], t), length))
     tokens = np.concatenate([f[1] for f in found]).view(np.int64) if found else np.zeros(0, np.int64)
-    return pa.table({"band": column(0, np.int32), "token": pa.array(tokens), "s": column(2, np.int64), "n": column(3, np.int32), "many": column(4, np.int32)})
+    return pa.table({"band": column(0, np.int32), "token": pa.array(tokens), "s": column(2, np.int64), "n": column(3, np.int32), "many": column(4, np.int32), "own": column(5, np.int32), "inner": pa.array(np.concatenate([f[6] for f in found]) if found else np.zeros(0, bool))})
 
 
 def _sets(text_col: str):
@@ -266,24 +273,40 @@ def _labelled(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _star(prefixes: DataFrame, salt: int) -> DataFrame:
-    """Pairs of each set with the group's first set (by a hash of the round) that it shares most prefix shingles with."""
-    place = F.struct(F.xxhash64(F.lit(salt), F.col("root")).alias("h"), "s", "n", "root")
-    heads = prefixes.groupBy("band", "token").agg(F.min(place).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    """Pairs of each set with heads of the groups that it is in: those it shares most prefix shingles with.
+
+    A group's heads are the set with the smallest share of shingles of its own (what copies were made of comes
+    first so) and the first ones by some hashes of the round, whatever the group's size.
+    """
+    place = lambda first: F.min(F.struct(first.alias("h"), "s", "n", "root"))
+    orders = [F.col("own").cast("long"), *[F.xxhash64(F.lit(salt * HEADS + k), F.col("s")) for k in range(1, HEADS)]]
+    heads = prefixes.groupBy("band", "token").agg(*[place(o).alias(f"h{k}") for k, o in enumerate(orders)], F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1")
+    heads = heads.select("band", "token", F.explode(F.array_distinct(F.array(*[F.struct(f"h{k}.s", f"h{k}.n", f"h{k}.root") for k in range(HEADS)]))).alias("head"))
     met = prefixes.join(heads.select("band", "token", F.col("head.s").alias("hs"), F.col("head.n").alias("hn"), F.col("head.root").alias("hr")), ["band", "token"])
     met = met.where((F.col("root") != F.col("hr")) & _alike("n", "hn")).groupBy("s", "hs").agg(F.count("*").alias("c"))
-    best = met.groupBy("s").agg(F.max(F.struct("c", "hs")).alias("best"))
-    return best.select(F.least("s", "best.hs").alias("a"), F.greatest("s", "best.hs").alias("b")).distinct()
+    best = met.withColumn("place", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("c"), "hs"))).where(F.col("place") <= HEADS)
+    return best.select(F.least("s", "hs").alias("a"), F.greatest("s", "hs").alias("b")).distinct()
 
 
 def _cross(prefixes: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share as many prefix shingles as the one that asks for fewer."""
-    groups = prefixes.groupBy("band", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "token")
+    """Pairs of sets in different components that share as many prefix shingles as a link must.
+
+    The smaller set of a pair lacks less of the larger one than it might of a set of any size, so its
+    shorter inner prefix meets the larger set's whole prefix. The sizes also say how many shingles of
+    the two a link shares at least.
+    """
+    groups = prefixes.groupBy("band", "token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("inner").alias("any")).where("any and r0 != r1").select("band", "token")
     some = prefixes.join(groups, ["band", "token"])
-    one = some.select("band", "token", F.col("s").alias("a"), F.col("n").alias("na"), F.col("many").alias("ma"), F.col("root").alias("ra"))
+    one = some.where("inner").select("band", "token", F.col("s").alias("a"), F.col("n").alias("na"), F.col("many").alias("ma"), F.col("root").alias("ra"))
     two = some.select("band", "token", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("many").alias("mb"), F.col("root").alias("rb"))
-    met = one.join(two, ["band", "token"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike("na", "nb"))
-    enough = met.groupBy("band", "a", "b").agg(F.count("*").alias("c"), F.min(F.least("ma", "mb")).alias("l")).where("c >= l")
-    return enough.select("a", "b").distinct()
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    met = one.join(two, ["band", "token"]).where(smaller & (F.col("ra") != F.col("rb")) & _alike("na", "nb"))
+    common = F.ceil(PERCENT * (F.col("na") + F.col("nb")) / F.lit(100 + PERCENT))
+    whole = lambda n, m: F.least(F.col(n), F.col(n) - F.ceil(PERCENT * F.col(n) / F.lit(100)) + F.col(m))
+    inner = F.least(F.col("na"), F.col("na") - F.ceil(2 * PERCENT * F.col("na") / F.lit(100 + PERCENT)) + F.col("ma"))
+    least = F.greatest(F.lit(1), F.least(inner - F.col("na") + common, whole("nb", "mb") - F.col("nb") + common))
+    enough = met.groupBy("band", "a", "b").agg(F.count("*").alias("c"), F.min(least).alias("l")).where("c >= l")
+    return enough.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -304,7 +327,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     stand = stand.select((-1 - F.col("d.blob")).alias("bucket"), F.lit(_DOC).alias("kind"), "d.docs", "s", "d.n", "d.many")
     shared = found.where(F.col("kind") == _SHARED).select("bucket", "kind", "tokens", "docs", "numbers")
     sides = shared.unionByName(stand, allowMissingColumns=True)
-    prefixes = group_arrow(sides, "bucket", _prefixes, "band int, token long, s long, n int, many int")
+    prefixes = group_arrow(sides, "bucket", _prefixes, "band int, token long, s long, n int, many int, own int, inner boolean")
     prefixes = materialize(prefixes, "prefixes")
     several = prefixes.groupBy("band", "token").agg(F.min("s").alias("s0"), F.max("s").alias("s1")).where("s0 != s1").select("band", "token")
     prefixes = materialize(prefixes.join(several, ["band", "token"]), "prefixes-shared")
@@ -321,14 +344,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     sets = map_arrow(texts, _sets(text_col), "s long, hashes array<long>")
     sets = materialize(sets.join(F.broadcast(wanted) if few else wanted, "s", "left_semi").dropDuplicates(["s"]), "sets")
     release(spark)
-    links = roots = None
+    roots = None
     for salt in range(STAR_ROUNDS + 1):
         labelled = prefixes.withColumn("root", F.col("s")) if roots is None else _labelled(prefixes, roots)
         pairs = _star(labelled, salt) if salt < STAR_ROUNDS else _cross(labelled)
-        new = materialize(_verify(materialize(pairs, "pairs"), sets), "links")
+        new = materialize(_verify(materialize(pairs, "pairs"), sets), "links").select(F.col("a").alias("u"), F.col("b").alias("v"))
         release(spark)
-        links = new if links is None else links.unionByName(new)
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if roots is not None:  # between components one link counts, however many there are
+            ends = roots.select(F.col("u").alias("_u"), "root")
+            for end in ("u", "v"):
+                new = new.join(ends, F.col(end) == F.col("_u"), "left").withColumn(end, F.coalesce("root", end)).select("u", "v")
+            new = new.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().unionByName(roots.withColumnRenamed("root", "v"))
+        roots = components(new)
     return docs.select("id", "has_id", "s", "s2", "n"), roots
 
 

@@ -63,7 +63,7 @@ def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
     if not len(h):
         return h
     k = min(words, len(h))
-    out = np.full(len(h) - k + 1, _U(k) * _U(0xA24BAED4963EE407))
+    out = np.full(len(h) - k + 1, _U(k * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF))
     for i in range(k):
         out += h[i : len(h) - k + 1 + i] * _PLACES[i]
     return np.unique(mix64(out))

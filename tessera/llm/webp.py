@@ -3,12 +3,13 @@
 ``decode`` reads a lossless WebP file whole: simple and meta prefix codes, LZ77 back-references with the
 distance map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms
 (with pixel packing), and gives an array of height x width x 4 bytes (R, G, B, A). ``encode`` writes such
-files from pixel arrays: flat eight-bit codes (the default, for columns that must be read back fast) or
-prefix codes of measured lengths with back-references, colour cache and any of the transforms.
+files from pixel arrays: flat eight-bit codes or prefix codes of measured lengths with back-references,
+colour cache and any of the transforms; ``smallest`` picks transform and cache by estimated size.
 Both follow the public specification of the format. Runs of literals with flat codes are read as arrays;
 everything else symbol by symbol.
 
-``store`` puts texts into pixels: the payload's bytes are the samples of its pixels, row by row.
+``store`` puts texts into pixels: the payload's bytes are the samples of its pixels, row by row, and
+writes the files by ``smallest``.
 
 Defined results: a null text is an empty one, with a payload of 64 zeros; equal texts get equal files;
 repeated rows give repeated rows; an id of any type passes through; other columns are dropped. A payload
@@ -19,9 +20,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
+import itertools
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ UNIT = 64
 MOST_SIDE = 1 << 14
 # Fixed values of the format: the order in which code length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+# Fixed values of the format: least and extra bits of the repeats of code lengths.
+REPEATS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
 # Fixed values of the format: the (x, y) offsets that the distance codes 1 to 120 stand for.
 NEAR = (
     (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
@@ -47,6 +51,10 @@ NEAR = (
 PREDICT, CROSS, GREEN, PALETTE = 0, 1, 2, 3
 FLAT = [8] * 256
 HASH = 0x1E35A7BD
+#: Bytes of a file that are read at a time, and symbols that are written at a time.
+PIECE = 1 << 16
+FARTHEST = (1 << 20) - 120
+MOST_COPY = 4096
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
@@ -83,6 +91,12 @@ class BitWriter:
             self.value >>= 8
             self.n -= 8
 
+    def put_long(self, value: int, n: int) -> None:
+        whole = value << self.n | self.value
+        n += self.n
+        self.out += (whole & (1 << (n & ~7)) - 1).to_bytes(n >> 3, "little")
+        self.value, self.n = whole >> (n & ~7), n & 7
+
     def put_bytes(self, data: np.ndarray) -> None:
         """Eight bits each."""
         if not len(data):
@@ -99,40 +113,35 @@ class BitWriter:
         return bytes(self.out) + (bytes([self.value & 255]) if self.n else b"")
 
 
+@functools.cache
+def _turned(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in the other order."""
+    out = np.zeros(1, np.int64)
+    for k in range(n):
+        out = np.concatenate([out, out | 1 << (n - 1 - k)])
+    return out
+
+
 class Code:
-    """A canonical prefix code for reading: (length, code) to symbol."""
+    """A canonical prefix code for reading: ``table`` has, for the next ``bits`` bits, symbol << 4 | length."""
 
     def __init__(self, lengths: list[int]) -> None:
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else (0 if not used else None)
+        n = np.asarray(lengths)
+        used = np.flatnonzero(n)
         self.flat = lengths[:256] == FLAT and not any(lengths[256:])
-        self.table = {(n, c): s for s, (n, c) in canonical(lengths).items()}
-        #: For the next eight bits, the symbol and length of a code that is no longer.
-        self.short: list[tuple[int, int] | None] = [None] * 256
-        for (n, c), s in self.table.items():
-            if n <= 8:
-                first = int(f"{c:0{n}b}"[::-1], 2)
-                for rest in range(1 << (8 - n)):
-                    self.short[first | rest << n] = (s, n)
-        room = sum(1 << (15 - lengths[s]) for s in used)
-        if len(used) > 1 and room != 1 << 15:
+        if len(used) < 2:
+            self.bits, self.table = 0, [int(used[0]) << 4 if len(used) else 0]
+            return
+        if (1 << (15 - n[used])).sum() != 1 << 15:
             raise ValueError("a prefix code that isn't complete")
+        used = used[np.argsort(n[used], kind="stable")]
+        self.bits = int(n.max())
+        self.table = np.repeat(used << 4 | n[used], 1 << (self.bits - n[used]))[_turned(self.bits)].tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        found = self.short[bits.take(8)]
-        bits.at -= 8
-        if found:
-            bits.at += found[1]
-            return found[0]
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.take(1)
-            found = self.table.get((n, code))
-            if found is not None:
-                return found
-        raise ValueError("a code that stands for nothing")
+        found = self.table[bits.take(self.bits)]
+        bits.at -= self.bits - (found & 15)
+        return found >> 4
 
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
@@ -163,19 +172,27 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         own[LENGTH_ORDER[k]] = bits.take(3)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
     code, at, last = _code(tuple(own)), 0, 8
+    table, mask, data, p = code.table, (1 << code.bits) - 1, bits.data, bits.at
     while at < alphabet and left:
         left -= 1
-        n = code.read(bits)
+        w = int.from_bytes(data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7)
+        e = table[w & mask]
+        n = e >> 4
+        p += e & 15
         if n < 16:
             lengths[at] = n
             last = n or last
             at += 1
             continue
-        repeat = 3 + bits.take(2) if n == 16 else 3 + bits.take(3) if n == 17 else 11 + bits.take(7)
+        least, wide = REPEATS[n]
+        repeat = least + (w >> (e & 15) & ((1 << wide) - 1))
+        p += wide
         if at + repeat > alphabet:
             raise ValueError("code lengths that run over the alphabet")
-        lengths[at : at + repeat] = [last if n == 16 else 0] * repeat
+        if n == 16:
+            lengths[at : at + repeat] = [last] * repeat
         at += repeat
+    bits.at = p
     return _code(tuple(lengths))
 
 
@@ -204,33 +221,70 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if meta is None and not cache_bits and all(c.flat for c in groups[0][:4]):
         grba = _REVERSED[bits.bytes_from_here(4 * len(out))].reshape(-1, 4).astype(np.uint32)
         return grba[:, 3] << 24 | grba[:, 1] << 16 | grba[:, 0] << 8 | grba[:, 2]
-    cache, at = [0] * (1 << cache_bits), 0
-    while at < len(out):
-        group = groups[0 if meta is None else meta[at // width >> scale, at % width >> scale]]
-        s = group[0].read(bits)
-        start = at
+    return np.array(_read_symbols(bits, width, len(out), groups, meta, scale, cache_bits), np.uint32)
+
+
+def _read_symbols(bits: Bits, width: int, total: int, groups: list[list[Code]], meta: np.ndarray | None, scale: int, cache_bits: int) -> list[int]:
+    """Pixels symbol by symbol, from 64-bit windows that begin at each byte of a piece of the data."""
+    out, at, put, shift = [0] * total, 0, 0, 32 - cache_bits
+    cache = [0] * (1 << cache_bits)
+    windows, base, limit, p = [], 0, -1, bits.at
+    now = None
+    while at < total:
+        if meta is not None or now is None:
+            group = groups[0 if meta is None else meta[at // width >> scale, at % width >> scale]]
+            if group is not now:
+                now = group
+                (gs, rs, bs, as_), (gm, rm, bm, am) = [c.table for c in group[:4]], [(1 << c.bits) - 1 for c in group[:4]]
+                wide = sum(c.bits for c in group[:4]) > 57
+        q = p - base
+        if q >= limit:
+            base = p & ~7
+            first = base >> 3
+            piece = np.zeros(max(64, min(PIECE, len(bits.data) - first)) + 7, np.uint8)
+            known = bits.data[first : first + len(piece)]
+            piece[: len(known)] = np.frombuffer(known, np.uint8)
+            windows = np.lib.stride_tricks.sliding_window_view(piece, 8).copy().view("<u8").reshape(-1).tolist()
+            limit, q = 8 * (len(windows) - 16), p - base
+        w = windows[q >> 3] >> (q & 7)
+        e = gs[w & gm]
+        s, n = e >> 4, e & 15
         if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out[at] = alpha << 24 | red << 16 | s << 8 | blue
+            w >>= n
+            red = rs[w & rm]
+            w >>= red & 15
+            blue = bs[w & bm]
+            n += (red & 15) + (blue & 15)
+            if wide:
+                w = windows[(q + n) >> 3] >> ((q + n) & 7)
+            else:
+                w >>= blue & 15
+            alpha = as_[w & am]
+            out[at] = alpha >> 4 << 24 | red >> 4 << 16 | s << 8 | blue >> 4
             at += 1
+            p += n + (alpha & 15)
         elif s < 280:
+            bits.at = p + n
             length = _prefixed(s - 256, bits)
-            code = _prefixed(group[4].read(bits), bits)
+            code = _prefixed(now[4].read(bits), bits)
+            p = bits.at
             distance = code - 120
             if code <= 120:
                 x, y = NEAR[code - 1]
                 distance = max(1, x + y * width)
-            if distance > at or at + length > len(out):
+            if distance > at or at + length > total:
                 raise ValueError("a reference out of the image")
-            for k in range(length):
-                out[at + k] = out[at + k - distance]
+            from_ = out[at - distance : at - distance + min(length, distance)]
+            out[at : at + length] = (from_ * -(-length // len(from_)))[:length]
             at += length
         else:
+            for value in out[put:at]:
+                cache[(HASH * value & 0xFFFFFFFF) >> shift] = value
+            put = at
             out[at] = cache[s - 280]
             at += 1
-        if cache_bits:
-            for value in out[start:at].tolist():
-                cache[(HASH * value & 0xFFFFFFFF) >> (32 - cache_bits)] = value
+            p += n
+    bits.at = p
     return out
 
 
@@ -367,17 +421,26 @@ def decode(data: bytes) -> np.ndarray:
 def _lengths(counts: list[int], most: int) -> list[int]:
     """Lengths of a prefix code for the counts, none over ``most`` (rare symbols count as more until that holds)."""
     used = [s for s, n in enumerate(counts) if n]
-    least = 1
-    while len(used) > 1:
-        heap = [(max(counts[s], least), s, [s]) for s in used]
-        heapq.heapify(heap)
-        out = [0] * len(counts)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                out[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(out) <= most:
+    m, least = len(used), 1
+    while m > 1:
+        leaves = sorted((max(counts[s], least), s) for s in used)
+        weight, above = [n for n, _ in leaves] + [0] * (m - 1), [0] * (2 * m - 1)
+        i, j = 0, m  # the next leaf and the next node that have no parent
+        for k in range(m, 2 * m - 1):
+            for _ in range(2):
+                if i < m and (j >= k or weight[i] <= weight[j]):
+                    x, i = i, i + 1
+                else:
+                    x, j = j, j + 1
+                weight[k] += weight[x]
+                above[x] = k
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            out = [0] * len(counts)
+            for k, (_, s) in enumerate(leaves):
+                out[s] = depth[k]
             return out
         least *= 2
     return [int(n > 0) for n in counts]
@@ -397,7 +460,8 @@ def _write_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
         lengths = [1 if s in (0, used[0]) else 0 for s in range(len(lengths))]
     w.put(0, 1)
     steps = _run_lengths(lengths)
-    own = _lengths([sum(s[0] == n for s in steps) for n in range(19)], 7)
+    many = Counter(step[0] for step in steps)
+    own = _lengths([many[n] for n in range(19)], 7)
     order = [own[k] for k in LENGTH_ORDER]
     many = max(4, max(k for k, n in enumerate(order) if n) + 1)
     w.put(many - 4, 4)
@@ -405,20 +469,21 @@ def _write_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
         w.put(n, 3)
     w.put(0, 1)
     codes = canonical(own) if sum(map(bool, own)) > 1 else {next(s for s, n in enumerate(own) if n): (0, 0)}
+    turned = {s: (_turn(value, n), n) for s, (n, value) in codes.items()}
+    all_, at = 0, 0
     for n, extra, wide in steps:
-        _put_code(w, codes[n])
-        w.put(extra, wide)
+        value, size = turned[n]
+        all_ |= (value | extra << size) << at
+        at += size + wide
+    w.put_long(all_, at)
     return canonical(lengths)
 
 
 def _run_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, their number): 16 repeats the last length, 17 and 18 are runs of zeros."""
-    out, at = [], 0
-    while at < len(lengths):
-        n, run = lengths[at], 1
-        while at + run < len(lengths) and lengths[at + run] == n:
-            run += 1
-        at += run
+    out = []
+    for n, same in itertools.groupby(lengths):
+        run = len(list(same))
         if n:
             out.append((n, 0, 0))
             run -= 1
@@ -440,9 +505,8 @@ def _flat_header() -> tuple[int, int]:
     return int.from_bytes(w.out + bytes([w.value & 255]), "little"), whole
 
 
-def _put_code(w: BitWriter, code: tuple[int, int]) -> None:
-    n, value = code
-    w.put(int(f"{value:0{n}b}"[::-1], 2) if n else 0, n)
+def _turn(value: int, n: int) -> int:
+    return int(f"{value:0{n}b}"[::-1], 2) if n else 0
 
 
 def _prefix_of(value: int) -> tuple[int, int, int]:
@@ -455,7 +519,7 @@ def _prefix_of(value: int) -> tuple[int, int, int]:
     return 2 * high + (v >> extra & 1), v & ((1 << extra) - 1), extra
 
 
-def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, flat: bool = False) -> None:
+def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, flat: bool = False, items: Items | None = None) -> None:
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
@@ -466,44 +530,148 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
         p = pixels.astype(np.uint32)
         w.put_bytes(_REVERSED[np.stack([p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24], -1).astype(np.uint8).reshape(-1)])
         return
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
-    items: list[tuple] = []
-    values, at, cache, last = pixels.tolist(), 0, [0] * (1 << cache_bits), {}
-    while at < len(values):
-        key = tuple(values[at : at + 3])
-        length, from_ = 0, last.get(key)
-        if references and from_ is not None and len(key) == 3:
-            while length < 4096 and at + length < len(values) and values[from_ + length] == values[at + length]:
-                length += 1
+    items = items or _items(pixels, width, _copies(pixels) if references else [], cache_bits)
+    codes = [_write_code(w, _lengths(c.tolist(), 15)) for c in items.counts()]
+    _put_items(w, items, codes)
+
+
+def _copies(pixels: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references, greedily: place, length and distance, to the last place that has the same three pixels."""
+    n = len(pixels)
+    if n < 4:
+        return []
+    p = pixels.astype(np.uint64)
+    key = (p[:-2] << np.uint64(32) | p[1:-1]) * np.uint64(0x9E3779B97F4A7C15) ^ p[2:] * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(key, kind="stable")
+    at = order[1:][key[order[1:]] == key[order[:-1]]]
+    before = order[:-1][key[order[1:]] == key[order[:-1]]]
+    fits = at - before <= FARTHEST
+    by_place = np.argsort(at[fits])
+    out, free = [], 0
+    for i, j in zip(at[fits][by_place].tolist(), before[fits][by_place].tolist(), strict=True):
+        if i < free:
+            continue
+        most, length, step = min(MOST_COPY, n - i), 0, 32
+        while length < most:
+            end = min(most, length + step)
+            other = np.flatnonzero(pixels[i + length : i + end] != pixels[j + length : j + end])
+            if len(other):
+                length += int(other[0])
+                break
+            length, step = end, 1024
         if length >= 3:
-            items.append(("copy", length, near.get(at - from_, at - from_ + 120)))
-        else:
-            length = 1
-            slot = (HASH * values[at] & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            items.append(("cache", slot) if cache_bits and cache[slot] == values[at] else ("pixel", values[at]))
-        for k in range(at, at + length):
-            last[tuple(values[k : k + 3])] = k
-            if cache_bits:
-                cache[(HASH * values[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = values[k]
-        at += length
-    counts = [[0] * n for n in (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)]
-    symbols = []
-    for item in items:
-        if item[0] == "pixel":
-            v = item[1]
-            puts = [(0, v >> 8 & 255, 0, 0), (1, v >> 16 & 255, 0, 0), (2, v & 255, 0, 0), (3, v >> 24, 0, 0)]
-        elif item[0] == "cache":
-            puts = [(0, 280 + item[1], 0, 0)]
-        else:
-            a, b = _prefix_of(item[1]), _prefix_of(item[2])
-            puts = [(0, 256 + a[0], a[1], a[2]), (4, b[0], b[1], b[2])]
-        for code, s, _, _ in puts:
-            counts[code][s] += 1
-        symbols += puts
-    codes = [_write_code(w, _lengths(c, 15)) for c in counts]
-    for code, s, extra, n in symbols:
-        _put_code(w, codes[code][s])
-        w.put(extra, n)
+            out.append((i, length, i - j))
+            free = i + length
+    return out
+
+
+def _cached(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pixel, its slot of the colour cache and whether that holds it (the last pixel of the slot was the same)."""
+    slot = (pixels.astype(np.uint32) * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(pixels), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return slot.astype(np.int64), hit
+
+
+@functools.lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
+class Items:
+    """What an image is written as: ``first`` symbols (green, length or cache) and, by kind, what follows them."""
+
+    def __init__(self, first: np.ndarray, plain: np.ndarray, colours: np.ndarray, copy: np.ndarray, far: list[tuple[int, int, int, int, int]], alphabet: int) -> None:
+        self.first, self.plain, self.colours, self.copy, self.far, self.alphabet = first, plain, colours, copy, far, alphabet
+
+    def counts(self) -> list[np.ndarray]:
+        n = self.alphabet
+        parts = [self.first, *[(self.colours >> k & 255) + n + 256 * j for j, k in enumerate((16, 0, 24))], np.array([f[2] for f in self.far], np.int64) + n + 768]
+        return np.split(np.bincount(np.concatenate(parts), minlength=n + 808), (n, n + 256, n + 512, n + 768))
+
+    def cost(self) -> float:
+        """About the bits that it takes: entropy, extra bits, and the lengths of the codes."""
+        counts = self.counts()
+        c = np.concatenate(counts)
+        c = c[c > 0]
+        whole = np.array([x.sum() for x in counts])
+        whole = whole[whole > 0]
+        return float((whole * np.log2(whole)).sum() - (c * np.log2(c)).sum()) + 4 * len(c) + sum(f[1] + f[4] for f in self.far)
+
+
+def _items(pixels: np.ndarray, width: int, copies: list[tuple[int, int, int]], cache_bits: int) -> Items:
+    n = len(pixels)
+    begins, inside = np.zeros(n, bool), np.zeros(n + 1, np.int64)
+    far = []
+    near = _near(width)
+    lengths = []
+    for at, length, distance in copies:
+        a, b = _prefix_of(length), _prefix_of(near.get(distance, distance + 120))
+        lengths.append(256 + a[0])
+        far.append((a[1], a[2], b[0], b[1], b[2]))
+    if copies:
+        at = np.array([c[0] for c in copies])
+        begins[at] = True
+        inside[at] += 1
+        np.subtract.at(inside, at + np.array([c[1] for c in copies]), 1)
+    starts = np.flatnonzero(begins | (np.cumsum(inside[:-1]) == 0))
+    values, copy = pixels[starts].astype(np.int64), begins[starts]
+    first = values >> 8 & 255
+    plain = ~copy
+    if cache_bits:
+        slot, hit = _cached(pixels, cache_bits)
+        held = hit[starts] & plain
+        first[held] = 280 + slot[starts][held]
+        plain &= ~held
+    first[copy] = lengths
+    return Items(first, plain, values[plain], copy, far, 280 + ((1 << cache_bits) if cache_bits else 0))
+
+
+def _put_items(w: BitWriter, items: Items, codes: list[dict[int, tuple[int, int]]]) -> None:
+    """Each item is at most 60 bits, which go to one or two of the 64-bit words of a piece."""
+    tables = []
+    for code, size in zip(codes, (items.alphabet, 256, 256, 256, 40), strict=True):
+        wide, turned = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for s, (n, value) in code.items():
+            wide[s], turned[s] = n, _turned(n)[value]
+        tables.append((turned, wide))
+    value, size = tables[0][0][items.first], tables[0][1][items.first]
+    if items.far:
+        far = np.array(items.far, np.int64)
+        turned, wide = tables[4]
+        for v, n in ((far[:, 0], far[:, 1]), (turned[far[:, 2]], wide[far[:, 2]]), (far[:, 3], far[:, 4])):
+            value[items.copy] |= v << size[items.copy]
+            size[items.copy] += n
+    v, n = value[items.plain], size[items.plain]
+    for k, (turned, wide) in zip((16, 0, 24), tables[1:4], strict=True):
+        sample = items.colours >> k & 255
+        v |= turned[sample] << n
+        n += wide[sample]
+    value[items.plain], size[items.plain] = v, n
+    for start in range(0, len(value), PIECE):
+        v, n = np.append(w.value, value[start : start + PIECE]).astype(np.uint64), np.append(w.n, size[start : start + PIECE])
+        end = np.cumsum(n)
+        word, shift = (end - n) >> 6, ((end - n) & 63).astype(np.uint64)
+        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        words = np.zeros(int(end[-1] >> 6) + 2, np.uint64)
+        words[word[begin]] = np.bitwise_or.reduceat(v << shift, begin)
+        over = np.where(shift > 0, v >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        words[word[begin] + 1] |= np.bitwise_or.reduceat(over, begin)
+        data, whole = words.tobytes(), int(end[-1] >> 3)
+        w.out += data[:whole]
+        w.n = int(end[-1] & 7)
+        w.value = data[whole] & ((1 << w.n) - 1)
+
+
+def _header(width: int, height: int) -> BitWriter:
+    w = BitWriter()
+    w.put(0x2F, 8)
+    w.put(width - 1, 14)
+    w.put(height - 1, 14)
+    w.put(1, 1)
+    w.put(0, 3)
+    return w
 
 
 def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references: bool = True, transforms: tuple[int, ...] = (), modes: np.ndarray | None = None, scale: int = 2) -> bytes:
@@ -516,12 +684,7 @@ def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references
         raise ValueError("sides must be from 1 to 16384")
     c = image.astype(np.uint32)
     pixels = (c[..., 3] << 24 | c[..., 0] << 16 | c[..., 1] << 8 | c[..., 2]).reshape(-1)
-    w = BitWriter()
-    w.put(0x2F, 8)
-    w.put(width - 1, 14)
-    w.put(height - 1, 14)
-    w.put(1, 1)
-    w.put(0, 3)
+    w = _header(width, height)
     now = width
     for kind in transforms:
         w.put(1, 1)
@@ -558,6 +721,40 @@ def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references
     return _riff([(b"VP8L", w.done())])
 
 
+def smallest(image: np.ndarray) -> bytes:
+    """``encode`` with back-references and whichever of the transforms and sizes of the colour cache is estimated to take least.
+
+    Tried are no transform, subtract-green, and a palette where there are at most 256 colours, and the best of
+    them with and without a colour cache. References are the same for all, as pixels stay equal or different.
+    """
+    height, width = image.shape[:2]
+    c = image.reshape(-1, 4).astype(np.uint32)
+    pixels = c[:, 3] << 24 | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+    copies = _copies(pixels)
+    table, index = np.unique(pixels, return_inverse=True)
+    if len(table) <= 16:
+        return encode(image, False, 0, True, (PALETTE,))
+    tried = [(None, pixels, 0.0), (GREEN, _green(pixels, -1), 0.0)]
+    if len(table) <= 256:
+        apart = _packed(np.diff(_channels(table), axis=0, prepend=0))
+        tried.append((PALETTE, np.uint32(0xFF000000) | index.reshape(-1).astype(np.uint32) << np.uint32(8), _items(apart, len(table), [], 0).cost()))
+    found = [(_items(p, width, copies, 0), way, p, more) for way, p, more in tried]
+    items, way, p, _ = min(found, key=lambda f: f[0].cost() + f[3])
+    bits = min(10, max(1, len(p).bit_length() - 3))
+    cached = _items(p, width, copies, bits)
+    items, bits = (cached, bits) if cached.cost() < items.cost() else (items, 0)
+    w = _header(width, height)
+    if way is not None:
+        w.put(1, 1)
+        w.put(way, 2)
+    if way == PALETTE:
+        w.put(len(table) - 1, 8)
+        _write_image(w, apart, len(table), False)
+    w.put(0, 1)
+    _write_image(w, p, width, True, bits, items=items)
+    return _riff([(b"VP8L", w.done())])
+
+
 def _riff(chunks: list[tuple[bytes, bytes]]) -> bytes:
     body = b"WEBP" + b"".join(k + struct.pack("<I", len(v)) + v + b"\0" * (len(v) & 1) for k, v in chunks)
     return b"RIFF" + struct.pack("<I", len(body)) + body
@@ -576,7 +773,7 @@ def to_media(payload: bytes) -> bytes:
         raise ValueError("a payload of over 1 GiB")
     short = -len(payload) % wide
     image = np.frombuffer(payload + b"\0" * short, np.uint8).reshape(-1, wide // 4, 4)
-    file = encode(image)
+    file = smallest(image)
     return _riff([(b"VP8L", file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]), (b"LENG", struct.pack("<Q", len(payload)))]) if short else file
 
 

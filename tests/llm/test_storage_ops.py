@@ -65,6 +65,22 @@ def test_media_rows(spark):
     assert len(rows) == 5 and webp.describe(webp.store(df.limit(0))).count() == 0
 
 
+def test_media_is_compressed():
+    rng = np.random.default_rng(3)
+    words = ["der", "la", "running", "été", "house", "x"]
+    prose = " ".join(words[i] for i in rng.integers(0, 6, 4000)).encode()
+    gray = np.repeat(rng.integers(0, 256, 3000), 4).astype(np.uint8).tobytes()  # red, green and blue alike
+    noise = rng.bytes(70_016)
+    few = bytes(rng.choice([1, 2, 3], 128)) + b"abcd" * 5000
+    far = rng.bytes(300_032) + prose[:4000]
+    for payload, most in ((prose, 0.6), (prose + prose, 0.45), (gray, 0.7), (noise, 1.02), (few, 0.05), (far + far, 0.52), (b"\0" * 64, 1.0), (b"\0" * 640_000, 0.001)):
+        payload += b"\0" * (-len(payload) % 64)
+        media = webp.to_media(payload)
+        assert webp.from_media(media) == payload
+        assert len(media) <= most * len(payload) + 40
+    assert webp.decode_pixels(webp.to_media(gray))[1] == 16
+
+
 def exact(ids, x, k):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):

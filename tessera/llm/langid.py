@@ -3,7 +3,9 @@
 A text becomes a vector of hashed byte n-grams (one to three bytes of its lower-cased letters, everything
 else a space), TF-IDF weighted and normalised. Each language has several centroids, found by spherical
 k-means over a sample of its documents. The prediction is the language of the nearest centroid by cosine.
-A text further from every centroid than the limit distance is rejected.
+A text further from every centroid than the limit distance is rejected. Limits come from the sample: short
+texts are further from any centroid, so each language has a limit for each size (a power of two of different
+n-grams), ``SLACK`` times a low quantile of the cosines of its own documents, thinned to that size.
 
 The classifier is fitted on a bounded sample (``SAMPLE_PER_LANG`` documents of each language, those whose
 ids hash lowest, ``SAMPLE_IN_ALL`` at most); prediction covers every whole text.
@@ -29,8 +31,12 @@ FEATURES = 1 << 13
 SAMPLE_PER_LANG = 800
 SAMPLE_IN_ALL = 20_000
 CENTROIDS = 4
-#: A text is rejected if its cosine with the nearest centroid is below this.
+#: A text is rejected if its cosine with the nearest centroid is below this, whatever the limits of the sample.
 LEAST_COSINE = 0.06
+#: Limits are this part of this quantile, for sizes that at least so many documents of a language can be thinned to.
+SLACK, QUANTILE, LEAST_DOCS = 0.4, 0.01, 20
+#: Sizes below this have no limit of their own.
+LEAST_SIZE = 16
 STEP = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -62,6 +68,7 @@ class Model:
     centroids: np.ndarray
     langs: list[str]  # of each centroid
     least: float = LEAST_COSINE
+    limits: np.ndarray | None = None  # of each centroid and power of two of different n-grams
 
     def score(self, counts: np.ndarray | None) -> tuple[str, float, bool]:
         if counts is None or not len(self.langs):
@@ -71,7 +78,8 @@ class Model:
         near = self.centroids[:, at] @ (v / max(float(np.sqrt(v @ v)), 1e-12))
         best = int(near.argmax())
         cosine = min(1.0, max(0.0, float(near[best])))
-        return self.langs[best], cosine, cosine < self.least
+        limit = self.least if self.limits is None else max(self.least, float(self.limits[best, len(at).bit_length()]))
+        return self.langs[best], cosine, cosine < limit
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -89,16 +97,44 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _limits(names: np.ndarray, counts: np.ndarray, idf: np.ndarray, centroids: np.ndarray, of: list[str]) -> np.ndarray:
+    """For each centroid and size, the limit of its language; sizes without enough documents have that of the next smaller one."""
+    out = np.zeros((len(of), FEATURES.bit_length() + 1))
+    owner, rng = np.array(of), np.random.default_rng(7)
+    for lang in sorted(set(of)):
+        own = np.ascontiguousarray(centroids[owner == lang])
+        found: list[list[float]] = [[] for _ in range(out.shape[1])]
+        for row in np.flatnonzero(names == lang):
+            whole = np.flatnonzero(counts[row])
+            much, seen = counts[row, whole].astype(np.int64), set()
+            while len(whole) >= LEAST_SIZE:
+                size = len(whole).bit_length()
+                if size not in seen:
+                    seen.add(size)
+                    v = np.log1p(much).astype(np.float32) * idf[whole]
+                    found[size].append(float((own[:, whole] @ (v / max(float(np.sqrt(v @ v)), 1e-12))).max()))
+                much = rng.binomial(much, 0.5)
+                whole, much = whole[much > 0], much[much > 0]
+        limit = 0.0
+        for size, cosines in enumerate(found):
+            if len(cosines) >= LEAST_DOCS:
+                limit = SLACK * float(np.quantile(cosines, QUANTILE))
+            out[owner == lang, size] = limit
+    return out
+
+
 def fit_counts(langs: list[str], counts: np.ndarray) -> Model:
     """Fit on n-gram counts, a row for each labelled document."""
     if not len(langs):
         return Model(np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), [])
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = np.log1p(counts).astype(np.float32) * idf
+    x = np.log1p(counts, dtype=np.float32)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names = np.array(langs)
     found = [(lang, _kmeans(x[names == lang], CENTROIDS)) for lang in sorted(set(langs))]
-    return Model(idf, np.concatenate([c for _, c in found]), [lang for lang, c in found for _ in c])
+    centroids, of = np.concatenate([c for _, c in found]), [lang for lang, c in found for _ in c]
+    return Model(idf, centroids, of, limits=_limits(names, counts, idf, centroids, of))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE) -> Model:
@@ -132,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     for i, r in enumerate(sample):
         counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["much"], "<u4")
     model = fit_counts([r["lang"] for r in sample], counts)
-    return Model(model.idf, model.centroids, model.langs, least)
+    return Model(model.idf, model.centroids, model.langs, least, model.limits)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

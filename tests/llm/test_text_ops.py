@@ -128,6 +128,24 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(docs.limit(5), nothing).collect()} == {"und"}
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    rng = random.Random(4)
+    strange = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve kardeşçe hareket etmelidirler.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        *["".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(n)) for n in (200, 2000, 20_000)],
+        *[rng.randbytes(n).hex() for n in (1000, 10_000)],
+    ]
+    df = spark.createDataFrame(list(enumerate(strange)), "doc_id long, text string")
+    assert [r["doc_id"] for r in langid.predict(df, model).collect() if not r["rejected"]] == []
+    assert langid.filter_known(df, model).count() == 0
+    assert langid.filter_known(docs, model).count() == docs.count()
+
+
 def test_language_counts_whole_texts():
     rng = random.Random(2)
     text = "".join(rng.choice("abc dé") for _ in range(2_500_000)).encode()

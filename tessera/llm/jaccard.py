@@ -20,8 +20,8 @@ and isn't gathered: every document treats it as the most common.
 
 Defined results: null and empty texts, and texts without words, have no shingles and link with nothing; a
 text of fewer than five words is one shingle; a null id takes part, counts as larger than any other and is
-the component's id only where there is no other; rows that repeat an id are rows of their own; other
-columns are kept by ``representatives``.
+the component's id only where there is no other; rows that repeat an id are rows of their own, in
+``representatives`` too, which keeps one row a component and all columns.
 """
 
 from __future__ import annotations
@@ -372,10 +372,22 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stand for their component: the smallest id; rows without shingles all stay."""
-    out = join(df, id_col, text_col).where(F.col("n_shingles") > 0)
-    gone = out.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``df`` that stand for their component, one each: that of the smallest id; rows without shingles all stay.
+
+    Rows are told apart by a key of their own and not by id. Of rows that tie for the smallest id, and of a
+    component without an id, the row that comes first in the table stays.
+    """
+    row = "_row"
+    while row in df.columns:
+        row += "_"
+    rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows-keyed")
+    docs, roots = classes(rows, row, text_col)
+    labelled = docs.where("n > 0").select(F.col("id").cast("long").alias("_key"), "s")
+    labelled = labelled.join(roots.withColumnRenamed("u", "s"), "s", "left").select("_key", F.coalesce("root", "s").alias("_root"))
+    ids = rows.select(F.col(row).alias("_key"), F.col(id_col).alias("_given"))
+    ranked = labelled.join(ids, "_key").groupBy("_root").agg(F.min(F.struct(F.col("_given").isNull().alias("_none"), "_given", "_key")).alias("_first"))
+    gone = labelled.join(ranked.select("_root", F.col("_first._key").alias("_kept")), "_root").where("_key != _kept").select(F.col("_key").alias("_gone"))
+    return rows.join(gone, F.col(row) == F.col("_gone"), "left_anti").drop(row)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,37 @@ def test_jaccard(spark, monkeypatch, hot):
     assert kept.columns == df.columns
 
 
+def test_jaccard_representatives_by_row(spark):
+    """Null ids, ids that repeat with the same and other texts, exact and near copies: one row a component."""
+    rng = random.Random(5)
+    a, b, c, d, e, f = (words(rng, 60, 5000) for _ in range(6))
+    near = lambda w: [*w[:-1], "other"]
+    texts = [
+        (1, a), (None, near(a)), (None, b), (None, b), (2, c), (2, c), (3, d), (2, near(d)), (4, e), (4, near(c)), (4, words(rng, 60, 5000)),
+        (None, f), (None, near(f)), (None, words(rng, 60, 5000)), (5, near(b)), (6, []), (6, []), (None, None), (None, None),
+    ]
+    rows = [(i, None if w is None else " ".join(w), k) for k, (i, w) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row long")
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    got = {r["_row"] for r in kept.collect()}
+    shingles = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if w else set() for _, w in texts]
+    left, groups = {k for k in range(len(texts)) if shingles[k]}, []
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            new = {y for y in left if 100 * len(shingles[x] & shingles[y]) >= 80 * len(shingles[x] | shingles[y])}
+            left, todo = left - new, todo + list(new)
+        groups.append(group)
+    assert sorted(map(len, groups)) == [1, 1, 1, 2, 2, 2, 3, 3]
+    for group in groups:
+        (stands,) = got & group
+        assert stands == min(group, key=lambda k: (texts[k][0] is None, texts[k][0] or 0, k))
+    assert {k for k in range(len(texts)) if not shingles[k]} <= got
+
+
 def test_jaccard_bands_and_matches(spark):
     """Sizes in the first band, in the second, whose level is below the whole set, and in both."""
     rng = random.Random(9)

@@ -245,13 +245,16 @@ class _Broadcast:
         return self.held.value
 
 
-def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False) -> DataFrame:
-    """Ids of every whole text: the id column, ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit).
+def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False, dtype: str = "uint32") -> DataFrame:
+    """Ids of every whole text: the id column, ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit, or ``dtype``).
 
     ``decode`` adds ``decoded`` binary, the bytes that the ids stand for; ``check`` in its stead ``decodes`` boolean,
     whether those are the text's bytes. The model (its vocabulary's
     size, about 2 MB) is broadcast; the executors need no file. No shuffle.
     """
+    narrow = np.dtype(dtype).newbyteorder("<")
+    if len(model.tokens) - 1 > np.iinfo(narrow).max:
+        raise ValueError(f"the vocabulary has ids that {dtype} doesn't hold")
     held = _Broadcast(df.sparkSession, model)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     fields += [T.StructField("decodes", T.BooleanType())] if check else [T.StructField("decoded", T.BinaryType())] * decode
@@ -261,7 +264,7 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, 1 << 20):
                 ids = [encoder.encode(t or b"") for t in texts]
-                columns = [rows.column(id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                columns = [rows.column(id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids if dtype == "uint32" else [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in ids], pa.binary())]
                 if check:
                     columns.append(pa.array([encoder.decode(x) == (t or b"") for x, t in zip(ids, texts, strict=True)], pa.bool_()))
                 elif decode:

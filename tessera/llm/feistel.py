@@ -3,12 +3,14 @@
 Each text's tokens, with an end token, are cut into sequences of ``stride`` tokens, the last one padded.
 Sequences are numbered 0 to n - 1 (partition by partition of the table, by a hash of the id inside one). A keyed Feistel network over the smallest even number of bits that holds n, walked
 along its cycle until the value is below n, is a permutation of the numbers: a sequence's slot. Shard k
-holds the slots from k * per_shard on, each at ``offset`` = (slot - first slot) * stride bytes, so a reader
+holds the slots from k * per_shard on, each at ``offset`` = (slot - first slot) * stride * width bytes, so a reader
 that has taken s sequences goes on at slot s by arithmetic alone. Nothing is sorted globally: a shard is a
 range of slots, goes to one task whole, and is ordered and written there. Sequences travel by the batch, compressed.
 
-The tokens here are bytes (ids 0 to 255; 255, which UTF-8 never holds, ends a text and pads), one byte
-each; ``sequences`` takes any ids of a fixed width.
+Tokens are ids of a fixed width: a column of little-endian ids with its ``dtype`` (uint8, uint16 or uint32), and the
+id ``end`` that ends a text and pads. The default takes a text's bytes as ids (uint8; 255, which UTF-8 never holds,
+is the end). ``token_ids`` makes the ids of the BPE vocabulary, whose end is the first id past the vocabulary, in
+the least width that holds it; the query stores those. A column that isn't whole ids raises an error.
 
 Defined results: a null or empty text is one sequence of end and padding; null ids hash as empty ones;
 repeated rows each get slots of their own; an empty table makes no shard; other columns are dropped.
@@ -31,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, new_path, reader, text_chunks
+from . import bpe
+from .common import map_arrow, materialize, new_path, reader, text_chunks
 
 STRIDE = 512
 PER_SHARD = 8192
 #: Bytes of text whose sequences are dealt to shards together.
 BATCH_BYTES = 16 << 20
 END = 255
+DTYPE = "uint8"
 ROUNDS = 6
 _U = np.uint64
 
@@ -65,7 +69,20 @@ def permute(x: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray
     return out.astype(np.int64)
 
 
-def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int = STRIDE) -> tuple[DataFrame, int]:
+def width_of(dtype: str) -> int:
+    if dtype not in ("uint8", "uint16", "uint32"):
+        raise ValueError("ids are uint8, uint16 or uint32")
+    return np.dtype(dtype).itemsize
+
+
+def token_ids(df: DataFrame, model: bpe.BpeModel, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, int]:
+    """The id column and ``ids`` binary, the BPE ids of each whole text; their dtype; the end id. No shuffle."""
+    end = len(model.tokens)
+    dtype = "uint16" if end < 1 << 16 else "uint32"
+    return bpe.encode(df, model, id_col, text_col, dtype=dtype).select(id_col, "ids"), dtype, end
+
+
+def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int = STRIDE, dtype: str = DTYPE) -> tuple[DataFrame, int]:
     """``df``'s ids and text with ``_first`` (the number of its first sequence), and the number of sequences.
 
     Numbers are dense: the sums of the table's own partitions (one row each) give every partition its
@@ -73,8 +90,8 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
     shuffled. ``df`` must give the same partitions each time, as a table read from files does; a
     partition that doesn't hold what was counted raises an error.
     """
-    spark = df.sparkSession
-    many = F.ceil((F.coalesce(F.octet_length(text_col), F.lit(0)) + 1) / F.lit(stride)).cast("long")
+    spark, width = df.sparkSession, width_of(dtype)
+    many = F.ceil((F.floor(F.coalesce(F.octet_length(text_col), F.lit(0)) / F.lit(width)) + 1) / F.lit(stride)).cast("long")
     counted = df.select(F.spark_partition_id().alias("p"), many.alias("m")).groupBy("p").agg(F.sum("m").alias("m")).orderBy("p").collect()
     starts, total = {}, 0
     for r in counted:
@@ -90,7 +107,9 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
         stop = at + whole
         for batch in batches:
             size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text_col)), 0), np.int64)
-            many = (size + stride) // stride
+            if (size % width).any():
+                raise ValueError("a row that isn't whole ids")
+            many = (size // width + stride) // stride
             first = at + np.cumsum(many) - many
             at += int(many.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64())], names=schema.names)
@@ -100,11 +119,13 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
     return map_arrow(rows, run, schema), total
 
 
-def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
+def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE, end: int = END) -> DataFrame:
     """Sequences by shard: each row holds those of a batch of texts that fall to one shard, their tokens compressed.
 
     ``shard``; arrays of the ids, ``seq``, ``part`` (the place in the text) and ``slot``; ``tokens`` binary.
     """
+    width = width_of(dtype)
+    last, size = end.to_bytes(width, "little"), stride * width
     arrays = [*[T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in ids], T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("part", T.ArrayType(T.IntegerType())), T.StructField("slot", T.ArrayType(T.LongType()))]
     fields = [T.StructField("shard", T.LongType()), *arrays, T.StructField("tokens", T.BinaryType())]
 
@@ -112,7 +133,7 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, BATCH_BYTES):
-                many = np.array([(len(t or b"") + stride) // stride for t in texts], np.int64)
+                many = np.array([(len(t or b"") // width + stride) // stride for t in texts], np.int64)
                 of = np.repeat(np.arange(len(texts)), many)
                 part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
                 seq = np.asarray(rows.column("_first"))[of] + part
@@ -121,7 +142,8 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
                 of, part, seq, slot = of[order], part[order], seq[order], slot[order]
                 shard = slot // per_shard
                 edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
-                tokens = [(texts[i] or b"")[p * stride : (p + 1) * stride].ljust(stride, bytes([END])) for i, p in zip(of.tolist(), part.tolist(), strict=True)]
+                cut = [(texts[i] or b"")[p * size : (p + 1) * size] for i, p in zip(of.tolist(), part.tolist(), strict=True)]
+                tokens = [t + last * ((size - len(t)) // width) for t in cut]
                 offsets = pa.array(edges, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, x) for x in (*[rows.column(c).take(pa.array(of)) for c in ids], pa.array(seq), pa.array(part, pa.int32()), pa.array(slot))]
                 packed = [pack.compress(b"".join(tokens[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
@@ -130,15 +152,16 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
     return map_arrow(df.select(*ids, text_col, "_first"), run, T.StructType(fields))
 
 
-def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
+def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE) -> DataFrame:
     """Write ``path``/shard-########.bin and give what was read back: ids, seq, part, slot, shard, offset, crc.
 
     ``path`` is a folder that all executors share. A task holds one shard at a time (``stride * per_shard``
-    bytes), writes it under a name of its own and renames it when it is whole, so that a task that is run
+    ids), writes it under a name of its own and renames it when it is whole, so that a task that is run
     again leaves the same files.
     """
     if "://" in path.removeprefix("file://"):
         raise ValueError("shards are written by plain file calls: the folder must be mounted on every executor")
+    row = stride * width_of(dtype)
     shards = max(1, -(-n // per_shard))
     tasks = min(shards, max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folder = path.removeprefix("file://")
@@ -149,16 +172,16 @@ def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int
         unpack = zstandard.ZstdDecompressor()
         columns = [pa.concat_arrays([b.column(c).flatten() for b in blocks]) for c in inner]
         slot = np.asarray(columns[-1])
-        data = b"".join(unpack.decompress(x.as_py(), max_output_size=stride * per_shard) for b in blocks for x in b.column("tokens"))
+        data = b"".join(unpack.decompress(x.as_py(), max_output_size=row * per_shard) for b in blocks for x in b.column("tokens"))
         order = np.argsort(slot)
         name, final = os.path.join(folder, f".{shard:08d}-{uuid.uuid4().hex}"), os.path.join(folder, f"shard-{shard:08d}.bin")
         with open(name, "wb") as f:
-            f.write(np.frombuffer(data, np.uint8).reshape(-1, stride)[order].tobytes())
+            f.write(np.frombuffer(data, np.uint8).reshape(-1, row)[order].tobytes())
         os.replace(name, final)
         with open(final, "rb") as f:
-            crcs = [zlib.crc32(f.read(stride)) for _ in order]
+            crcs = [zlib.crc32(f.read(row)) for _ in order]
         at = pa.array(order)
-        return pa.RecordBatch.from_arrays([*[c.take(at) for c in columns], pa.array(np.full(len(order), shard)), pa.array(slot[order] % per_shard * stride), pa.array(crcs, pa.int64())], names=[f.name for f in fields])
+        return pa.RecordBatch.from_arrays([*[c.take(at) for c in columns], pa.array(np.full(len(order), shard)), pa.array(slot[order] % per_shard * row), pa.array(crcs, pa.int64())], names=[f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
@@ -179,25 +202,30 @@ def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int
     return map_arrow(dealt, run, T.StructType(fields))
 
 
-def read_slots(path: str, start: int, count: int, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[bytes]:
+def read_slots(path: str, start: int, count: int, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE) -> Iterator[bytes]:
     """Sequences start .. start + count - 1 in training order, read sequentially from where they lie."""
-    folder = path.removeprefix("file://")
+    folder, row = path.removeprefix("file://"), stride * width_of(dtype)
     slot, stop = start, min(n, start + count)
     while slot < stop:
         shard, inside = divmod(slot, per_shard)
         with open(os.path.join(folder, f"shard-{shard:08d}.bin"), "rb") as f:
-            f.seek(inside * stride)
+            f.seek(inside * row)
             for _ in range(min(stop - slot, per_shard - inside)):
-                yield f.read(stride)
+                yield f.read(row)
                 slot += 1
 
 
-def materialise(df: DataFrame, path: str, key: int, ids: list[str], text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD) -> DataFrame:
+def materialise(df: DataFrame, path: str, key: int, ids: list[str], text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE, end: int = END) -> DataFrame:
     """All of the above: shards under ``path``; returns the index of what they hold."""
-    numbered, n = sequences(df, ids, text_col, stride)
-    return write_shards(slots(numbered, ids, n, key, text_col, stride, per_shard), ids, path, n, stride, per_shard)
+    numbered, n = sequences(df, ids, text_col, stride, dtype)
+    return write_shards(slots(numbered, ids, n, key, text_col, stride, per_shard, dtype, end), ids, path, n, stride, per_shard, dtype)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = materialise(reader(spark, sf_dir, "documents"), new_path(spark, "shards"), key=20240607, ids=["doc_id"])
+    import public_tokenizers
+
+    model = bpe.load_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded, dtype, end = token_ids(reader(spark, sf_dir, "documents"), model)
+    # Written once: ids are read twice, to be counted and to be dealt.
+    out = materialise(materialize(encoded, "token-ids"), new_path(spark, "shards"), key=20240607, ids=["doc_id"], text_col="ids", dtype=dtype, end=end)
     return out.withColumnRenamed("crc", "tokens_crc32")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import feistel, multiindex, queries, webp
+from tessera.llm import bpe, feistel, multiindex, queries, webp
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
@@ -33,6 +33,37 @@ def test_shards(spark, tmp_path):
         feistel.write_shards(df, ["doc_id"], "hdfs://x/y", 1)
 
 
+@pytest.mark.parametrize("dtype", ["uint16", "uint32"])
+def test_shards_of_vocabulary_ids(spark, tmp_path, dtype):
+    """BPE ids, most of them above 255, come back from the shards as the encoder gave them."""
+    import public_tokenizers
+
+    model = bpe.load_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [(1, "the cat and the dog"), (2, None), (3, ""), (4, "été " * 900), (5, "word" * 4), (5, "word" * 4), (None, "x")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in bpe.encode(df, model).collect())
+    assert max(map(max, filter(None, want))) > 255
+    ids, narrow, end = feistel.token_ids(df, model)
+    assert narrow == "uint16" and end == len(model.tokens)
+    if dtype == "uint32":
+        ids = bpe.encode(df, model).select("doc_id", "ids")
+    path, out = str(tmp_path / "ids"), str(tmp_path / "out")
+    ids.write.parquet(path)
+    df = spark.read.parquet(path)
+    rows = feistel.materialise(df, out, 3, ["doc_id"], "ids", 16, 5, dtype, end).toPandas()
+    n, width = len(rows), np.dtype(dtype).itemsize
+    assert n == sum(len(x) // 16 + 1 for x in want) and (rows.offset == rows.slot % 5 * 16 * width).all()
+    stored = [np.frombuffer(x, "<" + np.dtype(dtype).str[1:]).tolist() for x in feistel.read_slots(out, 0, n, n, 16, 5, dtype)]
+    got = []
+    for _, part in rows.assign(first=rows.seq - rows.part).groupby("first"):
+        whole = [i for s in part.sort_values("seq").slot for i in stored[s]]
+        assert end in whole and set(whole[whole.index(end) :]) == {end}
+        got.append(whole[: whole.index(end)])
+    assert sorted(got) == want
+    with pytest.raises(ValueError):
+        feistel.width_of("int8")
+
+
 WAYS = [
     {}, {"flat": False}, {"flat": False, "cache_bits": 4}, {"flat": False, "cache_bits": 9, "references": False}, {"flat": False, "transforms": (2,)}, {"flat": False, "transforms": (1, 2, 0)},
     {"flat": True, "transforms": (3,)}, {"flat": False, "transforms": (3,), "cache_bits": 3}, *[{"flat": False, "transforms": (0,), "modes": np.array([m])} for m in range(14)],

@@ -33,6 +33,16 @@ def test_nested(spark):
     assert corpus.manifest(spark.createDataFrame([("a", "é"), ("a", None)], "g string, text string"), "g").first()["bytes"] == 2
 
 
+def test_nested_query_takes_whole_texts(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["été 12, \"quoted\" \\ back\nnew\tline\r\u0001", "Все люди 日本 🎉", "word " * 5000 + "end", "", "{\"a\": {\"b\": 1}}"]
+    rows = [(k, t, "en", "web") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, entry.queries()["nested_corpus_whole"](spark, str(tmp_path)).collect()))
+    assert got == [("T", "en", "web", str(k), t, f"T|en|web|{k}\t{t}") for k, t in enumerate(texts)]
+
+
 def test_counts(spark):
     df = spark.createDataFrame([(0, "aaa aaa bb"), (1, None), (2, "aaa" + "x" * 20)], "doc_id long, text string")
     stats = words.word_stats(df).first()

@@ -13,9 +13,10 @@ from .operators import encode as enc
 from .operators import train as tr
 from .operators import words as wd
 from .plans.fixture import MERGES, SPECIALS, fixture_model
+from .plans.model import parse_model
 from .sources import corpus
 
-K_TOP, K_SQL, K_REFERENCE = 20, 8, 300
+K_TOP, K_SQL, K_REFERENCE, K_CLUSTER = 20, 8, 300, 20
 MISS_VOCAB = 300
 
 
@@ -117,6 +118,16 @@ def train_cluster_k(spark, d):
     return tr.pairs_table(spark, tr._on_cluster(words, K_SQL))
 
 
+def train_canonical_300(spark, d):
+    return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_REFERENCE))
+
+
+def train_cluster_20(spark, d):
+    """More steps than the DataFrame loop takes without a checkpoint."""
+    words = wd.word_count(docs(spark, d), most_bytes=wd.MOST_BYTES)
+    return tr.pairs_table(spark, tr._on_cluster(words, K_CLUSTER))
+
+
 def train_reference_k(spark, d):
     return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_REFERENCE, "reference"))
 
@@ -153,6 +164,16 @@ def encode_ids(spark, d):
     return _ids(enc.encode(docs(spark, d), fixture_model()))
 
 
+def encode_ids_50k(spark, d):
+    """A public vocabulary of 50 thousand tokens in the place of the pinned small one."""
+    from pathlib import Path
+
+    import public_tokenizers
+
+    model = parse_model(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text("utf-8"))
+    return _ids(enc.encode(docs(spark, d), model))
+
+
 def encode_ids_join(spark, d):
     return _ids(enc.encode_by_join(docs(spark, d), fixture_model()))
 
@@ -342,6 +363,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "top_pairs_k": (top_pairs_k, f"{_PAIRS} WHERE n >= 2 ORDER BY n DESC, a, b LIMIT {K_TOP}"),
     "train_canonical_k": (train_canonical_k, _training(K_SQL)),
     "train_cluster_k": (train_cluster_k, _training(K_SQL)),
+    "train_canonical_300": (train_canonical_300, None),
+    "train_cluster_20": (train_cluster_20, None),
     "train_reference_k": (train_reference_k, None),
     "merge_ranks": (merge_ranks, "SELECT * FROM (VALUES " + ", ".join(f"({r}::INTEGER, '{a.upper()}', '{b.upper()}', '{(a + b).upper()}')" for r, (a, b) in enumerate(MERGES)) + ") v(rank, left, right, merged)".replace("left, right", '"left", "right"')),
     "vocab_table": (vocab_table, f"SELECT token, id FROM {_vocab()}"),
@@ -349,6 +372,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "model_summary": (model_summary, f"SELECT 'ByteLevel' AS pretokenizer, count(*) AS vocab_size, max(id) AS max_id, {len(MERGES)}::BIGINT AS merge_rules, {len(SPECIALS)}::BIGINT AS added_tokens FROM {_vocab()}"),
     "bpe_words": (bpe_words, f"SELECT piece, n, array_to_string({_folded(_HEX)}, ' ') AS symbols FROM ({_WORDS})"),
     "encode_ids": (encode_ids, f"{_encoded()} SELECT doc_id, {_IDS} AS ids, 'ok' AS status FROM res"),
+    "encode_ids_50k": (encode_ids_50k, None),
     "encode_ids_join": (encode_ids_join, f"{_encoded()} SELECT doc_id, {_IDS} AS ids, 'ok' AS status FROM res"),
     "token_count": (token_count, f"{_encoded()} SELECT doc_id, {_N} AS n_tokens FROM res"),
     "checksum_by_lang": (checksum_by_lang, f"{_encoded()} SELECT lang, sum({_TOTAL})::BIGINT AS checksum, sum({_N})::BIGINT AS tokens FROM res GROUP BY lang"),

@@ -145,3 +145,32 @@ def test_scan_binary(spark):
     df = spark.createDataFrame([(0, bytearray(b"a b")), (1, bytearray(b"a \xffb")), (2, None), (3, bytearray(b""))], "k int, content binary")
     got = sorted((r["k"], r["pos"], bytes(r["piece"]), r["valid"]) for r in scan_binary(df, "k", "content").collect())
     assert got == [(0, 0, b"a", True), (0, 1, b" b", True), (1, 0, b"a", False), (1, 1, b" \xffb", False)]
+
+
+def test_queries_at_the_scale_of_real_models(spark, tmp_path):
+    """Training past the checkpoint and past a few merges against brute force; a real vocabulary against its library."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    import __spark_entry__ as entry
+    from tessera.operators import words as wd
+
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcdeé ") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choice(pool) for _ in range(30)) for _ in range(20)] + ["The quick brown fox's 1234 naïve ideas, isn't it?", ""]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    queries = entry.queries()
+    counted = [(bytes(r["piece"], "utf-8"), r["n"]) for r in wd.word_count(spark.read.parquet(str(tmp_path / "documents.parquet"))).select(wd.F.col("piece").cast("string"), "n").collect()]
+    for name, k in (("train_canonical_300", 300), ("train_cluster_20", 20)):
+        table = queries[name](spark, str(tmp_path)).collect()
+        want = brute(counted, k)
+        assert len(table) == len(want) > 16
+        assert [tuple(r)[-2:] for r in sorted(table)] == want
+    split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    library = tiktoken.Encoding("b", pat_str=split, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    got = {r["doc_id"]: r["ids"] for r in queries["encode_ids_50k"](spark, str(tmp_path)).collect()}
+    assert got == {k: " ".join(map(str, library.encode_ordinary(t))) for k, t in rows}

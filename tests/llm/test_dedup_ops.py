@@ -116,6 +116,56 @@ def test_jaccard_bands_and_matches(spark):
     assert got == jaccard_brute(rows)
 
 
+def near_group(seed=8):
+    """A large group of near copies around the limit: by changes, cuts, insertions, chains and shared edits; and a common passage."""
+    rng = random.Random(seed)
+    base = words(rng, 120, 5000)
+    texts = [changed(rng, base, rng.choice([0.005, 0.02, 0.03, 0.04, 0.06])) for _ in range(110)]
+    for _ in range(40):  # parts of it, and more behind it
+        a, b = rng.randrange(40), rng.randrange(80, 121)
+        texts.append(base[a:b] + words(rng, rng.choice([0, 0, 5, 20]), 5000))
+    for _ in range(6):  # whole clusters that share edits
+        other = changed(rng, base, 0.06)
+        texts += [changed(rng, other, 0.01) for _ in range(8)]
+    last = base
+    for _ in range(20):
+        last = changed(rng, last, 0.02)
+        texts.append(last)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize(("few", "rounds"), [(32, 2), (4, 0), (8, 1), (1, 0)])
+def test_jaccard_large_near_group(spark, monkeypatch, few, rounds):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
+    rows = list(enumerate(near_group()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(df).collect())
+    want = jaccard_brute(rows)
+    assert got == want
+    assert 30 < len({c for _, _, c in want}) < 200
+
+
+def test_jaccard_sets_that_a_level_leaves_short_and_hashes_that_clash(spark, monkeypatch):
+    rng = random.Random(9)
+    long = words(rng, 700, 5000)
+    texts = [" ".join(changed(rng, long, r)) for r in (0, 0.01, 0.02, 0.2, 0.01)] + corpus(n=30)[:60]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = jaccard.level
+    monkeypatch.setattr(jaccard, "level", lambda band, all_=False: 0.05 if band and not all_ else whole(band, all_))
+    one = jaccard.identity
+    monkeypatch.setattr(jaccard, "identity", lambda h: (one(h)[0] % 11, one(h)[1]))
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(df).collect())
+    assert got == jaccard_brute(rows)
+
+
+def test_jaccard_representatives_keep_clashing_columns(spark):
+    names = ["doc_id", "text", "_gone", "_key", "_row", "s", "root", "n"]
+    df = spark.createDataFrame([(i, "a b c d e f", i, i, i, i, i, i) for i in range(3)], ", ".join(f"{c} {'string' if c == 'text' else 'long'}" for c in names))
+    assert [tuple(r) for r in jaccard.representatives(df).collect()] == [(0, "a b c d e f", 0, 0, 0, 0, 0, 0)]
+
+
 def test_jaccard_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.join(df).count() == 0

@@ -313,11 +313,11 @@ def _mixed(rows: DataFrame, key: list[str], *more) -> DataFrame:
 def _pivots(prefixes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of groups that hold several components, and each set measured against the pivots of its large groups.
 
-    A group of over ``FEW`` sets has a pivot ``h``, its set with the smallest share of shingles of its own. The
+    A group of over ``FEW`` sets has a pivot ``h``, its set with the most shingles that others have too. The
     second table has, for a set and each of its pivots, ``x`` (the shingles they share), both sizes, and
     ``rest``: the set's shingles that the pivot lacks, in the order of their hashes, as many as a prefix needs.
     """
-    first = F.min(F.struct((F.col("own") / F.col("n")).alias("o"), F.xxhash64("s").alias("k"), "s"))
+    first = F.min(F.struct((F.col("own") - F.col("n")).alias("o"), F.xxhash64("s").alias("k"), "s"))
     groups = _mixed(prefixes, ["band", "token"], F.count("*").alias("f"), F.min("n").alias("low"), first.alias("p"))
     groups = groups.select("band", "token", "low", F.when(F.col("f") > FEW, F.col("p.s")).alias("h"))
     rows = materialize(prefixes.join(groups, ["band", "token"]), "prefixes-mixed")
@@ -362,12 +362,18 @@ def _cross(rows: DataFrame, pivots: DataFrame, roots: DataFrame | None) -> DataF
     counted = met.groupBy("band", "a", "b").agg(F.count("*").alias("c"), F.min(least).alias("l"), F.min(need).alias("need"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     enough = counted.where((F.col("c") >= F.col("l")) & (F.col("need") <= F.col("c") + F.least(behind("a"), behind("b"))) & (F.col("need") <= F.col("c") + behind("a")) & (F.col("need") <= F.col("c") + behind("b")))
     # The shingles that the pivot lacks.
-    rest = _rooted(pivots, roots).select("h", F.explode("rest").alias("token"), "s", "n", "x", "root")
+    rest = _rooted(pivots, roots).select("h", F.explode("rest").alias("token"), "s", "n", "x", "root", F.size("rest").alias("size"))
     rest = rest.join(_mixed(rest, ["h", "token"]), ["h", "token"])
-    side = lambda k: ["h", "token", F.col("s").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "x", "root")]]
-    apart = smaller & (F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b") & (need > F.least("x_a", "x_b"))
-    met = rest.select(*side("a")).join(rest.select(*side("b")), ["h", "token"]).where(apart)
-    more = met.groupBy("h", "a", "b").agg(F.count("*").alias("c"), F.min(F.least(F.lit(MOST_MATCHES), need - F.least("x_a", "x_b"))).alias("l")).where("c >= l")
+    own = Window.partitionBy("h", "s")
+    rest = rest.withColumn("at", F.row_number().over(own.orderBy("token")) - 1)
+    rest = materialize(rest.withColumn("r", F.col("n") - F.col("x") - F.col("size") + F.count("*").over(own)), "pivots-rest")
+    side = lambda k: ["h", "token", F.col("s").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "x", "root", "at", "r")]]
+    most = need - F.least("x_a", "x_b")
+    apart = smaller & (F.col("root_a") != F.col("root_b")) & _alike("n_a", "n_b") & (most > 0)
+    behind = F.least(F.col("r_a") - F.col("at_a"), F.col("r_b") - F.col("at_b")) - 1
+    met = rest.select(*side("a")).join(rest.select(*side("b")), ["h", "token"]).where(apart & (most <= 1 + F.least("at_a", "at_b") + behind))
+    more = met.groupBy("h", "a", "b").agg(F.count("*").alias("c"), F.min(most).alias("need"), F.min(behind).alias("behind"))
+    more = more.where((F.col("c") >= F.least(F.lit(MOST_MATCHES), "need")) & (F.col("need") <= F.col("c") + F.col("behind")))
     pairs = enough.select("a", "b").unionByName(more.select("a", "b"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -47,12 +47,17 @@ class BpeModel:
     general: str
 
 
+def _characters(upto: int) -> Iterator[str]:
+    """All characters below ``upto``, some thousands at a time."""
+    for start in range(0, upto, 1 << 14):
+        yield "".join(chr(c) for c in range(start, min(upto, start + (1 << 14))) if not 0xD800 <= c < 0xE000)
+
+
 def _alphabet(pattern: str, upto: int) -> set[str]:
     """The characters that a class of the tokenizer library's own regex engine takes (its Unicode version counts)."""
     byte = {bytes([i]): i for i in range(256)}
     probe = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=byte, special_tokens={})
-    every = "".join(chr(c) for c in range(upto) if not 0xD800 <= c < 0xE000)
-    return set(probe.decode(probe.encode_ordinary(every)))
+    return {c for part in _characters(upto) for c in probe.decode(probe.encode_ordinary(part))}
 
 
 def _ranges(chars: set[str]) -> str:
@@ -71,10 +76,9 @@ def split_patterns() -> tuple[str, str]:
     shape = "'(?:[stmd]|re|ve|ll)| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
     kinds = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s"}
     latin = {k: "".join(f"\\x{ord(c):02x}" for c in sorted(_alphabet(p, 256))) for k, p in kinds.items()}
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     general = {}
     for k, p in kinds.items():
-        theirs, ours = _alphabet(p, 0x110000), set(regex.findall(p, every))
+        theirs, ours = _alphabet(p, 0x110000), {c for part in _characters(0x110000) for c in regex.findall(p, part)}
         general[k] = f"[{p}" + (f"--[{_ranges(ours - theirs)}]" if ours - theirs else "") + "]"
         if theirs - ours:
             general[k] = f"[{general[k]}||[{_ranges(theirs - ours)}]]"

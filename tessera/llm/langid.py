@@ -11,7 +11,8 @@ The classifier is fitted on a bounded sample (``SAMPLE_PER_LANG`` documents of e
 ids hash lowest, ``SAMPLE_IN_ALL`` at most); prediction covers every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and rejected; with no labelled
-row at all every text is ``und``; repeated rows give repeated rows; other columns are kept by ``filter_known``.
+row at all every text is ``und``; repeated rows give repeated rows; other columns are kept, but for those that
+``predict`` gives new values (``lang_pred``, ``score``, ``rejected``), and all by ``filter_known``.
 """
 
 from __future__ import annotations
@@ -74,8 +75,7 @@ class Model:
         if counts is None or not len(self.langs):
             return "und", 0.0, True
         at = np.flatnonzero(counts)
-        v = np.log1p(counts[at]).astype(np.float32) * self.idf[at]
-        near = self.centroids[:, at] @ (v / max(float(np.sqrt(v @ v)), 1e-12))
+        near = self.centroids[:, at] @ _weighed((at, counts[at]), self.idf)
         best = int(near.argmax())
         cosine = min(1.0, max(0.0, float(near[best])))
         limit = self.least if self.limits is None else max(self.least, float(self.limits[best, len(at).bit_length()]))
@@ -97,22 +97,28 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _limits(names: np.ndarray, counts: np.ndarray, idf: np.ndarray, centroids: np.ndarray, of: list[str]) -> np.ndarray:
+Counted = tuple[np.ndarray, np.ndarray]  # the n-grams that a text has, and how often
+
+
+def _weighed(row: Counted, idf: np.ndarray) -> np.ndarray:
+    v = np.log1p(row[1]).astype(np.float32) * idf[row[0]]
+    return v / max(float(np.sqrt(v @ v)), 1e-12)
+
+
+def _limits(rows: dict[str, list[Counted]], idf: np.ndarray, centroids: np.ndarray, of: list[str]) -> np.ndarray:
     """For each centroid and size, the limit of its language; sizes without enough documents have that of the next smaller one."""
     out = np.zeros((len(of), FEATURES.bit_length() + 1))
     owner, rng = np.array(of), np.random.default_rng(7)
-    for lang in sorted(set(of)):
+    for lang in sorted(rows):
         own = np.ascontiguousarray(centroids[owner == lang])
         found: list[list[float]] = [[] for _ in range(out.shape[1])]
-        for row in np.flatnonzero(names == lang):
-            whole = np.flatnonzero(counts[row])
-            much, seen = counts[row, whole].astype(np.int64), set()
+        for at, much in rows[lang]:
+            whole, much, seen = at, much.astype(np.int64), set()
             while len(whole) >= LEAST_SIZE:
                 size = len(whole).bit_length()
                 if size not in seen:
                     seen.add(size)
-                    v = np.log1p(much).astype(np.float32) * idf[whole]
-                    found[size].append(float((own[:, whole] @ (v / max(float(np.sqrt(v @ v)), 1e-12))).max()))
+                    found[size].append(float((own[:, whole] @ _weighed((whole, much), idf)).max()))
                 much = rng.binomial(much, 0.5)
                 whole, much = whole[much > 0], much[much > 0]
         limit = 0.0
@@ -123,18 +129,24 @@ def _limits(names: np.ndarray, counts: np.ndarray, idf: np.ndarray, centroids: n
     return out
 
 
-def fit_counts(langs: list[str], counts: np.ndarray) -> Model:
-    """Fit on n-gram counts, a row for each labelled document."""
+def fit_counts(langs: list[str], counts: list[Counted]) -> Model:
+    """Fit on n-gram counts, those of each labelled document. Only one language's vectors are held whole at a time."""
     if not len(langs):
         return Model(np.ones(FEATURES, np.float32), np.zeros((0, FEATURES), np.float32), [])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = np.log1p(counts, dtype=np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    names = np.array(langs)
-    found = [(lang, _kmeans(x[names == lang], CENTROIDS)) for lang in sorted(set(langs))]
+    many = np.zeros(FEATURES, np.int64)
+    rows: dict[str, list[Counted]] = {}
+    for lang, row in zip(langs, counts, strict=True):
+        many[row[0]] += 1
+        rows.setdefault(lang, []).append(row)
+    idf = np.log((1 + len(counts)) / (1 + many)).astype(np.float32) + 1
+    found = []
+    for lang in sorted(rows):
+        x = np.zeros((len(rows[lang]), FEATURES), np.float32)
+        for i, row in enumerate(rows[lang]):
+            x[i, row[0]] = _weighed(row, idf)
+        found.append((lang, _kmeans(x, CENTROIDS)))
     centroids, of = np.concatenate([c for _, c in found]), [lang for lang, c in found for _ in c]
-    return Model(idf, centroids, of, limits=_limits(names, counts, idf, centroids, of))
+    return Model(idf, centroids, of, limits=_limits(rows, idf, centroids, of))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_COSINE) -> Model:
@@ -142,7 +154,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(SAMPLE_IN_ALL).collect()}
     if not sizes:
-        return fit_counts([], np.zeros((0, FEATURES)))
+        return fit_counts([], [])
     most = max(1, min(SAMPLE_PER_LANG, SAMPLE_IN_ALL // len(sizes)))
     # Only ids that hash low are ranked at all, about twice as many as are wanted.
     order = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).cast("string"))
@@ -163,10 +175,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     made = map_arrow(low, count, "lang string, _order long, at binary, much binary").where("at is not null")
     ranked = made.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "at")))
-    sample = ranked.where(F.col("_rank") <= most).orderBy("lang", "_rank").collect()
-    counts = np.zeros((len(sample), FEATURES), np.uint32)
-    for i, r in enumerate(sample):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["much"], "<u4")
+    sample = ranked.where(F.col("_rank") <= most).orderBy("lang", "_rank").select("lang", "at", "much").collect()
+    counts = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["much"], "<u4")) for r in sample]
     model = fit_counts([r["lang"] for r in sample], counts)
     return Model(model.idf, model.centroids, model.langs, least, model.limits)
 

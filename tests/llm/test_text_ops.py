@@ -1,5 +1,6 @@
 """BPE, mixing, language ID, quality: against other implementations, brute force and held-out accuracy."""
 
+import hashlib
 import random
 
 import duckdb
@@ -100,6 +101,15 @@ def test_mixing_follows_the_schedule(spark):
     assert early("a") == pytest.approx(0.625, abs=0.01) and early("b") == pytest.approx(0.5, abs=0.01) and early("c") == pytest.approx(0.3, abs=0.01)
 
 
+def test_training_order_by_position_and_with_clashing_columns(spark):
+    names = ["doc_id", "source", "text", "_hash", "_size", "_part", "_id", "_at", "_rest", "_positions"]
+    rows = [(i, "abc"[i % 3], "w " * (1 + i % 7) if i % 11 else None, *[f"{i}{c}" for c in names[3:]]) for i in range(200)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    placed = sorted((p, hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]) for r in mixing.mix(df).collect() for p in r["positions"])
+    got = [tuple(r) for r in mixing.training_order(df).collect()]
+    assert [r[0] for r in got] == [i for _, _, i in placed] and set(got) <= set(rows)
+
+
 def test_mixing_odd_rows_and_sql(spark):
     df = odd_rows(spark)
     assert mixing.mix(df).count() == 9 and mixing.mix(df.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
 A line goes if an earlier line of the corpus (by document id, then line number) is equal, or is within one
-edit of it: one character inserted, deleted or replaced. Lines are judged on the input, not on what is left.
-A pair counts as near only if its shorter line has ``MIN_NEAR`` characters; shorter lines go only if equal.
+edit of it: one character inserted, deleted or replaced. Lines are judged on the input, not on what is left, and
+the bound is one edit for lines of every length.
 
 Variants are hashed keys. Lines of equal length that differ in character i agree in the line without
 character i; a line that has one character more than another agrees, without it, with the other. So
@@ -18,7 +18,7 @@ costs n ** 1.5 and not n ** 2.
 
 Defined results: null text stays null and has no lines; blank lines always stay; rows that agree in id and
 text are one document; a null id comes before all others; other columns are kept by ``dedup``. Lines are
-told apart by 128 bits of hash.
+told apart by 128 bits of hash, and so are variants, so a key's earliest line is a partner of every line under it.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, reader
 
-MIN_NEAR = 20
 #: Rows that may be broadcast (as long, 8 bytes each); beyond, joins shuffle.
 MOST_BROADCAST = 500_000
 
@@ -49,7 +48,7 @@ def _blank(line: Column) -> Column:
 
 def _segment_keys(lines: DataFrame, size: Column) -> DataFrame:
     """A row for each segment that may hold an edit, in both roles (``_m`` is the shorter line's length): ``_key`` of the rest."""
-    roles = lines.withColumn("_m", F.explode(F.array(F.col("_n"), F.col("_n") - 1))).where(F.col("_m") >= MIN_NEAR)
+    roles = lines.withColumn("_m", F.explode(F.array(F.col("_n"), F.col("_n") - 1))).where(F.col("_m") >= 1)
     cut = roles.withColumn("_size", size.cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_m") / F.col("_size")).cast("int") - 1)))
     before = F.col("_line").substr(F.lit(1), F.col("_j") * F.col("_size"))
     after = F.right("_line", F.greatest(F.lit(0), F.col("_m") - (F.col("_j") + 1) * F.col("_size")))
@@ -86,18 +85,19 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     at = cut.withColumn("_i", F.explode(F.sequence(F.col("_j") * F.col("_size"), last)))
     without = F.concat(F.col("_line").substr(F.lit(1), F.col("_i")), F.col("_line").substr(F.col("_i") + 2, F.col("_n")))
     kept = ["_h", "_g", "_first"]
-    made = at.select(*kept, longer.alias("_longer"), F.when(longer, F.xxhash64(F.lit(2), without)).otherwise(F.xxhash64(F.lit(1), F.col("_i"), without)).alias("_key"))
-    whole = cut.where(~longer).select(*kept, F.lit(None).cast("boolean").alias("_longer"), F.xxhash64(F.lit(2), F.col("_line")).alias("_key"))
+    hashes = lambda f: [f(0).alias("_key"), f(4).alias("_key2")]
+    made = at.select(*kept, longer.alias("_longer"), *hashes(lambda k: F.when(longer, F.xxhash64(F.lit(2 + k), without)).otherwise(F.xxhash64(F.lit(1 + k), F.col("_i"), without))))
+    whole = cut.where(~longer).select(*kept, F.lit(None).cast("boolean").alias("_longer"), *hashes(lambda k: F.xxhash64(F.lit(2 + k), F.col("_line"))))
     variants = materialize(made.unionByName(whole), "line-variants")
-    # Most variants are one line's alone; two longs of each are enough to tell.
+    # Most variants are one line's alone; half of their hash is enough to tell.
     variants = variants.join(_bounded(materialize(_shared(variants), "variants-shared")), "_key", "left_semi")
     # Roles under a key: same (false), longer (true), whole (null). The partner of "same" is "same", of the others each other.
     place = F.struct("_first", "_h", "_g")
-    best = variants.groupBy("_key").agg(
+    best = variants.groupBy("_key", "_key2").agg(
         F.min(F.when(~F.col("_longer"), place)).alias("_same"), F.min(F.when(F.col("_longer"), place)).alias("_long"), F.min(F.when(F.col("_longer").isNull(), place)).alias("_whole")
     )
     partner = F.when(F.col("_longer").isNull(), F.col("_long")).when(F.col("_longer"), F.col("_whole")).otherwise(F.col("_same"))
-    found = variants.join(best, "_key").select("_h", "_g", "_first", partner.alias("_p")).where(F.col("_p").isNotNull() & (F.col("_p._first") < F.col("_first")))
+    found = variants.join(best, ["_key", "_key2"]).select("_h", "_g", "_first", partner.alias("_p")).where(F.col("_p").isNotNull() & (F.col("_p._first") < F.col("_first")))
     found = found.groupBy("_h", "_g").agg(F.min("_p").alias("_p")).select("_h", "_g", F.col("_p._first").alias("_near"), F.col("_p._h").alias("_ph"), F.col("_p._g").alias("_pg"))
     texts = some.select("_h", "_g", "_line")
     other = texts.select(F.col("_h").alias("_ph"), F.col("_g").alias("_pg"), F.col("_line").alias("_other"))
@@ -121,19 +121,19 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
     """``df`` with the lines that go taken out of its text; ``counts`` adds ``n_lines`` and ``n_removed`` longs."""
     gone = removed_lines(df, id_col, text_col).select(F.col("_id").alias("_gone_id"), F.col("_row").alias("_gone_row"), "_gone")
-    keyed = df.withColumn("_row", _row_key(id_col, text_col))
+    # The caller's columns travel in a struct, so that none can clash with ours.
+    keyed = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col], F.lit(0)).alias("_rest"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"), _row_key(id_col, text_col).alias("_row"))
     # By a shuffle at every size: the fates of all lines grow with the corpus.
-    joined = keyed.join(gone.hint("merge"), (F.col("_row") == F.col("_gone_row")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
-    pairs = F.arrays_zip(F.split(F.col(text_col), "\n", -1).alias("line"), F.col("_gone").alias("gone"))
+    joined = keyed.join(gone.hint("merge"), (F.col("_row") == F.col("_gone_row")) & F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
+    pairs = F.arrays_zip(F.split(F.col("_text"), "\n", -1).alias("line"), F.col("_gone").alias("gone"))
     stay = F.transform(F.filter(pairs, lambda x: ~x["gone"]), lambda x: x["line"])
-    out = joined.withColumn("_kept", F.array_join(stay, "\n"))
     names = [c for c in df.columns if not (counts and c in ("n_lines", "n_removed"))]
-    columns = [F.col("_kept").alias(c) if c == text_col else F.col(c) for c in names]
+    columns = [F.array_join(stay, "\n").alias(c) if c == text_col else F.col("_rest").getField(c).alias(c) for c in names]
     if counts:
         n = lambda x: F.coalesce(F.size(x), F.lit(0)).cast("long")
         columns += [F.when(F.col("_gone").isNull(), 0).otherwise(n(F.col("_gone"))).cast("long").alias("n_lines")]
         columns += [F.when(F.col("_gone").isNull(), 0).otherwise(n(F.filter("_gone", lambda x: x))).cast("long").alias("n_removed")]
-    return out.select(*columns)
+    return joined.select(*columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,28 +141,28 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-OP10_SQL = f"""
+OP10_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 marked AS (
   SELECT *, trim(translate(line, chr(9) || chr(13) || chr(11) || chr(12), '    ')) = '' AS blank FROM lines),
 firsts AS (
-  SELECT line, length(line) AS n, min({{'a': doc_id, 'b': no}}) AS first FROM marked WHERE NOT blank GROUP BY line),
+  SELECT line, length(line) AS n, min({'a': doc_id, 'b': no}) AS first FROM marked WHERE NOT blank GROUP BY line),
 cut AS (
   SELECT line, first, n, i, substr(line, 1, i) || substr(line, i + 2) AS rest
-  FROM (SELECT *, unnest(range(n)) AS i FROM firsts WHERE n >= {MIN_NEAR})),
+  FROM (SELECT *, unnest(range(n)) AS i FROM firsts)),
 same AS (
   SELECT line, min(first) OVER (PARTITION BY i, rest) AS near FROM cut),
 longer AS (
   SELECT c.line AS long_line, c.first AS long_first, f.line AS whole, f.first AS whole_first
-  FROM cut c JOIN firsts f ON f.line = c.rest AND f.n >= {MIN_NEAR}),
+  FROM cut c JOIN firsts f ON f.line = c.rest),
 bars AS (
   SELECT line, min(bar) AS bar FROM (
     SELECT line, first AS bar FROM firsts UNION ALL SELECT line, near FROM same
     UNION ALL SELECT long_line, whole_first FROM longer UNION ALL SELECT whole, long_first FROM longer) GROUP BY line),
 judged AS (
-  SELECT m.doc_id, m.no, m.line, NOT blank AND {{'a': doc_id, 'b': no}} > bar AS gone
+  SELECT m.doc_id, m.no, m.line, NOT blank AND {'a': doc_id, 'b': no} > bar AS gone
   FROM marked m LEFT JOIN bars b ON m.line = b.line)
 SELECT doc_id, count(*)::BIGINT AS n_lines, coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0)::BIGINT AS n_removed,
        sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY no), '')) AS kept_sha256

@@ -1,13 +1,15 @@
 """Suffix-array dedup: bytes in strings of at least ``LENGTH`` bytes that an earlier document holds too.
 
-1. Anchors: of any ``WINDOW`` neighbouring ``GRAM``-byte strings the one of least hash is an anchor, so two
-   equal strings of ``LENGTH`` bytes hold equal anchors at equal places. Buckets of hashes find the anchors
-   that several documents have.
-2. Each of those is sent, with the bytes around it that such a string can reach, to its shard. Of equal ones
-   in a blob of documents only the first document's goes; the others are covered by it there and then.
+1. Anchors: of any ``WINDOW`` neighbouring ``GRAM``-byte strings the first one of least hash is an anchor, so two
+   equal strings of ``LENGTH`` bytes have equal anchors at equal places. Buckets of hashes (40 bits beside the
+   bucket's; a chance match only brings a piece more) find the anchors that several documents have.
+2. Each of those is sent, with the strings whose anchor it is, to its shard. Of equal pieces in a blob of
+   documents only the first document's goes; the others are covered by it there and then.
 3. A shard joins its pieces of text, and sorts their suffixes by induced sorting: suffixes are classified,
    the leftmost smaller substrings are sorted by induction and named, their string is sorted recursively, and
-   everything else is induced from it, bucket by bucket in array operations. The permuted common prefixes of
+   everything else is induced from it, bucket by bucket in array operations. A string of more than ``MOST_NAMES``
+   names, where buckets are small, is sorted in array operations too, by doubling the length that ranks
+   stand for; as only ``LENGTH`` bytes count, a few times are enough. The permuted common prefixes of
    neighbours then give the runs of equal strings, whose bytes go in all documents but the first.
 4. Each document's covered bytes are joined into spans and cut out.
 
@@ -36,10 +38,13 @@ LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 BLOB_ANCHORS, BLOB_DOCS, BLOB_BYTES = 500_000, 60_000, 12 << 20
 MOST_BROADCAST = 500_000
+MOST_NAMES = 1024
 LATEST = (1 << 63) - 1
 _STEP = 1 << 20
 _U = np.uint64
 _BASE = 0xD1342543DE82EF95
+#: Room for a step's places below the hashes that they are told apart by.
+_PLACE = _U((1 << 21) - 1)
 _TEXT, _ANCHOR, _COVER = 0, 1, 2
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -54,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
-    """The least (or most) of every ``width`` neighbours."""
+    """The least of every ``width`` neighbours."""
     span = 1
     while 2 * span <= width:
         x = least(x[:-span], x[span:])
@@ -63,26 +68,30 @@ def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[:-rest], x[rest:]) if rest else x
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors, made in steps of bounded size."""
-    places, hashes = [], []
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's anchors, made in steps of bounded size: places, hashes, and the first and last start of a string whose anchor each is."""
+    found: list[tuple[np.ndarray, ...]] = []
     for start in range(0, max(0, len(text) - LENGTH + 1), _STEP):
         b = np.frombuffer(text[start : start + _STEP + LENGTH - 1], np.uint8)
-        if len(b) < LENGTH:
-            break
         up, down = _powers(_STEP + LENGTH)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + _U(1)) * up[: len(b)], dtype=np.uint64)])
         h = mix64((total[GRAM:] - total[:-GRAM]) * down[: len(b) - GRAM + 1])
-        least = _slide(h, WINDOW, np.minimum)
-        edge = np.zeros(WINDOW - 1, np.uint64)
-        chosen = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == h)
-        places.append(chosen + start)
-        hashes.append(h[chosen])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, h = np.concatenate(places), np.concatenate(hashes)
-    place, first = np.unique(place, return_index=True)  # steps overlap
-    return place, h[first]
+        # The first least of each window: by 43 bits of the hash, and then by place.
+        least = _slide(h & ~_PLACE | np.arange(len(h), dtype=np.uint64), WINDOW, np.minimum)
+        of = (least & _PLACE).astype(np.int64)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        place = of[first]
+        found.append((place + start, h[place], first + start, np.append(first[1:], len(of)) - 1 + start))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(np.uint64), none, none
+    if len(found) == 1:
+        return found[0]
+    place, h, first, last = map(np.concatenate, zip(*found, strict=True))
+    order = np.lexsort((first, place))  # an anchor may belong to two steps, and then to all starts between
+    place, h, first, last = place[order], h[order], first[order], last[order]
+    begins = np.flatnonzero(np.diff(place, prepend=-1))
+    return place[begins], h[begins], np.minimum.reduceat(first, begins), np.maximum.reduceat(last, begins)
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -150,49 +159,31 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, ends: np.ndarray)
     return sa
 
 
-def _induce_plain(s: list[int], small: list[bool], lms: list[int], sigma: int) -> list[int]:
-    """The same, suffix by suffix, for large alphabets."""
-    n = len(s)
-    counts = [0] * (sigma + 1)
-    for c in s:
-        counts[c + 1] += 1
-    for c in range(sigma):
-        counts[c + 1] += counts[c]
-    sa, tail = [-1] * n, counts[1:]
-    for i in reversed(lms):
-        tail[s[i]] -= 1
-        sa[tail[s[i]]] = i
-    head = counts[:-1]
-    for k in range(n):
-        i = sa[k] - 1
-        if i >= 0 and not small[i]:
-            sa[head[s[i]]] = i
-            head[s[i]] += 1
-    tail = counts[1:]
-    for k in range(n - 1, -1, -1):
-        i = sa[k] - 1
-        if i >= 0 and small[i]:
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
-    sa[0] = n - 1
-    return sa
+def _doubled(names: np.ndarray, reach: int) -> np.ndarray:
+    """Places in the order of what follows them, by the first ``reach`` names; those that tie in no particular order."""
+    rank, span = names.astype(np.int64), 1
+    while True:
+        behind = np.zeros(len(rank), np.int64)
+        behind[:-span] = rank[span:] + 1
+        key = rank * (int(rank.max()) + 2) + behind
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) != 0)
+        span *= 2
+        if span >= min(reach, len(rank)) or rank[order[-1]] + 1 == len(rank):
+            return order
 
 
-def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Of numbers below ``sigma``, the last of which is 0 and the only 0, by induced sorting."""
+def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
+    """Of numbers below ``sigma``, the last of which is 0 and the only 0, by induced sorting; in the order of the first ``depth`` at least."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
     small = _types(s)
     is_lms = np.concatenate([[False], small[1:] & ~small[:-1]])
     lms = np.flatnonzero(is_lms)
-    plain = sigma > 1024
-    if plain:
-        as_list, small_list = s.tolist(), small.tolist()
-        run = lambda order: np.array(_induce_plain(as_list, small_list, order.tolist(), sigma))
-    else:
-        ends = np.cumsum(np.bincount(s, minlength=sigma))
-        run = lambda order: _induce(s, small, order, ends)
+    ends = np.cumsum(np.bincount(s, minlength=sigma))
+    run = lambda order: _induce(s, small, order, ends)
     sa = run(lms)
     order = sa[is_lms[sa]]
     # Names of the substrings from one leftmost smaller place to the next, both included.
@@ -212,7 +203,8 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         reduced = np.empty(len(lms), np.int64)
         reduced[place[order]] = name
-        order = lms[suffix_array(reduced, int(name[-1]) + 1)]
+        names, reach = int(name[-1]) + 1, len(lms) if depth is None else -(-depth // 2)  # a name stands for two at least
+        order = lms[_doubled(reduced, reach) if names > MOST_NAMES else suffix_array(reduced, names, None if depth is None else reach)]
     return run(order)
 
 
@@ -249,7 +241,7 @@ def covered(pieces: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
     s = np.append(joined, 0)
     of = np.append(np.repeat(np.arange(len(pieces)), length + 1), -1)
     left = np.append(np.repeat(begin + length, length + 1), 0) - np.arange(len(s))  # bytes up to the piece's end
-    sa = suffix_array(s, 258)
+    sa = suffix_array(s, 258, LENGTH)
     long = common_prefixes(s, sa, LENGTH)[sa] >= LENGTH
     valid = left[sa] >= LENGTH
     run = np.cumsum(~(long & valid))
@@ -269,6 +261,32 @@ _TYPES = {"bucket": pa.int64(), "kind": pa.int32(), "blob": pa.int64(), "hashes"
 _FLAT = "bucket long, kind int, blob long, hashes binary, docs binary, places binary, ends binary, owners binary, text binary, id long, has_id boolean, size long, whole boolean"
 
 
+def _narrow(h: np.ndarray) -> bytes:
+    """40 bits of each hash, beside those that name the bucket."""
+    return np.ascontiguousarray((h >> _U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _widen(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def _short(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes as a bucket gives them back."""
+    return h >> _U(24) << _U(24) | h & _U(buckets - 1)
+
+
+def _tight(values: np.ndarray, dtype: str) -> bytes:
+    """Numbers that mostly rise a little, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.diff(values.astype(np.int64), prepend=0).astype(dtype).tobytes())
+
+
+def _loose(data: bytes, dtype: str) -> np.ndarray:
+    with zstandard.ZstdDecompressor().stream_reader(data) as f:
+        return np.cumsum(np.frombuffer(f.read(), dtype), dtype=np.int64)
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array([r.get(k) for r in rows], t) for k, t in _TYPES.items()})
 
@@ -292,7 +310,7 @@ def _deal(buckets: int):
             order = np.argsort(h & _U(buckets - 1), kind="stable")
             h, doc = h[order], doc[order]
             edges = np.searchsorted((h & _U(buckets - 1)).astype(np.int64), np.arange(buckets + 1))
-            yield _batch([{"bucket": k, "kind": _ANCHOR, "blob": blob, "hashes": h[a:b].tobytes(), "docs": doc[a:b].tobytes()} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
+            yield _batch([{"bucket": k, "kind": _ANCHOR, "blob": blob, "hashes": _narrow(h[a:b]), "docs": _tight(doc[a:b], "<i4")} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a])
 
         count = total = 0
         for batch in batches:
@@ -313,13 +331,11 @@ def _deal(buckets: int):
 
 
 def _several(table: pa.Table) -> pa.Table:
-    """A bucket's anchors that several documents have, back to their blobs; texts pass."""
-    if table.column("bucket")[0].as_py() < 0:
-        return table
-    rows = table.select(["blob", "hashes", "docs"]).to_pylist()
-    h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])
-    doc = np.concatenate([np.frombuffer(r["docs"], "<u2") for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r["docs"]) // 2 for r in rows])
+    """A bucket's anchors that several documents have, back to their blobs."""
+    rows = table.select(["bucket", "blob", "hashes", "docs"]).to_pylist()
+    h = np.concatenate([_widen(r["hashes"]) for r in rows])
+    doc = np.concatenate([_loose(r["docs"], "<i4") for r in rows])
+    of = np.repeat(np.arange(len(rows)), [len(r["hashes"]) // 5 for r in rows])
     order = np.argsort(h, kind="stable")
     t = h[order]
     first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -330,7 +346,7 @@ def _several(table: pa.Table) -> pa.Table:
     for k, r in enumerate(rows):
         a, b = edges[k], edges[k + 1]
         if b > a:
-            out.append({"bucket": -1 - r["blob"], "kind": _ANCHOR, "blob": r["blob"], "hashes": h[keep[a:b]].tobytes(), "docs": doc[keep[a:b]].tobytes()})
+            out.append({"bucket": -1 - r["blob"], "kind": _ANCHOR, "blob": r["blob"], "hashes": (h[keep[a:b]] << _U(24) | _U(r["bucket"])).tobytes(), "docs": _tight(doc[keep[a:b]], "<i4")})
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -343,48 +359,45 @@ def _pieces(buckets: int):
         if not rest:
             return pa.Table.from_batches([_batch([])])
         h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rest])
-        doc = np.concatenate([np.frombuffer(r["docs"], "<u2") for r in rest])
+        doc = np.concatenate([_loose(r["docs"], "<i4") for r in rest])
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
         unpack = zstandard.ZstdDecompressor()
         rows = table.filter(pa.array(kinds == _TEXT)).select(["blob", "docs", "text", "id", "size"]).to_pylist()
-        blob = rows[0]["blob"]
-        seen: dict[bytes, tuple[int, list[tuple[int, int, int]]]] = {}  # a piece's smallest owner and its places
+        blob = table.column("blob")[0].as_py()
+        seen: dict[bytes, tuple[int, int, list[tuple[int, int]]]] = {}  # a piece's smallest owner, its bucket and its places
         cover: list[tuple[int, int, int]] = []
-        reach = LENGTH - GRAM
         for r in sorted(rows, key=lambda r: r["id"]):
-            at = int.from_bytes(r["docs"], "little")
+            at, owner = int.from_bytes(r["docs"], "little"), r["id"]
             a, b = np.searchsorted(doc, [at, at + 1])
             if a == b:
                 continue
             text = unpack.decompress(r["text"], max_output_size=r["size"])
-            place, hashes = anchors(text)
+            _, hashes, first, last = anchors(text)
+            hashes = _short(hashes, buckets)
             mine = np.isin(hashes, h[a:b])
-            for p, anchor in zip(place[mine].tolist(), hashes[mine].tolist(), strict=True):
-                start = max(0, p - reach)
-                piece = text[start : p + LENGTH]
-                if len(piece) < LENGTH:
-                    continue
+            for start, end, bucket in zip(first[mine].tolist(), (last[mine] + LENGTH).tolist(), (hashes[mine] & _U(buckets - 1)).tolist(), strict=True):
+                piece = text[start:end]
                 found = seen.get(piece)
                 if found is None:
-                    seen[piece] = (r["id"], [(at, start, anchor)])
-                elif found[0] == r["id"]:
-                    found[1].append((at, start, anchor))
+                    seen[piece] = (owner, bucket, [(at, start)])
+                elif found[0] == owner:
+                    found[2].append((at, start))
                 else:  # ids come in order, so that one is smaller
-                    cover.append((at, start, len(piece)))
+                    cover.append((at, start, end - start))
         out = []
         if cover:
             c = np.array(cover, np.int64)
             out.append({"bucket": -1 - blob, "kind": _COVER, "blob": blob, "docs": c[:, 0].astype("<u2").tobytes(), "places": c[:, 1].astype("<i8").tobytes(), "ends": (c[:, 1] + c[:, 2]).astype("<i8").tobytes()})
         by: dict[int, list] = {}
-        for piece, (owner, where) in seen.items():
-            for at, start, anchor in where:
-                by.setdefault(anchor & (buckets - 1), []).append((at, start, owner, piece))
+        for piece, (owner, bucket, where) in seen.items():
+            by.setdefault(bucket, []).append((piece, owner, where))
         pack = zstandard.ZstdCompressor(level=3)
         for k, items in by.items():
+            places = np.array([w for i in items for w in i[2]], np.int64)
             out.append({
-                "bucket": k, "kind": _ANCHOR, "blob": blob, "docs": np.array([i[0] for i in items], "<u2").tobytes(), "places": np.array([i[1] for i in items], "<i8").tobytes(),
-                "owners": np.array([i[2] for i in items], "<i8").tobytes(), "hashes": np.array([len(i[3]) for i in items], "<u2").tobytes(), "text": pack.compress(b"".join(i[3] for i in items)), "size": sum(len(i[3]) for i in items),
+                "bucket": k, "kind": _ANCHOR, "blob": blob, "docs": _tight(places[:, 0], "<i4"), "places": _tight(places[:, 1], "<i8"), "ends": _tight(np.array([len(i[2]) for i in items]), "<i4"),
+                "owners": np.array([i[1] for i in items], "<i8").tobytes(), "hashes": np.array([len(i[0]) for i in items], "<u2").tobytes(), "text": pack.compress(b"".join(i[0] for i in items)), "size": sum(len(i[0]) for i in items),
             })
         return pa.Table.from_batches([_batch(out)])
 
@@ -395,32 +408,36 @@ def _shard(table: pa.Table) -> pa.Table:
     """A shard's pieces to the places that are covered, by blob; rows that are that already pass."""
     if table.column("bucket")[0].as_py() < 0:
         return table
-    rows = table.select(["blob", "docs", "places", "owners", "hashes", "text", "size"]).to_pylist()
+    rows = table.select(["blob", "docs", "places", "ends", "owners", "hashes", "text", "size"]).to_pylist()
     unpack = zstandard.ZstdDecompressor()
     distinct: dict[bytes, int] = {}
     owners: list[int] = []
-    items: list[tuple[int, int, int, int, int]] = []  # row, document, place, owner, piece
+    items: list[tuple[int, int, int, int, int]] = []  # row, its first and last place, owner, piece
+    docs, places = [_loose(r["docs"], "<i4") for r in rows], [_loose(r["places"], "<i8") for r in rows]
     for k, r in enumerate(rows):
-        data, at = unpack.decompress(r["text"], max_output_size=r["size"]), 0
-        for doc, place, owner, size in zip(np.frombuffer(r["docs"], "<u2").tolist(), np.frombuffer(r["places"], "<i8").tolist(), np.frombuffer(r["owners"], "<i8").tolist(), np.frombuffer(r["hashes"], "<u2").tolist(), strict=True):
+        data, at, done = unpack.decompress(r["text"], max_output_size=r["size"]), 0, 0
+        for many, owner, size in zip(_loose(r["ends"], "<i4").tolist(), np.frombuffer(r["owners"], "<i8").tolist(), np.frombuffer(r["hashes"], "<u2").tolist(), strict=True):
             piece = data[at : at + size]
             at += size
             n = distinct.setdefault(piece, len(distinct))
             if n == len(owners):
                 owners.append(owner)
             owners[n] = min(owners[n], owner)
-            items.append((k, doc, place, owner, n))
+            items.append((k, done, done + many, owner, n))
+            done += many
     pieces = list(distinct)
     hits = covered(pieces, np.array(owners, np.int64))
     cover: dict[int, list[tuple[int, int, int]]] = {}
-    for k, doc, place, owner, n in items:
+    for k, begin, end, owner, n in items:
         if owner > owners[n]:
-            cover.setdefault(k, []).append((doc, place, place + len(pieces[n])))
+            spans = [(0, len(pieces[n]))]
         elif len(hits[n]):
-            start = hits[n]
-            breaks = np.flatnonzero(np.diff(start) > LENGTH) + 1
-            for part in np.split(start, breaks):
-                cover.setdefault(k, []).append((doc, place + int(part[0]), place + int(part[-1]) + LENGTH))
+            breaks = np.flatnonzero(np.diff(hits[n]) > LENGTH) + 1
+            spans = [(int(x[0]), int(x[-1]) + LENGTH) for x in np.split(hits[n], breaks)]
+        else:
+            continue
+        where = zip(docs[k][begin:end].tolist(), places[k][begin:end].tolist(), strict=True)
+        cover.setdefault(k, []).extend((doc, place + a, place + b) for doc, place in where for a, b in spans)
     out = []
     for k, found in cover.items():
         c = np.array(found, np.int64)
@@ -465,12 +482,15 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     firsts = materialize(firsts, "equal-texts")
     firsts = F.broadcast(firsts) if firsts.count() <= MOST_BROADCAST else firsts
     marked = keyed.join(firsts, ["h", "g"], "left").select("id", "text", F.coalesce(owner > F.col("first"), F.lit(False)).alias("copy"))
-    found = materialize(group_arrow(map_arrow(marked, _deal(buckets), _FLAT), "bucket", _several, _FLAT), "anchors")
+    dealt = materialize(map_arrow(marked, _deal(buckets), _FLAT), "texts-anchors")
+    texts = dealt.where(F.col("kind") == _TEXT)
+    several = materialize(group_arrow(dealt.where(F.col("kind") == _ANCHOR), "bucket", _several, _FLAT), "anchors")
     release(spark)
+    found = texts.where(~F.col("whole")).unionByName(several)
     cover = group_arrow(group_arrow(found, "bucket", _pieces(buckets), _FLAT), "bucket", _shard, _FLAT)
     cover = materialize(cover, "covered")
     release(spark)
-    sides = found.where(F.col("kind") == _TEXT).unionByName(cover)
+    sides = texts.unionByName(cover)
     return group_arrow(sides, "bucket", _cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -257,7 +257,9 @@ def test_line_dedup_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_suffix_array():
+@pytest.mark.parametrize("most", [1024, 2])
+def test_suffix_array(monkeypatch, most):
+    monkeypatch.setattr(suffix, "MOST_NAMES", most)  # beyond, ranks are doubled
     rng = random.Random(2)
     for k in range(120):
         s = [rng.randint(1, 1 + k % 6) for _ in range(rng.randint(1, 120))]
@@ -265,6 +267,9 @@ def test_suffix_array():
         want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
         for sigma in (8, 2000):
             assert suffix.suffix_array(s, sigma).tolist() == want
+        for depth in (1, 4, 9):
+            cut = [s[i : i + depth].tolist() for i in suffix.suffix_array(s, 8, depth)]
+            assert cut == sorted(cut) and len(cut) == len(s)
         got = suffix.common_prefixes(s, np.array(want), 20)
         for i, j in zip(want[1:], want, strict=False):
             n = 0
@@ -276,13 +281,17 @@ def test_suffix_array():
 def test_every_long_string_holds_equal_anchors(monkeypatch):
     rng = random.Random(6)
     text = bytes(rng.choice(b"ab c") for _ in range(3000)) + b"z" * 200
-    place, h = suffix.anchors(text)
-    at = dict(zip(place.tolist(), h.tolist(), strict=True))
-    for i in range(len(text) - suffix.LENGTH + 1):
-        assert any(p in at for p in range(i, i + suffix.WINDOW))
+    found = suffix.anchors(text)
+    at: dict[bytes, tuple[int, int]] = {}
+    for p, h, first, last in zip(*map(np.ndarray.tolist, found), strict=True):
+        for i in range(first, last + 1):
+            assert i <= p <= i + suffix.LENGTH - suffix.GRAM
+            assert at.setdefault((i, text[i : i + suffix.LENGTH]), (p - i, h)) == (p - i, h)
+    assert sorted(i for i, _ in at) == list(range(len(text) - suffix.LENGTH + 1))
+    by_string: dict[bytes, tuple[int, int]] = {}
+    assert all(by_string.setdefault(string, x) == x for (_, string), x in at.items())
     monkeypatch.setattr(suffix, "_STEP", 300)
-    again = suffix.anchors(text)
-    assert np.array_equal(again[0], place) and np.array_equal(again[1], h)
+    assert all(map(np.array_equal, suffix.anchors(text), found))
 
 
 def suffix_brute(rows):
@@ -315,3 +324,15 @@ def test_suffix_dedup(spark):
     got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.dedup(df).collect()]
     assert sorted(got) == suffix_brute(rows)
     assert suffix.dedup(df.limit(0)).count() == 0
+
+
+def test_suffix_dedup_of_long_runs_and_a_passage_in_all(spark):
+    """A text of one letter, and an anchor that all documents have with different surroundings."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = text(55)
+    rows = [(i, text(rng.randint(0, 60)) + passage[rng.randint(0, 8) :] + text(40)) for i in range(300)]
+    rows += [(400, "z" * 20_000), (401, text(30) + "z" * 300 + text(30)), (402, "ab" * 3000), (403, "ba" * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(str(r["id"]), r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.dedup(df).collect()]
+    assert sorted(got) == suffix_brute(rows)

@@ -6,9 +6,12 @@ a cell. A query takes the cells in the order of the sum of its halves' inner pro
 calibration asks for, and reranks what is in them by the inner product of the whole vectors.
 
 Codebooks and calibration come from a bounded sample (``SAMPLE`` vectors, those whose ids hash lowest; the share
-is what ``RECALL`` of the sample's own neighbours need, with a margin). Every vector is indexed. Cells are
-packed into blocks of about ``BLOCK`` vectors, and a cell that holds more is cut by a hash of the id; queries
-come in blocks too, and a block of each meets in one task.
+is what ``RECALL`` of the sample's own neighbours need, with a margin; as many neighbours of a vector count as
+are likely to be among its ``k`` in the whole table, one at least). Every vector is indexed. Cells are
+packed into blocks of about ``BLOCK`` vectors, and a cell that holds more is cut by a hash of the id. Queries
+come in blocks too, of neighbouring cells. A block of each meets in one task if one of the queries visits
+one of the cells, and only the pairs of a query and a cell that it visits are scored there. So what is shuffled
+and scored follows the share, which the data decide: vectors without clusters need a large one.
 
 Defined results: a vector that is null, zero, of another length than most, or has a component that is null
 or not finite takes no part, nor does a row without an id; of equal nearness, the smaller id comes first; rows
@@ -31,9 +34,11 @@ from ..plans.ship import ship
 from .common import map_arrow, materialize, reader
 
 SAMPLE, SAMPLE_QUERIES = 12_000, 400
-MOST_WORDS = 256
-RECALL, MARGIN = 0.95, 1.15
-BLOCK, QUERY_BLOCK = 4096, 2048
+MOST_WORDS = 1024
+#: Vectors in a cell, as long as there are fewer words than that.
+IN_CELL = 8
+RECALL, MARGIN = 0.95, 1.1
+BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 @dataclass(frozen=True)
@@ -88,7 +93,7 @@ def _codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def train(sample: np.ndarray, total: int, k: int) -> Index:
     """Fit codebooks for ``total`` vectors on a sample, and the share that ``k`` neighbours need."""
-    words = int(min(MOST_WORDS, max(2, round((total / 64) ** 0.5)), len(sample)))
+    words = int(min(MOST_WORDS, max(2, round((total / IN_CELL) ** 0.5)), len(sample)))
     half = sample.shape[1] // 2
     index = Index(_codebook(sample[:, :half], words), _codebook(sample[:, half:], words), 1.0)
     if len(sample) <= 4 * k:
@@ -96,7 +101,7 @@ def train(sample: np.ndarray, total: int, k: int) -> Index:
     cells = index.cells(sample)
     sizes = np.bincount(cells, minlength=len(index.first) * len(index.second))
     index = Index(index.first, index.second, 1.0, sizes)
-    need = []
+    need, k = [], max(1, round(k * len(sample) / total))
     for i in np.linspace(0, len(sample) - 1, min(SAMPLE_QUERIES, len(sample))).astype(int):
         score = sample @ sample[i]
         score[i] = -np.inf
@@ -144,32 +149,44 @@ def build(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embe
     sizes = np.zeros(len(index.first) * len(index.second), np.int64)  # at most MOST_WORDS ** 2 cells
     for r in table.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
-    block, cuts, at, room = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // BLOCK)), 0, BLOCK
-    for c in range(len(sizes)):
+    return table, Index(index.first, index.second, index.share, sizes, *_blocks(sizes, BLOCK))
+
+
+def _blocks(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each cell's first block, and into how many it is cut; neighbouring cells share a block of ``most`` rows."""
+    block, cuts, at, room = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most)), 0, most
+    for c in np.flatnonzero(sizes):
         if cuts[c] > 1:
-            at, room = at + (room < BLOCK), BLOCK
+            at, room = at + (room < most), most
             block[c] = at
             at += int(cuts[c])
         else:
             if sizes[c] > room:
-                at, room = at + 1, BLOCK
+                at, room = at + 1, most
             block[c] = at
             room -= int(sizes[c])
-    return table, Index(index.first, index.second, index.share, sizes, block, cuts)
+    return block, cuts
 
 
 def _best(q: np.ndarray, qid: np.ndarray, visited: list[np.ndarray], v: np.ndarray, vid: np.ndarray, cell: np.ndarray, k: int) -> tuple[list, list, list]:
     """The k nearest of a block's vectors for each query, among the cells that it visits."""
-    rough = q @ v.T
+    order = np.argsort(cell, kind="stable")
+    v, vid, cell = v[order], vid[order], cell[order]
+    # Cell by cell, the queries that visit it.
+    of, asked = np.repeat(np.arange(len(q)), [len(x) for x in visited]), np.concatenate(visited)
+    by_cell = np.argsort(asked, kind="stable")
+    of, asked = of[by_cell], asked[by_cell]
+    rough = np.full((len(q), len(v)), -np.inf)
+    edges = np.append(np.flatnonzero(np.diff(asked, prepend=-1)), len(asked))
+    for begin, end in zip(edges, edges[1:], strict=False):
+        a, b = np.searchsorted(cell, [asked[begin], asked[begin] + 1])
+        rough[of[begin:end], a:b] = q[of[begin:end]] @ v[a:b].T
     ids, found, scores = [], [], []
     for i in range(len(q)):
-        ok = np.isin(cell, visited[i]) & (vid != qid[i])
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        row = rough[i, at]
-        if len(at) > k:
-            at = at[row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9 * max(1.0, float(np.abs(row).max()))]
+        row = rough[i]
+        row[vid == qid[i]] = -np.inf
+        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+        at = np.flatnonzero((row >= least - 1e-9 * max(1.0, abs(least))) & (row > -np.inf) if least > -np.inf else row > -np.inf)
         exact = (v[at] * q[i]).sum(1)  # the same sum for equal vectors, wherever they stand
         order = np.lexsort((vid[at], -exact))[:k]
         ids += [int(qid[i])] * len(order)
@@ -186,14 +203,26 @@ def search(table: DataFrame, index: Index | None, queries: DataFrame, k: int) ->
     ship(spark)
     held = spark.sparkContext.broadcast(index)
     one = queries.groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-one.count() // QUERY_BLOCK))
-    one = one.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     least = max(k + 1, int(np.ceil(index.share * index.sizes.sum())))
 
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.cells(_rows(batch.column("v"))), pa.int32())], names=["id", "v", "cell"])
+
+    one = materialize(map_arrow(one, assign, "id long, v array<double>, cell int"), "queries")
+    many = np.zeros(len(index.sizes), np.int64)
+    for r in one.groupBy("cell").count().collect():  # at most MOST_WORDS ** 2 cells
+        many[r["cell"]] = r["count"]
+    blocks = spark.sparkContext.broadcast(_blocks(many, QUERY_BLOCK))
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
         for batch in batches:
             rows, b, cells = [], [], []
+            cell = np.asarray(batch.column("cell"))
+            block, cuts = (x[cell] for x in blocks.value)
+            qb = pa.array(block + (np.asarray(batch.column("hash")).astype(np.uint64) % cuts.astype(np.uint64)).astype(np.int64))
             for i, q in enumerate(_rows(batch.column("v"))):
                 by: dict[int, list[int]] = {}
                 for c in index.visit(q, least):
@@ -203,9 +232,9 @@ def search(table: DataFrame, index: Index | None, queries: DataFrame, k: int) ->
                 b += list(by)
                 cells += [np.array(x, "<i4").tobytes() for x in by.values()]
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), batch.column("qb").take(at), batch.column("id").take(at), batch.column("v").take(at), pa.array(cells, pa.binary())], names=["b", "qb", "id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), qb.take(at), batch.column("id").take(at), batch.column("v").take(at), pa.array(cells, pa.binary())], names=["b", "qb", "id", "v", "cells"])
 
-    asked = map_arrow(one, visit, "b long, qb int, id long, v array<double>, cells binary")
+    asked = materialize(map_arrow(one.withColumn("hash", F.xxhash64("id")), visit, "b long, qb long, id long, v array<double>, cells binary"), "queries-asked")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
@@ -216,7 +245,8 @@ def search(table: DataFrame, index: Index | None, queries: DataFrame, k: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(b), *[batch.column(c) for c in ("id", "v", "cell")]], names=["b", "id", "v", "cell"])
 
     placed = map_arrow(table.withColumn("hash", F.xxhash64("id")), place, "b long, id long, v array<double>, cell int")
-    placed = placed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    meeting = asked.select(F.col("b").alias("block"), F.col("qb").alias("queries")).distinct()
+    placed = placed.join(meeting, F.col("b") == F.col("block")).select("b", F.col("queries").alias("qb"), "id", "v", "cell")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])

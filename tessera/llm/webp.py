@@ -13,17 +13,15 @@ writes the files by ``smallest``.
 
 Defined results: a null text is an empty one, with a payload of 64 zeros; equal texts get equal files;
 repeated rows give repeated rows; an id of any type passes through; other columns are dropped. A payload
-of over 1 GiB exceeds the format's sides and raises an error.
+of over 1 GiB, which exceeds the format's sides, takes several files, one behind the other.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +33,8 @@ from .common import map_arrow, reader, text_chunks
 
 UNIT = 64
 MOST_SIDE = 1 << 14
+#: Bytes of a payload in one image.
+MOST_PAYLOAD = 4 * MOST_SIDE**2
 # Fixed values of the format: the order in which code length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 # Fixed values of the format: least and extra bits of the repeats of code lengths.
@@ -144,14 +144,14 @@ class Code:
         return found >> 4
 
 
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Symbol to (length, code), most significant bit first."""
-    out, code, last = {}, 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - last
-        out[s] = (n, code)
-        code, last = code + 1, n
-    return out
+def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What to put for each symbol: the canonical code's bits, first one lowest, and their number."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    room = 1 << (15 - lengths[used])
+    turned = np.zeros(len(lengths), np.int64)
+    turned[used] = _turned(15)[np.cumsum(room) - room]
+    return turned, lengths
 
 
 @functools.lru_cache(maxsize=256)
@@ -172,12 +172,14 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         own[LENGTH_ORDER[k]] = bits.take(3)
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
     code, at, last = _code(tuple(own)), 0, 8
-    table, mask, data, p = code.table, (1 << code.bits) - 1, bits.data, bits.at
+    table, mask, p, most, w = code.table, (1 << code.bits) - 1, bits.at, -1, 0
     while at < alphabet and left:
+        if p > most:  # the next bits, as one number
+            w, most = int.from_bytes(bits.data[p >> 3 : (p >> 3) + 160], "little") >> (p & 7), p + 1200
         left -= 1
-        w = int.from_bytes(data[p >> 3 : (p >> 3) + 4], "little") >> (p & 7)
         e = table[w & mask]
         n = e >> 4
+        w >>= e & 15
         p += e & 15
         if n < 16:
             lengths[at] = n
@@ -185,7 +187,8 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             at += 1
             continue
         least, wide = REPEATS[n]
-        repeat = least + (w >> (e & 15) & ((1 << wide) - 1))
+        repeat = least + (w & ((1 << wide) - 1))
+        w >>= wide
         p += wide
         if at + repeat > alphabet:
             raise ValueError("code lengths that run over the alphabet")
@@ -193,7 +196,7 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths[at : at + repeat] = [last] * repeat
         at += repeat
     bits.at = p
-    return _code(tuple(lengths))
+    return Code(lengths)
 
 
 def _prefixed(symbol: int, bits: Bits) -> int:
@@ -418,72 +421,90 @@ def decode(data: bytes) -> np.ndarray:
     return np.stack([(pixels >> s) & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8).reshape(height, width, 4)
 
 
-def _lengths(counts: list[int], most: int) -> list[int]:
+def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
     """Lengths of a prefix code for the counts, none over ``most`` (rare symbols count as more until that holds)."""
-    used = [s for s, n in enumerate(counts) if n]
+    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
     m, least = len(used), 1
     while m > 1:
-        leaves = sorted((max(counts[s], least), s) for s in used)
-        weight, above = [n for n, _ in leaves] + [0] * (m - 1), [0] * (2 * m - 1)
-        i, j = 0, m  # the next leaf and the next node that have no parent
-        for k in range(m, 2 * m - 1):
-            for _ in range(2):
-                if i < m and (j >= k or weight[i] <= weight[j]):
-                    x, i = i, i + 1
-                else:
-                    x, j = j, j + 1
-                weight[k] += weight[x]
-                above[x] = k
-        depth = [0] * (2 * m - 1)
-        for k in range(2 * m - 3, -1, -1):
-            depth[k] = depth[above[k]] + 1
+        weight = np.maximum(counts[used], least)
+        order = np.argsort(weight, kind="stable")
+        depth = _depths(weight[order].tolist())
         if max(depth) <= most:
-            out = [0] * len(counts)
-            for k, (_, s) in enumerate(leaves):
-                out[s] = depth[k]
+            out[used[order]] = depth
             return out
         least *= 2
-    return [int(n > 0) for n in counts]
+    out[used] = 1
+    return out
 
 
-def _write_code(w: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Write a code's lengths; gives what to put for each symbol."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (used or [0])[0] < 256:
-        s = (used or [0])[0]
+def _depths(weight: list[int]) -> list[int]:
+    """Of the leaves of a tree of least weight; weights ascend."""
+    m = len(weight)
+    above, inner = [0] * (2 * m - 1), []
+    i = j = 0  # the next leaf and the next node that have no parent
+    for k in range(m, 2 * m - 1):
+        if i < m and (j >= len(inner) or weight[i] <= inner[j]):
+            one = weight[i]
+            above[i] = k
+            i += 1
+        else:
+            one = inner[j]
+            above[m + j] = k
+            j += 1
+        if i < m and (j >= len(inner) or weight[i] <= inner[j]):
+            one += weight[i]
+            above[i] = k
+            i += 1
+        else:
+            one += inner[j]
+            above[m + j] = k
+            j += 1
+        inner.append(one)
+    depth = [0] * (2 * m - 1)
+    for k in range(2 * m - 3, -1, -1):
+        depth[k] = depth[above[k]] + 1
+    return depth[:m]
+
+
+def _write_code(w: BitWriter, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a code's lengths; gives what to put for each symbol, and its bits."""
+    used = np.flatnonzero(lengths)
+    s = int(used[0]) if len(used) else 0
+    if len(used) <= 1 and s < 256:
         w.put(1, 1)
         w.put(0, 1)
         w.put(int(s > 1), 1)
         w.put(s, 8 if s > 1 else 1)
-        return {s: (0, 0)}
+        return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     if len(used) == 1:  # one symbol that the short form can't name gets a partner
-        lengths = [1 if s in (0, used[0]) else 0 for s in range(len(lengths))]
+        lengths = lengths.copy()
+        lengths[[0, s]] = 1
     w.put(0, 1)
     steps = _run_lengths(lengths)
-    many = Counter(step[0] for step in steps)
-    own = _lengths([many[n] for n in range(19)], 7)
-    order = [own[k] for k in LENGTH_ORDER]
-    many = max(4, max(k for k, n in enumerate(order) if n) + 1)
-    w.put(many - 4, 4)
-    for n in order[:many]:
+    many = [0] * 19
+    for n, _, _ in steps:
+        many[n] += 1
+    own = _lengths(np.array(many), 7)
+    order = own[list(LENGTH_ORDER)].tolist()
+    last = max(4, max(k for k, n in enumerate(order) if n) + 1)
+    w.put(last - 4, 4)
+    for n in order[:last]:
         w.put(n, 3)
     w.put(0, 1)
-    codes = canonical(own) if sum(map(bool, own)) > 1 else {next(s for s, n in enumerate(own) if n): (0, 0)}
-    turned = {s: (_turn(value, n), n) for s, (n, value) in codes.items()}
+    value, size = (x.tolist() for x in canonical(own)) if np.count_nonzero(own) > 1 else ([0] * 19, [0] * 19)
     all_, at = 0, 0
     for n, extra, wide in steps:
-        value, size = turned[n]
-        all_ |= (value | extra << size) << at
-        at += size + wide
+        all_ |= (value[n] | extra << size[n]) << at
+        at += size[n] + wide
     w.put_long(all_, at)
     return canonical(lengths)
 
 
-def _run_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
+def _run_lengths(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, their number): 16 repeats the last length, 17 and 18 are runs of zeros."""
     out = []
-    for n, same in itertools.groupby(lengths):
-        run = len(list(same))
+    begins = np.flatnonzero(np.diff(lengths, prepend=-1))
+    for n, run in zip(lengths[begins].tolist(), np.diff(begins, append=len(lengths)).tolist(), strict=True):
         if n:
             out.append((n, 0, 0))
             run -= 1
@@ -500,15 +521,11 @@ def _flat_header() -> tuple[int, int]:
     """The bits that stand for flat codes, and their number."""
     w = BitWriter()
     for n in (280, 256, 256, 256, 40):
-        _write_code(w, ([8] * 256 + [0] * (n - 256)) if n >= 256 else [0] * n)
+        _write_code(w, np.array(([8] * 256 + [0] * (n - 256)) if n >= 256 else [0] * n))
     whole = len(w.out) * 8 + w.n
     return int.from_bytes(w.out + bytes([w.value & 255]), "little"), whole
 
 
-def _turn(value: int, n: int) -> int:
-    return int(f"{value:0{n}b}"[::-1], 2) if n else 0
-
-
 def _prefix_of(value: int) -> tuple[int, int, int]:
     """Symbol, extra bits and their number for a length or distance."""
     v = value - 1
@@ -531,7 +548,7 @@ def _write_image(w: BitWriter, pixels: np.ndarray, width: int, main: bool, cache
         w.put_bytes(_REVERSED[np.stack([p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24], -1).astype(np.uint8).reshape(-1)])
         return
     items = items or _items(pixels, width, _copies(pixels) if references else [], cache_bits)
-    codes = [_write_code(w, _lengths(c.tolist(), 15)) for c in items.counts()]
+    codes = [_write_code(w, _lengths(c, 15)) for c in items.counts()]
     _put_items(w, items, codes)
 
 
@@ -628,14 +645,8 @@ def _items(pixels: np.ndarray, width: int, copies: list[tuple[int, int, int]], c
     return Items(first, plain, values[plain], copy, far, 280 + ((1 << cache_bits) if cache_bits else 0))
 
 
-def _put_items(w: BitWriter, items: Items, codes: list[dict[int, tuple[int, int]]]) -> None:
+def _put_items(w: BitWriter, items: Items, tables: list[tuple[np.ndarray, np.ndarray]]) -> None:
     """Each item is at most 60 bits, which go to one or two of the 64-bit words of a piece."""
-    tables = []
-    for code, size in zip(codes, (items.alphabet, 256, 256, 256, 40), strict=True):
-        wide, turned = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for s, (n, value) in code.items():
-            wide[s], turned[s] = n, _turned(n)[value]
-        tables.append((turned, wide))
     value, size = tables[0][0][items.first], tables[0][1][items.first]
     if items.far:
         far = np.array(items.far, np.int64)
@@ -764,29 +775,43 @@ def to_media(payload: bytes) -> bytes:
     """A payload (a positive multiple of 64 bytes) as a lossless WebP file.
 
     Rows are 64 bytes (16 pixels) wide, or a power of two times that where the image would be too high;
-    then the last row may be padded, and a chunk of our own, which readers skip, tells the length.
+    then the last row may be padded, and a chunk of our own, which readers skip, tells the length. What one
+    image can't hold goes on in a further file behind the first.
     """
+    return b"".join(_to_file(payload[i : i + MOST_PAYLOAD]) for i in range(0, len(payload), MOST_PAYLOAD))
+
+
+def _to_file(payload: bytes) -> bytes:
     wide = UNIT
     while -(-len(payload) // wide) > MOST_SIDE:
         wide *= 2
-    if wide // 4 > MOST_SIDE:
-        raise ValueError("a payload of over 1 GiB")
     short = -len(payload) % wide
     image = np.frombuffer(payload + b"\0" * short, np.uint8).reshape(-1, wide // 4, 4)
     file = smallest(image)
     return _riff([(b"VP8L", file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]), (b"LENG", struct.pack("<Q", len(payload)))]) if short else file
 
 
-def from_media(media: bytes, image: np.ndarray | None = None) -> bytes:
-    payload = (decode(media) if image is None else image).tobytes()
-    at = 20 + (struct.unpack_from("<I", media, 16)[0] + 1 & ~1)
-    return payload[: struct.unpack_from("<Q", media, at + 8)[0]] if media[at : at + 4] == b"LENG" else payload
+def from_media(media: bytes) -> tuple[bytes, list[np.ndarray]]:
+    """The payload and the images that hold it."""
+    payload, images, at = [], [], 0
+    while at < len(media):
+        file = media[at : at + 8 + struct.unpack_from("<I", media, at + 4)[0]]
+        at += len(file)
+        images.append(decode(file))
+        more = 20 + (struct.unpack_from("<I", file, 16)[0] + 1 & ~1)
+        payload.append(images[-1].tobytes()[: struct.unpack_from("<Q", file, more + 8)[0] if file[more : more + 4] == b"LENG" else None])
+    return b"".join(payload), images
 
 
-def feature(image: np.ndarray) -> str:
+def feature(images: list[np.ndarray]) -> str:
     """Sides, the mean of each channel, and the number of different samples."""
-    means = image.reshape(-1, 4).mean(0)
-    return f"{image.shape[1]}x{image.shape[0]} " + " ".join(f"{m:.3f}" for m in means) + f" {np.count_nonzero(np.bincount(image.reshape(-1), minlength=256))}"
+    sums, many, seen = np.zeros(4), 0, np.zeros(256, np.int64)
+    for image in images:
+        sums += image.reshape(-1, 4).sum(0)
+        many += image.size // 4
+        seen += np.bincount(image.reshape(-1), minlength=256)
+    sides = " ".join(f"{i.shape[1]}x{i.shape[0]}" for i in images)
+    return f"{sides} " + " ".join(f"{m:.3f}" for m in sums / many) + f" {np.count_nonzero(seen)}"
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -813,9 +838,8 @@ def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
             rows = []
             for value in batch.column("media"):
                 file = value.as_py()
-                image = decode(file)
-                payload = from_media(file, image)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(image)))
+                payload, images = from_media(file)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(images)))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("n_bytes"), *columns], names=[f.name for f in fields])

@@ -1,7 +1,11 @@
 """Training order, media, nearest neighbours, the pipeline."""
 
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, feistel, multiindex, queries, webp
@@ -96,6 +100,32 @@ def test_media_rows(spark):
     assert len(rows) == 5 and webp.describe(webp.store(df.limit(0))).count() == 0
 
 
+def test_media_query_against_plain_digests(spark, tmp_path):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 64), (-4, "é" * 32 + "y"), (-5, "ab" * 70_000)], texts.schema)
+    texts.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in webp.op9_media(spark, str(tmp_path)).collect()}
+    media = {r["doc_id"]: r["media"] for r in webp.store(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    rows = texts.unionByName(odd).collect()
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+        r = got[doc_id]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(media[doc_id]), hashlib.sha256(media[doc_id]).hexdigest())
+        assert r["feature"].split()[1:5] == [f"{m:.3f}" for m in image.mean(0)]
+
+
+def test_media_in_several_files(monkeypatch):
+    monkeypatch.setattr(webp, "MOST_PAYLOAD", 640)
+    payload = np.random.default_rng(4).bytes(640 * 3 + 128)
+    got, images = webp.from_media(webp.to_media(payload))
+    assert got == payload and [i.size for i in images] == [640, 640, 640, 128]
+    assert webp.feature(images).startswith("16x10 16x10 16x10 16x2 ")
+
+
 def test_media_is_compressed():
     rng = np.random.default_rng(3)
     words = ["der", "la", "running", "été", "house", "x"]
@@ -107,7 +137,7 @@ def test_media_is_compressed():
     for payload, most in ((prose, 0.6), (prose + prose, 0.45), (gray, 0.7), (noise, 1.02), (few, 0.05), (far + far, 0.52), (b"\0" * 64, 1.0), (b"\0" * 640_000, 0.001)):
         payload += b"\0" * (-len(payload) % 64)
         media = webp.to_media(payload)
-        assert webp.from_media(media) == payload
+        assert webp.from_media(media)[0] == payload
         assert len(media) <= most * len(payload) + 40
     assert webp.decode_pixels(webp.to_media(gray))[1] == 16
 
@@ -137,6 +167,28 @@ def test_neighbours(spark):
     assert all(s == (by[a] * by[q]).sum() for (q, a), s in scores.items())
 
 
+def test_neighbours_of_clustered_vectors(spark):
+    """Where vectors have clusters, a small share of them is visited; cells and blocks are cut."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(400, 32))
+    x = centres[rng.integers(0, 400, 20_000)] + 0.25 * rng.normal(size=(20_000, 32))
+    x[5000:9000] = x[5000]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    table, index = multiindex.build(df, 20)
+    assert index.share < 0.1
+    some = [i for i in range(0, 20_000, 200) if not 5000 <= i < 9000] + [5000, 7000]
+    got = {}
+    for r in multiindex.search(table, index, table.where(F.col("id").isin(some)).select("id", "v"), 20).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hit = 0
+    for q in some:
+        score = (x * x[q]).sum(1)
+        score[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), -score))[:20].tolist()) & set(got[q]))
+        assert all(s == score[v] for v, s in got[q].items())
+    assert hit >= 0.9 * 20 * len(some)
+
+
 def test_neighbours_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (7, [1.0]), (8, [float("inf"), 0.0]), (9, [1.0, 0.0])]

@@ -49,7 +49,7 @@ def main() -> None:
 
     noop = lambda df: df.write.format("noop").mode("overwrite").save()
     base.pretoken_rows(spark, sf_dir).limit(1).collect()
-    row = timed("encode", lambda: run_summary(encode(docs.repartition(int(cpus) * 2), model)).first())
+    row = timed("encode", lambda: run_summary(encode(docs, model)).first())
     extra["encode"] = {"mb_per_s": round(size / 1e6 / seconds["encode"], 2), "tokens": row["tokens"], "checksum": row["checksum"]}
     for name in ("word_stats", "word_count", "pretokens", "pretoken_class_hist", "byte_histogram", "pair_count", "top_pairs_k", "train_canonical_k", "encode_ids", "checksum_by_lang", "special_encode", "newline_docs", "pages_tokens", "conversations_tokens"):
         timed(name, lambda name=name: noop(base.queries()[name](spark, sf_dir)))

@@ -1,7 +1,7 @@
 """Encoding documents to token ids.
 
-``encode`` splits in the JVM and merges in Arrow batches, with a memo of pieces in each worker: one pass over
-the documents and no shuffle. ``encode_by_join`` stays in the JVM: it merges each distinct piece once, as
+``encode`` splits and merges in Arrow batches, with a memo of pieces in each worker: one pass over the documents
+and no shuffle, but for tables that are too small to fill the cores. ``encode_by_join`` stays in the JVM: it merges each distinct piece once, as
 replacements in the order of ranks, looks its symbols up by a broadcast join, and joins the ids back; it
 takes models whose rules may be applied so (``BpeModel.folds``).
 """
@@ -9,22 +9,30 @@ takes models whose rules may be applied so (``BpeModel.folds``).
 from __future__ import annotations
 
 import re
+import struct
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.classes import classes
+from ..functions.classes import Classes, classes
 from ..functions.pretok import pretokens, scan_bytes
 from ..plans.model import BpeModel
 from ..plans.ship import ship
+from ..plans.spread import spread
 from .words import explode_pretokens
 
 MEMO_PIECES = 500_000
 MOST_FOLD_RULES = 512
-_SPECIAL = "\x01"
+#: Bytes of ids in a batch of results.
+CHUNK_BYTES = 16 << 20
+MISS = -1
+#: Before a special token's content. No split makes a piece that begins so, with letters and others in one.
+_SPECIAL = "\x00special\x00 \x00"
 
 
 def special_pattern(model: BpeModel) -> str:
@@ -42,40 +50,60 @@ def split_specials(model: BpeModel, text: Column) -> Column:
     return F.transform(parts, lambda p: part(p.rlike(f"^(?:{pattern})$") & p.isin([s.content.decode("utf-8") for s in model.specials]), p))
 
 
-def pieces_with_specials(spark: SparkSession, model: BpeModel, text: Column) -> Column:
-    """Pretokens of the parts; a special token is one piece, marked by a first character that pieces never have alone."""
-    if not model.specials:
-        return pretokens(spark, text)
-    has = F.lit(False)
-    for s in model.specials:
-        has = has | text.contains(s.content.decode("utf-8"))
-    marked = F.transform(split_specials(model, text), lambda x: F.when(x["special"], F.array(F.concat(F.lit(_SPECIAL + "special:"), x["part"]))).otherwise(pretokens(spark, x["part"])))
-    return F.when(has, F.flatten(marked)).otherwise(pretokens(spark, text))
-
-
 class _Memo(dict):
-    """Pieces to (ids or None, symbols, missing symbols)."""
+    """Pieces to their ids as packed longs, ``MISS`` for a symbol that the vocabulary lacks. Specials are under marked keys."""
 
     def __init__(self, model: BpeModel) -> None:
         super().__init__()
         self.model = model
-        self.special = {_SPECIAL + "special:" + s.content.decode("utf-8"): s.id for s in model.specials}
+        self.special = {_SPECIAL + s.content.decode("utf-8"): struct.pack("<q", s.id) for s in model.specials}
+        self.update(self.special)
 
-    def __missing__(self, piece: str | bytes) -> tuple[list[int] | None, int, int]:
+    def __missing__(self, piece: str | bytes) -> bytes:
         if len(self) >= MEMO_PIECES:
             self.clear()
-        if piece in self.special:
-            found = ([self.special[piece]], 0, 0)
-        else:
-            data = piece.encode("utf-8") if isinstance(piece, str) else piece
-            parts = self.model.merge(data)
-            ids = [self.model.ids.get(p) for p in parts]
-            missing = ids.count(None)
-            found = (None if missing else ids, len(parts), missing)
-        self[piece] = found
+            self.update(self.special)
+            if piece in self:
+                return self[piece]
+        parts = self.model.merge(piece.encode("utf-8") if isinstance(piece, str) else piece)
+        found = self[piece] = struct.pack(f"<{len(parts)}q", *[self.model.ids.get(p, MISS) for p in parts])
         return found
 
 
+_MEMOS: dict[str, _Memo] = {}
+
+
+def _memo(key: str, model: BpeModel) -> _Memo:
+    """A worker's memo, kept from task to task of a query."""
+    if key not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[key] = _Memo(model)
+    return _MEMOS[key]
+
+
+def _cutter(model: BpeModel, known: Classes):
+    """A function from a text, or bytes that aren't UTF-8, to its pieces, special tokens marked."""
+    split = known.splitter()
+    contents = [s.content for s in model.specials]
+    in_text, in_bytes = (re.compile(p) for p in ("|".join(re.escape(c.decode("utf-8")) for c in contents), b"|".join(map(re.escape, contents))))
+
+    def cut(data: bytes) -> list[str | bytes]:
+        try:
+            whole, pattern, pieces_of = data.decode("utf-8"), in_text, split
+        except UnicodeDecodeError:
+            whole, pattern, pieces_of = data, in_bytes, lambda part: scan_bytes(known, part)
+        if not contents or not pattern.search(whole):
+            return pieces_of(whole)
+        out: list[str | bytes] = []
+        at = 0
+        for m in pattern.finditer(whole):
+            out += [*pieces_of(whole[at : m.start()]), _SPECIAL + (m[0] if isinstance(m[0], str) else m[0].decode("utf-8"))]
+            at = m.end()
+        return out + pieces_of(whole[at:])
+
+    return cut
+
+
 def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text", stats: bool = False) -> DataFrame:
     """``id_col``, ``ids`` array<long>, ``status``: 'ok', or 'vocab_miss' with null ids. ``text`` is string or binary.
 
@@ -85,52 +113,48 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "
     spark = df.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)
-    binary = isinstance(df.schema[text].dataType, T.BinaryType)
-    known = classes(spark) if binary else None
-    col = F.col(text)
-    if binary:
-        valid = F.is_valid_utf8(col.cast("string"))
-        pieces, raw = F.when(valid, pieces_with_specials(spark, model, col.cast("string"))), F.when(~valid, col)
-    else:
-        pieces, raw = pieces_with_specials(spark, model, col), F.lit(None).cast("binary")
+    known, key = classes(spark), uuid.uuid4().hex
     extra = ("n_pretokens", "mapped_cps", "merged_symbols", "vocab_hits", "vocab_misses") if stats else ()
     fields = [df.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("status", T.StringType()), *[T.StructField(n, T.LongType()) for n in extra]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        memo = _Memo(model)
-        found_special = re.compile(b"|".join(re.escape(s.content) for s in model.specials)) if model.specials else None
-
-        def scanned(data: bytes) -> list[str | bytes]:
-            out: list[str | bytes] = []
-            at = 0
-            for m in found_special.finditer(data) if found_special else ():
-                out += [*scan_bytes(known, data[at : m.start()]), _SPECIAL + "special:" + m[0].decode("utf-8")]
-                at = m.end()
-            return out + scan_bytes(known, data[at:])
+    def rows(batch: pa.RecordBatch, found: list[bytes | None], counts: list[tuple[int, ...]]) -> pa.RecordBatch:
+        size = np.array([len(x) // 8 if x else 0 for x in found], np.int64)
+        ids = np.frombuffer(b"".join(x for x in found if x), "<i8")
+        missing = np.bincount(np.repeat(np.arange(len(found)), size)[ids == MISS], minlength=len(found))
+        gone = (missing > 0) | np.array([x is None for x in found], bool)
+        kept = ids[np.repeat(~gone, size)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(gone, 0, size))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(gone, False)), pa.array(kept))
+        columns = [lists, pa.array(np.where(missing > 0, "vocab_miss", "ok").tolist(), pa.string())]
+        if extra:
+            pieces, octets, special = np.array(counts, np.int64).reshape(-1, 3).T
+            columns += [pa.array(x) for x in (pieces, octets, size - special, size - special - missing, missing)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[f.name for f in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, cut = _memo(key, held.value), _cutter(held.value, known)
+        special = lambda p: isinstance(p, str) and p in memo.special
         for batch in batches:
-            columns: list[list] = [[] for _ in range(2 + len(extra))]
-            for pieces, data in zip(batch.column("pieces").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                if pieces is None and data is None:
-                    row = [None, "ok", *[0] * len(extra)]
+            start, total, found, counts = 0, 0, [], []
+            for i, value in enumerate(batch.column("text")):
+                data = value.as_py()
+                if data is None:
+                    found.append(None)
+                    counts.append((0, 0, 0))
                 else:
-                    mine = scanned(data) if data is not None else pieces
-                    found = list(map(memo.__getitem__, mine))
-                    missing = sum(f[2] for f in found)
-                    ids = None if missing else [i for f in found for i in f[0]]
-                    row = [ids, "vocab_miss" if missing else "ok"]
+                    pieces = cut(data)
+                    found.append(b"".join(map(memo.__getitem__, pieces)))
                     if extra:
-                        plain = [p for p in mine if p not in memo.special]
-                        symbols = sum(f[1] for f in found)
-                        row += [len(plain), sum(len(p.encode("utf-8") if isinstance(p, str) else p) for p in plain), symbols, symbols - missing, missing]
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            types = (pa.list_(pa.int64()), pa.string(), *[pa.int64()] * len(extra))
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], names=[f.name for f in fields])
+                        marks = [p for p in pieces if special(p)] if memo.special else []
+                        counts.append((len(pieces) - len(marks), len(data) - sum(len(p[len(_SPECIAL) :].encode("utf-8")) for p in marks), len(marks)))
+                    total += len(found[-1])
+                if total >= CHUNK_BYTES:
+                    yield rows(batch.slice(start, len(found)), found, counts)
+                    start, total, found, counts = i + 1, 0, [], []
+            if found:
+                yield rows(batch.slice(start, len(found)), found, counts)
 
-    return df.select(F.col(id_col).alias("id"), pieces.alias("pieces"), raw.alias("raw")).mapInArrow(run, T.StructType(fields))
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))).mapInArrow(run, T.StructType(fields))
 
 
 def fold_symbols(model: BpeModel, piece: Column) -> Column:
@@ -150,18 +174,21 @@ def bpe_words(words: DataFrame, model: BpeModel, piece: str = "piece") -> DataFr
     return words.withColumn("symbols", fold_symbols(model, F.col(piece)))
 
 
+def _known_symbols(pieces: DataFrame, model: BpeModel) -> DataFrame:
+    """``piece``, ``sym_pos``, ``symbol`` (hex), ``token_id`` (null: a miss) of each distinct piece."""
+    merged = bpe_words(pieces.select("piece").distinct(), model)
+    flat = merged.select("piece", F.posexplode("symbols").alias("sym_pos", "symbol"))
+    vocab = model.vocab_table(pieces.sparkSession).select(F.col("token").alias("symbol"), F.col("id").alias("token_id"))
+    return flat.join(F.broadcast(vocab), "symbol", "left")  # as large as the model's vocabulary
+
+
 def symbol_rows(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each symbol: id, ``pos`` of the pretoken, ``piece``, ``sym_pos``, ``symbol`` (hex), ``token_id`` (null: a miss).
 
     Distinct pieces are merged once. Special tokens aren't applied.
     """
-    spark = df.sparkSession
     pieces = explode_pretokens(df, id_col, text)
-    merged = bpe_words(pieces.select("piece").distinct(), model)
-    flat = merged.select("piece", F.posexplode("symbols").alias("sym_pos", "symbol"))
-    vocab = model.vocab_table(spark).select(F.col("token").alias("symbol"), F.col("id").alias("token_id"))
-    known = flat.join(F.broadcast(vocab), "symbol", "left")  # as large as the model's vocabulary
-    return pieces.join(known, "piece").select(id_col, "pos", "piece", "sym_pos", "symbol", "token_id")
+    return pieces.join(_known_symbols(pieces, model), "piece").select(id_col, "pos", "piece", "sym_pos", "symbol", "token_id")
 
 
 def explain_stages(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,17 +200,17 @@ def explain_stages(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text:
 
 
 def encode_by_join(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows as ``encode`` without special tokens, from DataFrame operations alone."""
-    rows = symbol_rows(df, model, id_col, text)
-    ids = rows.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "sym_pos", "token_id"))), lambda x: x["token_id"]).alias("ids"), F.max(F.col("token_id").isNull()).alias("miss")
+    """The same rows as ``encode`` without special tokens, from DataFrame operations alone. Rows that repeat an id stay apart."""
+    ids_of = _known_symbols(explode_pretokens(df, id_col, text), model).groupBy("piece").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("sym_pos", "token_id"))), lambda x: x["token_id"]).alias("t"), F.max(F.col("token_id").isNull()).alias("m")
     )
-    out = df.select(id_col, F.col(text).isNull().alias("none")).join(ids, id_col, "left")
-    empty = F.array().cast("array<long>")
-    return out.select(
-        id_col, F.when(F.col("miss") | F.col("none"), F.lit(None)).otherwise(F.coalesce("ids", empty)).alias("ids"),
-        F.when(F.col("miss"), "vocab_miss").otherwise("ok").alias("status"),
+    pieces = F.posexplode_outer(pretokens(df.sparkSession, F.col(text))).alias("pos", "piece")
+    rows = spread(df.select(id_col, text)).withColumn("_row", F.monotonically_increasing_id()).select("_row", id_col, F.col(text).isNull().alias("none"), pieces)
+    rows = rows.join(ids_of, "piece", "left").groupBy("_row").agg(
+        F.first(id_col).alias(id_col), F.first("none").alias("none"), F.coalesce(F.max("m"), F.lit(False)).alias("miss"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("pos", "t")))), lambda x: x["t"])).alias("ids"),
     )
+    return rows.select(id_col, F.when(~F.col("miss") & ~F.col("none"), F.col("ids")).alias("ids"), F.when(F.col("miss"), "vocab_miss").otherwise("ok").alias("status"))
 
 
 def ids_text(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

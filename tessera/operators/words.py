@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.classes import classes, regex_class
 from ..functions.pretok import pretokens
+from ..plans.spread import spread
 
 #: Words of more bytes don't take part in training.
 MOST_BYTES = 15
@@ -17,12 +19,12 @@ def with_pretokens(df: DataFrame, text: str = "text", out: str = "pieces") -> Da
 
 def explode_pretokens(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``pos`` from 0, ``piece``: a row for each pretoken. No shuffle."""
-    return df.select(F.col(id_col), F.posexplode(pretokens(df.sparkSession, F.col(text))).alias("pos", "piece"))
+    return spread(df.select(id_col, text)).select(F.col(id_col), F.posexplode(pretokens(df.sparkSession, F.col(text))).alias("pos", "piece"))
 
 
 def word_count(df: DataFrame, text: str = "text", most_bytes: int | None = None) -> DataFrame:
     """``piece``, ``n``: distinct pretokens with their numbers. Counted before the shuffle."""
-    pieces = df.select(F.explode(pretokens(df.sparkSession, F.col(text))).alias("piece"))
+    pieces = spread(df.select(text)).select(F.explode(pretokens(df.sparkSession, F.col(text))).alias("piece"))
     if most_bytes is not None:
         pieces = pieces.where(F.octet_length("piece").between(1, most_bytes))
     return pieces.groupBy("piece").agg(F.count("*").alias("n"))
@@ -37,12 +39,12 @@ def word_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def class_of(piece: Column) -> Column:
+def class_of(spark: SparkSession, piece: Column) -> Column:
     """The class of a pretoken by its first character that isn't the leading space."""
-    core = F.regexp_replace(piece, "^ (?=.)", "")
+    c, core = classes(spark), F.regexp_replace(piece, "^ (?=.)", "")
     return (
-        F.when(piece.rlike("^'(?:[stmd]|re|ve|ll)$"), "contraction").when(core.rlike(r"^\p{L}"), "letter").when(core.rlike(r"^\p{N}"), "number")
-        .when(core.rlike(r"(?U)^\s"), "space").otherwise("other")
+        F.when(piece.rlike("^'(?:[stmd]|re|ve|ll)$"), "contraction").when(core.rlike(rf"^[\p{{L}}{regex_class(c.more_letters)}]"), "letter")
+        .when(core.rlike(rf"^[\p{{N}}{regex_class(c.more_numbers)}]"), "number").when(core.rlike(f"^[{regex_class(c.spaces)}]"), "space").otherwise("other")
     )
 
 
@@ -61,8 +63,18 @@ def pairs_of(words: DataFrame, symbol: str = "symbols", n: str = "n") -> DataFra
 
 
 def pair_count(df: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs of neighbouring bytes over the words of up to 15 bytes."""
-    return pairs_of(word_count(df, text, MOST_BYTES).withColumn("symbols", symbols(F.col("piece"))))
+    """Pairs of neighbouring bytes over the words of up to 15 bytes.
+
+    Distinct words are few bytes but many pairs, so they are dealt to every core. A pair stays four hex
+    digits until it is counted.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    words = word_count(df, text, MOST_BYTES).repartition(tasks).select("n", F.hex(F.encode("piece", "UTF-8")).alias("h")).where(F.length("h") > 2)
+    places = F.sequence(F.lit(1), F.length("h") - 3, F.lit(2))
+    pairs = words.select("n", F.explode(F.transform(places, lambda i: F.substring(F.col("h"), i, F.lit(4)))).alias("p"))
+    number = lambda at: F.conv(F.substring("p", at, 2), 16, 10).cast("long")
+    return pairs.groupBy("p").agg(F.sum("n").cast("long").alias("n")).select(number(1).alias("a"), number(3).alias("b"), "n")
 
 
 def top_pairs(pairs: DataFrame, k: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -17,6 +18,10 @@ class ModelError(ValueError):
     """A model file that can't be taken."""
 
 
+#: Bytes up to which a plain list is faster to merge than a linked one.
+SHORT = 64
+
+
 @dataclass(frozen=True)
 class AddedToken:
     id: int
@@ -90,27 +95,64 @@ class BpeModel:
 
     def merge(self, data: bytes) -> list[bytes]:
         """A pretoken's symbols: while a neighbouring pair has a rule, the pair of lowest rank is joined wherever it stands."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            rank, pair = min((ranks.get(p, len(self.merges)), p) for p in zip(parts, parts[1:], strict=False))
-            if rank == len(self.merges):
-                break
-            joined, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
+        return self._merge_long(data) if len(data) > SHORT else self._merge_short(data)
+
+    def _merge_short(self, data: bytes) -> list[bytes]:
+        parts, rank_of = [data[i : i + 1] for i in range(len(data))], self.ranks.get
+        none = len(self.merges)
+        ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:], strict=False)]
+        while ranks and (rank := min(ranks)) < none:
+            i = 0
+            while rank in ranks[i:]:
+                i = ranks.index(rank, i)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = rank_of((parts[i], parts[i + 1]), none)
+                if i:
+                    ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
         return parts
 
-    def lookup(self, data: bytes) -> list[int] | None:
-        """A pretoken's ids; None if a symbol isn't in the vocabulary."""
-        found = [self.ids.get(s) for s in self.merge(data)]
-        return None if None in found else found
+    def _merge_long(self, data: bytes) -> list[bytes]:
+        """In time that grows with the bytes, about.
+
+        Symbols are a linked list by their first byte's place. Places wait under the rank of the pair that begins
+        there; all of the lowest rank are taken at once, from the left, and checked, as a neighbour may have changed.
+        """
+        ranks, n = self.ranks, len(data)
+        parts: list[bytes] = [data[i : i + 1] for i in range(n)]
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: dict[int, list[int]] = {}
+        heap: list[int] = []
+
+        def wait(i: int) -> None:
+            rank = ranks.get((parts[i], parts[behind[i]]))
+            if rank is not None:
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(i)
+
+        for i in range(n - 1):
+            wait(i)
+        while heap:
+            rank = heapq.heappop(heap)
+            pair, fresh = self.merges[rank], []
+            for i in sorted(set(waiting.pop(rank))):
+                j = behind[i]
+                if j >= n or (parts[i], parts[j]) != pair or not parts[i]:
+                    continue
+                parts[i], parts[j] = parts[i] + parts[j], b""
+                behind[i] = behind[j]
+                if behind[i] < n:
+                    before[behind[i]] = i
+                fresh.append(i)
+            for i in fresh:
+                if before[i] >= 0:
+                    wait(before[i])
+                if behind[i] < n:
+                    wait(i)
+        return [p for p in parts if p]
 
     # Tables
 
@@ -123,9 +165,6 @@ class BpeModel:
         rows = [(r, a.hex().upper(), b.hex().upper(), (a + b).hex().upper()) for (a, b), r in self.ranks.items()]
         return spark.createDataFrame(rows, "rank int, left string, right string, merged string")
 
-    def added_table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(a.id, bytearray(a.content), a.special) for a in self.added], "id long, content binary, special boolean")
-
     def summary(self, spark: SparkSession) -> DataFrame:
         """One row: pretokenizer, vocabulary size, largest id, merge rules, added tokens."""
         row = ("ByteLevel", self.vocab_size, self.max_id, len(self.merges), len(self.added))

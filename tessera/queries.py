@@ -41,7 +41,7 @@ def pretoken_rows(spark, d):
 
 
 def pretoken_class_hist(spark, d):
-    rows = wd.explode_pretokens(docs(spark, d)).select(wd.class_of(F.col("piece")).alias("class"), F.octet_length("piece").alias("b"))
+    rows = wd.explode_pretokens(docs(spark, d)).select(wd.class_of(spark, F.col("piece")).alias("class"), F.octet_length("piece").alias("b"))
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("bytes"))
 
 
@@ -87,12 +87,6 @@ def hex_roundtrip(spark, d):
 
 
 def nested_corpus(spark, d):
-    one = F.to_json(F.create_map(F.col("lang"), F.create_map(F.col("source"), F.create_map(F.col("doc_id").cast("string"), F.substring(F.regexp_replace("text", r"[^a-zA-Z ]", ""), 1, 40)))))
-    return corpus.flatten_nested(docs(spark, d).select(one.alias("json"), F.lit("T").alias("name"))).select("name", "book", "chapter", "verse", "text", "line")
-
-
-def nested_corpus_whole(spark, d):
-    """``nested_corpus`` with whole texts. DuckDB has no part in it: the SQL of ``nested_corpus`` takes 40 letters of each."""
     one = F.to_json(F.create_map(F.col("lang"), F.create_map(F.col("source"), F.create_map(F.col("doc_id").cast("string"), F.col("text")))))
     return corpus.flatten_nested(docs(spark, d).select(one.alias("json"), F.lit("T").alias("name"))).select("name", "book", "chapter", "verse", "text", "line")
 
@@ -356,8 +350,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "newline_docs_nonempty": (newline_docs_nonempty, "SELECT * FROM (SELECT doc_id, unnest(range(len(l)))::INTEGER AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE text <> ''"),
     "corpus_stats": (corpus_stats, "SELECT count(*) AS docs, sum(octet_length(encode(line)))::BIGINT AS bytes FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"),
     "hex_roundtrip": (hex_roundtrip, "SELECT doc_id, text, octet_length(encode(text))::BIGINT AS bytes, true AS odd_refused FROM documents"),
-    "nested_corpus": (nested_corpus, "SELECT 'T' AS name, lang AS book, source AS chapter, doc_id::VARCHAR AS verse, t AS text, 'T|' || lang || '|' || source || '|' || doc_id || chr(9) || t AS line FROM (SELECT *, substr(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 1, 40) AS t FROM documents)"),
-    "nested_corpus_whole": (nested_corpus_whole, None),
+    "nested_corpus": (nested_corpus, "SELECT 'T' AS name, lang AS book, source AS chapter, doc_id::VARCHAR AS verse, text, 'T|' || lang || '|' || source || '|' || doc_id || chr(9) || text AS line FROM documents"),
     "pair_count": (pair_count, _PAIRS),
     "top_pair": (top_pair, f"{_PAIRS} WHERE n >= 2 ORDER BY n DESC, a, b LIMIT 1"),
     "top_pairs_k": (top_pairs_k, f"{_PAIRS} WHERE n >= 2 ORDER BY n DESC, a, b LIMIT {K_TOP}"),

@@ -25,6 +25,61 @@ def test_merge_vectors():
     assert model_of([(b"a", b"a")]).merge(b"aaa") == [b"aa", b"a"]
 
 
+def plain_merge(m, data):
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while True:
+        found = [(m.ranks[p], p) for p in zip(parts, parts[1:], strict=False) if p in m.ranks]
+        if not found:
+            return parts
+        pair, i = min(found)[1], 0
+        while i + 1 < len(parts):
+            if (parts[i], parts[i + 1]) == pair:
+                parts[i : i + 2] = [b"".join(pair)]
+            i += 1
+
+
+def test_merge_against_plain_merging():
+    """Rules in any order, such as those whose product has a lower rank than a side."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        tokens, rules = [b"a", b"b", b"c"], []
+        for _ in range(rng.randint(1, 12)):
+            rules.append((rng.choice(tokens), rng.choice(tokens)))
+            tokens.append(b"".join(rules[-1]))
+        rng.shuffle(rules)
+        m = model_of(list(dict.fromkeys(rules)))
+        for _ in range(6):
+            data = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 90)))
+            assert m._merge_short(data) == m._merge_long(data) == plain_merge(m, data)
+    assert b"".join(m.merge(b"abc" * 50_000)) == b"abc" * 50_000
+
+
+def test_repeated_ids_stay_apart(spark):
+    m = fixture_model()
+    df = spark.createDataFrame([(1, "the"), (1, "cat"), (1, "cat"), (2, ""), (2, None), (None, "the cat")], "doc_id long, text string")
+    got = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    assert got(encode_by_join(df, m)) == got(encode(df, m)) and encode(df, m).count() == 6
+
+
+def test_splits_in_python_and_in_the_jvm_agree(spark):
+    """Latin-1, the first plane and beyond, with characters that the JVM's own classes lack."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions.classes import classes
+    from tessera.functions.pretok import pretokens
+
+    rng = random.Random(5)
+    letters = "ab1 \n\t'\u00a0\u0085é²!\u0870\u1c89\u2003日本٣\U0001f600\U00010d40\U00010d6f\U0001e5d0\U00016d40"
+    texts = ["".join(rng.choice(letters[: rng.choice([12, 20, len(letters)])]) for _ in range(rng.randint(0, 40))) + rng.choice(["", "'s it", "x're'll "]) for _ in range(400)]
+    split = classes(spark).splitter()
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pretokens(spark, F.col("t")).alias("p")).collect()
+    assert all(split(r["t"]) == r["p"] for r in rows)
+
+
 def test_train_vectors():
     words = [(b"ab", 10), (b"abc", 3), (b"bc", 4)]
     assert merge_words(words, 9) == [(97, 98), (98, 99), (256, 99)]

@@ -39,7 +39,7 @@ def test_nested_query_takes_whole_texts(spark, tmp_path):
     texts = ["été 12, \"quoted\" \\ back\nnew\tline\r\u0001", "Все люди 日本 🎉", "word " * 5000 + "end", "", "{\"a\": {\"b\": 1}}"]
     rows = [(k, t, "en", "web") for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(map(tuple, entry.queries()["nested_corpus_whole"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, entry.queries()["nested_corpus"](spark, str(tmp_path)).collect()))
     assert got == [("T", "en", "web", str(k), t, f"T|en|web|{k}\t{t}") for k, t in enumerate(texts)]
 
 
@@ -52,6 +52,16 @@ def test_counts(spark):
     assert words.word_stats(df.limit(0)).first()["total"] == 0
 
 
+def test_classes_beyond_the_jvm_and_contractions(spark, tmp_path):
+    """The class and contraction queries over texts that hold what the driver's lack."""
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, "\u0870\u0871 it's we'll I'm 1\u0663 \U00010d40 \u2003x", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r[0]: r["n"] for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+    assert run("contraction_count") == {"'s": 1, "'ll": 1, "'m": 1}
+    assert run("pretoken_class_hist") == {"letter": 5, "contraction": 3, "number": 2, "space": 2}
+
+
 def test_plan_prunes_and_aggregates_first(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = words.word_count(df)._jdf.queryExecution().executedPlan().toString()

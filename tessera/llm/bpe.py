@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, reader, text_chunks
 
-#: Pieces that a worker remembers; the memo is emptied when it is full.
-MEMO_PIECES = 1_000_000
+#: Pieces that a worker remembers in either of two generations: when one is full, it takes the place of the older.
+MEMO_PIECES = 400_000
+#: Pairs of tokens whose compatibility it remembers.
+MEMO_PAIRS = 1_000_000
 FAR = 1 << 31
 
 
@@ -147,7 +149,7 @@ class Encoder:
         Going down both merge trees from the border: no pair of neighbours across the border may
         have a merge that would have come before the merges that hide it.
         """
-        if len(self.pairs) > MEMO_PIECES:
+        if len(self.pairs) > MEMO_PAIRS:
             self.pairs.clear()
         fits = self.pairs[a, b] = self._compatible(a, b)
         return fits
@@ -201,25 +203,34 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
+        if len(self.memo) > MEMO_PIECES:
+            self.memo.age()
         s = text.decode("utf-8")
         split = self.general if self.beyond.search(s) else self.latin
-        return b"".join(map(memo.__getitem__, split.findall(s)))
+        return b"".join(map(self.memo.__getitem__, split.findall(s)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class _Memo(dict):
+    """Pieces to their packed ids; what is still asked for comes over from the older generation."""
+
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encoder.piece(piece.encode("utf-8"))
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.encoder.piece(piece.encode("utf-8"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
 
@@ -234,6 +245,11 @@ def _encoder(model) -> Encoder:
     return _ENCODERS[model.id]
 
 
+def forget_encoders() -> None:
+    """Frees what encoding has left in this worker, for stages that come after."""
+    _ENCODERS.clear()
+
+
 class _Broadcast:
     """A broadcast with its id, which the worker uses as a key."""
 

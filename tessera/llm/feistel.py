@@ -83,7 +83,13 @@ def token_ids(df: DataFrame, model: bpe.BpeModel, id_col: str = "doc_id", text_c
 
 
 def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int = STRIDE, dtype: str = DTYPE) -> tuple[DataFrame, int]:
-    """``df``'s ids and text with ``_first`` (the number of its first sequence), and the number of sequences.
+    """``df``'s ids and text with ``_first`` (the number of its first sequence), and the number of sequences."""
+    rows, run, schema, total = _numbering(df, ids, text_col, stride, dtype)
+    return map_arrow(rows, run, schema), total
+
+
+def _numbering(df: DataFrame, ids: list[str], text_col: str, stride: int, dtype: str):
+    """The rows to number, in order, and the function that does, with its schema and the number of sequences.
 
     Numbers are dense: the sums of the table's own partitions (one row each) give every partition its
     first number, and rows are ordered and numbered inside their partition, so that the text isn't
@@ -103,6 +109,7 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
     schema = T.StructType([*rows.schema.fields, T.StructField("_first", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget_encoders()
         at, whole = held.value.get(TaskContext.get().partitionId(), (0, 0))
         stop = at + whole
         for batch in batches:
@@ -116,7 +123,7 @@ def sequences(df: DataFrame, ids: list[str], text_col: str = "text", stride: int
         if at != stop:
             raise RuntimeError(f"a partition held {at - stop:+d} sequences against the count")
 
-    return map_arrow(rows, run, schema), total
+    return rows, run, schema, total
 
 
 def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE, end: int = END) -> DataFrame:
@@ -124,9 +131,15 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
 
     ``shard``; arrays of the ids, ``seq``, ``part`` (the place in the text) and ``slot``; ``tokens`` binary.
     """
+    rows = df.select(*ids, text_col, "_first")
+    return map_arrow(rows, *_dealing(rows.schema, ids, n, key, text_col, stride, per_shard, dtype, end))
+
+
+def _dealing(schema: T.StructType, ids: list[str], n: int, key: int, text_col: str, stride: int, per_shard: int, dtype: str, end: int):
+    """The function that ``slots`` applies to numbered rows, and its schema."""
     width = width_of(dtype)
     last, size = end.to_bytes(width, "little"), stride * width
-    arrays = [*[T.StructField(c, T.ArrayType(df.schema[c].dataType)) for c in ids], T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("part", T.ArrayType(T.IntegerType())), T.StructField("slot", T.ArrayType(T.LongType()))]
+    arrays = [*[T.StructField(c, T.ArrayType(schema[c].dataType)) for c in ids], T.StructField("seq", T.ArrayType(T.LongType())), T.StructField("part", T.ArrayType(T.IntegerType())), T.StructField("slot", T.ArrayType(T.LongType()))]
     fields = [T.StructField("shard", T.LongType()), *arrays, T.StructField("tokens", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +162,7 @@ def slots(df: DataFrame, ids: list[str], n: int, key: int, text_col: str = "text
                 packed = [pack.compress(b"".join(tokens[a:b])) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]]), *lists, pa.array(packed, pa.binary())], names=[f.name for f in fields])
 
-    return map_arrow(df.select(*ids, text_col, "_first"), run, T.StructType(fields))
+    return run, T.StructType(fields)
 
 
 def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE) -> DataFrame:
@@ -184,6 +197,7 @@ def write_shards(rows: DataFrame, ids: list[str], path: str, n: int, stride: int
         return pa.RecordBatch.from_arrays([*[c.take(at) for c in columns], pa.array(np.full(len(order), shard)), pa.array(slot[order] % per_shard * row), pa.array(crcs, pa.int64())], names=[f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget_encoders()
         os.makedirs(folder, exist_ok=True)
         now, blocks = None, []
         for batch in batches:  # ordered by shard
@@ -217,8 +231,10 @@ def read_slots(path: str, start: int, count: int, n: int, stride: int = STRIDE,
 
 def materialise(df: DataFrame, path: str, key: int, ids: list[str], text_col: str = "text", stride: int = STRIDE, per_shard: int = PER_SHARD, dtype: str = DTYPE, end: int = END) -> DataFrame:
     """All of the above: shards under ``path``; returns the index of what they hold."""
-    numbered, n = sequences(df, ids, text_col, stride, dtype)
-    return write_shards(slots(numbered, ids, n, key, text_col, stride, per_shard, dtype, end), ids, path, n, stride, per_shard, dtype)
+    rows, number, numbered, n = _numbering(df, ids, text_col, stride, dtype)
+    deal, schema = _dealing(numbered, ids, n, key, text_col, stride, per_shard, dtype, end)
+    dealt = map_arrow(rows, lambda batches: deal(number(batches)), schema)  # in one worker for each task
+    return write_shards(dealt, ids, path, n, stride, per_shard, dtype)
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

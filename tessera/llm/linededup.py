@@ -72,8 +72,9 @@ def near_lines(lines: DataFrame, first: DataFrame) -> DataFrame:
     ``first`` holds each distinct line's first place (``_first``, a struct that orders as places do).
     """
     half = F.ceil(F.col("_m") / 2)
-    shared = _bounded(materialize(_shared(_segment_keys(lines, half)), "line-halves"))
-    likely = materialize(_segment_keys(lines, half).select("_key", "_h").join(shared, "_key").select("_h").distinct(), "lines-likely")
+    halves = materialize(_segment_keys(lines, half).select("_key", "_h"), "line-half-keys")  # texts are cut once, and two longs of each read twice
+    shared = _bounded(materialize(_shared(halves), "line-halves"))
+    likely = materialize(halves.join(shared, "_key").select("_h").distinct(), "lines-likely")
     some = lines.select("_h", "_g", "_line", "_n").join(_bounded(likely), "_h", "left_semi").dropDuplicates(["_h", "_g"])
     some = materialize(some.join(first, ["_h", "_g"]), "lines-some")
     keys = _segment_keys(some, F.ceil(F.sqrt(F.col("_m")))).select("_key", "_h", "_g", "_m", "_j", "_size")

@@ -4,16 +4,16 @@
 distance map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms
 (with pixel packing), and gives an array of height x width x 4 bytes (R, G, B, A). ``encode`` writes such
 files from pixel arrays: flat eight-bit codes or prefix codes of measured lengths with back-references,
-colour cache and any of the transforms; ``smallest`` picks transform and cache by estimated size.
-Both follow the public specification of the format. Runs of literals with flat codes are read as arrays;
-everything else symbol by symbol.
+colour cache and any of the transforms. Both follow the public specification of the format. Runs of literals
+with flat codes are read as arrays; everything else symbol by symbol.
 
-``store`` puts texts into pixels: the payload's bytes are the samples of its pixels, row by row, and
-writes the files by ``smallest``.
+``store`` puts texts into pixels: the payload's bytes are the grey samples of an image, row by row. Images of
+up to 16 different samples are written with a palette (and packed pixels), others by ``encode_grey``, with green
+subtracted, so that a pixel is one symbol, and references among bytes.
 
 Defined results: a null text is an empty one, with a payload of 64 zeros; equal texts get equal files;
 repeated rows give repeated rows; an id of any type passes through; other columns are dropped. A payload
-of over 1 GiB, which exceeds the format's sides, takes several files, one behind the other.
+of over 256 MiB, which exceeds the format's sides, takes several files, one behind the other.
 """
 
 from __future__ import annotations
@@ -34,7 +34,9 @@ from .common import map_arrow, reader, text_chunks
 UNIT = 64
 MOST_SIDE = 1 << 14
 #: Bytes of a payload in one image.
-MOST_PAYLOAD = 4 * MOST_SIDE**2
+MOST_PAYLOAD = MOST_SIDE**2
+#: Bytes of a back-reference in a grey image, at least, and up to which lengths are found for all places at once.
+LEAST_COPY, SURE_COPY = 6, 32
 # Fixed values of the format: the order in which code length code lengths are stored.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 # Fixed values of the format: least and extra bits of the repeats of code lengths.
@@ -168,8 +170,11 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths[bits.take(8)] = 1
         return _code(tuple(lengths))
     own = [0] * 19
-    for k in range(4 + bits.take(4)):
-        own[LENGTH_ORDER[k]] = bits.take(3)
+    many = 4 + bits.take(4)
+    packed = bits.take(3 * many)
+    for k in LENGTH_ORDER[:many]:
+        own[k] = packed & 7
+        packed >>= 3
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
     code, at, last = _code(tuple(own)), 0, 8
     table, mask, p, most, w = code.table, (1 << code.bits) - 1, bits.at, -1, 0
@@ -224,9 +229,63 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if meta is None and not cache_bits and all(c.flat for c in groups[0][:4]):
         grba = _REVERSED[bits.bytes_from_here(4 * len(out))].reshape(-1, 4).astype(np.uint32)
         return grba[:, 3] << 24 | grba[:, 1] << 16 | grba[:, 0] << 8 | grba[:, 2]
+    if meta is None and not cache_bits and groups[0][0].bits and not any(c.bits for c in groups[0][1:4]):
+        return _read_one_channel(bits, width, len(out), groups[0])
     return np.array(_read_symbols(bits, width, len(out), groups, meta, scale, cache_bits), np.uint32)
 
 
+def _read_one_channel(bits: Bits, width: int, total: int, group: list[Code]) -> np.ndarray:
+    """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green."""
+    out, data, p = bytearray(), bits.data, bits.at
+    table, mask, far, far_mask = group[0].table, (1 << group[0].bits) - 1, group[4].table, (1 << group[4].bits) - 1
+    append, number = out.append, int.from_bytes
+    left, w, held, end = total, 0, 0, p
+    while left > 0:
+        if held < 58:  # room for the longest item; the bits held end at ``end``
+            p = end - held
+            w, end = number(data[p >> 3 : (p >> 3) + 24], "little") >> (p & 7), (p | 7) + 185
+            held = end - p
+        e = table[w & mask]
+        n = e & 15
+        if e < 4096:  # a symbol below 256
+            append(e >> 4)
+            w >>= n
+            held -= n
+            left -= 1
+            continue
+        s = (e >> 4) - 256
+        w >>= n
+        length, wide = s + 1, 0
+        if s > 3:
+            wide = (s - 2) >> 1
+            length += ((2 + (s & 1)) << wide) + (w & ((1 << wide) - 1)) - s
+            w >>= wide
+        e = far[w & far_mask]
+        w >>= e & 15
+        n += wide + (e & 15)
+        s = e >> 4
+        code, wide = s + 1, 0
+        if s > 3:
+            wide = (s - 2) >> 1
+            code += ((2 + (s & 1)) << wide) + (w & ((1 << wide) - 1)) - s
+            w >>= wide
+        held -= n + wide
+        distance, at = code - 120, len(out)
+        if code <= 120:
+            x, y = NEAR[code - 1]
+            distance = max(1, x + y * width)
+        if distance > at or length > left:
+            raise ValueError("a reference out of the image")
+        if distance >= length:
+            out += out[at - distance : at - distance + length]
+        else:
+            out += (out[at - distance :] * (length // distance + 1))[:length]
+        left -= length
+    bits.at = end - held
+    red, blue, alpha = (c.table[0] >> 4 for c in group[1:4])
+    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+
+
 def _read_symbols(bits: Bits, width: int, total: int, groups: list[list[Code]], meta: np.ndarray | None, scale: int, cache_bits: int) -> list[int]:
     """Pixels symbol by symbol, from 64-bit windows that begin at each byte of a piece of the data."""
     out, at, put, shift = [0] * total, 0, 0, 32 - cache_bits
@@ -660,6 +719,11 @@ def _put_items(w: BitWriter, items: Items, tables: list[tuple[np.ndarray, np.nda
         v |= turned[sample] << n
         n += wide[sample]
     value[items.plain], size[items.plain] = v, n
+    _put_bits(w, value, size)
+
+
+def _put_bits(w: BitWriter, value: np.ndarray, size: np.ndarray) -> None:
+    """Many values of at most 60 bits each."""
     for start in range(0, len(value), PIECE):
         v, n = np.append(w.value, value[start : start + PIECE]).astype(np.uint64), np.append(w.n, size[start : start + PIECE])
         end = np.cumsum(n)
@@ -732,37 +796,97 @@ def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references
     return _riff([(b"VP8L", w.done())])
 
 
-def smallest(image: np.ndarray) -> bytes:
-    """``encode`` with back-references and whichever of the transforms and sizes of the colour cache is estimated to take least.
+def _matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """Back-references among bytes, greedily: place, length and distance, to the last place that has the same four, or by runs of three."""
+    n, data = len(samples), samples.tobytes()
+    words = np.lib.stride_tricks.sliding_window_view(np.append(samples, np.zeros(8, np.uint8)), 8).copy().view("<u8").reshape(-1)
+    key = np.sort(words[: n - 3] << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
+    again = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
+    last = np.full(n, -1, np.int64)
+    order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    last[order[again + 1]] = order[again]
+    same = samples[1:] == samples[:-1]
+    runs = np.flatnonzero(same[:-2] & same[1:-1] & same[2:]) + 1
+    last[runs] = runs - 1
+    place = np.flatnonzero((last >= 0) & (np.arange(n) - last <= FARTHEST))
+    before = last[place]
+    length, active = np.zeros(len(place), np.int64), np.arange(len(place))
+    for k in range(0, SURE_COPY, 8):
+        differ = words[np.minimum(place[active] + k, n)] ^ words[np.minimum(before[active] + k, n)]
+        # The lowest bit that differs tells the bytes that don't.
+        lowest = np.frexp((differ & (~differ + np.uint64(1))).astype(np.float64))[1] - 1
+        length[active] += np.where(differ == 0, 8, lowest >> 3)
+        active = active[differ == 0]
+    length = np.minimum(length, n - place)
+    good = (length >= LEAST_COPY) | (place - before == 1)
+    out, free = [], 0
+    for i, j, most in zip(place[good].tolist(), before[good].tolist(), length[good].tolist(), strict=True):
+        if i < free:
+            continue
+        if most >= SURE_COPY:
+            end, step = min(MOST_COPY, n - i), 32
+            while most < end and (step := min(step, end - most)):
+                if data[i + most : i + most + step] == data[j + most : j + most + step]:
+                    most, step = most + step, 2 * step
+                elif step == 1:
+                    break
+                else:
+                    step //= 2
+        out.append((i, most, i - j))
+        free = i + most
+    return out
 
-    Tried are no transform, subtract-green, and a palette where there are at most 256 colours, and the best of
-    them with and without a colour cache. References are the same for all, as pixels stay equal or different.
-    """
-    height, width = image.shape[:2]
-    c = image.reshape(-1, 4).astype(np.uint32)
-    pixels = c[:, 3] << 24 | c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
-    copies = _copies(pixels)
-    table, index = np.unique(pixels, return_inverse=True)
-    if len(table) <= 16:
-        return encode(image, False, 0, True, (PALETTE,))
-    tried = [(None, pixels, 0.0), (GREEN, _green(pixels, -1), 0.0)]
-    if len(table) <= 256:
-        apart = _packed(np.diff(_channels(table), axis=0, prepend=0))
-        tried.append((PALETTE, np.uint32(0xFF000000) | index.reshape(-1).astype(np.uint32) << np.uint32(8), _items(apart, len(table), [], 0).cost()))
-    found = [(_items(p, width, copies, 0), way, p, more) for way, p, more in tried]
-    items, way, p, _ = min(found, key=lambda f: f[0].cost() + f[3])
-    bits = min(10, max(1, len(p).bit_length() - 3))
-    cached = _items(p, width, copies, bits)
-    items, bits = (cached, bits) if cached.cost() < items.cost() else (items, 0)
-    w = _header(width, height)
-    if way is not None:
-        w.put(1, 1)
-        w.put(way, 2)
-    if way == PALETTE:
-        w.put(len(table) - 1, 8)
-        _write_image(w, apart, len(table), False)
-    w.put(0, 1)
-    _write_image(w, p, width, True, bits, items=items)
+
+def _prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_prefix_of`` for many: symbols, extra bits and their numbers."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> extra & 1)), v & ((1 << extra) - 1), extra
+
+
+@functools.lru_cache(maxsize=16)
+def _near_codes(width: int) -> np.ndarray:
+    """Codes of the distances that have a short one; 0 elsewhere."""
+    out = np.zeros(8 * width + 16, np.int64)
+    for distance, code in _near(width).items():
+        out[distance] = code
+    return out
+
+
+def encode_grey(samples: np.ndarray, width: int) -> bytes:
+    """A lossless WebP file of a grey image (red, green and blue alike): green subtracted, a prefix code and back-references."""
+    w, n = _header(width, len(samples) // width), len(samples)
+    w.put(1, 1)
+    w.put(GREEN, 2)
+    w.put(0, 3)  # no further transform, colour cache or meta codes
+    found = np.array(_matches(samples), np.int64).reshape(-1, 3)
+    at, length, distance = found.T
+    inside = np.zeros(n + 1, np.int64)
+    inside[at] += 1
+    inside[at + length] -= 1
+    plain = np.cumsum(inside[:-1]) == 0
+    plain[at] = True
+    starts = np.flatnonzero(plain)
+    copy = np.zeros(n, bool)
+    copy[at] = True
+    copy = copy[starts]
+    first = samples[starts].astype(np.int64)
+    symbol, bits, wide = _prefixes_of(length)
+    first[copy] = 256 + symbol
+    near = _near_codes(width)
+    code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
+    far, far_bits, far_wide = _prefixes_of(np.where(code > 0, code, distance + 120))
+    green = _write_code(w, _lengths(np.bincount(first, minlength=280), 15))
+    w.put(0b1_0001_0001 | 0b10 << 9 | 255 << 11, 19)  # codes of one symbol: red 0, blue 0, alpha 255
+    distances = _write_code(w, _lengths(np.bincount(far, minlength=40), 15))
+    value, size = green[0][first], green[1][first]
+    v, k = value[copy], size[copy]
+    for more, room in ((bits, wide), (distances[0][far], distances[1][far]), (far_bits, far_wide)):
+        v |= more << k
+        k += room
+    value[copy], size[copy] = v, k
+    _put_bits(w, value, size)
     return _riff([(b"VP8L", w.done())])
 
 
@@ -774,7 +898,7 @@ def _riff(chunks: list[tuple[bytes, bytes]]) -> bytes:
 def to_media(payload: bytes) -> bytes:
     """A payload (a positive multiple of 64 bytes) as a lossless WebP file.
 
-    Rows are 64 bytes (16 pixels) wide, or a power of two times that where the image would be too high;
+    A byte is a grey pixel. Rows are 64 pixels wide, or a power of two times that where the image would be too high;
     then the last row may be padded, and a chunk of our own, which readers skip, tells the length. What one
     image can't hold goes on in a further file behind the first.
     """
@@ -786,8 +910,13 @@ def _to_file(payload: bytes) -> bytes:
     while -(-len(payload) // wide) > MOST_SIDE:
         wide *= 2
     short = -len(payload) % wide
-    image = np.frombuffer(payload + b"\0" * short, np.uint8).reshape(-1, wide // 4, 4)
-    file = smallest(image)
+    samples = np.frombuffer(payload + b"\0" * short, np.uint8)
+    if np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
+        grey = np.repeat(samples, 4).reshape(-1, wide, 4)
+        grey[..., 3] = 255
+        file = encode(grey, False, 0, True, (PALETTE,))
+    else:
+        file = encode_grey(samples, wide)
     return _riff([(b"VP8L", file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]), (b"LENG", struct.pack("<Q", len(payload)))]) if short else file
 
 
@@ -799,19 +928,15 @@ def from_media(media: bytes) -> tuple[bytes, list[np.ndarray]]:
         at += len(file)
         images.append(decode(file))
         more = 20 + (struct.unpack_from("<I", file, 16)[0] + 1 & ~1)
-        payload.append(images[-1].tobytes()[: struct.unpack_from("<Q", file, more + 8)[0] if file[more : more + 4] == b"LENG" else None])
+        payload.append(images[-1][..., 1].tobytes()[: struct.unpack_from("<Q", file, more + 8)[0] if file[more : more + 4] == b"LENG" else None])
     return b"".join(payload), images
 
 
 def feature(images: list[np.ndarray]) -> str:
-    """Sides, the mean of each channel, and the number of different samples."""
-    sums, many, seen = np.zeros(4), 0, np.zeros(256, np.int64)
-    for image in images:
-        sums += image.reshape(-1, 4).sum(0)
-        many += image.size // 4
-        seen += np.bincount(image.reshape(-1), minlength=256)
+    """Sides, the mean of the samples, and the number of different ones."""
+    seen = sum(np.bincount(image[..., 1].reshape(-1), minlength=256) for image in images)
     sides = " ".join(f"{i.shape[1]}x{i.shape[0]}" for i in images)
-    return f"{sides} " + " ".join(f"{m:.3f}" for m in sums / many) + f" {np.count_nonzero(seen)}"
+    return f"{sides} {(seen @ np.arange(256)) / seen.sum():.3f} {np.count_nonzero(seen)}"
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

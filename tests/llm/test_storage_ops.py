@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -241,6 +242,75 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and ids, near copies; each stage against plain code."""
+    from test_dedup_ops import jaccard_brute, near
+
+    real = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    long = " ".join(real)[:60_000]
+    rows = [(i, t, "en", "abc"[i % 3], len(t)) for i, t in enumerate(real)]
+    rows += [rows[3], rows[3], (3, "another text under an id that is taken, with words of its own", None, None, None), (None, real[5], "fr", "a", 1), (None, None, None, None, None)]
+    rows += [(50, "", "en", "a", 0), (51, " \n\t", "en", "a", 3), (52, long, "en", None, len(long)), (53, long + " and more", "en", "b", 1), (54, real[7] + " changed", None, "c", 2), (55, "x" * 70_000, "de", "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda r: tuple(str(x) for x in r)
+    stages = dict(corpus_pipeline.STAGES)
+    # 1: rows go or stay whole; what is null or has no letter goes.
+    kept = stages["language_id"](spark, df, "").collect()
+    assert set(map(key, kept)) <= set(map(key, rows)) and not any(r["text"] is None or not r["text"].strip() for r in kept)
+    assert sum(r["text"] in real for r in kept) == sum(r[1] in real for r in rows)
+    # 2: lines against all earlier lines.
+    got = stages["line_dedup"](spark, df, "").collect()
+    place = sorted(((i is not None, i or 0), n, line) for i, t, *_ in set(rows) if t is not None for n, line in enumerate(t.split("\n")) if line.strip(" \t"))
+    want = []
+    for r in rows:
+        mine = [] if r[1] is None else r[1].split("\n")
+        left = "\n".join(x for n, x in enumerate(mine) if not x.strip(" \t") or not any(p[:2] < ((r[0] is not None, r[0] or 0), n) and abs(len(p[2]) - len(x)) < 2 and near(x, p[2]) for p in place))
+        if left:
+            want.append((r[0], left, r[2], r[3], len(left)))
+    assert sorted(map(key, got)) == sorted(map(key, want))
+    # 3: one row for each component, of the smallest id.
+    got = stages["jaccard_join"](spark, df, "").collect()
+    parts = [(k, r[1]) for k, r in enumerate(rows)]
+    groups: dict[str, list[int]] = {}
+    for i, n, c in jaccard_brute(parts):
+        groups.setdefault(c if n else f"own {i}", []).append(int(i))
+    least = lambda g: min(g, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == sorted((str(rows[least(g)][0]), str(rows[least(g)][1])) for g in groups.values())
+    # 4: rows come whole, three times at most. 5: ids decode to the texts.
+    got = stages["mixing"](spark, df, "").collect()
+    assert set(map(key, got)) <= set(map(key, rows)) and all(n <= 3 * sum(key(r) == k for r in rows) for k, n in Counter(map(key, got)).items())
+    got = stages["bpe"](spark, df, "").collect()
+    assert len(got) == len(rows) and all(r["decodes"] for r in got) and {str(r["doc_id"]) for r in got} == {str(r[0]) for r in rows}
+
+
+def test_training_order_against_plain_slots(spark, tmp_path):
+    """Slots by a Feistel network on plain numbers, and digests of the sequences that the shards hold."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, bytearray(rng.integers(0, 60_000, int(rng.integers(0, 90))).astype("<u2").tobytes())) for i in range(50)], "doc_id long, ids binary")
+    index = feistel.materialise(df, f"file://{tmp_path}/o", 77, ["doc_id"], "ids", stride=16, per_shard=8, dtype="uint16", end=60_001).collect()
+    n = len(index)
+    half = ((n - 1).bit_length() + 1) // 2
+
+    def plain(x):
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for r in range(feistel.ROUNDS):
+                v = (right ^ int.from_bytes(hashlib.sha256(f"77/{r}".encode()).digest()[:8], "little")) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                v = (v ^ v >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+                left, right = right, left ^ (v ^ v >> 32) & (1 << half) - 1
+            x = left << half | right
+            if x < n:
+                return x
+
+    texts = {r["doc_id"]: bytes(r["ids"]) for r in df.collect()}
+    end = (60_001).to_bytes(2, "little")
+    assert sorted(r["seq"] for r in index) == list(range(n))
+    for r in index:
+        tokens = texts[r["doc_id"]][r["part"] * 32 : r["part"] * 32 + 32]
+        assert r["slot"] == plain(r["seq"]) and r["crc"] == zlib.crc32(tokens + end * ((32 - len(tokens)) // 2))
+        assert (r["shard"], r["offset"]) == (r["slot"] // 8, r["slot"] % 8 * 32)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

@@ -1,6 +1,7 @@
 """BPE, mixing, language ID, quality: against other implementations, brute force and held-out accuracy."""
 
 import hashlib
+import math
 import random
 
 import duckdb
@@ -156,6 +157,35 @@ def test_language_rejects_what_it_has_not_learned(spark):
     assert langid.filter_known(docs, model).count() == docs.count()
 
 
+def test_language_against_plain_cosines(spark):
+    """Counts, TF-IDF, cosines and limits of the fitted model, gram by gram."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    table = docs.select("doc_id", "text").where("doc_id % 25 = 0").unionByName(odd_rows(spark).select("doc_id", "text").where("length(text) < 1000 or text is null"))
+    slot = lambda code: (code * 2654435761 & 0xFFFFFFFF) >> 19
+
+    def plain(text):
+        if text is None or not any(c.isalpha() for c in text):
+            return "und", 0.0, True
+        words = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()).split()
+        data, counts = b" " + b" ".join(words) + b" ", {}
+        for order in (1, 2, 3):
+            for i in range(len(data) - order + 1):
+                code = int.from_bytes(data[i : i + order], "big") + (order << 25) + (1 << 24 if order == 2 else 0)
+                counts[slot(code)] = counts.get(slot(code), 0) + 1
+        weight = {g: math.log1p(n) * float(model.idf[g]) for g, n in counts.items()}
+        norm = math.sqrt(sum(v * v for v in weight.values()))
+        cosines = [sum(v * float(c[g]) for g, v in weight.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        return model.langs[best], cosines[best], cosines[best] < max(model.least, float(model.limits[best, len(counts).bit_length()]))
+
+    want = sorted((str(r["doc_id"]), *plain(r["text"])) for r in table.collect())
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"], r["rejected"]) for r in langid.predict(table, model).collect())
+    assert len(got) == len(want) > 40
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4) and g[3] == w[3]
+
+
 def test_language_counts_whole_texts():
     rng = random.Random(2)
     text = "".join(rng.choice("abc dé") for _ in range(2_500_000)).encode()
@@ -179,6 +209,34 @@ def test_quality(spark):
     assert quality.score(docs.limit(2), quality.fit(docs, labels.limit(0))).first()["score"] == 0.5
 
 
+def test_quality_against_plain_margins(spark):
+    """Indicators, class ratios, margins and the curve, gram by gram."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    hashed = lambda code: (code * 2654435761 & 0xFFFFFFFF) >> 16
+
+    def grams(text):
+        b = (text or "").encode()
+        turn = lambda k: 0 if k == 1 else k * 0x9E3779B1 & 0xFFFFFFFF
+        return sorted({hashed(int.from_bytes(b[i : i + k], "big") ^ turn(k)) for k in (1, 2, 3, 4) for i in range(len(b) - k + 1)})
+
+    known = [(r["quality"], grams(r["text"])) for r in docs.join(labels, "doc_id").collect()]
+    counts = [[1.0] * quality.FEATURES for _ in range(2)]
+    for label, at in known:
+        for g in at:
+            counts[label][g] += 1
+    whole = [sum(c) for c in counts]
+    ratio = [math.log(counts[1][g] / whole[1]) - math.log(counts[0][g] / whole[0]) for g in range(quality.FEATURES)]
+    assert model.ratio == pytest.approx(np.array(ratio), abs=1e-9)
+    rows = docs.select("doc_id", "text").limit(40).collect() + [(-1, None), (-2, ""), (-3, "é")]
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc_id, text in rows:
+        at = grams(text)
+        norm = max(math.sqrt(sum(ratio[g] ** 2 for g in at)), 1e-12)
+        margin = sum(float(model.weights[g]) * ratio[g] / norm for g in at) + float(model.weights[-1])
+        assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), abs=1e-9)
+
+
 def test_quality_optimum():
     rng = np.random.default_rng(0)
     rows = [(np.sort(rng.choice(50, 8, replace=False)), rng.normal(size=8)) for _ in range(40)]

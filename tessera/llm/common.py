@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ship import ship
@@ -19,9 +19,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where that is unset, in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -84,26 +86,3 @@ def crc_of_id(column: str) -> Column:
 def buckets_for(spark: SparkSession) -> int:
     """Hash buckets of the blob shuffles: a few for each shuffle partition, which are sized to the input."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running_total(df: DataFrame, value: str, group: list[str], order: list[Column], bucket: Column, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the same group that stand before this one.
-
-    ``bucket`` is a coarse non-decreasing function of the order. Bucket sums are pre-aggregated and
-    accumulated, and rows are only ordered inside their bucket, so that a group that holds most rows
-    is spread over as many tasks as it has buckets. Rows that tie in the whole order are taken in any
-    order; they are interchangeable if the order covers every column that is used later.
-    """
-    df = df.withColumn("_bucket", bucket)
-    keys = [*group, "_bucket"]
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*keys).agg(F.sum(value).alias("_sum")).withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    offsets = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_offset")
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    match = [F.col(k).eqNullSafe(F.col(f"_o{i}")) for i, k in enumerate(keys)]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    joined = df.join(offsets, condition, "left")
-    return joined.withColumn(out, F.col("_offset") + F.col("_within")).drop("_bucket", "_within", "_offset", *[f"_o{i}" for i in range(len(keys))])

@@ -666,15 +666,6 @@ class Items:
         parts = [self.first, *[(self.colours >> k & 255) + n + 256 * j for j, k in enumerate((16, 0, 24))], np.array([f[2] for f in self.far], np.int64) + n + 768]
         return np.split(np.bincount(np.concatenate(parts), minlength=n + 808), (n, n + 256, n + 512, n + 768))
 
-    def cost(self) -> float:
-        """About the bits that it takes: entropy, extra bits, and the lengths of the codes."""
-        counts = self.counts()
-        c = np.concatenate(counts)
-        c = c[c > 0]
-        whole = np.array([x.sum() for x in counts])
-        whole = whole[whole > 0]
-        return float((whole * np.log2(whole)).sum() - (c * np.log2(c)).sum()) + 4 * len(c) + sum(f[1] + f[4] for f in self.far)
-
 
 def _items(pixels: np.ndarray, width: int, copies: list[tuple[int, int, int]], cache_bits: int) -> Items:
     n = len(pixels)

@@ -6,7 +6,8 @@ sources sorted by the level at which they fill). A source also has a schedule, i
 time. The integral of the schedule, scaled to the target, is the source's cumulative demand. A source's
 documents stand in an order given by a hash of their id; repeats follow as further passes. The copy whose
 middle word meets the demand at time t is trained at position t: the demand is inverted in closed form.
-Range-sorting the copies by position gives the training order.
+Range-sorting the copies by position gives the training order: ``mix`` sorts them without their texts, numbers
+them (``places``) and gathers them by document; ``training_order`` sorts them with all of their columns.
 
 Defined results: a null or empty text has size 0; a source without words takes nothing and has target 0;
 a null source is a source of its own and comes last; repeated rows count separately (rows that tie are
@@ -80,7 +81,7 @@ def _placed(df: DataFrame, slim: DataFrame, weights, schedules, cap: int, digits
 
     The order inside a source is by md5 of the id. Its first ``digits`` hex digits cut a source into
     parts, so that a source with most of the rows is still ordered and summed in many tasks; part sums
-    are aggregated first and accumulated in a table of (source, part).
+    are aggregated first and accumulated in a table of (source, part). Rows that tie go by ``_row``, if there is one.
     """
     part = lambda d: d.withColumn("_hash", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary"))).withColumn("_part", F.substring("_hash", 1, digits))
     parts = part(slim).groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"))
@@ -89,7 +90,7 @@ def _placed(df: DataFrame, slim: DataFrame, weights, schedules, cap: int, digits
     src = targets(slim.groupBy("_source").agg(F.sum("_size").alias("source_size")), "_source", weights, cap)
     src = src.select(F.col("_source").alias("_s2"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_turn")
     offsets = offsets.join(src, F.col("_s").eqNullSafe(F.col("_s2"))).drop("_s2")
-    within = Window.partitionBy("_source", "_part").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_part").orderBy("_hash", "_id", "_size", *[c for c in df.columns if c == "_row"]).rowsBetween(Window.unboundedPreceding, -1)
     rows = part(df).withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     rows = rows.join(offsets, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
     # A copy is taken if its middle lies within the target.
@@ -106,16 +107,40 @@ def mix(
     df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
     weights: Sequence[int] = WEIGHTS, schedules=SCHEDULES, cap: int = CAP, digits: int = 3,
 ) -> DataFrame:
-    """What the mix takes of each document: id, source, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``positions``.
+    """What the mix takes of each document: id, source, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``positions``, ``places``.
 
-    The text is read once, for the sizes, which are written; nothing else is shuffled but those.
+    ``places`` are the copies' numbers in the training order, from 0. The text is read once, for the sizes, which
+    are written; nothing else is shuffled but those.
     """
-    slim = materialize(df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("_size")), "mix-sizes")
-    out = _placed(slim, slim, weights, schedules, cap, digits)
-    names = ("size", "source_size", "target", "copies", "taken", "positions")
+    sizes = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size_of(F.col(text_col)).alias("_size"), F.monotonically_increasing_id().alias("_row"))
+    slim = materialize(sizes, "mix-sizes")
+    copies = _numbered(_placed(slim, slim, weights, schedules, cap, digits))
+    kept = ["_id", "_source", "_size", "_source_size", "_target"]
+    out = copies.groupBy("_row").agg(*[F.first(c).alias(c) for c in kept], F.count("_at").cast("int").alias("_copies"), F.sort_array(F.collect_list(F.when(F.col("_at").isNotNull(), F.struct("_at", "_place")))).alias("_all"))
+    out = out.withColumn("_taken", F.col("_copies") * F.col("_size")).withColumn("_positions", F.col("_all._at")).withColumn("_places", F.col("_all._place"))
+    names = ("size", "source_size", "target", "copies", "taken", "positions", "places")
     return out.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[F.col(f"_{n}").alias(n) for n in names])
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """A row for each copy, range-sorted by position, with ``_at`` and its number ``_place``; documents without copies have one row, last, with nulls.
+
+    The sorted copies are written with their partition and their place in it; the partitions' counts, a
+    row each, are accumulated to the partitions' first numbers.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("_at").asc_nulls_last(), F.col("_hash"), F.col("_row")]
+    rows = rows.select("_row", "_id", "_source", "_size", "_source_size", "_target", "_hash", F.explode_outer("_positions").alias("_at"))
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_hash")
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(rows.withColumn("_in", F.spark_partition_id()).withColumn("_nth", inside), "mix-order")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(F.col("_in").alias("_p")).agg(F.count(F.lit(1)).alias("_many"))
+    firsts = counts.select("_p", F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"))
+    rows = rows.join(F.broadcast(firsts), F.col("_in") == F.col("_p"))
+    return rows.withColumn("_place", F.when(F.col("_at").isNotNull(), F.col("_first") + F.col("_nth")))
+
+
 def _packed(rows: DataFrame, pack: bool) -> DataFrame:
     """``_text`` compressed, row by row, or as it was. The text is shuffled twice, by part and by position."""
     schema = T.StructType([T.StructField("_text", T.BinaryType() if pack else T.StringType()) if f.name == "_text" else f for f in rows.schema.fields])

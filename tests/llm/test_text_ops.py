@@ -111,6 +111,19 @@ def test_training_order_by_position_and_with_clashing_columns(spark):
     assert [r[0] for r in got] == [i for _, _, i in placed] and set(got) <= set(rows)
 
 
+def test_mix_numbers_copies_by_range_sort(spark):
+    rows = [(i % 290 if i % 13 else None, "abc"[i % 3] if i % 17 else None, "w " * (i % 7) if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    out = mixing.mix(df).collect()
+    assert len(out) == 300
+    copies = sorted((place, at, r["doc_id"], r["source"]) for r in out for at, place in zip(r["positions"], r["places"], strict=True))
+    assert [c[0] for c in copies] == list(range(sum(r["copies"] for r in out)))
+    assert [c[1] for c in copies] == sorted(c[1] for c in copies)
+    unique = df.where("doc_id is not null").dropDuplicates(["doc_id"])
+    placed = sorted((place, r["doc_id"]) for r in mixing.mix(unique).collect() for place in r["places"])
+    assert [r["doc_id"] for r in mixing.training_order(unique).collect()] == [i for _, i in placed]
+
+
 def test_mixing_odd_rows_and_sql(spark):
     df = odd_rows(spark)
     assert mixing.mix(df).count() == 9 and mixing.mix(df.limit(0)).count() == 0

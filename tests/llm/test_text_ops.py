@@ -46,6 +46,18 @@ def test_bpe_equals_the_library(model, library):
         assert encoder.decode(ids) == t.encode()
 
 
+def test_bpe_of_texts_encoded_together_equals_the_library(model, library):
+    rng, encoder = random.Random(2), bpe.Encoder(model)
+    parts = ["'s", "'re", "'ve", "'l", "'ll", "'r", "'", "e", "l", " ", "  ", "\n", "\xa0", "　", "é", "ß", "漢", "🎉", "1", "½", "!", "the", "\0", "schheit", "thwhlyou", "x" * 80]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    for _ in range(2):  # the second time from memory
+        ids, begin = encoder.encode_texts([t.encode() for t in texts])
+        assert len(begin) == len(texts) + 1 and begin[-1] == len(ids)
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    words = sorted({"".join(rng.choice("abcdeinrst") for _ in range(rng.randint(2, 30))).encode() for _ in range(3000)})
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.pieces(words)] == [encoder.piece(w) for w in words]
+
+
 def test_bpe_rows(spark, model, library):
     out = bpe.encode(odd_rows(spark), model, decode=True).collect()
     assert len(out) == 9

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,8 @@ FLAT = [8] * 256
 HASH = 0x1E35A7BD
 #: Bytes of a file that are read at a time, and symbols that are written at a time.
 PIECE = 1 << 16
+#: Bytes of a one-channel image that are looked up at a time.
+ONE_PIECE = 1 << 14
 FARTHEST = (1 << 20) - 120
 MOST_COPY = 4096
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
@@ -125,20 +128,24 @@ def _turned(n: int) -> np.ndarray:
 
 
 class Code:
-    """A canonical prefix code for reading: ``table`` has, for the next ``bits`` bits, symbol << 4 | length."""
+    """A canonical prefix code for reading: ``entries`` (and ``table``, a list) has, for the next ``bits`` bits, symbol << 4 | length."""
 
     def __init__(self, lengths: list[int]) -> None:
         n = np.asarray(lengths)
         used = np.flatnonzero(n)
         self.flat = lengths[:256] == FLAT and not any(lengths[256:])
         if len(used) < 2:
-            self.bits, self.table = 0, [int(used[0]) << 4 if len(used) else 0]
+            self.bits, self.entries = 0, np.array([int(used[0]) << 4 if len(used) else 0], np.int32)
             return
         if (1 << (15 - n[used])).sum() != 1 << 15:
             raise ValueError("a prefix code that isn't complete")
         used = used[np.argsort(n[used], kind="stable")]
         self.bits = int(n.max())
-        self.table = np.repeat(used << 4 | n[used], 1 << (self.bits - n[used]))[_turned(self.bits)].tolist()
+        self.entries = np.repeat((used << 4 | n[used]).astype(np.int32), 1 << (self.bits - n[used]))[_turned(self.bits)]
+
+    @functools.cached_property
+    def table(self) -> list[int]:
+        return self.entries.tolist()
 
     def read(self, bits: Bits) -> int:
         found = self.table[bits.take(self.bits)]
@@ -235,55 +242,106 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 
 def _read_one_channel(bits: Bits, width: int, total: int, group: list[Code]) -> np.ndarray:
-    """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green."""
-    out, data, p = bytearray(), bits.data, bits.at
-    table, mask, far, far_mask = group[0].table, (1 << group[0].bits) - 1, group[4].table, (1 << group[4].bits) - 1
-    append, number = out.append, int.from_bytes
-    left, w, held, end = total, 0, 0, p
-    while left > 0:
-        if held < 58:  # room for the longest item; the bits held end at ``end``
-            p = end - held
-            w, end = number(data[p >> 3 : (p >> 3) + 24], "little") >> (p & 7), (p | 7) + 185
-            held = end - p
-        e = table[w & mask]
-        n = e & 15
-        if e < 4096:  # a symbol below 256
-            append(e >> 4)
+    """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green.
+
+    The code's table is looked up at every bit of a piece of the data at once; then symbols are followed from one to the
+    next, literals by fours where four come together. Literals are put in their places together, references in their order.
+    """
+    data, p, number = bits.data, bits.at, int.from_bytes
+    entries, mask = group[0].entries, (1 << group[0].bits) - 1
+    far, far_mask = group[4].table, (1 << group[4].bits) - 1
+    symbols, copies = [], []  # literals by piece; place, length and distance of references
+    at = 0
+    while at < total:
+        base = p & ~7
+        raw = np.frombuffer(data[base >> 3 : (base >> 3) + ONE_PIECE + 3], np.uint8)
+        many = min(ONE_PIECE, len(raw)) or ONE_PIECE  # zeros past the end
+        raw = np.concatenate([raw, np.zeros(many + 3 - len(raw), np.uint8)]) if len(raw) < many + 3 else raw
+        wide = raw.astype(np.int32)
+        wide = wide[:many] | wide[1 : many + 1] << 8 | wide[2 : many + 2] << 16
+        found = entries[(wide[:, None] >> np.arange(8, dtype=np.int32)) & mask].reshape(-1)
+        # Bits of the literal that begins at each bit and of the four literals that do; 0 if there are none, or past the end.
+        one, here = np.zeros(8 * many + 64, np.uint8), np.arange(8 * many)
+        one[: 8 * many] = np.where(found < 4096, found & 15, 0)
+        four = one.copy()
+        for _ in range(2):
+            now = four[: 8 * many]
+            more = four[here + now]
+            four[: 8 * many] = np.where((now > 0) & (more > 0), now + more, 0)
+        step, steps = one.tobytes(), four.tobytes()
+        places: list[int] = []
+        put, q, end = places.append, p - base, 8 * many
+        while True:
+            before = len(places)
+            while n := steps[q]:
+                put(q)
+                q += n
+            at += 3 * (len(places) - before)
+            while n := step[q]:
+                put(q)
+                q += n
+            at += len(places) - before
+            if at >= total or q >= end:
+                break
+            # A reference, of at most 58 bits.
+            p = base + q
+            w = number(data[p >> 3 : (p >> 3) + 9], "little") >> (p & 7)
+            e = int(found[q])
+            s, n = (e >> 4) - 256, e & 15
             w >>= n
-            held -= n
-            left -= 1
-            continue
-        s = (e >> 4) - 256
-        w >>= n
-        length, wide = s + 1, 0
-        if s > 3:
-            wide = (s - 2) >> 1
-            length += ((2 + (s & 1)) << wide) + (w & ((1 << wide) - 1)) - s
-            w >>= wide
-        e = far[w & far_mask]
-        w >>= e & 15
-        n += wide + (e & 15)
-        s = e >> 4
-        code, wide = s + 1, 0
-        if s > 3:
-            wide = (s - 2) >> 1
-            code += ((2 + (s & 1)) << wide) + (w & ((1 << wide) - 1)) - s
-            w >>= wide
-        held -= n + wide
-        distance, at = code - 120, len(out)
-        if code <= 120:
-            x, y = NEAR[code - 1]
-            distance = max(1, x + y * width)
-        if distance > at or length > left:
-            raise ValueError("a reference out of the image")
+            length, extra = s + 1, 0
+            if s > 3:
+                extra = (s - 2) >> 1
+                length += ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) - s
+                w >>= extra
+            e = far[w & far_mask]
+            w >>= e & 15
+            n += extra + (e & 15)
+            s = e >> 4
+            code, extra = s + 1, 0
+            if s > 3:
+                extra = (s - 2) >> 1
+                code += ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) - s
+            q += n + extra
+            distance = code - 120
+            if code <= 120:
+                x, y = NEAR[code - 1]
+                distance = max(1, x + y * width)
+            if distance > at or length > total - at:
+                raise ValueError("a reference out of the image")
+            copies.append((at, length, distance))
+            at += length
+            if at == total or q >= end:
+                break
+        grid = np.zeros((len(places), 4), np.int64)
+        grid[:, 0] = places
+        for k in range(3):
+            grid[:, k + 1] = grid[:, k] + one[grid[:, k]]
+        literal = grid[np.arange(4) < np.where(four[grid[:, :1]] > 0, 4, 1)]
+        if at > total:  # the last bits look like literals too
+            q = int(literal[total - at])
+            literal, at = literal[: total - at], total
+        p = base + q
+        symbols.append((found[literal] >> 4).astype(np.uint8))
+    bits.at = p
+    plain = np.ones(total + 1, np.int64)
+    plain[total] = 0
+    if copies:
+        from_, size, _ = np.array(copies, np.int64).T
+        inside = np.zeros(total + 1, np.int64)
+        inside[from_] = 1
+        inside[from_ + size] -= 1
+        plain -= np.cumsum(inside)
+    pixels = np.zeros(total, np.uint8)
+    pixels[plain[:total] == 1] = np.concatenate(symbols) if symbols else 0
+    out = memoryview(pixels)
+    for at, length, distance in copies:
         if distance >= length:
-            out += out[at - distance : at - distance + length]
+            out[at : at + length] = out[at - distance : at - distance + length]
         else:
-            out += (out[at - distance :] * (length // distance + 1))[:length]
-        left -= length
-    bits.at = end - held
+            out[at : at + length] = (bytes(out[at - distance : at]) * (length // distance + 1))[:length]
     red, blue, alpha = (c.table[0] >> 4 for c in group[1:4])
-    return np.frombuffer(out, np.uint8).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    return pixels.astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
 
 
 def _read_symbols(bits: Bits, width: int, total: int, groups: list[list[Code]], meta: np.ndarray | None, scale: int, cache_bits: int) -> list[int]:
@@ -413,10 +471,11 @@ def _cross(pixels: np.ndarray, width: int, codes: np.ndarray, scale: int, invers
 
 
 def _green(pixels: np.ndarray, sign: int) -> np.ndarray:
-    c = _channels(pixels)
-    c[..., 1] += sign * c[..., 2]
-    c[..., 3] += sign * c[..., 2]
-    return _packed(c)
+    pixels = pixels.astype(np.uint32)
+    green = (pixels >> np.uint32(8) & np.uint32(255)) * np.uint32(0x00010001)
+    ends = pixels & np.uint32(0x00FF00FF)  # a bit above each keeps borrows apart
+    ends = ends + green if sign > 0 else (ends | np.uint32(0x01000100)) - green
+    return pixels & np.uint32(0xFF00FF00) | ends & np.uint32(0x00FF00FF)
 
 
 def _pack_bits(colours: int) -> int:
@@ -477,7 +536,7 @@ def decode_pixels(data: bytes) -> tuple[np.ndarray, int, int]:
 def decode(data: bytes) -> np.ndarray:
     """The pixels of a lossless WebP file: height x width x (R, G, B, A)."""
     pixels, width, height = decode_pixels(data)
-    return np.stack([(pixels >> s) & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8).reshape(height, width, 4)
+    return pixels.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
 
 
 def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
@@ -562,8 +621,8 @@ def _write_code(w: BitWriter, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _run_lengths(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (symbol, extra bits, their number): 16 repeats the last length, 17 and 18 are runs of zeros."""
     out = []
-    begins = np.flatnonzero(np.diff(lengths, prepend=-1))
-    for n, run in zip(lengths[begins].tolist(), np.diff(begins, append=len(lengths)).tolist(), strict=True):
+    for n, same in itertools.groupby(lengths.tolist()):
+        run = len(list(same))
         if n:
             out.append((n, 0, 0))
             run -= 1
@@ -719,7 +778,7 @@ def _put_bits(w: BitWriter, value: np.ndarray, size: np.ndarray) -> None:
         v, n = np.append(w.value, value[start : start + PIECE]).astype(np.uint64), np.append(w.n, size[start : start + PIECE])
         end = np.cumsum(n)
         word, shift = (end - n) >> 6, ((end - n) & 63).astype(np.uint64)
-        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         words = np.zeros(int(end[-1] >> 6) + 2, np.uint64)
         words[word[begin]] = np.bitwise_or.reduceat(v << shift, begin)
         over = np.where(shift > 0, v >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))

@@ -1,6 +1,7 @@
 """Training order, media, nearest neighbours, the pipeline."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -317,3 +318,18 @@ def test_queries_are_registered():
     names = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in queries.queries()} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+@pytest.mark.parametrize("piece", [3, 64, 1 << 14])
+def test_one_channel_equals_the_general_reader_across_pieces(monkeypatch, piece):
+    rng = random.Random(6)
+    words = [bytes(rng.randrange(97, 123) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    payloads = [b" ".join(rng.choice(words) for _ in range(1200)), bytes(rng.randrange(256) for _ in range(640)), b"abcdefghijklmnopqrstuvw" * 400, b"x" * 3000 + bytes(range(64)) + b"y" * 500]
+    payloads = [p + b"\0" * (-len(p) % 64) for p in payloads]
+    files = [webp.to_media(p) for p in payloads]
+    monkeypatch.setattr(webp, "ONE_PIECE", piece)
+    found = [webp.from_media(f) for f in files]
+    assert [p for p, _ in found] == payloads
+    monkeypatch.setattr(webp, "_read_one_channel", lambda bits, width, total, group: np.array(webp._read_symbols(bits, width, total, [group], None, 0, 0), np.uint32))
+    for (_, images), f in zip(found, files, strict=True):
+        assert all((a == b).all() for a, b in zip(images, webp.from_media(f)[1], strict=True))

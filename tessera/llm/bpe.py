@@ -409,6 +409,77 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class Packing:
+    """Ids by how frequent they are in a sample, seven bits a byte, highest first, so that frequent ones take one byte.
+
+    For what is stored and shuffled, where it is compressed as well. Every id below ``len(counts)`` has a code; the
+    sample only decides how long that is. A byte below 128 ends an id.
+    """
+
+    #: Texts of the sample, and characters of each, at most.
+    SAMPLE, SAMPLE_CHARS = 500, 4000
+    MOST_BYTES = 4
+    #: Ids or bytes that are handled together.
+    TOGETHER = 1 << 18
+
+    def __init__(self, counts: np.ndarray) -> None:
+        if len(counts) > 1 << 7 * self.MOST_BYTES:
+            raise ValueError("too many ids")
+        self.ids = np.argsort(-counts, kind="stable").astype(np.uint32)
+        self.ranks = np.empty(len(counts), np.int32)
+        self.ranks[self.ids] = np.arange(len(counts), dtype=np.int32)
+
+    @classmethod
+    def fit(cls, df: DataFrame, model: BpeModel, text_col: str = "text") -> Packing:
+        """From the beginnings of the table's first texts; the id past the vocabulary, which ends and pads, comes first."""
+        rows = df.select(F.substring(text_col, 1, cls.SAMPLE_CHARS).alias("t")).limit(cls.SAMPLE).collect()
+        ids, _ = Encoder(model).encode_texts([(r["t"] or "").encode() for r in rows])
+        counts = np.bincount(ids, minlength=len(model.tokens) + 1)
+        counts[-1] = len(ids) + 1
+        return cls(counts)
+
+    def pack(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids' bytes, and where in them the ids number ``edges`` (ascending) begin."""
+        parts, begin, size = [], np.zeros(len(edges), np.int64), 0
+        for at in range(0, len(ids), self.TOGETHER):
+            rank = self.ranks[ids[at : at + self.TOGETHER]]
+            many = np.ones(len(rank), np.int64)
+            for k in range(1, self.MOST_BYTES):
+                many += rank >= 1 << 7 * k
+            stop = np.cumsum(np.append(0, many))
+            out, last = np.empty(int(stop[-1]), np.uint8), stop[1:] - 1
+            out[last] = rank & 127
+            on = np.arange(len(rank))
+            for k in range(1, self.MOST_BYTES):
+                on = on[many[on] > k]
+                out[last[on] - k] = 128 | rank[on] >> 7 * k & 127
+            here = slice(*np.searchsorted(edges, (at, at + len(rank))))
+            begin[here] = size + stop[edges[here] - at]
+            size += len(out)
+            parts.append(out)
+        begin[np.searchsorted(edges, len(ids)) :] = size
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8), begin
+
+    def unpack(self, data: bytes) -> np.ndarray:
+        """The ids of packed bytes."""
+        read, parts, at = np.frombuffer(data, np.uint8), [], 0
+        if len(read) and read[-1] > 127:
+            raise ValueError("packed ids that are cut off")
+        while at < len(read):
+            stop = min(len(read), at + self.TOGETHER)
+            while read[stop - 1] > 127:
+                stop += 1
+            some = read[at:stop]
+            last = np.flatnonzero(some < 128)
+            rank, many, on = some[last].astype(np.int32), np.diff(last, prepend=-1), np.arange(len(last))
+            for k in range(1, self.MOST_BYTES):
+                on = on[many[on] > k]
+                rank[on] |= (some[last[on] - k] & 127).astype(np.int32) << 7 * k
+            parts.append(self.ids[rank])
+            at = stop
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
 _ENCODERS: dict[object, Encoder] = {}
 
 
@@ -440,17 +511,18 @@ class _Broadcast:
         return self.held.value
 
 
-def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False, dtype: str = "uint32") -> DataFrame:
+def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False, dtype: str = "uint32", packing: Packing | None = None) -> DataFrame:
     """Ids of every whole text: the id column, ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit, or ``dtype``).
 
     ``decode`` adds ``decoded`` binary, the bytes that the ids stand for; ``check`` in its stead ``decodes`` boolean,
-    whether those are the text's bytes. The model (its vocabulary's
+    whether those are the text's bytes. With ``packing``, ``ids`` are packed by it. The model (its vocabulary's
     size, and a byte for every character, about 3 MB) is broadcast; the executors need no file. No shuffle.
     """
     narrow = np.dtype(dtype).newbyteorder("<")
     if len(model.tokens) - 1 > np.iinfo(narrow).max:
         raise ValueError(f"the vocabulary has ids that {dtype} doesn't hold")
     held = _Broadcast(df.sparkSession, model)
+    packer = df.sparkSession.sparkContext.broadcast(packing) if packing else None
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     fields += [T.StructField("decodes", T.BooleanType())] if check else [T.StructField("decoded", T.BinaryType())] * decode
 
@@ -459,7 +531,8 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, CHUNK):
                 ids, begin = encoder.encode_texts([t or b"" for t in texts])
-                buffers = [None, pa.py_buffer(begin * narrow.itemsize), pa.py_buffer(ids.astype(narrow))]
+                data, edges = packer.value.pack(ids, begin) if packer else (ids.astype(narrow), begin * narrow.itemsize)
+                buffers = [None, pa.py_buffer(edges), pa.py_buffer(data)]
                 columns = [rows.column(id_col), pa.array(np.diff(begin)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), buffers).cast(pa.binary())]
                 each = (ids[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist(), strict=False))
                 if check:

@@ -333,3 +333,40 @@ def test_one_channel_equals_the_general_reader_across_pieces(monkeypatch, piece)
     monkeypatch.setattr(webp, "_read_one_channel", lambda bits, width, total, group: np.array(webp._read_symbols(bits, width, total, [group], None, 0, 0), np.uint32))
     for (_, images), f in zip(found, files, strict=True):
         assert all((a == b).all() for a, b in zip(images, webp.from_media(f)[1], strict=True))
+
+
+def test_packed_ids_give_the_same_shards_in_less_room(spark, tmp_path):
+    """Ids stored and sent as one to four bytes: index and shards as without, whatever the sample holds."""
+    import public_tokenizers
+
+    model = bpe.load_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "\U0001f9ff☃" * 600), (-4, "x" * 2000)], "doc_id long, text string")
+    docs = odd.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    docs.repartition(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    found = {}
+    for name, packing in (("plain", None), ("fitted", bpe.Packing.fit(docs, model)), ("unfitted", bpe.Packing(np.zeros(len(model.tokens) + 1)))):
+        ids, dtype, end = feistel.token_ids(docs, model, packing=packing)
+        ids.coalesce(1).write.option("compression", "zstd").parquet(f"{tmp_path}/{name}")
+        stored = spark.read.parquet(f"{tmp_path}/{name}")
+        index = feistel.materialise(stored, f"{tmp_path}/{name}-out", 3, ["doc_id"], "ids", 64, 512, dtype, end, packing).collect()
+        assert not packing or sum(r["n_tokens"] // 64 + 1 for r in stored.collect()) == len(index)
+        size = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+        found[name] = size, sorted(tuple(r.asDict().values()) for r in index), list(feistel.read_slots(f"{tmp_path}/{name}-out", 0, len(index), len(index), 64, 512, dtype))
+    assert found["plain"][1:] == found["fitted"][1:] == found["unfitted"][1:]
+    assert found["fitted"][0] < 0.9 * found["plain"][0]
+    with pytest.raises(Exception, match="as many as their count"):
+        feistel.materialise(stored.withColumn("n_tokens", F.col("n_tokens") + 1), f"{tmp_path}/bad", 3, ["doc_id"], "ids", 64, 512, dtype, end, packing).count()
+
+
+def test_packing():
+    ids = np.array([0, 127, 128, 16383, 16384, 2097151, 2097152, 2999999, 5] * 40_000)
+    edges = np.array([0, 0, 1, 3, 1 << 18, (1 << 18) + 1, len(ids), len(ids)])
+    packing = bpe.Packing(np.zeros(3_000_000))
+    data, begin = packing.pack(ids, edges)
+    assert packing.unpack(data.tobytes()).tolist() == ids.tolist()
+    for (a, b), (p, q) in zip(zip(edges, edges[1:]), zip(begin, begin[1:])):
+        assert packing.unpack(data[p:q].tobytes()).tolist() == ids[a:b].tolist()
+    assert len(packing.unpack(b"")) == 0 and packing.pack(ids[:0], np.array([0, 0]))[1].tolist() == [0, 0]
+    with pytest.raises(ValueError):
+        packing.unpack(b"\x01\x80")

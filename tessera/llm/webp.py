@@ -4,8 +4,8 @@
 distance map, the colour cache, and the predictor, cross-colour, subtract-green and palette transforms
 (with pixel packing), and gives an array of height x width x 4 bytes (R, G, B, A). ``encode`` writes such
 files from pixel arrays: flat eight-bit codes or prefix codes of measured lengths with back-references,
-colour cache and any of the transforms. Both follow the public specification of the format. Runs of literals
-with flat codes are read as arrays; everything else symbol by symbol.
+colour cache and any of the transforms. Both follow the public specification of the format. Pixels
+with flat codes and images of one channel are read as arrays; everything else symbol by symbol.
 
 ``store`` puts texts into pixels: the payload's bytes are the grey samples of an image, row by row. Images of
 up to 16 different samples are written with a palette (and packed pixels), others by ``encode_grey``, with green
@@ -62,6 +62,14 @@ FARTHEST = (1 << 20) - 120
 MOST_COPY = 4096
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
+#: Bits of a literal or reference, at most.
+MOST_ITEM = 58
+_EIGHT = np.arange(8, dtype=np.uint32)
+# Of the prefix symbols of lengths and distances: the number of extra bits, their mask, and the least value.
+_EXTRA = np.array([max(0, (s - 2) >> 1) for s in range(40)])
+_MORE = (1 << _EXTRA) - 1
+_LEAST = np.array([s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + 1 for s in range(40)])
+
 
 class Bits:
     """Reads bits, least significant first; past the end are zeros."""
@@ -241,99 +249,89 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(_read_symbols(bits, width, len(out), groups, meta, scale, cache_bits), np.uint32)
 
 
+@functools.lru_cache(maxsize=64)
+def _distances(width: int) -> np.ndarray:
+    """What the distance codes 0 (none) to 120 stand for."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
+
+
 def _read_one_channel(bits: Bits, width: int, total: int, group: list[Code]) -> np.ndarray:
     """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green.
 
-    The code's table is looked up at every bit of a piece of the data at once; then symbols are followed from one to the
-    next, literals by fours where four come together. Literals are put in their places together, references in their order.
+    The code's table is looked up at every bit of a piece of the data at once, and where that gives a reference, so is
+    the rest of it. Then items are followed from one to the next, by fours where four come together. Literals are put in
+    their places together, references in their order.
     """
-    data, p, number = bits.data, bits.at, int.from_bytes
-    entries, mask = group[0].entries, (1 << group[0].bits) - 1
-    far, far_mask = group[4].table, (1 << group[4].bits) - 1
-    symbols, copies = [], []  # literals by piece; place, length and distance of references
+    data, p = bits.data, bits.at
+    entries, mask = group[0].entries, np.uint32((1 << group[0].bits) - 1)
+    far, far_mask = group[4].entries, np.uint64((1 << group[4].bits) - 1)
+    near = _distances(width)
+    pixels, copies = np.zeros(total, np.uint8), []  # place, length and distance of references
     at = 0
     while at < total:
         base = p & ~7
-        raw = np.frombuffer(data[base >> 3 : (base >> 3) + ONE_PIECE + 3], np.uint8)
+        raw = data[base >> 3 : (base >> 3) + ONE_PIECE + 16]
         many = min(ONE_PIECE, len(raw)) or ONE_PIECE  # zeros past the end
-        raw = np.concatenate([raw, np.zeros(many + 3 - len(raw), np.uint8)]) if len(raw) < many + 3 else raw
-        wide = raw.astype(np.int32)
-        wide = wide[:many] | wide[1 : many + 1] << 8 | wide[2 : many + 2] << 16
-        found = entries[(wide[:, None] >> np.arange(8, dtype=np.int32)) & mask].reshape(-1)
-        # Bits of the literal that begins at each bit and of the four literals that do; 0 if there are none, or past the end.
-        one, here = np.zeros(8 * many + 64, np.uint8), np.arange(8 * many)
-        one[: 8 * many] = np.where(found < 4096, found & 15, 0)
+        raw = raw.ljust(many + 16, b"\0")
+        end = 8 * many
+        found = entries[np.ndarray((many,), "<u4", raw, 0, (1,))[:, None] >> _EIGHT & mask].reshape(-1)
+        # Bits of the item that begins at each bit (0 past the end), and of the four items that do (0 near the end).
+        one, here = np.zeros(end + 256, np.uint8), np.arange(end)
+        one[:end] = found & 15
+        refs = np.flatnonzero(found >= 4096)
+        if len(refs):
+            words, e = np.ndarray((many + 8,), "<u8", raw, 0, (1,)), found[refs]
+            symbol, q = (e >> 4) - 256, refs + (e & 15)
+            length = _LEAST[symbol] + ((words[q >> 3] >> (q & 7).astype(np.uint64)).astype(np.int64) & _MORE[symbol])
+            q += _EXTRA[symbol]
+            w = words[q >> 3] >> (q & 7).astype(np.uint64)
+            e = far[w & far_mask]
+            symbol = e >> 4
+            code = _LEAST[symbol] + ((w >> (e & 15).astype(np.uint64)).astype(np.int64) & _MORE[symbol])
+            one[refs] = q + (e & 15) + _EXTRA[symbol] - refs
         four = one.copy()
         for _ in range(2):
-            now = four[: 8 * many]
-            more = four[here + now]
-            four[: 8 * many] = np.where((now > 0) & (more > 0), now + more, 0)
+            four[:end] += four[here + four[:end]]
+        four[max(0, end - 4 * MOST_ITEM) :] = 0
         step, steps = one.tobytes(), four.tobytes()
         places: list[int] = []
-        put, q, end = places.append, p - base, 8 * many
-        while True:
-            before = len(places)
-            while n := steps[q]:
-                put(q)
-                q += n
-            at += 3 * (len(places) - before)
-            while n := step[q]:
-                put(q)
-                q += n
-            at += len(places) - before
-            if at >= total or q >= end:
-                break
-            # A reference, of at most 58 bits.
-            p = base + q
-            w = number(data[p >> 3 : (p >> 3) + 9], "little") >> (p & 7)
-            e = int(found[q])
-            s, n = (e >> 4) - 256, e & 15
-            w >>= n
-            length, extra = s + 1, 0
-            if s > 3:
-                extra = (s - 2) >> 1
-                length += ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) - s
-                w >>= extra
-            e = far[w & far_mask]
-            w >>= e & 15
-            n += extra + (e & 15)
-            s = e >> 4
-            code, extra = s + 1, 0
-            if s > 3:
-                extra = (s - 2) >> 1
-                code += ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) - s
-            q += n + extra
-            distance = code - 120
-            if code <= 120:
-                x, y = NEAR[code - 1]
-                distance = max(1, x + y * width)
-            if distance > at or length > total - at:
-                raise ValueError("a reference out of the image")
-            copies.append((at, length, distance))
-            at += length
-            if at == total or q >= end:
-                break
-        grid = np.zeros((len(places), 4), np.int64)
-        grid[:, 0] = places
+        put, q = places.append, p - base
+        while n := steps[q]:
+            put(q)
+            q += n
+        fours = len(places)
+        while n := step[q]:
+            put(q)
+            q += n
+        grid = np.empty((fours, 4), np.int64)
+        grid[:, 0] = places[:fours]
         for k in range(3):
             grid[:, k + 1] = grid[:, k] + one[grid[:, k]]
-        literal = grid[np.arange(4) < np.where(four[grid[:, :1]] > 0, 4, 1)]
-        if at > total:  # the last bits look like literals too
-            q = int(literal[total - at])
-            literal, at = literal[: total - at], total
-        p = base + q
-        symbols.append((found[literal] >> 4).astype(np.uint8))
+        items = np.append(grid, places[fours:]).astype(np.int64)
+        kind = found[items]
+        copy = np.flatnonzero(kind >= 4096)
+        which = np.searchsorted(refs, items[copy])
+        size = np.ones(len(items), np.int64)
+        if len(copy):
+            size[copy] = length[which]
+        stop = np.cumsum(size) + at
+        if stop[-1] >= total:  # what comes behind the image can look like items too
+            last = int(np.searchsorted(stop, total))
+            if stop[last] != total:
+                raise ValueError("a reference out of the image")
+            q = int(items[last]) + int(one[items[last]])
+            stop, kind, size, copy = stop[: last + 1], kind[: last + 1], size[: last + 1], copy[: int(np.searchsorted(copy, last + 1))]
+        begin = stop - size
+        literal = kind < 4096
+        pixels[begin[literal]] = kind[literal] >> 4
+        if len(copy):
+            code = code[which[: len(copy)]]
+            distance, place = np.where(code > 120, code - 120, near[np.minimum(code, 120)]), begin[copy]
+            if (distance > place).any():
+                raise ValueError("a reference out of the image")
+            copies += zip(place.tolist(), size[copy].tolist(), distance.tolist(), strict=True)
+        at, p = int(stop[-1]), base + q
     bits.at = p
-    plain = np.ones(total + 1, np.int64)
-    plain[total] = 0
-    if copies:
-        from_, size, _ = np.array(copies, np.int64).T
-        inside = np.zeros(total + 1, np.int64)
-        inside[from_] = 1
-        inside[from_ + size] -= 1
-        plain -= np.cumsum(inside)
-    pixels = np.zeros(total, np.uint8)
-    pixels[plain[:total] == 1] = np.concatenate(symbols) if symbols else 0
     out = memoryview(pixels)
     for at, length, distance in copies:
         if distance >= length:
@@ -846,10 +844,10 @@ def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references
     return _riff([(b"VP8L", w.done())])
 
 
-def _matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
-    """Back-references among bytes, greedily: place, length and distance, to the last place that has the same four, or by runs of three."""
+def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references among bytes, greedily: places, lengths and distances, to the last place that has the same four, or by runs of three."""
     n, data = len(samples), samples.tobytes()
-    words = np.lib.stride_tricks.sliding_window_view(np.append(samples, np.zeros(8, np.uint8)), 8).copy().view("<u8").reshape(-1)
+    words = np.ndarray((n + 1,), "<u8", data + bytes(8), 0, (1,)).copy()
     key = np.sort(words[: n - 3] << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
     again = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
     last = np.full(n, -1, np.int64)
@@ -869,22 +867,30 @@ def _matches(samples: np.ndarray) -> list[tuple[int, int, int]]:
         active = active[differ == 0]
     length = np.minimum(length, n - place)
     good = (length >= LEAST_COPY) | (place - before == 1)
-    out, free = [], 0
-    for i, j, most in zip(place[good].tolist(), before[good].tolist(), length[good].tolist(), strict=True):
-        if i < free:
+    place, before, length = place[good], before[good], length[good]
+    # Which comes next after one of the length that is known.
+    follow = memoryview(np.searchsorted(place, place + length))
+    long = (length >= SURE_COPY).tobytes()
+    taken, sizes, at = [], [], 0
+    while at < len(follow):
+        taken.append(at)
+        if not long[at]:
+            at = follow[at]
             continue
-        if most >= SURE_COPY:
-            end, step = min(MOST_COPY, n - i), 32
-            while most < end and (step := min(step, end - most)):
-                if data[i + most : i + most + step] == data[j + most : j + most + step]:
-                    most, step = most + step, 2 * step
-                elif step == 1:
-                    break
-                else:
-                    step //= 2
-        out.append((i, most, i - j))
-        free = i + most
-    return out
+        i, j, most = int(place[at]), int(before[at]), int(length[at])
+        end, step = min(MOST_COPY, n - i), 32
+        while most < end and (step := min(step, end - most)):
+            if data[i + most : i + most + step] == data[j + most : j + most + step]:
+                most, step = most + step, 2 * step
+            elif step == 1:
+                break
+            else:
+                step //= 2
+        sizes.append((at, most))
+        at = int(np.searchsorted(place, i + most))
+    for at, most in sizes:
+        length[at] = most
+    return place[taken], length[taken], (place - before)[taken]
 
 
 def _prefixes_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -910,8 +916,7 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     w.put(1, 1)
     w.put(GREEN, 2)
     w.put(0, 3)  # no further transform, colour cache or meta codes
-    found = np.array(_matches(samples), np.int64).reshape(-1, 3)
-    at, length, distance = found.T
+    at, length, distance = _matches(samples)
     inside = np.zeros(n + 1, np.int64)
     inside[at] += 1
     inside[at + length] -= 1

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -370,3 +371,30 @@ def test_packing():
     assert len(packing.unpack(b"")) == 0 and packing.pack(ids[:0], np.array([0, 0]))[1].tolist() == [0, 0]
     with pytest.raises(ValueError):
         packing.unpack(b"\x01\x80")
+
+
+def test_references_are_found_and_read_in_arrays():
+    """Lines of Python that run for a reference stay few: the search steps from one to the next, the reader follows items by fours."""
+    rng = random.Random(8)
+    words = [bytes(rng.randrange(97, 123) for _ in range(rng.randint(5, 9))) for _ in range(300)]
+    payload = b" ".join(rng.choice(words) for _ in range(6000))
+    payload += b"\0" * (-len(payload) % 64)
+    lines: Counter = Counter()
+
+    def tracer(frame, event, _):
+        name = frame.f_code.co_name
+        if name not in ("_matches", "_read_one_channel"):
+            return None
+        lines[name] += event == "line"
+        return tracer
+
+    before = sys.gettrace()
+    sys.settrace(tracer)
+    try:
+        media = webp.to_media(payload)
+        assert webp.from_media(media)[0] == payload
+    finally:
+        sys.settrace(before)
+    references = 5000
+    assert len(media) < 0.4 * len(payload)
+    assert lines["_matches"] < 6 * references and lines["_read_one_channel"] < 8 * references, lines

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op2_bpe_encode
+from .divergence import OP11_SQL, op11_source_divergence
 from .feistel import op7_training_order
+from .filteraudit import OP13_SQL, op13_filter_audit
 from .jaccard import op4_jaccard_join
 from .langid import op3_language_id
 from .linededup import OP10_SQL, op10_line_dedup
@@ -30,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_media": op9_media,
         "op10_line_dedup": op10_line_dedup,
+        "op11_source_divergence": op11_source_divergence,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -37,4 +41,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": OP1_SQL,
         "op10_line_dedup": OP10_SQL,
+        "op11_source_divergence": OP11_SQL,
+        "op13_filter_audit": OP13_SQL,
     }

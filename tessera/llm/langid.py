@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, map_arrow, reader, text_chunks
 
@@ -39,7 +40,8 @@ SLACK, QUANTILE, LEAST_DOCS = 0.4, 0.01, 20
 #: Sizes below this have no limit of their own.
 LEAST_SIZE = 16
 STEP = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as ½, which ``isalpha`` then leaves out.
+_LIKELY_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -50,7 +52,7 @@ def _hashed(codes: np.ndarray, bits: int) -> np.ndarray:
 def ngram_counts(text: bytes) -> np.ndarray | None:
     """Counts of the hashed n-grams of a whole text, made in steps of bounded size; None without a letter."""
     s = text.decode("utf-8")
-    if not LETTER.search(s):
+    if not any(m[0].isalpha() for m in _LIKELY_LETTER.finditer(s)):
         return None
     data = b" " + b" ".join(s.lower().encode("utf-8").translate(_FOLD).split()) + b" "
     counts = np.zeros(FEATURES, np.int64)
@@ -185,7 +187,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` but the text, with ``lang_pred`` string, ``score`` double (cosine), ``rejected`` boolean."""
     held = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name not in (text_col, "lang_pred", "score", "rejected")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "lang_pred string, score double, rejected boolean"])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value

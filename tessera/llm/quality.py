@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, map_arrow, reader, text_chunks
 
@@ -82,12 +83,13 @@ class Model:
         v = self.ratio[at]
         return v / max(float(np.sqrt(v @ v)), 1e-12)
 
+    def margin(self, at: np.ndarray) -> float:
+        return float(self.weights[at] @ self.vector(at)) + float(self.weights[-1])
+
     def score(self, text: bytes) -> float:
         if self.constant is not None:
             return self.constant
-        at = indicators(text)
-        margin = float(self.weights[at] @ self.vector(at)) + float(self.weights[-1])
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(indicators(text)) + self.offset, -30, 30))))
 
 
 def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -102,28 +104,32 @@ def _logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[fl
     return max(float(p[0]), 1e-3), float(p[1])
 
 
+def _fit_margin(rows: list[np.ndarray], y: np.ndarray) -> Model:
+    """The classes' log-count ratios of these rows, and the hinge-loss weights on them."""
+    counts = np.ones((2, FEATURES))
+    for at, sign in zip(rows, y, strict=True):
+        counts[int(sign > 0), at] += 1
+    counts /= counts.sum(1, keepdims=True)
+    shape = Model(np.log(counts[1] / counts[0]), np.zeros(1), 1.0, 0.0)
+    weights = dual_coordinate_descent([(at, shape.vector(at)) for at in rows], y, np.full(len(y), 4.0))
+    return Model(shape.ratio, weights, 1.0, 0.0)
+
+
 def fit_indicators(rows: list[np.ndarray], label: np.ndarray, share: float) -> Model:
     """Fit on indicators with labels 0 and 1; ``share`` is that of label 1 among all labels."""
     if not len(rows) or len(set(label.tolist())) < 2:
         return Model(np.zeros(FEATURES), np.zeros(FEATURES + 1), 1.0, 0.0, float(label[0]) if len(rows) else 0.5)
     y = np.where(label > 0, 1.0, -1.0)
-    counts = np.ones((2, FEATURES))
-    for at, positive in zip(rows, label, strict=True):
-        counts[int(positive), at] += 1
-    counts /= counts.sum(1, keepdims=True)
-    ratio = np.log(counts[1] / counts[0])
-    shape = Model(ratio, np.zeros(1), 1.0, 0.0)
-    vectors = [(at, shape.vector(at)) for at in rows]
     prior = np.where(y > 0, share / max((y > 0).mean(), 1e-9), (1 - share) / max((y < 0).mean(), 1e-9))
-    cost = np.full(len(y), 4.0)
-    # Margins of rows that a fit has not seen, from three folds.
+    # Margins of rows whose labels neither the ratios nor the weights have seen, from three folds.
     fold, margin = np.arange(len(y)) % 3, np.zeros(len(y))
     for k in range(3):
         own = np.flatnonzero(fold != k)
-        w = dual_coordinate_descent([vectors[i] for i in own], y[own], cost[own])
+        part = _fit_margin([rows[i] for i in own], y[own])
         for i in np.flatnonzero(fold == k):
-            margin[i] = w[vectors[i][0]] @ vectors[i][1] + w[-1]
-    return Model(ratio, dual_coordinate_descent(vectors, y, cost), *_logistic(margin, y, prior))
+            margin[i] = part.margin(rows[i])
+    whole = _fit_margin(rows, y)
+    return Model(whole.ratio, whole.weights, *_logistic(margin, y, prior))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
@@ -151,7 +157,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` but the text, with ``score`` double. No shuffle."""
     held = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name not in (text_col, "score")]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "score double"])
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocklabel import op12_main_text
 from .bpe import op2_bpe_encode
 from .divergence import OP11_SQL, op11_source_divergence
 from .feistel import op7_training_order
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_media": op9_media,
         "op10_line_dedup": op10_line_dedup,
         "op11_source_divergence": op11_source_divergence,
+        "op12_main_text": op12_main_text,
         "op13_filter_audit": op13_filter_audit,
     }
 

@@ -262,6 +262,72 @@ def test_quality_against_plain_margins(spark):
         assert got[doc_id] == pytest.approx(1 / (1 + math.exp(-(model.slope * margin + model.offset))), abs=1e-9)
 
 
+def test_numerals_are_no_letters_and_odd_columns_are_kept(spark):
+    """Texts of numerals alone are undetermined; structs with odd names and clashing columns pass; empty tables give none."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    odd = F.struct(F.lit(1).alias("a b"), F.array(F.struct(F.lit("x").alias("c,d: e"))).alias("`"))
+    rows = spark.createDataFrame([(1, "½ ²", "k", True), (2, "Ⅷ 7 _", "k", False), (3, "the and of é", "k", None)], "doc_id long, text string, lang_pred string, rejected boolean").withColumn("rest", odd)
+    model = langid.fit(docs)
+    got = {r["doc_id"]: r for r in langid.predict(rows, model).collect()}
+    assert [got[k]["lang_pred"] for k in (1, 2)] == ["und"] * 2 and got[3]["lang_pred"] in {"en", "fr", "de", "es"}
+    assert got[3]["rest"]["a b"] == 1 and langid.filter_known(rows, model).columns == rows.columns
+    assert langid.predict(rows.limit(0), model).count() == langid.filter_known(rows.limit(0), model).count() == 0
+    judge = quality.fit(docs, labels)
+    scored = quality.score(rows.withColumn("score", F.lit("k")), judge)
+    assert scored.columns == ["doc_id", "lang_pred", "rejected", "rest", "score"] and all(r["rest"]["`"][0]["c,d: e"] == "x" for r in scored.collect())
+    assert quality.score(rows.limit(0), judge).count() == 0
+
+
+def test_quality_curve_comes_from_unseen_labels():
+    """With labels that mean nothing, margins of held-out rows are even, so scores stay near the share."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(quality.FEATURES, 60, replace=False)) for _ in range(240)]
+    label = (rng.random(240) < 0.5).astype(int)
+    model = quality.fit_indicators(rows, label, 0.5)
+    scores = [1 / (1 + math.exp(-(model.slope * model.margin(r) + model.offset))) for r in rows]
+    assert max(abs(x - 0.5) for x in scores) < 0.25
+
+
+def test_registered_text_queries(spark, tmp_path, library):
+    """op2, op3 and op6 over a small table with odd rows: ids and digests by the library, folds by crc32, columns and types."""
+    import zlib
+
+    import __spark_entry__ as entry
+
+    base = [(i, t) for i, t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows = [(i, t, ["en", "fr", None][i % 3], "s") for i, t in base[:120]] + [(9001, None, "en", None), (9002, "", None, "s"), (9003, "½ ²", "fr", "s"), (9004, "a\x00b \U0001f600", "en", "s"), rows_twice(base)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    marks = [(i, i % 2, 0) for i, *_ in rows if i % 3]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    queries = entry.queries()
+    crc = lambda i: zlib.crc32(str(i).encode())
+    got = queries["op2_bpe_encode"](spark, str(tmp_path))
+    assert dict(got.dtypes) | {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} == dict(got.dtypes)
+    want = []
+    for i, t, *_ in rows:
+        ids = library.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, got.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
+    got = queries["op3_language_id"](spark, str(tmp_path))
+    assert dict(got.dtypes) | {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"} == dict(got.dtypes)
+    found = got.collect()
+    assert sorted((r["doc_id"], r["held_out"]) for r in found) == sorted((i, crc(i) % 3 == 1) for i, *_ in rows)
+    assert all((r["lang_pred"] == "und") == (r["doc_id"] in (9001, 9002, 9003)) and 0 <= r["score"] <= 1 for r in found)
+    learned = {lang for i, t, lang, _ in rows if crc(i) % 3 != 1 and lang and t}
+    assert {r["lang_pred"] for r in found} <= learned | {"und"}
+    got = queries["op6_quality"](spark, str(tmp_path))
+    assert dict(got.dtypes) | {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"} == dict(got.dtypes)
+    model = quality.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.createDataFrame([m for m in marks if crc(m[0]) % 4 != 2], "doc_id long, quality int, toxic int"))
+    want = sorted((i, crc(i) % 4 == 2, model.score((t or "").encode())) for i, t, *_ in rows)
+    found = sorted((r["doc_id"], r["held_out"], r["score"], r["predicted"]) for r in got.collect())
+    assert [f[:2] for f in found] == [w[:2] for w in want] and [f[2] for f in found] == pytest.approx([w[2] for w in want])
+    assert all(f[3] == int(f[2] >= 0.7) for f in found)
+
+
+def rows_twice(base):
+    return (base[3][0], base[3][1], "en", "s")
+
+
 def test_quality_optimum():
     rng = np.random.default_rng(0)
     rows = [(np.sort(rng.choice(50, 8, replace=False)), rng.normal(size=8)) for _ in range(40)]

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -57,24 +55,6 @@ class Classes:
     def full(self) -> str:
         return self._pattern(regex_class(self.more_letters), regex_class(self.more_numbers))
 
-    def splitter(self) -> Callable[[str], list[str]]:
-        """The same split in Python. Texts within Latin-1, or the first plane, take shorter classes, which match faster."""
-
-        def compiled(most: int) -> re.Pattern:
-            inside = lambda ranges: "".join(f"\\U{a:08X}-\\U{min(b, most):08X}" for a, b in ranges if a <= most)
-            w, l, n = map(inside, (self.spaces, self.letters, self.numbers))
-            return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{l}]+| ?[{n}]+| ?[^{w}{l}{n}]+|[{w}]+(?![^{w}])|[{w}]+")
-
-        latin, plane, every = map(compiled, (0xFF, 0xFFFF, 0x10FFFF))
-        beyond_latin, beyond_plane = re.compile("[^\x00-\xff]"), re.compile("[^\x00-\uffff]")
-
-        def split(text: str) -> list[str]:
-            if not beyond_latin.search(text):
-                return latin.findall(text)
-            return (every if beyond_plane.search(text) else plane).findall(text)
-
-        return split
-
     @cached_property
     def first_new(self) -> int | None:
         """The lowest character that the JVM's classes lack."""

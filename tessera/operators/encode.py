@@ -1,15 +1,15 @@
 """Encoding documents to token ids.
 
-``encode`` splits and merges in Arrow batches, with a memo of pieces in each worker: one pass over the documents
-and no shuffle, but for tables that are too small to fill the cores. ``encode_by_join`` stays in the JVM: it merges each distinct piece once, as
-replacements in the order of ranks, looks its symbols up by a broadcast join, and joins the ids back; it
-takes models whose rules may be applied so (``BpeModel.folds``).
+``encode`` splits and merges in Arrow batches: pieces are found by arrays over a batch's bytes, told apart, and those that
+the worker's memo lacks are merged side by side; one pass over the documents and no shuffle, but for tables that are
+too small to fill the cores. ``merge_pieces`` and what builds on it, ``encode_by_join`` and ``explain_stages``, stay in the
+JVM: distinct pieces go through rounds of joins with the rules, each round joining a piece's own pair of lowest rank
+wherever it stands, for any rules; symbols are looked up by a broadcast join and joined back.
 """
 
 from __future__ import annotations
 
 import re
-import struct
 import uuid
 from collections.abc import Iterator
 
@@ -20,19 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classes import Classes, classes
-from ..functions.pretok import pretokens, scan_bytes
-from ..plans.model import BpeModel
+from ..functions.pretok import ByteScanner, pretokens
+from ..plans.checkpoints import Written
+from ..plans.merging import MISS, BatchMerger
+from ..plans.model import SHORT, BpeModel
 from ..plans.ship import ship
 from ..plans.spread import spread
 from .words import explode_pretokens
 
 MEMO_PIECES = 500_000
-MOST_FOLD_RULES = 512
-#: Bytes of ids in a batch of results.
-CHUNK_BYTES = 16 << 20
-MISS = -1
-#: Before a special token's content. No split makes a piece that begins so, with letters and others in one.
-_SPECIAL = "\x00special\x00 \x00"
+#: Bytes of text that go through arrays together, and that a batch of results comes from, about.
+TOGETHER_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
+#: Rounds of merging between two written tables.
+ROUNDS_AT_ONCE = 4
+#: Rows of a model's tables up to which they are broadcast; beyond, they are shuffled as the pieces are.
+MOST_BROADCAST = 2_000_000
+#: Where a long document can be cut: a blank between an ASCII letter or digit and a letter begins a piece whatever is around.
+_CUT = re.compile(rb"[0-9A-Za-z](?= [A-Za-z])")
 
 
 def special_pattern(model: BpeModel) -> str:
@@ -50,65 +54,109 @@ def split_specials(model: BpeModel, text: Column) -> Column:
     return F.transform(parts, lambda p: part(p.rlike(f"^(?:{pattern})$") & p.isin([s.content.decode("utf-8") for s in model.specials]), p))
 
 
-class _Memo(dict):
-    """Pieces to their ids as packed longs, ``MISS`` for a symbol that the vocabulary lacks. Specials are under marked keys."""
+class Encoder:
+    """A worker's encoder, with its memo of pieces and their ids (packed longs, ``MISS`` for a symbol that the vocabulary lacks)."""
 
-    def __init__(self, model: BpeModel) -> None:
-        super().__init__()
-        self.model = model
-        self.special = {_SPECIAL + s.content.decode("utf-8"): struct.pack("<q", s.id) for s in model.specials}
-        self.update(self.special)
+    def __init__(self, model: BpeModel, known: Classes) -> None:
+        self.merger, self.scanner = BatchMerger(model), ByteScanner(known)
+        self.memo: dict[bytes, bytes] = {}
+        self.special_ids = {s.content: s.id for s in model.specials}
+        self.pattern = re.compile(b"|".join(map(re.escape, self.special_ids))) if model.specials else None
 
-    def __missing__(self, piece: str | bytes) -> bytes:
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-            self.update(self.special)
-            if piece in self:
-                return self[piece]
-        parts = self.model.merge(piece.encode("utf-8") if isinstance(piece, str) else piece)
-        found = self[piece] = struct.pack(f"<{len(parts)}q", *[self.model.ids.get(p, MISS) for p in parts])
-        return found
-
-
-_MEMOS: dict[str, _Memo] = {}
-
-
-def _memo(key: str, model: BpeModel) -> _Memo:
-    """A worker's memo, kept from task to task of a query."""
-    if key not in _MEMOS:
-        _MEMOS.clear()
-        _MEMOS[key] = _Memo(model)
-    return _MEMOS[key]
-
-
-def _cutter(model: BpeModel, known: Classes):
-    """A function from a text, or bytes that aren't UTF-8, to its pieces, special tokens marked."""
-    split = known.splitter()
-    contents = [s.content for s in model.specials]
-    in_text, in_bytes = (re.compile(p) for p in ("|".join(re.escape(c.decode("utf-8")) for c in contents), b"|".join(map(re.escape, contents))))
-
-    def cut(data: bytes) -> list[str | bytes]:
-        try:
-            whole, pattern, pieces_of = data.decode("utf-8"), in_text, split
-        except UnicodeDecodeError:
-            whole, pattern, pieces_of = data, in_bytes, lambda part: scan_bytes(known, part)
-        if not contents or not pattern.search(whole):
-            return pieces_of(whole)
-        out: list[str | bytes] = []
+    def parts(self, doc: bytes) -> Iterator[tuple[bytes, int]]:
+        """A document's parts in order: a stretch of text with -1, or an empty one with the id of a special token."""
         at = 0
-        for m in pattern.finditer(whole):
-            out += [*pieces_of(whole[at : m.start()]), _SPECIAL + (m[0] if isinstance(m[0], str) else m[0].decode("utf-8"))]
+        for m in self.pattern.finditer(doc) if self.pattern else ():
+            yield from self._stretches(doc, at, m.start())
+            yield b"", self.special_ids[m[0]]
             at = m.end()
-        return out + pieces_of(whole[at:])
-
-    return cut
-
-
-def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text", stats: bool = False) -> DataFrame:
+        yield from self._stretches(doc, at, len(doc))
+
+    @staticmethod
+    def _stretches(doc: bytes, at: int, end: int) -> Iterator[tuple[bytes, int]]:
+        while end - at > TOGETHER_BYTES:
+            cut = _CUT.search(doc, at + TOGETHER_BYTES // 2, end)
+            if cut is None:
+                break
+            yield doc[at : cut.end()], -1
+            at = cut.end()
+        if end > at:
+            yield doc[at:end], -1
+
+    def encode(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in order; for each document its numbers of ids, of pieces and special tokens together, and of special tokens."""
+        ids: list[np.ndarray] = []
+        counts = np.zeros((3, len(docs)), np.int64)
+        held: list[bytes] = []
+        special: list[int] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            found, n_ids, n_pieces = self._together(held, np.array(special, np.int64))
+            ids.append(found)
+            at = np.array(owner, np.int64)
+            for row, n in enumerate((n_ids, n_pieces, np.array(special) >= 0)):
+                np.add.at(counts[row], at, n)
+            held.clear(), special.clear(), owner.clear()
+
+        for k, doc in enumerate(docs):
+            for part, token in self.parts(doc):
+                held.append(part)
+                special.append(token)
+                owner.append(k)
+                size += len(part) + 32
+                if size >= TOGETHER_BYTES:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return np.concatenate(ids) if ids else np.zeros(0, np.int64), *counts
+
+    def _together(self, parts: list[bytes], special: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts in order; for each part its numbers of ids and of pieces."""
+        pieces, number, n_pieces = self.scanner.distinct(parts)
+        packed = self._known(pieces)
+        marks = np.flatnonzero(special >= 0)
+        tokens, which = np.unique(special[marks], return_inverse=True)
+        number = np.insert(number, (np.cumsum(n_pieces) - n_pieces)[marks], len(pieces) + which)
+        n_pieces = n_pieces + (special >= 0)
+        table = np.concatenate([np.frombuffer(b"".join(packed), "<i8"), tokens])
+        sizes = np.concatenate([np.array([len(x) // 8 for x in packed], np.int64), np.ones(len(tokens), np.int64)])
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[number]
+        ends = np.cumsum(each)
+        ids = table[np.repeat(starts[number] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_pieces)])]
+        return ids, np.diff(before), n_pieces
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        memo = self.memo
+        fresh = [p for p in pieces if p not in memo]
+        if len(memo) + len(fresh) > MEMO_PIECES:
+            memo.clear()
+            fresh = pieces
+        memo.update(zip(fresh, self.merger.ids_of(fresh), strict=True))
+        return [memo[p] for p in pieces]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(key: str, model: BpeModel, known: Classes) -> Encoder:
+    """A worker's encoder, kept from task to task of a query."""
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(model, known)
+    return _ENCODERS[key]
+
+
+def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text", stats: bool = False, in_order: bool = False) -> DataFrame:
     """``id_col``, ``ids`` array<long>, ``status``: 'ok', or 'vocab_miss' with null ids. ``text`` is string or binary.
 
-    Binary that isn't valid UTF-8 is split by the byte scanner. A null text has null ids. ``stats`` adds
+    Bytes that aren't valid UTF-8 are split as the byte scanner has it. A null text has null ids. ``stats`` adds
     ``n_pretokens``, ``mapped_cps``, ``merged_symbols``, ``vocab_hits``, ``vocab_misses`` (special tokens aside).
+    ``in_order`` keeps the rows in the partitions and order that they have, however few partitions these are.
     """
     spark = df.sparkSession
     ship(spark)
@@ -116,76 +164,113 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "
     known, key = classes(spark), uuid.uuid4().hex
     extra = ("n_pretokens", "mapped_cps", "merged_symbols", "vocab_hits", "vocab_misses") if stats else ()
     fields = [df.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("status", T.StringType()), *[T.StructField(n, T.LongType()) for n in extra]]
-
-    def rows(batch: pa.RecordBatch, found: list[bytes | None], counts: list[tuple[int, ...]]) -> pa.RecordBatch:
-        size = np.array([len(x) // 8 if x else 0 for x in found], np.int64)
-        ids = np.frombuffer(b"".join(x for x in found if x), "<i8")
-        missing = np.bincount(np.repeat(np.arange(len(found)), size)[ids == MISS], minlength=len(found))
-        gone = (missing > 0) | np.array([x is None for x in found], bool)
-        kept = ids[np.repeat(~gone, size)]
+    lengths = {s.id: len(s.content) for s in model.specials}
+
+    def rows(encoder: Encoder, batch: pa.RecordBatch, docs: list[bytes | None]) -> pa.RecordBatch:
+        ids, size, pieces, special = encoder.encode([d or b"" for d in docs])
+        ends = np.cumsum(size)
+        bad = np.concatenate([[0], np.cumsum(ids == MISS)])
+        missing = bad[ends] - bad[ends - size]
+        gone = (missing > 0) | np.array([d is None for d in docs], bool)
         offsets = np.concatenate([[0], np.cumsum(np.where(gone, 0, size))])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(gone, False)), pa.array(kept))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(gone, False)), pa.array(ids[np.repeat(~gone, size)]))
         columns = [lists, pa.array(np.where(missing > 0, "vocab_miss", "ok").tolist(), pa.string())]
         if extra:
-            pieces, octets, special = np.array(counts, np.int64).reshape(-1, 3).T
-            columns += [pa.array(x) for x in (pieces, octets, size - special, size - special - missing, missing)]
+            marks = sum((np.bincount(np.repeat(np.arange(len(docs)), size), ids == i, len(docs)) * n for i, n in lengths.items()), np.zeros(len(docs))) if special.any() else 0
+            octets = np.array([len(d or b"") for d in docs]) - np.int64(marks)
+            columns += [pa.array(np.asarray(x, np.int64)) for x in (pieces - special, octets, size - special, size - special - missing, missing)]
         return pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, cut = _memo(key, held.value), _cutter(held.value, known)
-        special = lambda p: isinstance(p, str) and p in memo.special
+        encoder = _encoder(key, held.value, known)
         for batch in batches:
-            start, total, found, counts = 0, 0, [], []
+            start, total, docs = 0, 0, []
             for i, value in enumerate(batch.column("text")):
-                data = value.as_py()
-                if data is None:
-                    found.append(None)
-                    counts.append((0, 0, 0))
-                else:
-                    pieces = cut(data)
-                    found.append(b"".join(map(memo.__getitem__, pieces)))
-                    if extra:
-                        marks = [p for p in pieces if special(p)] if memo.special else []
-                        counts.append((len(pieces) - len(marks), len(data) - sum(len(p[len(_SPECIAL) :].encode("utf-8")) for p in marks), len(marks)))
-                    total += len(found[-1])
+                docs.append(value.as_py())
+                total += len(docs[-1] or b"")
                 if total >= CHUNK_BYTES:
-                    yield rows(batch.slice(start, len(found)), found, counts)
-                    start, total, found, counts = i + 1, 0, [], []
-            if found:
-                yield rows(batch.slice(start, len(found)), found, counts)
+                    yield rows(encoder, batch.slice(start, len(docs)), docs)
+                    start, total, docs = i + 1, 0, []
+            if docs:
+                yield rows(encoder, batch.slice(start, len(docs)), docs)
+
+    slim = df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
+    return (slim if in_order else spread(slim)).mapInArrow(run, T.StructType(fields))
+
+
+def _joinable(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
-    return spread(df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))).mapInArrow(run, T.StructType(fields))
 
+def _round(pieces: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
+    """``piece``, ``symbols`` after one round, ``more``: whether it joined anything."""
+    parts = F.regexp_extract_all("symbols", F.lit("[0-9A-F]+"), F.lit(0))
+    listed = pieces.select("piece", "symbols", parts.alias("s"))
+    pairs = F.transform(F.arrays_zip(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))).alias("a"), F.slice("s", F.lit(2), F.size("s")).alias("b")), lambda p: F.concat(p["a"], F.lit("><"), p["b"]))
+    each = listed.select("piece", "symbols", F.explode_outer(pairs).alias("pair"))
+    ranked = each.join(_joinable(rules.select("pair", "rank"), n_rules), "pair", "left")
+    lowest = ranked.groupBy("piece", "symbols").agg(F.min("rank").alias("rank"))
+    named = lowest.join(_joinable(rules.select("rank", F.col("pair").alias("joined"), "product"), n_rules), "rank", "left")
+    wrap = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
+    return named.select("piece", F.when(F.col("rank").isNull(), F.col("symbols")).otherwise(F.replace("symbols", wrap("joined"), wrap("product"))).alias("symbols"), F.col("rank").isNotNull().alias("more"))
 
-def fold_symbols(model: BpeModel, piece: Column) -> Column:
-    """The symbols of a piece, an array of hex strings, by replacing each rule's sides in the order of ranks."""
-    if not model.folds or len(model.merges) > MOST_FOLD_RULES:
-        raise ValueError("only models with few rules that may be applied in the order of ranks")
-    out = F.regexp_replace(F.hex(F.encode(piece, "UTF-8")), "(..)", "<$1>")
-    for pair in model.merges:
-        if pair is not None:
-            a, b = (x.hex().upper() for x in pair)
-            out = F.replace(out, F.lit(f"<{a}><{b}>"), F.lit(f"<{a}{b}>"))
-    return F.regexp_extract_all(out, F.lit("<([0-9A-F]+)>"), F.lit(1))
+
+def merge_pieces(pieces: DataFrame, model: BpeModel) -> DataFrame:
+    """``piece`` and ``symbols``, an array of hex strings, of each distinct ``piece`` (string or binary), for any rules.
+
+    A round joins every piece's neighbouring pairs with the rules, takes the lowest rank of each piece, and joins that pair
+    wherever it stands, from the left. Pieces in which nothing is left to join leave; those of over ``SHORT`` bytes are merged one
+    by one in Arrow batches. Pieces are partitioned once for each ``ROUNDS_AT_ONCE`` rounds, after which the rest is written.
+    """
+    spark = pieces.sparkSession
+    rows = [(f"{a.hex().upper()}><{b.hex().upper()}", rank, (a + b).hex().upper()) for (a, b), rank in model.ranks.items()]
+    rules = spark.createDataFrame(rows, "pair string, rank int, product string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    distinct = pieces.select("piece").distinct()
+    split = F.regexp_extract_all("symbols", F.lit("[0-9A-F]+"), F.lit(0))
+    now = Written(distinct.withColumn("symbols", F.regexp_replace(F.hex("piece"), "(..)", "<$1>")).withColumn("more", F.octet_length("piece") > 1), "merge-pieces").rows
+    long = F.octet_length("piece") > SHORT
+    finished = _merge_long(now.where(long).select("piece"), model).unionByName(now.where(~F.col("more")).select("piece", split.alias("symbols")))
+    rest = now.where(F.col("more") & ~long)
+    while rows and not rest.isEmpty():
+        step = rest.select("piece", "symbols").repartition(tasks, "piece")
+        for _ in range(ROUNDS_AT_ONCE):
+            step = _round(step, rules, len(rows))
+        done = Written(step, "merge-pieces").rows
+        finished = finished.unionByName(done.where(~F.col("more")).select("piece", split.alias("symbols")))
+        rest = done.where("more")
+    return finished if rows else finished.unionByName(rest.select("piece", split.alias("symbols")))
+
+
+def _merge_long(pieces: DataFrame, model: BpeModel) -> DataFrame:
+    ship(pieces.sparkSession)
+    held = pieces.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, piece in enumerate(batch.column("raw").to_pylist()):
+                symbols = [[s.hex().upper() for s in held.value.merge(piece)]]
+                yield pa.RecordBatch.from_arrays([batch.column("piece").slice(i, 1), pa.array(symbols, pa.list_(pa.string()))], names=["piece", "symbols"])
+
+    return pieces.select("piece", F.col("piece").cast("binary").alias("raw")).mapInArrow(run, T.StructType([pieces.schema["piece"], T.StructField("symbols", T.ArrayType(T.StringType()))]))
 
 
 def bpe_words(words: DataFrame, model: BpeModel, piece: str = "piece") -> DataFrame:
-    """``words`` with ``symbols``, an array of hex strings. JVM only."""
-    return words.withColumn("symbols", fold_symbols(model, F.col(piece)))
+    """``words`` with ``symbols``, an array of hex strings."""
+    return words.join(merge_pieces(words.select(F.col(piece).alias("piece")), model).withColumnRenamed("piece", piece), piece)
 
 
 def _known_symbols(pieces: DataFrame, model: BpeModel) -> DataFrame:
     """``piece``, ``sym_pos``, ``symbol`` (hex), ``token_id`` (null: a miss) of each distinct piece."""
-    merged = bpe_words(pieces.select("piece").distinct(), model)
-    flat = merged.select("piece", F.posexplode("symbols").alias("sym_pos", "symbol"))
+    flat = merge_pieces(pieces, model).select("piece", F.posexplode("symbols").alias("sym_pos", "symbol"))
     vocab = model.vocab_table(pieces.sparkSession).select(F.col("token").alias("symbol"), F.col("id").alias("token_id"))
-    return flat.join(F.broadcast(vocab), "symbol", "left")  # as large as the model's vocabulary
+    return flat.join(_joinable(vocab, model.vocab_size), "symbol", "left")
 
 
 def symbol_rows(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each symbol: id, ``pos`` of the pretoken, ``piece``, ``sym_pos``, ``symbol`` (hex), ``token_id`` (null: a miss).
 
-    Distinct pieces are merged once. Special tokens aren't applied.
+    Distinct pieces are merged once. Special tokens aren't applied. ``text`` is string or binary.
     """
     pieces = explode_pretokens(df, id_col, text)
     return pieces.join(_known_symbols(pieces, model), "piece").select(id_col, "pos", "piece", "sym_pos", "symbol", "token_id")
@@ -196,21 +281,23 @@ def explain_stages(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text:
     from ..functions.bytemap import to_mapped
 
     rows = symbol_rows(df, model, id_col, text)
-    return rows.withColumn("piece_hex", F.hex(F.encode("piece", "UTF-8"))).withColumn("mapped", to_mapped(F.unhex("symbol"))).drop("piece")
+    return rows.withColumn("piece_hex", F.hex("piece")).withColumn("mapped", to_mapped(F.unhex("symbol"))).drop("piece")
 
 
 def encode_by_join(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows as ``encode`` without special tokens, from DataFrame operations alone. Rows that repeat an id stay apart."""
+    """The same rows as ``encode`` without special tokens, by joins. Rows that repeat an id stay apart."""
     ids_of = _known_symbols(explode_pretokens(df, id_col, text), model).groupBy("piece").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("sym_pos", "token_id"))), lambda x: x["token_id"]).alias("t"), F.max(F.col("token_id").isNull()).alias("m")
     )
-    pieces = F.posexplode_outer(pretokens(df.sparkSession, F.col(text))).alias("pos", "piece")
-    rows = spread(df.select(id_col, text)).withColumn("_row", F.monotonically_increasing_id()).select("_row", id_col, F.col(text).isNull().alias("none"), pieces)
-    rows = rows.join(ids_of, "piece", "left").groupBy("_row").agg(
-        F.first(id_col).alias(id_col), F.first("none").alias("none"), F.coalesce(F.max("m"), F.lit(False)).alias("miss"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("pos", "t")))), lambda x: x["t"])).alias("ids"),
-    )
-    return rows.select(id_col, F.when(~F.col("miss") & ~F.col("none"), F.col("ids")).alias("ids"), F.when(F.col("miss"), "vocab_miss").otherwise("ok").alias("status"))
+    # Rows are numbered in the one plan that is exploded; texts without pieces need no number.
+    empty = F.coalesce(F.octet_length(text), F.lit(0)) == 0
+    keyed = df.where(~empty).select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_key"), F.col(text).alias("_text"))
+    found = explode_pretokens(keyed, "_key", "_text").join(ids_of, "piece").groupBy("_key.row").agg(
+        F.first("_key.id").alias(id_col), F.max("m").alias("miss"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"])).alias("ids")
+    )
+    found = found.select(id_col, F.when(~F.col("miss"), F.col("ids")).alias("ids"), F.when(F.col("miss"), "vocab_miss").otherwise("ok").alias("status"))
+    none = F.when(F.col(text).isNotNull(), F.array().cast("array<long>"))
+    return found.unionByName(df.where(empty).select(id_col, none.alias("ids"), F.lit("ok").alias("status")))
 
 
 def ids_text(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -228,12 +315,24 @@ def run_summary(encoded: DataFrame) -> DataFrame:
 def decode(encoded: DataFrame, model: BpeModel, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, ``content`` binary: the bytes that ids stand for; null if one is unknown. An extension."""
     ship(encoded.sparkSession)
-    held = encoded.sparkSession.sparkContext.broadcast(model.tokens)
+    held = encoded.sparkSession.sparkContext.broadcast(sorted(model.tokens.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = held.value
+        known, tokens = np.array([i for i, _ in held.value], np.int64), pa.array([t for _, t in held.value], pa.large_binary())
+        sizes = np.array([len(t) for _, t in held.value], np.int64)
         for batch in batches:
-            out = [None if ids is None or any(i not in tokens for i in ids) else b"".join(tokens[i] for i in ids) for ids in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
+            counts = np.asarray(lists.value_lengths().fill_null(0))
+            at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            ends = np.cumsum(counts)
+            wrong = np.concatenate([[0], np.cumsum(known[at] != ids)])
+            null = np.asarray(lists.is_null()) | (wrong[ends] > wrong[ends - counts])
+            data = tokens.take(pa.array(at)).buffers()[2]
+            places = np.concatenate([[0], np.cumsum(sizes[at])])
+            first, last = places[ends - counts], places[ends]
+            data = memoryview(data) if data is not None else b""
+            out = [None if n else bytes(data[a:b]) for n, a, b in zip(null.tolist(), first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "content"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, T.StructType([encoded.schema[id_col], T.StructField("content", T.BinaryType())]))
@@ -242,16 +341,6 @@ def decode(encoded: DataFrame, model: BpeModel, id_col: str = "doc_id") -> DataF
 def scan_binary(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """``id_col``, ``pos``, ``piece`` binary, ``valid``: pretokens of any bytes; text through the JVM, the rest through the scanner."""
     spark = df.sparkSession
-    ship(spark)
-    known = classes(spark)
-    fields = [df.schema[id_col], T.StructField("pieces", T.ArrayType(T.BinaryType()))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = [scan_bytes(known, x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.binary()))], names=[f.name for f in fields])
-
     rows = df.where(F.col(content).isNotNull()).select(F.col(id_col), F.col(content), F.is_valid_utf8(F.col(content).cast("string")).alias("valid"))
     good = rows.where("valid").select(id_col, F.posexplode(F.transform(pretokens(spark, F.col(content).cast("string")), lambda p: F.encode(p, "UTF-8"))).alias("pos", "piece"), F.lit(True).alias("valid"))
-    bad = rows.where("not valid").select(id_col, content).mapInArrow(run, T.StructType(fields)).select(id_col, F.posexplode("pieces").alias("pos", "piece"), F.lit(False).alias("valid"))
-    return good.unionByName(bad)
+    return good.unionByName(explode_pretokens(rows.where("not valid"), id_col, content).withColumn("valid", F.lit(False)))

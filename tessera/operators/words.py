@@ -1,16 +1,45 @@
-"""Pretokens, words and pairs: the counts that training starts from."""
+"""Pretokens, words and pairs: the counts that training starts from.
+
+Texts are strings, split in the JVM, or binary, of any bytes: those are split by arrays in Arrow batches, and pieces are binary.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classes import classes, regex_class
-from ..functions.pretok import pretokens
+from ..functions.pretok import pretokens, scanner
+from ..plans.ship import ship
 from ..plans.spread import spread
 
 #: Words of more bytes don't take part in training.
 MOST_BYTES = 15
+#: Bytes that go through arrays together, about, and distinct words that a worker counts before it hands them on.
+TOGETHER_BYTES, HELD_WORDS = 2 << 20, 300_000
+
+
+def is_binary(df: DataFrame, text: str) -> bool:
+    return isinstance(df.schema[text].dataType, T.BinaryType)
+
+
+def _together(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """A batch's texts (empty for null) in stretches of about ``TOGETHER_BYTES``, with the row that each begins at."""
+    start, size, docs = 0, 0, []
+    for i, value in enumerate(batch.column(column)):
+        docs.append(value.as_py() or b"")
+        size += len(docs[-1])
+        if size >= TOGETHER_BYTES:
+            yield start, docs
+            start, size, docs = i + 1, 0, []
+    if docs:
+        yield start, docs
 
 
 def with_pretokens(df: DataFrame, text: str = "text", out: str = "pieces") -> DataFrame:
@@ -19,17 +48,62 @@ def with_pretokens(df: DataFrame, text: str = "text", out: str = "pieces") -> Da
 
 def explode_pretokens(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``id_col``, ``pos`` from 0, ``piece``: a row for each pretoken. No shuffle."""
-    return spread(df.select(id_col, text)).select(F.col(id_col), F.posexplode(pretokens(df.sparkSession, F.col(text))).alias("pos", "piece"))
+    spark = df.sparkSession
+    slim = spread(df.select(id_col, text))
+    if not is_binary(df, text):
+        return slim.select(F.col(id_col), F.posexplode(pretokens(spark, F.col(text))).alias("pos", "piece"))
+    ship(spark)
+    known = classes(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, docs in _together(batch, 1):
+                pieces, counts = scanner(known).split(docs)
+                at = np.repeat(np.arange(len(docs)), counts)
+                pos = np.arange(len(pieces)) - np.repeat(np.cumsum(counts) - counts, counts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(start + at)), pa.array(pos.astype(np.int32)), pa.array(pieces, pa.binary())], names=[id_col, "pos", "piece"])
+
+    return slim.mapInArrow(run, T.StructType([df.schema[id_col], T.StructField("pos", T.IntegerType()), T.StructField("piece", T.BinaryType())]))
 
 
 def word_count(df: DataFrame, text: str = "text", most_bytes: int | None = None) -> DataFrame:
     """``piece``, ``n``: distinct pretokens with their numbers. Counted before the shuffle."""
-    pieces = spread(df.select(text)).select(F.explode(pretokens(df.sparkSession, F.col(text))).alias("piece"))
+    spark, slim = df.sparkSession, spread(df.select(text))
+    if is_binary(df, text):
+        return _byte_words(slim, most_bytes).groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = slim.select(F.explode(pretokens(spark, F.col(text))).alias("piece"))
     if most_bytes is not None:
         pieces = pieces.where(F.octet_length("piece").between(1, most_bytes))
     return pieces.groupBy("piece").agg(F.count("*").alias("n"))
 
 
+def _byte_words(slim: DataFrame, most_bytes: int | None) -> DataFrame:
+    """``piece``, ``n`` of a binary column, combined within each worker."""
+    ship(slim.sparkSession)
+    known = classes(slim.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["piece", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for _, docs in _together(batch, 0):
+                pieces, number, _ = scanner(known).distinct(docs)
+                for piece, n in zip(pieces, np.bincount(number, minlength=len(pieces)).tolist(), strict=True):
+                    if most_bytes is None or len(piece) <= most_bytes:
+                        held[piece] += n
+                if len(held) > HELD_WORDS:
+                    yield rows()
+        if held:
+            yield rows()
+
+    return slim.mapInArrow(run, "piece binary, n long")
+
+
 def word_stats(df: DataFrame, text: str = "text") -> DataFrame:
     """One row over words of up to 15 bytes: ``total``, ``distinct_words``, ``singletons``, ``suggested_vocab``."""
     words = word_count(df, text, MOST_BYTES)
@@ -48,20 +122,6 @@ def class_of(spark: SparkSession, piece: Column) -> Column:
     )
 
 
-def symbols(piece: Column) -> Column:
-    """A piece as symbols of single bytes, in the numbered form: ``<0000104><0000105>``."""
-    hexed = F.hex(F.encode(piece, "UTF-8"))
-    each = F.transform(F.regexp_extract_all(hexed, F.lit(".."), F.lit(0)), lambda x: F.concat(F.lit("<"), F.lpad(F.conv(x, 16, 10), 7, "0"), F.lit(">")))
-    return F.array_join(each, "")
-
-
-def pairs_of(words: DataFrame, symbol: str = "symbols", n: str = "n") -> DataFrame:
-    """``a``, ``b``, ``n``: numbers of neighbouring symbols over all words, overlaps counted."""
-    listed = words.select(n, F.regexp_extract_all(F.col(symbol), F.lit("<([0-9]+)>"), F.lit(1)).alias("s")).where(F.size("s") > 1)
-    pairs = listed.select(n, F.explode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("p"))
-    return pairs.groupBy(F.col("p.a").cast("long").alias("a"), F.col("p.b").cast("long").alias("b")).agg(F.sum(n).cast("long").alias("n"))
-
-
 def pair_count(df: DataFrame, text: str = "text") -> DataFrame:
     """Pairs of neighbouring bytes over the words of up to 15 bytes.
 
@@ -70,7 +130,7 @@ def pair_count(df: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    words = word_count(df, text, MOST_BYTES).repartition(tasks).select("n", F.hex(F.encode("piece", "UTF-8")).alias("h")).where(F.length("h") > 2)
+    words = word_count(df, text, MOST_BYTES).repartition(tasks).select("n", F.hex("piece").alias("h")).where(F.length("h") > 2)
     places = F.sequence(F.lit(1), F.length("h") - 3, F.lit(2))
     pairs = words.select("n", F.explode(F.transform(places, lambda i: F.substring(F.col("h"), i, F.lit(4)))).alias("p"))
     number = lambda at: F.conv(F.substring("p", at, 2), 16, 10).cast("long")

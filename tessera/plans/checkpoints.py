@@ -1,18 +1,40 @@
-"""The folder for checkpoints that driver and executors share."""
+"""The folder for checkpoints that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, in local mode, one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Sees to it that ``checkpoint()`` has a folder: that of ``spark.checkpoint.dir``, or in local mode one of our own."""
+    """Sees to it that ``checkpoint()`` has a folder."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tessera-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
+
+
+class Written:
+    """A DataFrame as Parquet in the shared folder: ``rows`` reads it back, without its lineage; ``drop`` deletes the files."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark, self.path = df.sparkSession, os.path.join(shared_folder(df.sparkSession), f"tessera-{name}-{uuid.uuid4().hex}")
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -16,7 +16,7 @@ from .plans.fixture import MERGES, SPECIALS, fixture_model
 from .plans.model import parse_model
 from .sources import corpus
 
-K_TOP, K_SQL, K_REFERENCE, K_CLUSTER = 20, 8, 300, 20
+K_TOP, K_SQL, K_REFERENCE, K_CLUSTER, K_REFERENCE_CLUSTER = 20, 8, 300, 20, 80
 MISS_VOCAB = 300
 
 
@@ -108,8 +108,7 @@ def train_canonical_k(spark, d):
 
 
 def train_cluster_k(spark, d):
-    words = wd.word_count(docs(spark, d), most_bytes=wd.MOST_BYTES)
-    return tr.pairs_table(spark, tr._on_cluster(words, K_SQL))
+    return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_SQL, lane="cluster"))
 
 
 def train_canonical_300(spark, d):
@@ -117,15 +116,23 @@ def train_canonical_300(spark, d):
 
 
 def train_cluster_20(spark, d):
-    """More steps than the DataFrame loop takes without a checkpoint."""
-    words = wd.word_count(docs(spark, d), most_bytes=wd.MOST_BYTES)
-    return tr.pairs_table(spark, tr._on_cluster(words, K_CLUSTER))
+    return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_CLUSTER, lane="cluster"))
+
+
+def train_cluster_300(spark, d):
+    """Past the merges after which blocks are written anew."""
+    return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_REFERENCE, lane="cluster"))
 
 
 def train_reference_k(spark, d):
     return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_REFERENCE, "reference"))
 
 
+def train_reference_cluster(spark, d):
+    """Without a collect of words, past the merges after which blocks are written anew."""
+    return tr.pairs_table(spark, tr.train_pairs(docs(spark, d), K_REFERENCE_CLUSTER, "reference", lane="cluster"))
+
+
 def merge_ranks(spark, d):
     return fixture_model().merge_table(spark)
 
@@ -358,7 +365,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "train_cluster_k": (train_cluster_k, _training(K_SQL)),
     "train_canonical_300": (train_canonical_300, None),
     "train_cluster_20": (train_cluster_20, None),
+    "train_cluster_300": (train_cluster_300, None),
     "train_reference_k": (train_reference_k, None),
+    "train_reference_cluster": (train_reference_cluster, None),
     "merge_ranks": (merge_ranks, "SELECT * FROM (VALUES " + ", ".join(f"({r}::INTEGER, '{a.upper()}', '{b.upper()}', '{(a + b).upper()}')" for r, (a, b) in enumerate(MERGES)) + ") v(rank, left, right, merged)".replace("left, right", '"left", "right"')),
     "vocab_table": (vocab_table, f"SELECT token, id FROM {_vocab()}"),
     "vocab_sorted": (vocab_sorted, f"SELECT token, id, row_number() OVER (ORDER BY length(token), token, id)::INTEGER AS place FROM {_vocab()}"),

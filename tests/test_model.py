@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tessera.operators.encode import decode, encode, encode_by_join, ids_text, run_summary, scan_binary, split_specials
+from tessera.operators.encode import decode, encode, encode_by_join, explain_stages, ids_text, merge_pieces, run_summary, scan_binary, split_specials
 from tessera.operators.train import merge_words, to_model, train
 from tessera.plans.fixture import fixture_model
 from tessera.plans.model import AddedToken, BpeModel, ModelError, dump_model, load_model, parse_model, save_model
@@ -63,21 +63,150 @@ def test_repeated_ids_stay_apart(spark):
     assert got(encode_by_join(df, m)) == got(encode(df, m)) and encode(df, m).count() == 6
 
 
-def test_splits_in_python_and_in_the_jvm_agree(spark):
-    """Latin-1, the first plane and beyond, with characters that the JVM's own classes lack."""
+def test_splits_by_arrays_and_in_the_jvm_agree(spark):
+    """Latin-1, the first plane and beyond, with characters that the JVM's own classes lack; many documents at once."""
     import random
 
     from pyspark.sql import functions as F
 
     from tessera.functions.classes import classes
-    from tessera.functions.pretok import pretokens
+    from tessera.functions.pretok import pretokens, scanner
 
     rng = random.Random(5)
     letters = "ab1 \n\t'\u00a0\u0085é²!\u0870\u1c89\u2003日本٣\U0001f600\U00010d40\U00010d6f\U0001e5d0\U00016d40"
-    texts = ["".join(rng.choice(letters[: rng.choice([12, 20, len(letters)])]) for _ in range(rng.randint(0, 40))) + rng.choice(["", "'s it", "x're'll "]) for _ in range(400)]
-    split = classes(spark).splitter()
+    texts = ["".join(rng.choice(letters[: rng.choice([12, 20, len(letters)])]) for _ in range(rng.randint(0, 40))) + rng.choice(["", "'s it", "x're'll ", " 's's", "''ve"]) for _ in range(400)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pretokens(spark, F.col("t")).alias("p")).collect()
-    assert all(split(r["t"]) == r["p"] for r in rows)
+    pieces, counts = scanner(classes(spark)).split([r["t"].encode() for r in rows])
+    assert pieces == [p.encode() for r in rows for p in r["p"]] and counts.tolist() == [len(r["p"]) for r in rows]
+    found, number, again = scanner(classes(spark)).distinct([r["t"].encode() for r in rows])
+    assert [found[k] for k in number] == pieces and len(set(found)) == len(found) and again.tolist() == counts.tolist()
+
+
+def test_merging_by_arrays_and_by_rounds_of_joins(spark):
+    """Rules in any order, such as those that can't be applied in the order of ranks, and long pieces, against plain merging."""
+    import random
+
+    import numpy as np
+
+    from tessera.plans.merging import MISS, BatchMerger
+
+    rng = random.Random(8)
+    for turn in range(60):
+        tokens, rules = [b"a", b"b", b"c"], []
+        for _ in range(rng.randint(0, 12)):
+            rules.append((rng.choice(tokens), rng.choice(tokens)))
+            tokens.append(b"".join(rules[-1]))
+        rng.shuffle(rules)
+        m = model_of(rules) if turn else model_of([(b"a", b"b"), (b"abc", b"d"), (b"ab", b"c")])
+        words = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.choice([1, 2, 5, 12, 40, 70, 90]))) for _ in range(30)} | {b"abcd"})
+        want = [plain_merge(m, w) for w in words]
+        assert BatchMerger(m).ids_of(words) == [np.array([m.ids.get(s, MISS) for s in w], "<i8").tobytes() for w in want]
+        if turn < 3:
+            df = spark.createDataFrame([(bytearray(w),) for w in [*words, *words]], "piece binary")
+            got = {bytes(r["piece"]): [bytes.fromhex(s) for s in r["symbols"]] for r in merge_pieces(df, m).collect()}
+            assert got == dict(zip(words, want, strict=True)) and (turn or got[b"abcd"] == [b"abcd"])
+    assert [r["symbols"] for r in merge_pieces(spark.createDataFrame([("ab",)], "piece string"), model_of([])).collect()] == [["61", "62"]]
+    assert merge_pieces(spark.createDataFrame([], "piece string"), model_of([(b"a", b"b")])).count() == 0
+
+
+def test_stages_of_a_real_model(spark):
+    """All ways of encoding agree under 50 thousand rules, text or bytes, and stages hold every symbol."""
+    public = pytest.importorskip("public_tokenizers")
+    m = load_model(spark, public.path("byte_bpe_50k.json"))
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    df = df.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 200 + " naïve 'll"), (5, "twice")], "doc_id long, text string"))
+    got = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    whole = got(encode(df, m))
+    assert got(encode_by_join(df, m)) == whole
+    rows = explain_stages(df.where("doc_id != 5"), m).collect()
+    ids = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["pos"], r["sym_pos"])):
+        ids.setdefault(r["doc_id"], []).append(r["token_id"])
+        assert r["symbol"] in r["piece_hex"] and m.ids[bytes.fromhex(r["symbol"])] == r["token_id"]
+    want = {r["doc_id"]: r["ids"] for r in encode(df, m).collect()}
+    assert ids == {k: v for k, v in want.items() if v and k != 5}
+    raw = df.select("doc_id", df["text"].cast("binary").alias("text")).unionByName(spark.createDataFrame([(-9, bytearray(b"ab \xff\xe9 cd\xc3"))], "doc_id long, text binary"))
+    assert got(encode_by_join(raw, m)) == got(encode(raw, m)) != whole
+
+
+def test_long_documents_are_cut_where_a_piece_begins(spark, monkeypatch):
+    from tessera.operators import encode as enc
+
+    m = fixture_model(True)
+    text = ("the cat 's " * 3 + " 12 don't<|endoftext|>  x\n") * 400
+    df = spark.createDataFrame([(0, text), (1, ""), (2, text[5:] + "ab " * 3000)], "doc_id long, text string")
+    want = encode(df, m, stats=True).collect()
+    monkeypatch.setattr(enc, "TOGETHER_BYTES", 100)
+    encoder = enc.Encoder(m, __import__("tessera.functions.classes", fromlist=["classes"]).classes(spark))
+    ids, size, pieces, special = encoder.encode([r["text"].encode() for r in df.collect()])
+    assert ids.tolist() == [i for r in want for i in r["ids"]] and size.tolist() == [len(r["ids"]) for r in want]
+    assert (pieces - special).tolist() == [r["n_pretokens"] for r in want]
+    assert len(list(encoder.parts(text.encode()))) > 400
+
+
+@pytest.fixture
+def small_rounds(monkeypatch):
+    """Blocks, lists, guesses and spans between rewrites so small that all of their borders are crossed."""
+    from tessera.operators import clusterreference, clustertrain
+
+    for module in (clustertrain, clusterreference):
+        for name, value in (("BLOCK_WORDS", 4), ("MOST_PAIRS", 6), ("MOST_STEPS", 4), ("REWRITE", 5)):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, value)
+
+
+def test_training_on_the_cluster_against_plain_training(spark, small_rounds):
+    import random
+
+    from tessera.operators.clusterreference import train_reference_on_cluster
+    from tessera.operators.clustertrain import train_on_cluster
+
+    rng = random.Random(4)
+    for turn in range(2):
+        words = list({bytes(rng.choice(b"abc\xff") for _ in range(rng.randint(1, 9))): rng.randint(1, 6) for _ in range(40)}.items())
+        df = spark.createDataFrame([(bytearray(w), n, k) for k, (w, n) in enumerate(words)], "piece binary, n long, first long").repartition(3)
+        assert train_on_cluster(df, 18) == merge_words(words, 18) == brute(words, 18)
+        assert train_reference_on_cluster(df, 14) == merge_words(words, 14, "reference")
+    few = spark.createDataFrame([(bytearray(b"aaab"), 3, 0), (bytearray(b"xy"), 1, 1)], "piece binary, n long, first long")
+    assert train_on_cluster(few, 50) == merge_words([(b"aaab", 3), (b"xy", 1)], 50)
+    assert train_reference_on_cluster(few, 50) == merge_words([(b"aaab", 3), (b"xy", 1)], 50, "reference")
+    assert train_on_cluster(few.limit(0), 5) == train_reference_on_cluster(few.limit(0), 5) == []
+    lost = spark.createDataFrame([(bytearray(w), n, k) for k, (w, n) in enumerate([(b"ab", 10), (b"abc", 3), (b"bc", 4)])], "piece binary, n long, first long")
+    assert train_on_cluster(lost, 9) == [(97, 98), (98, 99), (256, 99)] and train_reference_on_cluster(lost, 9) == [(97, 98), (256, 99)]
+
+
+def test_a_round_settles_many_merges_and_leaves_nothing_behind(spark):
+    """On real words: the same merges as the driver's loop, in a fifth as many jobs, with the written tables gone."""
+    import glob
+
+    from tessera.operators.clustertrain import train_on_cluster
+    from tessera.operators.words import word_count
+
+    words = word_count(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), most_bytes=15)
+    rows = [(r["piece"].encode(), r["n"]) for r in words.orderBy("piece").collect()]
+    report = {}
+    assert train_on_cluster(words, 250, report) == merge_words(rows, 250)
+    assert report["jobs"] <= 50
+    assert not glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tessera-train-*")
+
+
+def test_lanes_and_bytes_train_alike(spark):
+    """Both lanes, both modes, text and bytes; bytes that aren't UTF-8 are counted as they are."""
+    from tessera.operators.train import train_pairs
+    from tessera.operators.words import word_count, word_stats
+
+    df = spark.createDataFrame([(0, "ab ab abc"), (1, "bc abc é"), (2, None), (3, ""), (4, "bc " * 9)], "doc_id long, text string")
+    raw = df.select("doc_id", df["text"].cast("binary").alias("text"))
+    for mode in ("canonical", "reference"):
+        want = train_pairs(df, 9, mode)
+        assert want and all(train_pairs(d, 9, mode, lane=lane) == want for d in (df, raw) for lane in ("driver", "cluster"))
+    with pytest.raises(ValueError):
+        train_pairs(df, 9, lane="other")
+    counted = lambda d: sorted((bytes(r["piece"]) if not isinstance(r["piece"], str) else r["piece"].encode(), r["n"]) for r in d.collect())
+    assert counted(word_count(raw)) == counted(word_count(df)) and word_stats(raw).first() == word_stats(df).first()
+    broken = spark.createDataFrame([(0, bytearray(b"\xff \xe9 ab")), (1, bytearray(b"\xff\xff" * 20 + b" ab"))], "doc_id long, text binary")
+    assert counted(word_count(broken, most_bytes=15)) == [(b" ab", 2), (b" \xe9", 1), (b"\xff", 1)]
+    assert train(broken, 258).merges == ((b" ", b"a"), (b" a", b"b"))
 
 
 def test_train_vectors():
@@ -211,6 +340,8 @@ def test_queries_at_the_scale_of_real_models(spark, tmp_path):
     from tiktoken.load import load_tiktoken_bpe
 
     import __spark_entry__ as entry
+    from tessera.functions.classes import classes
+    from tessera.functions.pretok import scan_bytes
     from tessera.operators import words as wd
 
     rng = random.Random(3)
@@ -220,11 +351,18 @@ def test_queries_at_the_scale_of_real_models(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     queries = entry.queries()
     counted = [(bytes(r["piece"], "utf-8"), r["n"]) for r in wd.word_count(spark.read.parquet(str(tmp_path / "documents.parquet"))).select(wd.F.col("piece").cast("string"), "n").collect()]
-    for name, k in (("train_canonical_300", 300), ("train_cluster_20", 20)):
+    for name, k in (("train_canonical_300", 300), ("train_cluster_20", 20), ("train_cluster_300", 300)):
         table = queries[name](spark, str(tmp_path)).collect()
         want = brute(counted, k)
         assert len(table) == len(want) > 16
         assert [tuple(r)[-2:] for r in sorted(table)] == want
+    first = {}
+    for _, t in rows:
+        for p in (x.decode() for x in scan_bytes(classes(spark), t.encode())):
+            first.setdefault(p, [len(first), 0])[1] += 1
+    in_order = [(p.encode(), n) for p, (_, n) in sorted(first.items(), key=lambda x: x[1][0]) if len(p.encode()) <= wd.MOST_BYTES]
+    for name, k in (("train_reference_k", 300), ("train_reference_cluster", 80)):
+        assert [tuple(r)[-2:] for r in sorted(queries[name](spark, str(tmp_path)).collect())] == merge_words(in_order, k, "reference")
     split = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     library = tiktoken.Encoding("b", pat_str=split, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     got = {r["doc_id"]: r["ids"] for r in queries["encode_ids_50k"](spark, str(tmp_path)).collect()}

@@ -14,6 +14,7 @@ from .operators import train as tr
 from .operators import words as wd
 from .plans.model import load_model, save_model
 from .sources import corpus
+from .sources.ids import write_ids
 
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
@@ -29,7 +30,7 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
         return p
 
     p = command("encode", "ids of every document, and a summary", True)
-    p.add_argument("--out", help="a folder for lines of ids; without it only the summary is printed")
+    p.add_argument("--out", help="a folder for lines of ids, in the order of documents; without it only the summary is printed")
     p = command("train", "train merge rules and write a model")
     p.add_argument("--vocab-size", type=int, required=True)
     p.add_argument("--special", action="append", default=[])
@@ -39,46 +40,44 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--top", type=int, default=0, help="also print so many of the most frequent words")
     p = command("stages", "what each stage makes of every document", True)
     p.add_argument("--limit", type=int, default=100, help="rows to print")
-    p = command("manifest", "documents and bytes of each file")
+    p = command("manifest", "documents and bytes of each file and in all")
+    p.add_argument("--out", help="a folder for the JSON")
     return top.parse_args(given)
 
 
 def read(spark: SparkSession, path: str, hexed: bool) -> DataFrame:
-    """``doc_id`` (in the order of the lines of a file), ``text``: string, or binary of hex lines (null for a bad one)."""
-    if hexed:
-        return corpus.read_hex_corpus(spark, path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("content").alias("text"))
-    return corpus.read_newline_corpus(spark, path).select(F.monotonically_increasing_id().alias("doc_id"), "text")
+    """``doc_id`` from 0, ``text`` binary: what stands between newlines, or the bytes of hex lines (null for a bad one)."""
+    found = corpus.read_hex_corpus(spark, path) if hexed else corpus.read_documents(spark, path)
+    return found.select("doc_id", F.col("content").alias("text"))
+
+
+def _shown(row) -> dict:
+    """A row as JSON has it: bytes with what doesn't print as ``\\xNN``."""
+    return {k: wd.shown(bytes(v)) if isinstance(v, (bytes, bytearray)) else v for k, v in row.asDict().items()}
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> list[dict]:
     """What a command prints, a JSON object a line."""
     if a.command == "manifest":
-        lines = corpus.read_newline_corpus(spark, a.corpus).withColumn("file", F.input_file_name())
-        return [r.asDict() for r in corpus.manifest(lines, "file").orderBy("file").collect()]
+        found = corpus.read_hex_corpus(spark, a.corpus) if a.hex else corpus.read_documents(spark, a.corpus)
+        made = corpus.manifest_json(found, "file", "content")
+        if a.out:
+            made.coalesce(1).write.text(a.out)
+        return [json.loads(made.first()["json"])]
     docs, began = read(spark, a.corpus, a.hex), time.time()
-    if a.hex and a.command in ("train", "words"):
-        docs = docs.withColumn("text", F.col("text").cast("string"))
     if a.command == "train":
         model = tr.train(docs, a.vocab_size, tuple(a.special), a.mode)
         save_model(spark, model, a.out)
         return [{"vocab_size": model.vocab_size, "merges": len(model.merges), "seconds": round(time.time() - began, 3)}]
     if a.command == "words":
         top = wd.word_count(docs, most_bytes=wd.MOST_BYTES).orderBy(F.desc("n"), "piece").limit(a.top).collect() if a.top else []
-        return [wd.word_stats(docs).first().asDict(), *[r.asDict() for r in top]]
+        return [wd.word_stats(docs).first().asDict(), *map(_shown, top)]
     model = load_model(spark, a.model)
     if a.command == "stages":
-        if a.hex:
-            docs = docs.withColumn("text", F.col("text").cast("string"))
-        rows = enc.explain_stages(docs, model) if model.folds and len(model.merges) <= enc.MOST_FOLD_RULES else enc.encode(docs, model, stats=True)
-        order = [c for c in ("doc_id", "pos", "sym_pos") if c in rows.columns]
-        return [r.asDict() for r in rows.orderBy(*order).limit(a.limit).collect()]
-    encoded = enc.encode(docs, model)
-    if a.out:
-        enc.ids_text(encoded).select(F.col("line").alias("value")).write.text(a.out)
-    done = encoded.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0)).alias("checksum"), F.count_if(F.col("status") != "ok").alias("misses")).first()
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        return [r.asDict() for r in enc.explain_stages(docs, model).orderBy("doc_id", "pos", "sym_pos").limit(a.limit).collect()]
+    done = write_ids(docs, model, a.out)
     seconds = time.time() - began
-    return [done.asDict() | {"rc": 11 if done["misses"] else 0, "seconds": round(seconds, 3), "mb_per_s": round(size / 1e6 / seconds, 2)}]
+    return [done | {"rc": 11 if done["misses"] else 1 if done["bad"] else 0, "seconds": round(seconds, 3), "mb_per_s": round(done["bytes"] / 1e6 / seconds, 2)}]
 
 
 def main(given: list[str] | None = None) -> int:

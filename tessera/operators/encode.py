@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions.classes import Classes, classes
 from ..functions.pretok import ByteScanner, pretokens
+from ..functions.trie import trie_pattern
 from ..plans.checkpoints import Written
 from ..plans.merging import MISS, BatchMerger
 from ..plans.model import SHORT, BpeModel
@@ -40,8 +41,8 @@ _CUT = re.compile(rb"[0-9A-Za-z](?= [A-Za-z])")
 
 
 def special_pattern(model: BpeModel) -> str:
-    """The longest first, so that the leftmost match is the longest there."""
-    return "|".join("\\Q" + s.content.decode("utf-8").replace("\\E", "\\E\\\\E\\Q") + "\\E" for s in model.specials)
+    """One pattern for the JVM, of all special tokens; the leftmost match, and the longest there."""
+    return trie_pattern([s.content.decode("utf-8") for s in model.specials], lambda c: f"\\x{{{ord(c):X}}}")
 
 
 def split_specials(model: BpeModel, text: Column) -> Column:
@@ -51,7 +52,7 @@ def split_specials(model: BpeModel, text: Column) -> Column:
         return F.when(F.length(text) > 0, F.array(part(F.lit(False), text))).otherwise(F.array().cast("array<struct<special:boolean,part:string>>"))
     pattern = special_pattern(model)
     parts = F.regexp_extract_all(text, F.lit(f"(?s)(?:{pattern})|(?:(?!{pattern}).)+"), F.lit(0))
-    return F.transform(parts, lambda p: part(p.rlike(f"^(?:{pattern})$") & p.isin([s.content.decode("utf-8") for s in model.specials]), p))
+    return F.transform(parts, lambda p: part(p.rlike(pattern), p))  # what stands between holds none
 
 
 class Encoder:
@@ -61,7 +62,9 @@ class Encoder:
         self.merger, self.scanner = BatchMerger(model), ByteScanner(known)
         self.memo: dict[bytes, bytes] = {}
         self.special_ids = {s.content: s.id for s in model.specials}
-        self.pattern = re.compile(b"|".join(map(re.escape, self.special_ids))) if model.specials else None
+        # Bytes as Latin-1 characters; a pattern of bytes is made of them.
+        tokens = [c.decode("latin-1") for c in self.special_ids]
+        self.pattern = re.compile(trie_pattern(tokens, lambda c: f"\\x{ord(c):02x}").encode("ascii")) if tokens else None
 
     def parts(self, doc: bytes) -> Iterator[tuple[bytes, int]]:
         """A document's parts in order: a stretch of text with -1, or an empty one with the id of a special token."""
@@ -300,10 +303,16 @@ def encode_by_join(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text:
     return found.unionByName(df.where(empty).select(id_col, none.alias("ids"), F.lit("ok").alias("status")))
 
 
+#: The codes of a document without ids, by its status.
+ERRORS = {"bad_input": 7, "vocab_miss": 11}
+
+
 def ids_text(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A line for each document: ids with spaces between, an empty line for an empty document, ``ERR 11`` for a miss."""
-    line = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return encoded.select(id_col, F.when(F.col("status") == "ok", F.coalesce(line, F.lit(""))).otherwise("ERR 11").alias("line"))
+    """A line for each document: ids with spaces between, an empty line for an empty document, ``ERR`` and a code for one without ids."""
+    line = F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), " "), F.lit(""))
+    for status, code in ERRORS.items():
+        line = F.when(F.col("status") == status, f"ERR {code}").otherwise(line)
+    return encoded.select(id_col, line.alias("line"))
 
 
 def run_summary(encoded: DataFrame) -> DataFrame:

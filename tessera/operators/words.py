@@ -25,6 +25,17 @@ MOST_BYTES = 15
 TOGETHER_BYTES, HELD_WORDS = 2 << 20, 300_000
 
 
+def shown(piece: bytes) -> str:
+    """Bytes with those that don't print as ``\\xNN``."""
+    return "".join(chr(b) if 0x20 <= b < 0x7F else f"\\x{b:02x}" for b in piece)
+
+
+def shown_column(piece: Column) -> Column:
+    """``shown`` of a string or binary column, in the JVM."""
+    each = F.regexp_extract_all(F.hex(piece), F.lit(".."), F.lit(0))
+    return F.array_join(F.transform(each, lambda x: F.when(x.between("20", "7E"), F.decode(F.unhex(x), "UTF-8")).otherwise(F.concat(F.lit("\\x"), F.lower(x)))), "")
+
+
 def is_binary(df: DataFrame, text: str) -> bool:
     return isinstance(df.schema[text].dataType, T.BinaryType)
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.bytemap import ALPHABET, CHANGED, CHANGED_TO, from_mapped, to_mapped
+from .functions.bytemap import ALPHABET, CHANGED, CHANGED_TO, byte_classes, from_mapped, to_mapped
 from .functions.pretok import pretokens
+from .functions.utf8 import decode_rows
 from .operators import encode as enc
 from .operators import train as tr
 from .operators import words as wd
@@ -68,6 +69,32 @@ def byte_histogram(spark, d):
     return each.groupBy("byte").agg(F.count("*").alias("n"))
 
 
+def byte_class_hist(spark, d):
+    """Bytes by the class that they have alone; counted by byte before they are named."""
+    each = byte_histogram(spark, d)
+    return each.groupBy(F.substring(F.lit(byte_classes()), F.conv("byte", 16, 10).cast("int") + 1, F.lit(1)).alias("class")).agg(F.sum("n").cast("long").alias("n"))
+
+
+def span_dump(spark, d):
+    """A document's pretokens as text, what doesn't print as ``\\xNN``."""
+    return docs(spark, d).select("doc_id", F.array_join(F.transform(pretokens(spark, F.col("text")), lambda p: F.concat(F.lit(" ["), wd.shown_column(p), F.lit("]"))), "").alias("spans"))
+
+
+def code_points(spark, d):
+    """How often each code point comes, from the decoder's rows."""
+    rows = decode_rows(docs(spark, d).select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id", "content")
+    return rows.groupBy("point", "width").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
+def word_count_bytes(spark, d):
+    """Words of documents taken as bytes."""
+    return wd.word_count(docs(spark, d).select(F.encode("text", "UTF-8").alias("content")), "content").select(F.hex("piece").alias("piece"), "n")
+
+
+def manifest_totals(spark, d):
+    return corpus.manifest_totals(docs(spark, d), "source")
+
+
 def newline_docs(spark, d):
     return corpus.split_newlines(docs(spark, d).select("doc_id", "text"))
 
@@ -353,6 +380,12 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "byte_map": (byte_map, f"SELECT doc_id, {_MAPPED.replace('{hex}', 'hex(encode(text))')} AS mapped FROM documents"),
     "byte_unmap": (byte_unmap, "SELECT doc_id, text FROM documents"),
     "byte_histogram": (byte_histogram, "SELECT byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY byte"),
+    "byte_class_hist": (byte_class_hist, f"SELECT substr({_sql(byte_classes())}, ('0x' || byte)::INTEGER + 1, 1) AS class, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY 1"),
+    "span_dump": (span_dump, f"""WITH kinds AS (SELECT piece, array_to_string(list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda x: CASE WHEN x BETWEEN '20' AND '7E' THEN chr(('0x' || x)::INTEGER) ELSE '\\x' || lower(x) END), '') AS s FROM (SELECT DISTINCT piece FROM ({_rows()})))
+ SELECT doc_id, coalesce(spans, '') AS spans FROM documents LEFT JOIN (SELECT doc_id, string_agg(' [' || s || ']', '' ORDER BY pos) AS spans FROM ({_rows()}) JOIN kinds USING (piece) GROUP BY doc_id) USING (doc_id)"""),
+    "code_points": (code_points, "SELECT unicode(c)::INTEGER AS point, octet_length(encode(c))::INTEGER AS width, count(*) AS n, 0::BIGINT AS invalid FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) GROUP BY c"),
+    "word_count_bytes": (word_count_bytes, f"SELECT hex(encode(piece)) AS piece, count(*) AS n FROM ({_rows()}) GROUP BY 1"),
+    "manifest_totals": (manifest_totals, 'SELECT source AS "group", count(*) AS docs, sum(octet_length(encode(text)))::BIGINT AS bytes, false AS total FROM documents GROUP BY source UNION ALL SELECT NULL, count(*), sum(octet_length(encode(text)))::BIGINT, true FROM documents'),
     "newline_docs": (newline_docs, "SELECT doc_id, unnest(range(len(l)))::INTEGER AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"),
     "newline_docs_nonempty": (newline_docs_nonempty, "SELECT * FROM (SELECT doc_id, unnest(range(len(l)))::INTEGER AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE text <> ''"),
     "corpus_stats": (corpus_stats, "SELECT count(*) AS docs, sum(octet_length(encode(line)))::BIGINT AS bytes FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)"),

@@ -80,3 +80,112 @@ def test_scanner_equals_regex_on_text(spark):
     for r in rows[:60]:
         assert [p.decode() for p in scan_bytes(classes(spark), r["text"].encode())] == r["p"]
         assert "".join(r["p"]) == r["text"]
+
+
+def test_scanner_against_a_plain_one(spark):
+    """Any bytes, alone and many together: units by ``class_at``, pieces by the split pattern over their classes."""
+    import random
+    import re
+
+    from tessera.functions.pretok import scanner
+
+    c = classes(spark)
+    pattern = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\xe9]+| ?[0-9]+| ?[^\sA-Za-z\xe90-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+    def plain(data):
+        shown, starts, at = [], [], 0
+        while at < len(data):
+            kind, width = class_at(c, data, at)
+            starts.append(at)
+            shown.append(chr(data[at]) if width == 1 and data[at] < 0x80 else {"L": "\xe9", "N": "0", "S": "\t", "O": "!"}[kind])
+            at += width
+        starts.append(len(data))
+        return [data[starts[m.start()] : starts[m.end()]] for m in pattern.finditer("".join(shown))]
+
+    rng = random.Random(1)
+    pool = [bytes([x]) for x in range(256)] + ["é".encode(), "日".encode(), "\U0001f600".encode(), b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\xaf", b"\xc1\xa1", b"\xc2\x85", b" ", b"'s", b"'ll", b"ab", b"12", b"\xe9\x80", b"\xf0\x9f"] * 6
+    for _ in range(800):
+        docs = [b"".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(0, 9))]
+        want = [plain(d) for d in docs]
+        pieces, counts = scanner(c).split(docs)
+        assert pieces == [p for w in want for p in w] and counts.tolist() == list(map(len, want))
+        found, number, again = scanner(c).distinct(docs)
+        assert [found[k] for k in number] == pieces and len(set(found)) == len(found) and again.tolist() == counts.tolist()
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from tessera.functions import pretok
+
+    monkeypatch.setattr(pretok, "_MIX", (np.uint64(0), np.uint64(0), np.uint64(0)))
+    data = b"aabbccaa" + b"z" * 40
+    found, number = pretok._distinct(data, np.array([0, 2, 4, 6, 8, 0]), np.array([2, 4, 6, 8, 48, 1]))
+    assert [found[k] for k in number] == [b"aa", b"bb", b"cc", b"aa", b"z" * 40, b"a"] and len(found) == 5
+
+
+def test_strict_decoding(spark):
+    """Vectors, and random bytes against a plain decoder."""
+    import random
+
+    from tessera.functions.utf8 import code_points, decode_rows
+
+    def plain(data):
+        out, at = [], 0
+        while at < len(data):
+            for width in (1, 2, 3, 4):
+                try:
+                    point = data[at : at + width].decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                if len(point) == 1:
+                    out.append((at, ord(point), width, True))
+                    break
+            else:
+                out.append((at, 0xFFFD, 1, False))
+                width = 1
+            at += width
+        return out
+
+    def got(data):
+        return list(zip(*(x.tolist() for x in code_points(data)), strict=True))
+
+    for data in (b"", b"a\0", "é日\U0001f600".encode(), b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xf5\x80\x80\x80", b"\xe2\x82", b"\xf0\x9f\x98", b"\x80\xbf", b"\xe2\x28\xa1", b"\xe0\x80\xaf", b"\xf8\x88\x80\x80\x80"):
+        assert got(data) == plain(data), data
+    rng = random.Random(4)
+    pool = [bytes([x]) for x in range(0x78, 256)] + ["é".encode(), "日".encode(), "\U0001f600".encode()] * 9
+    for _ in range(2000):
+        data = b"".join(rng.choice(pool) for _ in range(rng.randint(0, 10)))
+        assert got(data) == plain(data), data
+    long = ("日é\U0001f600" * 300_000).encode() + b"\xe6"
+    df = spark.createDataFrame([(1, bytearray(long)), (2, None), (3, bytearray(b"\xff"))], "k int, content binary")
+    rows = decode_rows(df, "k", "content")
+    assert rows.where("k = 1 and valid").count() == 900_000 and rows.where("not valid").select("k", "place", "point", "width").orderBy("k").collect() == [(1, len(long) - 1, 0xFFFD, 1), (3, 0, 0xFFFD, 1)]
+
+
+def test_trie_patterns():
+    import random
+    import re
+    import time
+
+    from tessera.functions.trie import trie_pattern
+
+    rng = random.Random(2)
+    for _ in range(200):
+        words = ["".join(rng.choice("ab<>|.") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 12))]
+        text = "".join(rng.choice("ab<>|.\n") for _ in range(60))
+        longest = "|".join(map(re.escape, sorted(filter(None, set(words)), key=len, reverse=True)))
+        if longest:
+            assert re.findall(trie_pattern(words, re.escape), text) == re.findall(longest, text)
+    text = " ".join(f"word{rng.randrange(10**6)} <|tok{rng.randrange(5)}|>" for _ in range(40_000))
+
+    def seconds(n):
+        pattern = re.compile(trie_pattern([f"<|tok{k}|>" for k in range(n)], re.escape))
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            pattern.findall(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(5000) < 4 * seconds(5)  # twice, measured alone; more here, as tests share their machine

@@ -14,13 +14,47 @@ def test_newlines(spark, tmp_path):
     assert rows == [(0, 0, "a\r"), (0, 1, ""), (0, 2, "b"), (0, 3, ""), (1, 0, "")]
     assert corpus.split_newlines(df, keep_empty=False).count() == 2
     (tmp_path / "c.txt").write_bytes(b"a\r\nb\rc\n\nd")
-    assert [r[0] for r in corpus.read_newline_corpus(spark, str(tmp_path / "c.txt")).collect()] == ["a\r", "b\rc", "", "d"]
     assert bytes(corpus.read_files(spark, str(tmp_path / "c.txt")).first()["content"]) == b"a\r\nb\rc\n\nd"
 
 
+def test_documents_between_newlines(spark, tmp_path):
+    """n newlines of a file make n + 1 documents of any bytes, numbered in order, whatever splits the files are read in."""
+    import random
+
+    rng = random.Random(3)
+    made = [b"a\r\nb\xff\xc3\n\nd", b"\n", b"", b"\xef\xbb\xbfmark\nx\n", b"\xef\xbb\xbf", b"one", b"\n\n\n", bytes(rng.choice(b"ab\n\xe9\x00") for _ in range(60_000)), b"\xef\xbb\xbf\n", b"x" * 30_000 + b"\n" + b"y" * 30_000 + b"\n"]
+    for k, data in enumerate(made):
+        (tmp_path / f"{k} é%20.txt").write_bytes(data)
+    want = [d for data in made for d in data.split(b"\n")]
+    lines = [d for data in made for d in (data[:-1] if data.endswith(b"\n") else data).split(b"\n") if data and data != b"\xef\xbb\xbf"]
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "7000b", "1000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = sorted((r["doc_id"], bytes(r["content"])) for r in corpus.read_documents(spark, str(tmp_path)).collect())
+            assert found == list(enumerate(want)), size
+            found = sorted((r["doc_id"], bytes(r["content"])) for r in corpus.read_documents(spark, str(tmp_path), last_empty=False).collect())
+            assert found == list(enumerate(lines)), size
+        assert corpus.read_documents(spark, str(tmp_path / "7 é%20.txt")).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_manifest(spark):
+    import json
+
+    df = spark.createDataFrame([("a", "é"), ("a", None), ("b", "xy"), (None, "z")], "g string, text string")
+    got = sorted(map(str, map(tuple, corpus.manifest_totals(df, "g").collect())))
+    assert got == sorted(map(str, [("a", 2, 2, False), ("b", 1, 2, False), (None, 1, 1, False), (None, 4, 5, True)]))
+    assert json.loads(corpus.manifest_json(df, "g").first()["json"]) == {"bytes": 5, "docs": 4, "groups": 3, "per_group": {"": {"bytes": 1, "docs": 1}, "a": {"bytes": 2, "docs": 2}, "b": {"bytes": 2, "docs": 1}}}
+    assert json.loads(corpus.manifest_json(df.limit(0), "g").first()["json"])["docs"] == 0
+
+
 def test_hex(spark, tmp_path):
     (tmp_path / "h.txt").write_text("61 62\n\n6\nzz\nFFfe\n")
-    rows = [(None if r["content"] is None else bytes(r["content"]), r["status"]) for r in corpus.read_hex_corpus(spark, str(tmp_path / "h.txt")).collect()]
+    found = corpus.read_hex_corpus(spark, str(tmp_path / "h.txt")).orderBy("doc_id").collect()
+    rows = [(None if r["content"] is None else bytes(r["content"]), r["status"]) for r in found]
+    assert [r["doc_id"] for r in found] == [0, 1, 2, 3, 4]
     assert rows == [(b"ab", "ok"), (b"", "ok"), (None, "bad_hex"), (None, "bad_hex"), (b"\xff\xfe", "ok")]
     lenient = spark.createDataFrame([("6x1-6",), ("",)], "l string").select(corpus.unhex_lenient(F.col("l")).alias("b")).collect()
     assert [bytes(r["b"]) for r in lenient] == [b"a", b""]

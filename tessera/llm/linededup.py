@@ -113,10 +113,13 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct("_id", "_no")
     first = slim.where(~F.col("_blank")).groupBy("_h", "_g").agg(F.min(place).alias("_first"))
     near = near_lines(lines.where(~_blank(F.col("_line"))), first)
-    bars = first.join(near, ["_h", "_g"], "left").select("_h", "_g", F.least("_first", F.coalesce("_near", "_first")).alias("_bar"))
-    judged = slim.join(bars, ["_h", "_g"], "left").withColumn("_out", ~F.col("_blank") & (place > F.col("_bar")))
-    by_line = judged.groupBy("_id", "_row", "_no").agg(F.max("_out").alias("_out"))  # rows that agree in id and text
-    return by_line.groupBy("_id", "_row").agg(F.array_sort(F.collect_list(F.struct("_no", "_out"))).alias("_all")).select("_id", "_row", F.col("_all._out").alias("_gone"))
+    # What stays is the first occurrence of a line that has no earlier one near: one place a line. Lines find out by their
+    # own places, not by their texts, so a line that a third of all documents hold is no group of its own.
+    stay = first.join(near, ["_h", "_g"], "left_anti").select(F.col("_first._id").alias("_at"), F.col("_first._no").alias("_at_no"), F.col("_h").alias("_at_h"), F.col("_g").alias("_at_g"))
+    found = F.col("_id").eqNullSafe(F.col("_at")) & (F.col("_no") == F.col("_at_no")) & (F.col("_h") == F.col("_at_h")) & (F.col("_g") == F.col("_at_g"))
+    judged = slim.join(stay, found, "left").select("_id", "_row", "_no", (~F.col("_blank") & F.col("_at_h").isNull()).alias("_out"))
+    # A set, as rows that agree in id and text say the same of each line.
+    return judged.groupBy("_id", "_row").agg(F.array_sort(F.collect_set(F.struct("_no", "_out"))).alias("_all")).select("_id", "_row", F.col("_all._out").alias("_gone"))
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:

@@ -58,10 +58,10 @@ def split_specials(model: BpeModel, text: Column) -> Column:
 class Encoder:
     """A worker's encoder, with its memo of pieces and their ids (packed longs, ``MISS`` for a symbol that the vocabulary lacks)."""
 
-    def __init__(self, model: BpeModel, known: Classes) -> None:
-        self.merger, self.scanner = BatchMerger(model), ByteScanner(known)
+    def __init__(self, merger: BatchMerger, known: Classes) -> None:
+        self.merger, self.scanner = merger, ByteScanner(known)
         self.memo: dict[bytes, bytes] = {}
-        self.special_ids = {s.content: s.id for s in model.specials}
+        self.special_ids = {s.content: s.id for s in merger.model.specials}
         # Bytes as Latin-1 characters; a pattern of bytes is made of them.
         tokens = [c.decode("latin-1") for c in self.special_ids]
         self.pattern = re.compile(trie_pattern(tokens, lambda c: f"\\x{ord(c):02x}").encode("ascii")) if tokens else None
@@ -146,11 +146,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoder(key: str, model: BpeModel, known: Classes) -> Encoder:
+def _encoder(key: str, merger: BatchMerger, known: Classes) -> Encoder:
     """A worker's encoder, kept from task to task of a query."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(model, known)
+        _ENCODERS[key] = Encoder(merger, known)
     return _ENCODERS[key]
 
 
@@ -163,7 +163,7 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "
     """
     spark = df.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(BatchMerger.of(model))
     known, key = classes(spark), uuid.uuid4().hex
     extra = ("n_pretokens", "mapped_cps", "merged_symbols", "vocab_hits", "vocab_misses") if stats else ()
     fields = [df.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("status", T.StringType()), *[T.StructField(n, T.LongType()) for n in extra]]
@@ -197,8 +197,9 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "
             if docs:
                 yield rows(encoder, batch.slice(start, len(docs)), docs)
 
-    slim = df.select(F.col(id_col).alias("id"), F.col(text).cast("binary").alias("text"))
-    return (slim if in_order else spread(slim)).mapInArrow(run, T.StructType(fields))
+    # Spread as it is read: the plan expects more bytes of a binary column than of a string.
+    slim = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    return (slim if in_order else spread(slim)).select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, T.StructType(fields))
 
 
 def _joinable(table: DataFrame, rows: int) -> DataFrame:

@@ -31,6 +31,14 @@ class BatchMerger:
         first = np.arange(256, dtype=np.int64)
         self.of_bytes = self._search((first[:, None] * self.size + first[None, :]).ravel())
 
+    @classmethod
+    def of(cls, model: BpeModel) -> BatchMerger:
+        """That of a model, made once."""
+        if model not in _MADE:
+            _MADE.clear()
+            _MADE[model] = cls(model)
+        return _MADE[model]
+
     def _search(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), NONE)
@@ -96,3 +104,6 @@ class BatchMerger:
         symbols, owner = (np.concatenate([f[k] for f in finished]) if finished else np.array([], np.int64) for k in range(2))
         order = np.argsort(owner, kind="stable")
         return symbols[order], owner[order]
+
+
+_MADE: dict[BpeModel, BatchMerger] = {}

@@ -130,14 +130,16 @@ def test_stages_of_a_real_model(spark):
 
 
 def test_long_documents_are_cut_where_a_piece_begins(spark, monkeypatch):
+    from tessera.functions.classes import classes
     from tessera.operators import encode as enc
+    from tessera.plans.merging import BatchMerger
 
     m = fixture_model(True)
     text = ("the cat 's " * 3 + " 12 don't<|endoftext|>  x\n") * 400
     df = spark.createDataFrame([(0, text), (1, ""), (2, text[5:] + "ab " * 3000)], "doc_id long, text string")
     want = encode(df, m, stats=True).collect()
     monkeypatch.setattr(enc, "TOGETHER_BYTES", 100)
-    encoder = enc.Encoder(m, __import__("tessera.functions.classes", fromlist=["classes"]).classes(spark))
+    encoder = enc.Encoder(BatchMerger.of(m), classes(spark))
     ids, size, pieces, special = encoder.encode([r["text"].encode() for r in df.collect()])
     assert ids.tolist() == [i for r in want for i in r["ids"]] and size.tolist() == [len(r["ids"]) for r in want]
     assert (pieces - special).tolist() == [r["n_pretokens"] for r in want]

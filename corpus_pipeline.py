@@ -51,7 +51,8 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = bpe.load_model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode(docs, model, check=True)
+    # Workers outlive the stage, and what they remember stays in the memory of those that come after.
+    return bpe.encode(docs, model, check=True, memo_pieces=100_000)
 
 
 STAGES = [

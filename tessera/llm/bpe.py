@@ -161,7 +161,8 @@ class _Automaton:
 class Encoder:
     """A worker's encoder: automaton, pair compatibility and piece memo."""
 
-    def __init__(self, model: BpeModel) -> None:
+    def __init__(self, model: BpeModel, memo_pieces: int = MEMO_PIECES) -> None:
+        self.memo_pieces = memo_pieces
         self.tokens, self.left, self.right = model.tokens, model.left, model.right
         self.ranks = {t: i for i, t in enumerate(model.tokens)}
         self.size = [len(t) for t in model.tokens]
@@ -320,7 +321,7 @@ class Encoder:
 
     def _remembered(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of different pieces."""
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > self.memo_pieces:
             self.memo, self.older = {}, self.memo
         out = list(map(self.memo.get, pieces))
         missing = [i for i, ids in enumerate(out) if ids is None]
@@ -483,11 +484,11 @@ class Packing:
 _ENCODERS: dict[object, Encoder] = {}
 
 
-def _encoder(model) -> Encoder:
+def _encoder(model, memo_pieces: int = MEMO_PIECES) -> Encoder:
     """One encoder for each broadcast and worker."""
     if model.id not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[model.id] = Encoder(model.value)
+        _ENCODERS[model.id] = Encoder(model.value, memo_pieces)
     return _ENCODERS[model.id]
 
 
@@ -511,12 +512,13 @@ class _Broadcast:
         return self.held.value
 
 
-def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False, dtype: str = "uint32", packing: Packing | None = None) -> DataFrame:
+def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, check: bool = False, dtype: str = "uint32", packing: Packing | None = None, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Ids of every whole text: the id column, ``n_tokens`` long, ``ids`` binary (little-endian unsigned 32-bit, or ``dtype``).
 
     ``decode`` adds ``decoded`` binary, the bytes that the ids stand for; ``check`` in its stead ``decodes`` boolean,
     whether those are the text's bytes. With ``packing``, ``ids`` are packed by it. The model (its vocabulary's
     size, and a byte for every character, about 3 MB) is broadcast; the executors need no file. No shuffle.
+    A worker remembers up to twice ``memo_pieces`` pieces, some 200 bytes each, until another model is encoded with.
     """
     narrow = np.dtype(dtype).newbyteorder("<")
     if len(model.tokens) - 1 > np.iinfo(narrow).max:
@@ -527,7 +529,7 @@ def encode(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text_col: str
     fields += [T.StructField("decodes", T.BooleanType())] if check else [T.StructField("decoded", T.BinaryType())] * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held)
+        encoder = _encoder(held, memo_pieces)
         for batch in batches:
             for rows, texts in text_chunks(batch, text_col, CHUNK):
                 ids, begin = encoder.encode_texts([t or b"" for t in texts])

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, map_arrow, reader, text_chunks
+from .common import crc_of_id, map_arrow, reader, text_chunks, trim_memory
 
 FEATURES = 1 << 13
 SAMPLE_PER_LANG = 800
@@ -210,6 +210,7 @@ def filter_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
             for part, texts in text_chunks(batch, text_col):
                 keep = [not model.score(ngram_counts(t) if t is not None else None)[2] for t in texts]
                 yield part.filter(pa.array(keep, pa.bool_()))
+        trim_memory()
 
     return map_arrow(df, run, df.schema)
 

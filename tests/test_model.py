@@ -191,6 +191,30 @@ def test_a_round_settles_many_merges_and_leaves_nothing_behind(spark):
     assert not glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/tessera-train-*")
 
 
+def test_the_driver_trains_on_few_words_and_its_guesses_settle_a_run(spark):
+    """The driver's lane ends at a number of words that its memory holds; guessing by all words, one round settles all merges."""
+    from tessera.operators import train as tr
+    from tessera.operators.clustertrain import train_on_cluster
+    from tessera.operators.words import word_count
+
+    assert tr.MOST_WORDS <= 100_000
+    words = word_count(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), most_bytes=15)
+    report = {}
+    assert len(train_on_cluster(words, 60, report)) == 60
+    assert report["rounds"] == 1
+
+
+def test_guesses_by_few_words_change_no_result(spark, monkeypatch):
+    from tessera.operators import clusterreference, clustertrain
+    from tessera.operators.train import train_pairs
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    monkeypatch.setattr(clustertrain, "GUESS_WORDS", 50)
+    monkeypatch.setattr(clusterreference, "LAST_WORDS", 20)
+    for mode in ("canonical", "reference"):
+        assert train_pairs(docs, 12, mode, lane="cluster") == train_pairs(docs, 12, mode, lane="driver")
+
+
 def test_lanes_and_bytes_train_alike(spark):
     """Both lanes, both modes, text and bytes; bytes that aren't UTF-8 are counted as they are."""
     from tessera.operators.train import train_pairs

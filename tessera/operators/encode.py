@@ -2,9 +2,8 @@
 
 ``encode`` splits and merges in Arrow batches: pieces are found by arrays over a batch's bytes, told apart, and those that
 the worker's memo lacks are merged side by side; one pass over the documents and no shuffle, but for tables that are
-too small to fill the cores. ``merge_pieces`` and what builds on it, ``encode_by_join`` and ``explain_stages``, stay in the
-JVM: distinct pieces go through rounds of joins with the rules, each round joining a piece's own pair of lowest rank
-wherever it stands, for any rules; symbols are looked up by a broadcast join and joined back.
+too small to fill the cores. Under ``encode_by_join`` and ``explain_stages`` distinct pieces are found by a shuffle and merged once
+(``merge_pieces``); symbols are looked up by a broadcast join and joined back.
 """
 
 from __future__ import annotations
@@ -22,18 +21,15 @@ from pyspark.sql import types as T
 from ..functions.classes import Classes, classes
 from ..functions.pretok import ByteScanner, pretokens
 from ..functions.trie import trie_pattern
-from ..plans.checkpoints import Written
 from ..plans.merging import MISS, BatchMerger
-from ..plans.model import SHORT, BpeModel
+from ..plans.model import BpeModel
 from ..plans.ship import ship
 from ..plans.spread import spread
-from .words import explode_pretokens
+from .words import explode_pretokens, word_count
 
-MEMO_PIECES = 500_000
-#: Bytes of text that go through arrays together, and that a batch of results comes from, about.
-TOGETHER_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
-#: Rounds of merging between two written tables.
-ROUNDS_AT_ONCE = 4
+MEMO_PIECES = 100_000
+#: Bytes of text that go through arrays together, and that a batch of results comes from, about; ids that are decoded together.
+TOGETHER_BYTES, CHUNK_BYTES, DECODED_IDS = 1 << 20, 2 << 20, 500_000
 #: Rows of a model's tables up to which they are broadcast; beyond, they are shuffled as the pieces are.
 MOST_BROADCAST = 2_000_000
 #: Where a long document can be cut: a blank between an ASCII letter or digit and a letter begins a piece whatever is around.
@@ -206,57 +202,28 @@ def _joinable(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= MOST_BROADCAST else table
 
 
-def _round(pieces: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
-    """``piece``, ``symbols`` after one round, ``more``: whether it joined anything."""
-    parts = F.regexp_extract_all("symbols", F.lit("[0-9A-F]+"), F.lit(0))
-    listed = pieces.select("piece", "symbols", parts.alias("s"))
-    pairs = F.transform(F.arrays_zip(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))).alias("a"), F.slice("s", F.lit(2), F.size("s")).alias("b")), lambda p: F.concat(p["a"], F.lit("><"), p["b"]))
-    each = listed.select("piece", "symbols", F.explode_outer(pairs).alias("pair"))
-    ranked = each.join(_joinable(rules.select("pair", "rank"), n_rules), "pair", "left")
-    lowest = ranked.groupBy("piece", "symbols").agg(F.min("rank").alias("rank"))
-    named = lowest.join(_joinable(rules.select("rank", F.col("pair").alias("joined"), "product"), n_rules), "rank", "left")
-    wrap = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
-    return named.select("piece", F.when(F.col("rank").isNull(), F.col("symbols")).otherwise(F.replace("symbols", wrap("joined"), wrap("product"))).alias("symbols"), F.col("rank").isNotNull().alias("more"))
-
-
 def merge_pieces(pieces: DataFrame, model: BpeModel) -> DataFrame:
     """``piece`` and ``symbols``, an array of hex strings, of each distinct ``piece`` (string or binary), for any rules.
 
-    A round joins every piece's neighbouring pairs with the rules, takes the lowest rank of each piece, and joins that pair
-    wherever it stands, from the left. Pieces in which nothing is left to join leave; those of over ``SHORT`` bytes are merged one
-    by one in Arrow batches. Pieces are partitioned once for each ``ROUNDS_AT_ONCE`` rounds, after which the rest is written.
+    Distinct pieces are dealt to all cores once and merged side by side in Arrow batches, each by its own lowest rank a round.
     """
     spark = pieces.sparkSession
-    rows = [(f"{a.hex().upper()}><{b.hex().upper()}", rank, (a + b).hex().upper()) for (a, b), rank in model.ranks.items()]
-    rules = spark.createDataFrame(rows, "pair string, rank int, product string")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    distinct = pieces.select("piece").distinct()
-    split = F.regexp_extract_all("symbols", F.lit("[0-9A-F]+"), F.lit(0))
-    now = Written(distinct.withColumn("symbols", F.regexp_replace(F.hex("piece"), "(..)", "<$1>")).withColumn("more", F.octet_length("piece") > 1), "merge-pieces").rows
-    long = F.octet_length("piece") > SHORT
-    finished = _merge_long(now.where(long).select("piece"), model).unionByName(now.where(~F.col("more")).select("piece", split.alias("symbols")))
-    rest = now.where(F.col("more") & ~long)
-    while rows and not rest.isEmpty():
-        step = rest.select("piece", "symbols").repartition(tasks, "piece")
-        for _ in range(ROUNDS_AT_ONCE):
-            step = _round(step, rules, len(rows))
-        done = Written(step, "merge-pieces").rows
-        finished = finished.unionByName(done.where(~F.col("more")).select("piece", split.alias("symbols")))
-        rest = done.where("more")
-    return finished if rows else finished.unionByName(rest.select("piece", split.alias("symbols")))
-
-
-def _merge_long(pieces: DataFrame, model: BpeModel) -> DataFrame:
-    ship(pieces.sparkSession)
-    held = pieces.sparkSession.sparkContext.broadcast(model)
+    ship(spark)
+    held = spark.sparkContext.broadcast(BatchMerger.of(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merger = held.value
         for batch in batches:
-            for i, piece in enumerate(batch.column("raw").to_pylist()):
-                symbols = [[s.hex().upper() for s in held.value.merge(piece)]]
-                yield pa.RecordBatch.from_arrays([batch.column("piece").slice(i, 1), pa.array(symbols, pa.list_(pa.string()))], names=["piece", "symbols"])
+            raw = batch.column("raw").to_pylist()
+            symbols, sizes = merger.symbols_of([p for p in raw if p])
+            counts = np.array([len(p) > 0 for p in raw], np.int64)
+            counts[counts > 0] = sizes
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(symbols, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), lists], names=["piece", "symbols"])
 
-    return pieces.select("piece", F.col("piece").cast("binary").alias("raw")).mapInArrow(run, T.StructType([pieces.schema["piece"], T.StructField("symbols", T.ArrayType(T.StringType()))]))
+    distinct = pieces.select("piece").distinct().repartition(tasks, "piece")
+    return distinct.select("piece", F.col("piece").cast("binary").alias("raw")).mapInArrow(run, T.StructType([pieces.schema["piece"], T.StructField("symbols", T.ArrayType(T.StringType()))]))
 
 
 def bpe_words(words: DataFrame, model: BpeModel, piece: str = "piece") -> DataFrame:
@@ -280,6 +247,13 @@ def symbol_rows(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: st
     return pieces.join(_known_symbols(pieces, model), "piece").select(id_col, "pos", "piece", "sym_pos", "symbol", "token_id")
 
 
+def missing_symbols(df: DataFrame, model: BpeModel, text: str = "text") -> DataFrame:
+    """``symbol`` (hex), ``n``: how often each symbol comes that the vocabulary lacks. Pieces are counted before they are joined."""
+    words = word_count(df, text)
+    missed = _known_symbols(words, model).where("token_id is null").select("piece", "symbol")
+    return words.join(missed, "piece").groupBy("symbol").agg(F.sum("n").cast("long").alias("n"))
+
+
 def explain_stages(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """What each stage makes of a document: ``symbol_rows`` with ``piece_hex`` and ``mapped`` (the symbol in the byte alphabet)."""
     from ..functions.bytemap import to_mapped
@@ -331,19 +305,27 @@ def decode(encoded: DataFrame, model: BpeModel, id_col: str = "doc_id") -> DataF
         known, tokens = np.array([i for i, _ in held.value], np.int64), pa.array([t for _, t in held.value], pa.large_binary())
         sizes = np.array([len(t) for _, t in held.value], np.int64)
         for batch in batches:
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            counts = np.asarray(lists.value_lengths().fill_null(0))
-            at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-            ends = np.cumsum(counts)
-            wrong = np.concatenate([[0], np.cumsum(known[at] != ids)])
-            null = np.asarray(lists.is_null()) | (wrong[ends] > wrong[ends - counts])
-            data = tokens.take(pa.array(at)).buffers()[2]
-            places = np.concatenate([[0], np.cumsum(sizes[at])])
-            first, last = places[ends - counts], places[ends]
-            data = memoryview(data) if data is not None else b""
-            out = [None if n else bytes(data[a:b]) for n, a, b in zip(null.tolist(), first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "content"])
+            sizes_of = np.asarray(batch.column("ids").value_lengths().fill_null(0))
+            start = 0
+            while start < len(sizes_of):  # rows of about so many ids
+                n = max(1, int(np.searchsorted(np.cumsum(sizes_of[start:]), DECODED_IDS, "right")))
+                yield stretch(batch.slice(start, n), known, tokens, sizes)
+                start += n
+
+    def stretch(batch: pa.RecordBatch, known: np.ndarray, tokens: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        counts = np.asarray(lists.value_lengths().fill_null(0))
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        ends = np.cumsum(counts)
+        wrong = np.concatenate([[0], np.cumsum(known[at] != ids)])
+        null = np.asarray(lists.is_null()) | (wrong[ends] > wrong[ends - counts])
+        data = tokens.take(pa.array(at)).buffers()[2]
+        places = np.concatenate([[0], np.cumsum(sizes[at])])
+        first, last = places[ends - counts], places[ends]
+        data = memoryview(data) if data is not None else b""
+        out = [None if n else bytes(data[a:b]) for n, a, b in zip(null.tolist(), first.tolist(), last.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "content"])
 
     return encoded.select(id_col, "ids").mapInArrow(run, T.StructType([encoded.schema[id_col], T.StructField("content", T.BinaryType())]))
 

@@ -392,3 +392,25 @@ def test_queries_at_the_scale_of_real_models(spark, tmp_path):
     library = tiktoken.Encoding("b", pat_str=split, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     got = {r["doc_id"]: r["ids"] for r in queries["encode_ids_50k"](spark, str(tmp_path)).collect()}
     assert got == {k: " ".join(map(str, library.encode_ordinary(t))) for k, t in rows}
+
+
+def test_pieces_are_merged_without_rounds_of_joins_and_misses_counted_before_the_join(spark):
+    from tessera.operators.encode import missing_symbols, symbol_rows
+    from tessera.plans.fixture import fixture_model
+
+    df = spark.createDataFrame([(0, "the the thing \u00e9t\u00e9 of"), (1, None), (2, ""), (3, "the " * 50 + "x" * 300)], "doc_id long, text string")
+    assert "Join" not in merge_pieces(df.selectExpr("text AS piece"), fixture_model())._jdf.queryExecution().optimizedPlan().toString()
+    model = fixture_model(vocab_size=258)
+    want = symbol_rows(df, model).where("token_id is null").groupBy("symbol").count().collect()
+    assert want and sorted(map(tuple, missing_symbols(df, model).collect())) == sorted(map(tuple, want))
+
+
+def test_ids_are_decoded_and_encoded_in_small_stretches(spark, monkeypatch):
+    from tessera.operators import encode as enc
+    from tessera.plans.fixture import fixture_model
+
+    assert enc.MEMO_PIECES <= 100_000 and enc.CHUNK_BYTES <= 2 << 20
+    monkeypatch.setattr(enc, "DECODED_IDS", 3)
+    df = spark.createDataFrame([(0, "the thing"), (1, None), (2, ""), (3, "ab" * 40), (4, "x")], "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: r["content"] for r in enc.decode(encode(df, fixture_model()), fixture_model()).collect()}
+    assert {k: v and bytes(v) for k, v in found.items()} == {0: b"the thing", 1: None, 2: b"", 3: b"ab" * 40, 4: b"x"}

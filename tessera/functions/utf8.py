@@ -46,6 +46,17 @@ def code_points(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return at, np.where(valid, point[at], REPLACEMENT), np.where(valid, width[at], 1), valid
 
 
+def _stretches(data: bytes) -> Iterator[tuple[int, int]]:
+    """Places of about ``_STEP`` bytes that cut no sequence."""
+    begin = 0
+    while begin < len(data):
+        end = min(begin + _STEP, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80 and end - begin < _STEP + 4:
+            end += 1  # not within a sequence
+        yield begin, end
+        begin = end
+
+
 def decode_rows(df: DataFrame, id_col: str, content: str) -> DataFrame:
     """``id_col``, ``place`` long (of the first byte), ``point`` int, ``width`` int, ``valid``: each unit of a binary column; none for null or empty."""
     ship(df.sparkSession)
@@ -54,14 +65,50 @@ def decode_rows(df: DataFrame, id_col: str, content: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, value in enumerate(batch.column(1)):
-                data, begin = value.as_py() or b"", 0
-                while begin < len(data):
-                    end = min(begin + _STEP, len(data))
-                    while end < len(data) and data[end] & 0xC0 == 0x80 and end - begin < _STEP + 4:
-                        end += 1  # not within a sequence
+                data = value.as_py() or b""
+                for begin, end in _stretches(data):
                     at, point, width, valid = code_points(data[begin:end])
                     ids = batch.column(0).take(pa.array(np.full(len(at), i)))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(at + begin), pa.array(point.astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(valid)], names=[f.name for f in fields])
-                    begin = end
 
     return df.select(F.col(id_col), F.col(content)).mapInArrow(run, T.StructType(fields))
+
+
+def count_points(df: DataFrame, content: str) -> DataFrame:
+    """``point`` int, ``width`` int, ``n``, ``invalid``: the units of a binary column, counted in each task before the shuffle."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, invalid, separators = np.zeros(0x110000, np.int64), 0, 0
+
+        def count(data: bytes) -> None:
+            nonlocal invalid
+            _, point, _, valid = code_points(data)
+            found = np.bincount(point[valid])
+            total[: len(found)] += found
+            invalid += int((~valid).sum())
+
+        for batch in batches:
+            held: list[bytes] = []
+            size = 0
+            for value in batch.column(0):
+                data = value.as_py() or b""
+                for begin, end in _stretches(data):
+                    held.append(data[begin:end])
+                    size += end - begin
+                    if size >= _STEP:  # a zero byte between ends a sequence as the end of the data does
+                        count(b"\0".join(held))
+                        separators += len(held) - 1
+                        held, size = [], 0
+            if held:
+                count(b"\0".join(held))
+                separators += len(held) - 1
+        total[0] -= separators
+        points = np.flatnonzero(total)
+        width = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        rows = [*zip(points.tolist(), width.tolist(), total[points].tolist(), [0] * len(points), strict=True), *([(REPLACEMENT, 1, invalid, invalid)] if invalid else [])]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["point", "width", "n", "invalid"])
+
+    counted = df.select(F.col(content)).mapInArrow(run, "point int, width int, n long, invalid long")
+    return counted.groupBy("point", "width").agg(F.sum("n").alias("n"), F.sum("invalid").alias("invalid"))

@@ -189,3 +189,14 @@ def test_trie_patterns():
         return min(took)
 
     assert seconds(5000) < 4 * seconds(5)  # twice, measured alone; more here, as tests share their machine
+
+
+def test_points_are_counted_as_the_decoder_has_them(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.utf8 import count_points, decode_rows
+
+    texts = [b"a\0\xc3\xa9\xe2\x82", b"\x82\xff", b"", None, "\ufffd\U0001f600".encode(), b"\xed\xa0\x80"]
+    df = spark.createDataFrame([(k, None if t is None else bytearray(t)) for k, t in enumerate(texts)], "k long, content binary").coalesce(1)
+    want = decode_rows(df, "k", "content").groupBy("point", "width").agg(F.count("*"), F.count_if(~F.col("valid")))
+    assert sorted(map(tuple, count_points(df, "content").collect())) == sorted(map(tuple, want.collect()))

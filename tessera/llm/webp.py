@@ -8,8 +8,9 @@ colour cache and any of the transforms. Both follow the public specification of
 with flat codes and images of one channel are read as arrays; everything else symbol by symbol.
 
 ``store`` puts texts into pixels: the payload's bytes are the grey samples of an image, row by row. Images of
-up to 16 different samples are written with a palette (and packed pixels), others by ``encode_grey``, with green
-subtracted, so that a pixel is one symbol, and references among bytes.
+up to 16 different samples are written with a palette (and packed pixels), others by ``encode_greys``, with green
+subtracted, so that a pixel is one symbol, and references among bytes. Such images are written and read many at a time, in
+arrays over all of them, as texts are mostly short; each is its own file, with its own codes and references.
 
 Defined results: a null text is an empty one, with a payload of 64 zeros; equal texts get equal files;
 repeated rows give repeated rows; an id of any type passes through; other columns are dropped. A payload
@@ -53,18 +54,25 @@ NEAR = (
 )
 PREDICT, CROSS, GREEN, PALETTE = 0, 1, 2, 3
 FLAT = [8] * 256
+# Codes of one symbol each: red 0, blue 0, alpha 255.
+GREY_CODES = 0b1_0001_0001 | 0b10 << 9 | 255 << 11
 HASH = 0x1E35A7BD
 #: Bytes of a file that are read at a time, and symbols that are written at a time.
 PIECE = 1 << 16
 #: Bytes of a one-channel image that are looked up at a time.
 ONE_PIECE = 1 << 14
+#: Bytes of grey images that are written together, and of files that are read together.
+TOGETHER, READ_TOGETHER = 1 << 17, 1 << 15
+#: Bits of a one-channel image that are followed beside others, and how often their begins are mended before it is followed whole.
+STRETCH, MENDED = 128, 6
 FARTHEST = (1 << 20) - 120
 MOST_COPY = 4096
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 #: Bits of a literal or reference, at most.
 MOST_ITEM = 58
-_EIGHT = np.arange(8, dtype=np.uint32)
+_EIGHT = np.arange(8)
+_TURNED_BYTES = _REVERSED.tolist()
 # Of the prefix symbols of lengths and distances: the number of extra bits, their mask, and the least value.
 _EXTRA = np.array([max(0, (s - 2) >> 1) for s in range(40)])
 _MORE = (1 << _EXTRA) - 1
@@ -176,14 +184,37 @@ def _code(lengths: tuple[int, ...]) -> Code:
     return Code(list(lengths))
 
 
+def _small_table(lengths: list[int]) -> tuple[list[int], int]:
+    """``table`` and ``bits`` of a code of few symbols with lengths up to 7."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) < 2:
+        return [used[0] << 4 if used else 0], 0
+    bits = max(lengths)
+    table, code = [0] * (1 << bits), 0  # the code as a number of seven bits
+    for n, s in sorted((lengths[s], s) for s in used):
+        table[_TURNED_BYTES[(code << 1) & 255] :: 1 << n] = [s << 4 | n] * (1 << (bits - n))
+        code += 1 << (7 - n)
+        if code > 128:
+            break
+    if code != 128:
+        raise ValueError("a prefix code that isn't complete")
+    return table, bits
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
+    lengths, short = _read_lengths(bits, alphabet)
+    return _code(tuple(lengths)) if short else Code(lengths)
+
+
+def _read_lengths(bits: Bits, alphabet: int) -> tuple[list[int], bool]:
+    """A code's lengths, and whether they came in the short form."""
     lengths = [0] * alphabet
     if bits.take(1):  # one or two symbols
         two, wide = bits.take(1), bits.take(1)
         lengths[bits.take(8 if wide else 1)] = 1
         if two:
             lengths[bits.take(8)] = 1
-        return _code(tuple(lengths))
+        return lengths, True
     own = [0] * 19
     many = 4 + bits.take(4)
     packed = bits.take(3 * many)
@@ -191,8 +222,9 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         own[k] = packed & 7
         packed >>= 3
     left = 2 + bits.take(2 + 2 * bits.take(3)) if bits.take(1) else alphabet
-    code, at, last = _code(tuple(own)), 0, 8
-    table, mask, p, most, w = code.table, (1 << code.bits) - 1, bits.at, -1, 0
+    table, wide = _small_table(own)
+    mask, at, last = (1 << wide) - 1, 0, 8
+    p, most, w = bits.at, -1, 0
     while at < alphabet and left:
         if p > most:  # the next bits, as one number
             w, most = int.from_bytes(bits.data[p >> 3 : (p >> 3) + 160], "little") >> (p & 7), p + 1200
@@ -216,7 +248,22 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths[at : at + repeat] = [last] * repeat
         at += repeat
     bits.at = p
-    return Code(lengths)
+    return lengths, False
+
+
+def _many_entries(lengths: np.ndarray) -> list[np.ndarray]:
+    """``Code.entries`` for each row of lengths."""
+    row, symbol = np.nonzero(lengths)
+    n, used = lengths[row, symbol], np.bincount(row, minlength=len(lengths))
+    room = np.bincount(row, 1 << (15 - n), len(lengths))
+    if ((used > 1) & (room != 1 << 15)).any():
+        raise ValueError("a prefix code that isn't complete")
+    key = np.sort(row << 16 | n << 9 | symbol)
+    symbol, n = key & 511, np.where(used[row] > 1, key >> 9 & 127, 0)
+    wide = np.where(used > 1, lengths.max(1), 0)
+    entries = np.repeat((symbol << 4 | n).astype(np.int32), 1 << (wide[row] - n))
+    ends = np.cumsum(np.where(used > 0, 1 << wide, 0)).tolist()
+    return [entries[a:b][_turned(w)] if b > a else np.zeros(1, np.int32) for a, b, w in zip([0, *ends], ends, wide.tolist(), strict=False)]
 
 
 def _prefixed(symbol: int, bits: Bits) -> int:
@@ -256,90 +303,144 @@ def _distances(width: int) -> np.ndarray:
 
 
 def _read_one_channel(bits: Bits, width: int, total: int, group: list[Code]) -> np.ndarray:
-    """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green.
+    """Pixels that differ in green alone, whose other codes take no bits, as of a grey image without its green."""
+    red, blue, alpha = (c.table[0] >> 4 for c in group[1:4])
+    return _read_channels([(bits, width, total, group[0].entries, group[4].entries)])[0].astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
 
-    The code's table is looked up at every bit of a piece of the data at once, and where that gives a reference, so is
-    the rest of it. Then items are followed from one to the next, by fours where four come together. Literals are put in
-    their places together, references in their order.
+
+def _read_channels(images: list[tuple[Bits, int, int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The greens of many such images: where an image's data goes on, its width, its pixels, and the entries of its codes of greens and of distances.
+
+    The images' codes are looked up at every bit of a piece of each one's data at once, and where that gives a reference, so is
+    the rest of it. Then ``_followed`` tells which of these items are the image's. Literals are put in their places together,
+    references in their order.
     """
-    data, p = bits.data, bits.at
-    entries, mask = group[0].entries, np.uint32((1 << group[0].bits) - 1)
-    far, far_mask = group[4].entries, np.uint64((1 << group[4].bits) - 1)
-    near = _distances(width)
-    pixels, copies = np.zeros(total, np.uint8), []  # place, length and distance of references
-    at = 0
-    while at < total:
-        base = p & ~7
-        raw = data[base >> 3 : (base >> 3) + ONE_PIECE + 16]
-        many = min(ONE_PIECE, len(raw)) or ONE_PIECE  # zeros past the end
-        raw = raw.ljust(many + 16, b"\0")
-        end = 8 * many
-        found = entries[np.ndarray((many,), "<u4", raw, 0, (1,))[:, None] >> _EIGHT & mask].reshape(-1)
-        # Bits of the item that begins at each bit (0 past the end), and of the four items that do (0 near the end).
-        one, here = np.zeros(end + 256, np.uint8), np.arange(end)
-        one[:end] = found & 15
+    pixels = [np.zeros(image[2], np.uint8) for image in images]
+    copies: list[list[tuple[int, int, int]]] = [[] for _ in images]  # place, length and distance of references
+    done = [0] * len(images)
+    while left := [k for k, image in enumerate(images) if done[k] < image[2]]:
+        now = [images[k] for k in left]
+        raws = []
+        for bits, *_ in now:
+            raw = bits.data[bits.at >> 3 : (bits.at >> 3) + ONE_PIECE + 16]
+            raws.append(raw.ljust((min(ONE_PIECE, len(raw)) or ONE_PIECE) + 16, b"\0"))  # zeros past the end
+        sizes = np.array([len(r) for r in raws])
+        begin = np.cumsum(sizes) - sizes
+        raw = b"".join(raws)
+        n, which = len(raw), np.repeat(np.arange(len(now)), sizes)
+        found = np.empty((n, 8), np.int32)
+        words = np.ndarray((n,), "<u4", raw + bytes(8), 0, (1,)).astype(np.int64)[:, None]
+        for (*_, entries, _), a, many in zip(now, begin.tolist(), sizes.tolist(), strict=True):
+            index = words[a : a + many] >> _EIGHT
+            index &= len(entries) - 1
+            np.take(entries, index, out=found[a : a + many], mode="clip")
+        found = found.reshape(-1)
+        one = (found & 15).astype(np.uint8)  # bits of the item that begins at each bit
         refs = np.flatnonzero(found >= 4096)
         if len(refs):
-            words, e = np.ndarray((many + 8,), "<u8", raw, 0, (1,)), found[refs]
-            symbol, q = (e >> 4) - 256, refs + (e & 15)
-            length = _LEAST[symbol] + ((words[q >> 3] >> (q & 7).astype(np.uint64)).astype(np.int64) & _MORE[symbol])
-            q += _EXTRA[symbol]
-            w = words[q >> 3] >> (q & 7).astype(np.uint64)
-            e = far[w & far_mask]
-            symbol = e >> 4
-            code = _LEAST[symbol] + ((w >> (e & 15).astype(np.uint64)).astype(np.int64) & _MORE[symbol])
-            one[refs] = q + (e & 15) + _EXTRA[symbol] - refs
-        four = one.copy()
-        for _ in range(2):
-            four[:end] += four[here + four[:end]]
-        four[max(0, end - 4 * MOST_ITEM) :] = 0
-        step, steps = one.tobytes(), four.tobytes()
-        places: list[int] = []
-        put, q = places.append, p - base
-        while n := steps[q]:
-            put(q)
-            q += n
-        fours = len(places)
-        while n := step[q]:
-            put(q)
-            q += n
-        grid = np.empty((fours, 4), np.int64)
-        grid[:, 0] = places[:fours]
-        for k in range(3):
-            grid[:, k + 1] = grid[:, k] + one[grid[:, k]]
-        items = np.append(grid, places[fours:]).astype(np.int64)
-        kind = found[items]
+            far_many = np.array([len(far) for *_, far in now])
+            far, far_base = np.concatenate([far for *_, far in now]), np.cumsum(far_many) - far_many
+            words, e, of = np.ndarray((n,), "<u8", raw + bytes(8), 0, (1,)), found[refs], which[refs >> 3]
+            symbol, q = (e >> 4) - 256, e & 15
+            w = words[refs >> 3] >> (refs & 7).astype(np.uint64)  # 57 bits at least
+            length = _LEAST[symbol] + ((w >> q.astype(np.uint64)).astype(np.int64) & _MORE[symbol])
+            q = q + _EXTRA[symbol]
+            e = far[far_base[of] + ((w >> q.astype(np.uint64)).astype(np.int64) & (far_many - 1)[of])]
+            symbol, q = e >> 4, q + (e & 15)
+            at = refs + q
+            at = np.minimum(at, 8 * n - 1)
+            code = _LEAST[symbol] + ((words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & _MORE[symbol])
+            one[refs] = q + _EXTRA[symbol]
+        end = 8 * (begin + sizes - 16)
+        items, after = _followed(one, np.array([bits.at & 7 for bits, *_ in now]) + 8 * begin, end)
+        of, kind = which[items >> 3], found[items]
         copy = np.flatnonzero(kind >= 4096)
-        which = np.searchsorted(refs, items[copy])
         size = np.ones(len(items), np.int64)
         if len(copy):
-            size[copy] = length[which]
-        stop = np.cumsum(size) + at
-        if stop[-1] >= total:  # what comes behind the image can look like items too
-            last = int(np.searchsorted(stop, total))
-            if stop[last] != total:
-                raise ValueError("a reference out of the image")
-            q = int(items[last]) + int(one[items[last]])
-            stop, kind, size, copy = stop[: last + 1], kind[: last + 1], size[: last + 1], copy[: int(np.searchsorted(copy, last + 1))]
-        begin = stop - size
-        literal = kind < 4096
-        pixels[begin[literal]] = kind[literal] >> 4
-        if len(copy):
-            code = code[which[: len(copy)]]
-            distance, place = np.where(code > 120, code - 120, near[np.minimum(code, 120)]), begin[copy]
+            at = np.searchsorted(refs, items[copy])
+            length, code = length[at], code[at]
+            size[copy] = length
+        edges = np.searchsorted(items, 8 * begin)
+        stop = np.cumsum(size)
+        stop += np.array([done[k] for k in left])[of] - (stop - size)[edges][of]
+        total = np.array([image[2] for image in now])[of]
+        inside = stop - size < total  # what comes behind the image can look like items too
+        if (inside & (stop > total)).any():
+            raise ValueError("a reference out of the image")
+        literal = inside & (kind < 4096)
+        samples, places = (kind[literal] >> 4).astype(np.uint8), (stop - size)[literal]
+        cuts = np.searchsorted(of[literal], np.arange(len(now) + 1)).tolist()
+        for k, a, b in zip(left, cuts, cuts[1:], strict=False):
+            pixels[k][places[a:b]] = samples[a:b]
+        kept = inside[copy]
+        if kept.any():
+            copy, code, length = copy[kept], code[kept], length[kept]
+            near = np.array([_distances(width) for _, width, *_ in now])
+            distance, place = np.where(code > 120, code - 120, near[of[copy], np.minimum(code, 120)]), (stop - size)[copy]
             if (distance > place).any():
                 raise ValueError("a reference out of the image")
-            copies += zip(place.tolist(), size[copy].tolist(), distance.tolist(), strict=True)
-        at, p = int(stop[-1]), base + q
-    bits.at = p
-    out = memoryview(pixels)
-    for at, length, distance in copies:
-        if distance >= length:
-            out[at : at + length] = out[at - distance : at - distance + length]
-        else:
-            out[at : at + length] = (bytes(out[at - distance : at]) * (length // distance + 1))[:length]
-    red, blue, alpha = (c.table[0] >> 4 for c in group[1:4])
-    return pixels.astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+            cuts = np.searchsorted(of[copy], np.arange(len(now) + 1)).tolist()
+            found_copies = list(zip(place.tolist(), length.tolist(), distance.tolist(), strict=True))
+            for k, a, b in zip(left, cuts, cuts[1:], strict=False):
+                copies[k] += found_copies[a:b]
+        last = np.searchsorted(of[inside], np.arange(1, len(now) + 1)) - 1
+        last = np.flatnonzero(inside)[last]
+        ended = stop[last] == total[last]
+        next_ = np.where(ended, items[last] + one[items[last]], after) - 8 * begin
+        for k, at, p in zip(left, stop[last].tolist(), next_.tolist(), strict=True):
+            done[k] = at
+            images[k][0].at = (images[k][0].at & ~7) + p
+    for k, references in enumerate(copies):
+        if not references:
+            continue
+        out = bytearray(pixels[k])
+        for at, length, distance in references:
+            if distance >= length:
+                out[at : at + length] = out[at - distance : at - distance + length]
+            else:
+                out[at : at + length] = (out[at - distance : at] * (length // distance + 1))[:length]
+        pixels[k] = np.frombuffer(out, np.uint8)
+    return pixels
+
+
+def _followed(one: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items from each ``begin`` up to ``end``, one behind the other by their bits in ``one``, and where what comes after these begins.
+
+    Stretches are followed side by side. What begins amid an item soon meets the items that are right, so where a stretch
+    ends is mostly right before it is known where it begins. Its begin is mended by the end of the one before until none changes;
+    should that last, all is followed one by one.
+    """
+    each = np.maximum(1, -(-(end - begin) // STRETCH))
+    first = np.cumsum(each) - each
+    of = np.repeat(np.arange(len(begin)), each)
+    at = begin[of] + STRETCH * (np.arange(len(of)) - first[of])
+    stop = np.append(at[1:], 0)
+    stop[first + each - 1] = end
+    inner = np.ones(len(of), bool)
+    inner[first] = False
+    inner = np.flatnonzero(inner)
+    for _ in range(MENDED):
+        seen, q = np.zeros(len(one), bool), at.copy()
+        while True:
+            seen[q] = True
+            step = one[q]
+            step *= q < stop
+            if not step.any():
+                break
+            q += step
+        found = q[inner - 1]
+        if (found == at[inner]).all():
+            seen[q[first + each - 1]] = False
+            return np.flatnonzero(seen), q[first + each - 1]
+        at[inner] = found
+    steps, items, after = one.tobytes(), [], []
+    put = items.append
+    for q, e in zip(begin.tolist(), end.tolist(), strict=True):
+        while q < e:
+            put(q)
+            q += steps[q]
+        after.append(q)
+    return np.array(items, np.int64), np.array(after)
 
 
 def _read_symbols(bits: Bits, width: int, total: int, groups: list[list[Code]], meta: np.ndarray | None, scale: int, cache_bits: int) -> list[int]:
@@ -480,8 +581,8 @@ def _pack_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode_pixels(data: bytes) -> tuple[np.ndarray, int, int]:
-    """ARGB numbers, width and height of a lossless WebP file."""
+def _signature(data: bytes) -> tuple[Bits, int, int, int]:
+    """Where a file's image goes on behind its sides; its width and height, and whether alpha counts."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
@@ -495,6 +596,23 @@ def decode_pixels(data: bytes) -> tuple[np.ndarray, int, int]:
     width, height, alpha = bits.take(14) + 1, bits.take(14) + 1, bits.take(1)
     if bits.take(3):
         raise ValueError("an unknown version")
+    return bits, width, height, alpha
+
+
+def _grey(data: bytes) -> tuple[Bits, int, int, list[int], list[int]] | None:
+    """Of a file as ``encode_grey`` writes it: where its pixels begin, its sides, the lengths of the codes of greens and distances. None for any other."""
+    bits, width, height, _ = _signature(data)
+    if bits.take(6) != 1 | GREEN << 1:  # no further transform, colour cache or meta codes
+        return None
+    green, _ = _read_lengths(bits, 280)
+    if bits.take(19) != GREY_CODES or green.count(0) > 278:
+        return None
+    return bits, width, height, green, _read_lengths(bits, 40)[0]
+
+
+def decode_pixels(data: bytes) -> tuple[np.ndarray, int, int]:
+    """ARGB numbers, width and height of a lossless WebP file."""
+    bits, width, height, alpha = _signature(data)
     steps: list[tuple[int, int, np.ndarray | None, int]] = []
     now = width
     while bits.take(1):
@@ -556,10 +674,11 @@ def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
 def _depths(weight: list[int]) -> list[int]:
     """Of the leaves of a tree of least weight; weights ascend."""
     m = len(weight)
-    above, inner = [0] * (2 * m - 1), []
+    above = [0] * (2 * m - 1)
+    weight, inner = [*weight, 1 << 62], [1 << 62] * m
     i = j = 0  # the next leaf and the next node that have no parent
-    for k in range(m, 2 * m - 1):
-        if i < m and (j >= len(inner) or weight[i] <= inner[j]):
+    for k in range(m - 1):
+        if weight[i] <= inner[j]:
             one = weight[i]
             above[i] = k
             i += 1
@@ -567,7 +686,7 @@ def _depths(weight: list[int]) -> list[int]:
             one = inner[j]
             above[m + j] = k
             j += 1
-        if i < m and (j >= len(inner) or weight[i] <= inner[j]):
+        if weight[i] <= inner[j]:
             one += weight[i]
             above[i] = k
             i += 1
@@ -575,11 +694,91 @@ def _depths(weight: list[int]) -> list[int]:
             one += inner[j]
             above[m + j] = k
             j += 1
-        inner.append(one)
-    depth = [0] * (2 * m - 1)
-    for k in range(2 * m - 3, -1, -1):
-        depth[k] = depth[above[k]] + 1
-    return depth[:m]
+        inner[k] = one
+    depth = [0] * m  # of the nodes, then of the leaves
+    for k in range(m - 3, -1, -1):
+        depth[k] = depth[above[m + k]] + 1
+    return [depth[k] + 1 for k in above[:m]]
+
+
+def _many_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """``_lengths`` for each row."""
+    out = np.zeros(counts.shape, np.int64)
+    row, symbol = np.nonzero(counts)
+    key = np.sort(row << 44 | counts[row, symbol] << 9 | symbol)  # counts stay below 2 ** 29, symbols below 2 ** 9
+    weights, edges = ((key >> 9) & ((1 << 35) - 1)).tolist(), np.searchsorted(row, np.arange(len(counts) + 1)).tolist()
+    depths, deep = [], []
+    for r, (a, b) in enumerate(itertools.pairwise(edges)):
+        depth = _depths(weights[a:b]) if b - a > 1 else [1] * (b - a)
+        if b - a > most and max(depth) > most:
+            deep.append(r)
+        depths += depth
+    out[row, key & 511] = depths
+    for r in deep:
+        out[r] = _lengths(counts[r], most)
+    return out
+
+
+def _many_canonical(lengths: np.ndarray) -> np.ndarray:
+    """The canonical codes' bits, first one lowest, of each row, which has two symbols at least."""
+    row, symbol = np.nonzero(lengths)
+    n = lengths[row, symbol]
+    key = np.sort(row << 16 | n << 9 | symbol)
+    room = 1 << (15 - ((key >> 9) & 127))
+    out = np.zeros(lengths.shape, np.int64)
+    out[row, key & 511] = _turned(15)[(np.cumsum(room) - room) & 0x7FFF]  # a complete code fills its 15 bits
+    return out
+
+
+def _write_codes(lengths: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """``_write_code`` for each row: what stands for the codes (row, bits and their number), and what to put for each symbol."""
+    used = np.count_nonzero(lengths, 1)
+    one = np.argmax(lengths > 0, 1)
+    short = (used <= 1) & (one < 256)
+    lengths = lengths.copy()
+    lengths[(used == 1) & ~short, 0] = 1  # one symbol that the short form can't name gets a partner
+    turned, lengths[short] = np.zeros(lengths.shape, np.int64), 0
+    rows = np.flatnonzero(short)
+    wide = one[rows] > 1
+    parts = [(rows, 1 | wide << 2 | one[rows] << 3, np.where(wide, 11, 4))]
+    rows = np.flatnonzero(~short)
+    if len(rows):
+        turned[rows] = _many_canonical(lengths[rows])
+        of, symbol, extra, wide = _many_run_lengths(lengths[rows])
+        own = _many_lengths(np.bincount(of * 19 + symbol, minlength=19 * len(rows)).reshape(-1, 19), 7)
+        order = own[:, LENGTH_ORDER]
+        last = np.maximum(4, 19 - np.argmax(order[:, ::-1] > 0, 1))
+        parts.append((rows, (last - 4) << 1, np.full(len(rows), 5)))
+        parts.append((rows, (order << 3 * np.arange(19)).sum(1), 3 * last + 1))
+        several = np.count_nonzero(own, 1) > 1
+        own[~several] = 0
+        bits = np.zeros(own.shape, np.int64)
+        bits[several] = _many_canonical(own[several])
+        size = own[of, symbol]
+        parts.append((rows[of], bits[of, symbol] | extra << size, size + wide))
+    row, value, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(row, kind="stable")
+    return (row[order], value[order], size[order]), turned, lengths
+
+
+def _many_run_lengths(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_run_lengths`` for each row: row, symbol, extra bits and their number."""
+    flat, across = lengths.reshape(-1), lengths.shape[1]
+    begins = np.append(True, flat[1:] != flat[:-1])
+    begins[::across] = True
+    begin = np.flatnonzero(begins)
+    n = flat[begin]
+    lead = (n > 0).astype(np.int64)
+    most = np.where(n > 0, 6, 138)
+    whole, rest = np.divmod(np.diff(np.append(begin, len(flat))) - lead, most)
+    steps = lead + whole + np.where(rest >= 3, 1, rest)
+    which = np.repeat(np.arange(len(begin)), steps)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(steps) - steps + lead, steps)
+    n, run = n[which], np.where(k < whole[which], most[which], rest[which])
+    repeats = (k >= 0) & (run >= 3)
+    kind = np.where(n > 0, 16, np.where(run >= 11, 18, 17))
+    symbol = np.where(repeats, kind, n)
+    return begin[which] // across, symbol, np.where(repeats, run - np.where(kind == 18, 11, 3), 0), np.where(repeats, np.where(n > 0, 2, np.where(kind == 18, 7, 3)), 0)
 
 
 def _write_code(w: BitWriter, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -844,32 +1043,43 @@ def encode(image: np.ndarray, flat: bool = True, cache_bits: int = 0, references
     return _riff([(b"VP8L", w.done())])
 
 
-def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Back-references among bytes, greedily: places, lengths and distances, to the last place that has the same four, or by runs of three."""
+def _matches(samples: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Back-references among the bytes of each image, greedily: places, lengths and distances, to the last place that has the same four, or by runs of three.
+
+    Images lie one behind the other from ``edges`` to ``edges``; ``which`` is each byte's image. No reference leaves its image.
+    """
     n, data = len(samples), samples.tobytes()
     words = np.ndarray((n + 1,), "<u8", data + bytes(8), 0, (1,)).copy()
-    key = np.sort(words[: n - 3] << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
-    again = np.flatnonzero((key[1:] ^ key[:-1]) >> np.uint64(32) == 0)
+    key = np.sort(words[:n] << np.uint64(32) | np.arange(n, dtype=np.uint64))
+    order = key.view("<u4")[::2].astype(np.int64)
+    found = words[order]
+    # The last place with the same four bytes, where the next two are the same as well, which LEAST_COPY asks for.
+    again = np.flatnonzero((found[1:] ^ found[:-1]) << np.uint64(64 - 8 * LEAST_COPY) == 0)
+    place, before = order[again + 1], order[again]
+    image = which[place]
+    near = (place - before <= FARTHEST) & (before >= edges[image]) & (place + 4 <= edges[image + 1])
     last = np.full(n, -1, np.int64)
-    order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    last[order[again + 1]] = order[again]
+    last[place[near]] = before[near]
     same = samples[1:] == samples[:-1]
+    same[edges[1:-1] - 1] = False
     runs = np.flatnonzero(same[:-2] & same[1:-1] & same[2:]) + 1
     last[runs] = runs - 1
-    place = np.flatnonzero((last >= 0) & (np.arange(n) - last <= FARTHEST))
+    place = np.flatnonzero(last >= 0)
     before = last[place]
     length, active = np.zeros(len(place), np.int64), np.arange(len(place))
     for k in range(0, SURE_COPY, 8):
         differ = words[np.minimum(place[active] + k, n)] ^ words[np.minimum(before[active] + k, n)]
-        # The lowest bit that differs tells the bytes that don't.
-        lowest = np.frexp((differ & (~differ + np.uint64(1))).astype(np.float64))[1] - 1
-        length[active] += np.where(differ == 0, 8, lowest >> 3)
+        # The zeros below the lowest bit that differs tell the bytes that don't.
+        length[active] += np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3
         active = active[differ == 0]
-    length = np.minimum(length, n - place)
+    length = np.minimum(length, edges[which[place] + 1] - place)
     good = (length >= LEAST_COPY) | (place - before == 1)
     place, before, length = place[good], before[good], length[good]
     # Which comes next after one of the length that is known.
-    follow = memoryview(np.searchsorted(place, place + length))
+    rank = np.zeros(n + 1, np.int64)
+    rank[place + 1] = 1
+    np.cumsum(rank, out=rank)
+    follow = memoryview(rank[place + length])
     long = (length >= SURE_COPY).tobytes()
     taken, sizes, at = [], [], 0
     while at < len(follow):
@@ -878,7 +1088,7 @@ def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             at = follow[at]
             continue
         i, j, most = int(place[at]), int(before[at]), int(length[at])
-        end, step = min(MOST_COPY, n - i), 32
+        end, step = min(MOST_COPY, int(edges[which[i] + 1]) - i), 32
         while most < end and (step := min(step, end - most)):
             if data[i + most : i + most + step] == data[j + most : j + most + step]:
                 most, step = most + step, 2 * step
@@ -887,7 +1097,7 @@ def _matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             else:
                 step //= 2
         sizes.append((at, most))
-        at = int(np.searchsorted(place, i + most))
+        at = int(rank[i + most])
     for at, most in sizes:
         length[at] = most
     return place[taken], length[taken], (place - before)[taken]
@@ -912,37 +1122,67 @@ def _near_codes(width: int) -> np.ndarray:
 
 def encode_grey(samples: np.ndarray, width: int) -> bytes:
     """A lossless WebP file of a grey image (red, green and blue alike): green subtracted, a prefix code and back-references."""
-    w, n = _header(width, len(samples) // width), len(samples)
-    w.put(1, 1)
-    w.put(GREEN, 2)
-    w.put(0, 3)  # no further transform, colour cache or meta codes
-    at, length, distance = _matches(samples)
-    inside = np.zeros(n + 1, np.int64)
+    return encode_greys([samples], width)[0]
+
+
+def encode_greys(images: list[np.ndarray], width: int) -> list[bytes]:
+    """``encode_grey`` for many images of one width, each by itself, in arrays over all of them."""
+    many, samples = len(images), np.concatenate(images)
+    edges = np.cumsum([0, *map(len, images)])
+    n, which = len(samples), np.repeat(np.arange(many, dtype=np.int32), np.diff(edges))
+    at, length, distance = _matches(samples, edges, which)
+    inside = np.zeros(n + 1, np.int8)
     inside[at] += 1
     inside[at + length] -= 1
-    plain = np.cumsum(inside[:-1]) == 0
+    plain = np.cumsum(inside[:-1], dtype=np.int8) == 0
     plain[at] = True
     starts = np.flatnonzero(plain)
     copy = np.zeros(n, bool)
     copy[at] = True
-    copy = copy[starts]
-    first = samples[starts].astype(np.int64)
+    copy = np.flatnonzero(copy[starts])
+    image, first = which[starts].astype(np.int64), samples[starts].astype(np.int64)
     symbol, bits, wide = _prefixes_of(length)
     first[copy] = 256 + symbol
     near = _near_codes(width)
     code = np.where(distance < len(near), near[np.minimum(distance, len(near) - 1)], 0)
     far, far_bits, far_wide = _prefixes_of(np.where(code > 0, code, distance + 120))
-    green = _write_code(w, _lengths(np.bincount(first, minlength=280), 15))
-    w.put(0b1_0001_0001 | 0b10 << 9 | 255 << 11, 19)  # codes of one symbol: red 0, blue 0, alpha 255
-    distances = _write_code(w, _lengths(np.bincount(far, minlength=40), 15))
-    value, size = green[0][first], green[1][first]
+    first += 280 * image
+    far += 40 * image[copy]
+    green, value, size = _write_codes(_many_lengths(np.bincount(first, minlength=280 * many).reshape(-1, 280), 15))
+    distances, far_value, far_size = _write_codes(_many_lengths(np.bincount(far, minlength=40 * many).reshape(-1, 40), 15))
+    value, size = value.reshape(-1)[first], size.reshape(-1)[first]
     v, k = value[copy], size[copy]
-    for more, room in ((bits, wide), (distances[0][far], distances[1][far]), (far_bits, far_wide)):
+    for more, room in ((bits, wide), (far_value.reshape(-1)[far], far_size.reshape(-1)[far]), (far_bits, far_wide)):
         v |= more << k
         k += room
     value[copy], size[copy] = v, k
-    _put_bits(w, value, size)
-    return _riff([(b"VP8L", w.done())])
+    each, full = np.arange(many), np.ones(many, np.int64)
+    # Signature and sides, green subtracted, then no further transform, colour cache or meta codes.
+    head = 0x2F | (width - 1) << 8 | (np.diff(edges) // width - 1) << 22 | 1 << 36 | 1 << 40 | GREEN << 41
+    return [_riff([(b"VP8L", data)]) for data in _joined_bits(many, [(each, head, 46 * full), green, (each, GREY_CODES * full, 19 * full), distances, (image, value, size)])]
+
+
+def _joined_bits(many: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[bytes]:
+    """For each of many files its values of at most 60 bits, part by part; a part has file (ascending), value and number of bits."""
+    room = np.array([np.bincount(of, size, many) for of, _, size in parts]).astype(np.int64)
+    total = room.sum(0)
+    begin = np.cumsum((total + 63) >> 6) - ((total + 63) >> 6)
+    words = np.zeros(int(begin[-1] + ((total[-1] + 63) >> 6)) + 2, np.uint64)
+    shifts = (begin << 6) + np.cumsum(room, 0) - np.cumsum(room, 1)  # the part's begin, without what its own sums count before
+    for (of, value, size), add in zip(parts, shifts, strict=True):
+        before = 0
+        for start in range(0, len(value), PIECE):
+            v, n = value[start : start + PIECE].astype(np.uint64), size[start : start + PIECE]
+            end = np.cumsum(n) + before
+            place = end - n + add[of[start : start + PIECE]]
+            before = int(end[-1])
+            word, shift = place >> 6, (place & 63).astype(np.uint64)
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            words[word[first]] |= np.bitwise_or.reduceat(v << shift, first)
+            over = np.where(shift > 0, v >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+            words[word[first] + 1] |= np.bitwise_or.reduceat(over, first)
+    data = words.astype("<u8").tobytes()
+    return [data[8 * b : 8 * b + (n + 7 >> 3)] for b, n in zip(begin.tolist(), total.tolist(), strict=True)]
 
 
 def _riff(chunks: list[tuple[bytes, bytes]]) -> bytes:
@@ -957,39 +1197,106 @@ def to_media(payload: bytes) -> bytes:
     then the last row may be padded, and a chunk of our own, which readers skip, tells the length. What one
     image can't hold goes on in a further file behind the first.
     """
-    return b"".join(_to_file(payload[i : i + MOST_PAYLOAD]) for i in range(0, len(payload), MOST_PAYLOAD))
+    return to_medias([payload])[0]
+
+
+def to_medias(payloads: list[bytes]) -> list[bytes]:
+    """``to_media`` for many payloads. Images are written together up to ``TOGETHER`` bytes, which changes no file."""
+    parts = [(k, payload[i : i + MOST_PAYLOAD]) for k, payload in enumerate(payloads) for i in range(0, len(payload), MOST_PAYLOAD)]
+    files, greys, held, width = [b""] * len(parts), [], 0, UNIT
+
+    def flush() -> None:
+        if greys:
+            for (i, _), file in zip(greys, encode_greys([samples for _, samples in greys], width), strict=True):
+                files[i] = file
+            greys.clear()
+
+    for i, (_, payload) in enumerate(parts):
+        wide = UNIT
+        while -(-len(payload) // wide) > MOST_SIDE:
+            wide *= 2
+        samples = np.frombuffer(payload + b"\0" * (-len(payload) % wide), np.uint8)
+        if len(set(payload[:512])) <= 16 and np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
+            grey = np.repeat(samples, 4).reshape(-1, wide, 4)
+            grey[..., 3] = 255
+            files[i] = encode(grey, False, 0, True, (PALETTE,))
+            continue
+        if greys and (wide != width or held + len(samples) > TOGETHER):
+            flush()
+        held, width = (held if greys else 0) + len(samples), wide
+        greys.append((i, samples))
+    flush()
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for (k, payload), file in zip(parts, files, strict=True):
+        width, height = _sides(file)
+        short = len(payload) < width * height
+        out[k].append(_riff([(b"VP8L", file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]), (b"LENG", struct.pack("<Q", len(payload)))]) if short else file)
+    return [b"".join(x) for x in out]
 
 
-def _to_file(payload: bytes) -> bytes:
-    wide = UNIT
-    while -(-len(payload) // wide) > MOST_SIDE:
-        wide *= 2
-    short = -len(payload) % wide
-    samples = np.frombuffer(payload + b"\0" * short, np.uint8)
-    if np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
-        grey = np.repeat(samples, 4).reshape(-1, wide, 4)
-        grey[..., 3] = 255
-        file = encode(grey, False, 0, True, (PALETTE,))
-    else:
-        file = encode_grey(samples, wide)
-    return _riff([(b"VP8L", file[20 : 20 + struct.unpack_from("<I", file, 16)[0]]), (b"LENG", struct.pack("<Q", len(payload)))]) if short else file
+def _sides(file: bytes) -> tuple[int, int]:
+    sides = int.from_bytes(file[21:25], "little")
+    return (sides & 0x3FFF) + 1, (sides >> 14 & 0x3FFF) + 1
 
 
 def from_media(media: bytes) -> tuple[bytes, list[np.ndarray]]:
     """The payload and the images that hold it."""
-    payload, images, at = [], [], 0
+    files = _files(media)
+    images = [decode(file) for file in files]
+    return b"".join(_payload(file, image[..., 1]) for file, image in zip(files, images, strict=True)), images
+
+
+def from_medias(media: list[bytes]) -> list[tuple[bytes, list[np.ndarray]]]:
+    """The payloads and the grey samples (height x width) of the images that hold them. Grey files are read together, others one by one."""
+    files = [(k, file) for k, whole in enumerate(media) for file in _files(whole)]
+    samples: list[np.ndarray] = [np.zeros((0, 0), np.uint8)] * len(files)
+    greys, held = [], 0
+
+    def flush() -> None:
+        if greys:
+            codes = [_many_entries(np.array(lengths)) for lengths in zip(*[x[-2:] for x in greys], strict=True)]
+            images = [(bits, width, width * height, green, far) for (_, bits, width, height, *_), green, far in zip(greys, *codes, strict=True)]
+            for (i, _, width, height, *_), found in zip(greys, _read_channels(images), strict=True):
+                samples[i] = found.reshape(height, width)
+        greys.clear()
+
+    for i, (_, file) in enumerate(files):
+        if not (grey := _grey(file)):
+            samples[i] = decode(file)[..., 1]
+            continue
+        if held + len(file) > READ_TOGETHER:
+            flush()
+            held = 0
+        held += len(file)
+        greys.append((i, *grey))
+    flush()
+    out: list[tuple[list[bytes], list[np.ndarray]]] = [([], []) for _ in media]
+    for (k, file), image in zip(files, samples, strict=True):
+        out[k][0].append(_payload(file, image))
+        out[k][1].append(image)
+    return [(b"".join(payload), images) for payload, images in out]
+
+
+def _files(media: bytes) -> list[bytes]:
+    files, at = [], 0
     while at < len(media):
-        file = media[at : at + 8 + struct.unpack_from("<I", media, at + 4)[0]]
-        at += len(file)
-        images.append(decode(file))
-        more = 20 + (struct.unpack_from("<I", file, 16)[0] + 1 & ~1)
-        payload.append(images[-1][..., 1].tobytes()[: struct.unpack_from("<Q", file, more + 8)[0] if file[more : more + 4] == b"LENG" else None])
-    return b"".join(payload), images
+        files.append(media[at : at + 8 + struct.unpack_from("<I", media, at + 4)[0]])
+        at += len(files[-1])
+    return files
+
+
+def _payload(file: bytes, samples: np.ndarray) -> bytes:
+    more = 20 + (struct.unpack_from("<I", file, 16)[0] + 1 & ~1)
+    return samples.tobytes()[: struct.unpack_from("<Q", file, more + 8)[0] if file[more : more + 4] == b"LENG" else None]
 
 
 def feature(images: list[np.ndarray]) -> str:
     """Sides, the mean of the samples, and the number of different ones."""
-    seen = sum(np.bincount(image[..., 1].reshape(-1), minlength=256) for image in images)
+    return _feature([image[..., 1] for image in images])
+
+
+def _feature(images: list[np.ndarray]) -> str:
+    seen = sum(np.bincount(image.reshape(-1), minlength=256) for image in images)
     sides = " ".join(f"{i.shape[1]}x{i.shape[0]}" for i in images)
     return f"{sides} {(seen @ np.arange(256)) / seen.sum():.3f} {np.count_nonzero(seen)}"
 
@@ -1002,7 +1309,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for batch in batches:
             for part, texts in text_chunks(batch, text_col):
                 whole = [t or b"" for t in texts]
-                media = [to_media(t + b"\0" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t))) for t in whole]
+                media = to_medias([t + b"\0" * (UNIT * max(1, -(-len(t) // UNIT)) - len(t)) for t in whole])
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(map(len, whole), pa.int64()), pa.array(media, pa.binary())], names=[f.name for f in fields])
 
     return map_arrow(df.select(id_col, text_col), run, T.StructType(fields))
@@ -1016,10 +1323,9 @@ def describe(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for value in batch.column("media"):
-                file = value.as_py()
-                payload, images = from_media(file)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), feature(images)))
+            for _, files in text_chunks(batch, "media"):
+                for file, (payload, images) in zip(files, from_medias(files), strict=True):
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(file), hashlib.sha256(file).hexdigest(), _feature(images)))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("n_bytes"), *columns], names=[f.name for f in fields])

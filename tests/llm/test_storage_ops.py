@@ -398,3 +398,69 @@ def test_references_are_found_and_read_in_arrays():
     references = 5000
     assert len(media) < 0.4 * len(payload)
     assert lines["_matches"] < 6 * references and lines["_read_one_channel"] < 8 * references, lines
+
+
+def odd_payloads() -> list[bytes]:
+    rng = np.random.default_rng(9)
+    words = [rng.integers(97, 123, rng.integers(2, 10)).astype(np.uint8).tobytes() for _ in range(400)]
+    out = [b" ".join(words[i] for i in rng.integers(0, 400, n)) for n in (20, 200, 90, 3000, 1, 60)]
+    out += [rng.bytes(640), bytes(64), b"\0" * 40 + bytes(range(24)), b"z" * 61 + bytes(range(67)) + b"z" * 64, bytes(range(1, 65)), bytes(range(256)) * 9, (b"abc\n" + bytes(range(65, 90))) * 2000]
+    out += [np.repeat(rng.integers(0, 99, 64), k).astype(np.uint8).tobytes() for k in (1, 3, 4, 9)]
+    out += [rng.geometric(p, 1280).clip(0, 255).astype(np.uint8).tobytes() for p in (0.02, 0.1, 0.6)]
+    out.append(rng.bytes(webp.UNIT * webp.MOST_SIDE + 64))  # rows of 128 pixels, the last one padded
+    return [p + b"\0" * (-len(p) % 64) for p in out] * 2
+
+
+@pytest.mark.parametrize("together", [1, 5000, 1 << 17])
+def test_media_written_and_read_together_are_those_of_each(monkeypatch, together):
+    """No file depends on what is written beside it, and no payload on what is read beside it, where images end in bytes that the next begin with too."""
+    payloads = odd_payloads()
+    alone = [webp.to_media(p) for p in payloads]
+    monkeypatch.setattr(webp, "TOGETHER", together)
+    monkeypatch.setattr(webp, "READ_TOGETHER", together)
+    assert webp.to_medias(payloads) == alone
+    monkeypatch.setattr(webp, "ONE_PIECE", 1 << 11)
+    for mended in (6, 0):  # 0: what is not found side by side is followed one by one
+        monkeypatch.setattr(webp, "MENDED", mended)
+        found = webp.from_medias(alone)
+        assert [p for p, _ in found] == payloads
+    assert webp.to_medias([]) == [] == webp.from_medias([])
+    for (_, images), file in zip(found[:20], alone, strict=False):
+        assert all((a == b[..., 1]).all() and a.shape == b.shape[:2] for a, b in zip(images, webp.from_media(file)[1], strict=True))
+
+
+def test_grey_images_against_codes_of_single_images():
+    """Codes built and told for many images at once are those that are built for one."""
+    rng = np.random.default_rng(10)
+    counts = np.where(rng.random((60, 280)) < np.linspace(0, 0.5, 60)[:, None], rng.geometric(0.05, (60, 280)), 0)
+    counts[-1, :30] = 2 ** np.minimum(np.arange(30), 24)  # deeper than 15 without the limit
+    counts[0] = 0
+    counts[1], counts[2] = np.arange(280) == 7, np.arange(280) == 270
+    lengths = webp._many_lengths(counts, 15)
+    assert all((a == webp._lengths(c, 15)).all() for a, c in zip(lengths, counts, strict=True))
+    (row, value, size), turned, sizes = webp._write_codes(lengths)
+    for k, own in enumerate(lengths):
+        alone, together = webp.BitWriter(), webp.BitWriter()
+        want = webp._write_code(alone, own)
+        for v, n in zip(value[row == k].tolist(), size[row == k].tolist(), strict=True):
+            together.put_long(v, n)
+        assert together.done() == alone.done() and together.n == alone.n
+        assert (turned[k] == want[0]).all() and (sizes[k] == want[1]).all()
+    for entries, own in zip(webp._many_entries(lengths), lengths, strict=True):
+        assert (entries == webp.Code(own.tolist()).entries).all()
+
+
+def test_media_of_short_texts_take_few_calls():
+    """Short texts are written and read in arrays over many of them: calls for each stay few (187; 1301 where each was by itself)."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    payloads = [" ".join(rng.choice(words) for _ in range(150)).encode() for _ in range(200)]
+    payloads = [p + b"\0" * (-len(p) % 64) for p in payloads]
+    calls: Counter = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        found = webp.from_medias(webp.to_medias(payloads))
+    finally:
+        sys.setprofile(None)
+    assert [p for p, _ in found] == payloads
+    assert calls["call"] + calls["c_call"] < 400 * len(payloads), calls

@@ -2,34 +2,39 @@
 
 ``encode`` splits and merges in Arrow batches: pieces are found by arrays over a batch's bytes, told apart, and those that
 the worker's memo lacks are merged side by side; one pass over the documents and no shuffle, but for tables that are
-too small to fill the cores. Under ``encode_by_join`` and ``explain_stages`` distinct pieces are found by a shuffle and merged once
-(``merge_pieces``); symbols are looked up by a broadcast join and joined back.
+too small to fill the cores. Under ``encode_by_join`` and ``explain_stages`` distinct pieces are found by a shuffle and merged once;
+``encode_by_join`` joins their ids back to the distinct pieces of some MB of documents at a time, ``explain_stages`` looks symbols up by
+a broadcast join (``merge_pieces``) and joins them back to every pretoken.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classes import Classes, classes
-from ..functions.pretok import ByteScanner, pretokens
+from ..functions.pretok import ByteScanner, pretokens, scanner
 from ..functions.trie import trie_pattern
 from ..plans.merging import MISS, BatchMerger
 from ..plans.model import BpeModel
 from ..plans.ship import ship
 from ..plans.spread import spread
-from .words import explode_pretokens, word_count
+from .words import distinct_pieces, explode_pretokens, together, word_count
 
 MEMO_PIECES = 100_000
 #: Bytes of text that go through arrays together, and that a batch of results comes from, about; ids that are decoded together.
 TOGETHER_BYTES, CHUNK_BYTES, DECODED_IDS = 1 << 20, 2 << 20, 500_000
+#: Bytes of documents whose distinct pieces are told apart together before a join, about.
+SHEET_BYTES = 8 << 20
 #: Rows of a model's tables up to which they are broadcast; beyond, they are shuffled as the pieces are.
 MOST_BROADCAST = 2_000_000
 #: Where a long document can be cut: a blank between an ASCII letter or digit and a letter begins a piece whatever is around.
@@ -262,18 +267,116 @@ def explain_stages(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text:
     return rows.withColumn("piece_hex", F.hex("piece")).withColumn("mapped", to_mapped(F.unhex("symbol"))).drop("piece")
 
 
+class _Sheet:
+    """Documents whose distinct pieces are told apart together: the pieces, and every document's as numbers of them."""
+
+    def __init__(self, known: Classes) -> None:
+        self.scanner = scanner(known)
+        self.seen: dict[bytes, int] = {}
+        self.numbers: list[np.ndarray] = []
+        self.keys: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, keys: pa.Array, docs: list[bytes]) -> None:
+        parts = [(part, k) for k, doc in enumerate(docs) for part, _ in Encoder._stretches(doc, 0, len(doc))]
+        pieces, number, counts = self.scanner.distinct([part for part, _ in parts])
+        seen = self.seen
+        self.numbers.append(np.array([seen.setdefault(p, len(seen)) for p in pieces], np.int32)[number])
+        n = np.zeros(len(docs), np.int64)
+        np.add.at(n, [k for _, k in parts], counts)
+        self.keys.append(keys)
+        self.counts.append(n)
+        self.size += sum(map(len, docs)) + 32 * len(docs)
+
+    def rows(self, sheet: int) -> pa.RecordBatch:
+        """A row for each piece; any one of them holds the documents' keys, numbers of pieces and pieces as numbers, the frequent ones low."""
+        numbers, n = np.concatenate(self.numbers), len(self.seen)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-np.bincount(numbers, minlength=n), kind="stable")] = np.arange(n)
+        bearer = zlib.crc32(sheet.to_bytes(8, "little")) % n  # not the same piece in every sheet
+        keys, counts, packed = pa.concat_arrays(self.keys), np.concatenate(self.counts), _pack(rank[numbers])
+        held = lambda size: pa.array(np.where(np.arange(n + 1) > bearer, size, 0), pa.int32())
+        columns = [pa.array(list(self.seen), pa.binary()), pa.array(np.full(n, sheet)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(held(len(keys)), keys)]
+        columns += [pa.ListArray.from_arrays(held(len(counts)), pa.array(counts, pa.int32())), pa.array([packed if k == bearer else b"" for k in range(n)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["piece", "sheet", "number", "keys", "counts", "numbers"])
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by the places of their bytes, compressed."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+
+
+def _sheets(df: DataFrame, known: Classes) -> DataFrame:
+    """``piece``, ``sheet``, ``number``, ``keys``, ``counts``, ``numbers`` of the columns ``id`` and ``text`` (binary, not empty)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, sheet = TaskContext.get().partitionId() << 32, _Sheet(known)
+        for batch in batches:
+            for start, docs in together(batch, 1):
+                sheet.add(batch.column(0).slice(start, len(docs)), docs)
+                if sheet.size >= SHEET_BYTES:
+                    yield sheet.rows(number)
+                    number, sheet = number + 1, _Sheet(known)
+        if sheet.size:
+            yield sheet.rows(number)
+
+    fields = [("piece", T.BinaryType()), ("sheet", T.LongType()), ("number", T.IntegerType()), ("keys", T.ArrayType(df.schema["id"].dataType)), ("counts", T.ArrayType(T.IntegerType())), ("numbers", T.BinaryType())]
+    return df.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
+
+
+def _piece_ids(pieces: DataFrame, model: BpeModel) -> DataFrame:
+    """``piece``, ``packed`` (ids as longs, ``MISS`` for a symbol that the vocabulary lacks) of distinct pieces that aren't empty."""
+    held = pieces.sparkSession.sparkContext.broadcast(BatchMerger.of(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = held.value.ids_of(batch.column("piece").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), pa.array(found, pa.binary())], names=["piece", "packed"])
+
+    return pieces.mapInArrow(run, "piece binary, packed binary")
+
+
 def encode_by_join(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows as ``encode`` without special tokens, by joins. Rows that repeat an id stay apart."""
-    ids_of = _known_symbols(explode_pretokens(df, id_col, text), model).groupBy("piece").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("sym_pos", "token_id"))), lambda x: x["token_id"]).alias("t"), F.max(F.col("token_id").isNull()).alias("m")
-    )
-    # Rows are numbered in the one plan that is exploded; texts without pieces need no number.
+    """The same rows as ``encode`` without special tokens, by joins. Rows that repeat an id stay apart.
+
+    Distinct pieces are merged once and joined to those of each sheet, some ``SHEET_BYTES`` of documents, so that neither the
+    join nor the grouping after it shuffles a row for each pretoken.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    known = classes(spark)
     empty = F.coalesce(F.octet_length(text), F.lit(0)) == 0
-    keyed = df.where(~empty).select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_key"), F.col(text).alias("_text"))
-    found = explode_pretokens(keyed, "_key", "_text").join(ids_of, "piece").groupBy("_key.row").agg(
-        F.first("_key.id").alias(id_col), F.max("m").alias("miss"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"])).alias("ids")
-    )
-    found = found.select(id_col, F.when(~F.col("miss"), F.col("ids")).alias("ids"), F.when(F.col("miss"), "vocab_miss").otherwise("ok").alias("status"))
+    full = df.where(~empty).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    sheets = _sheets(spread(full).select("id", F.col("text").cast("binary").alias("text")), known)
+    ids = _piece_ids(distinct_pieces(full, "text"), model)
+    fields = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("status", T.StringType())])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        bearer = int(np.argmax(pc.binary_length(rows["numbers"]).to_numpy()))
+        keys, counts = rows["keys"][bearer].values, np.array(rows["counts"][bearer].as_py(), np.int64)
+        numbers = _unpack(rows["numbers"][bearer].as_py(), int(counts.sum()))
+        order = np.argsort(rows["number"].to_numpy())
+        packed = rows["packed"].take(pa.array(order)).to_pylist()
+        table = np.frombuffer(b"".join(packed), "<i8")
+        sizes = np.array([len(x) // 8 for x in packed], np.int64)
+        starts, each = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+        ends = np.cumsum(each)
+        found = table[np.repeat(starts - (ends - each), each) + np.arange(ends[-1])]
+        before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        missed = np.diff(np.concatenate([[0], np.cumsum(found == MISS)])[before]) > 0
+        size = np.diff(before)
+        offsets = np.concatenate([[0], np.cumsum(np.where(missed, 0, size))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(missed, False)), pa.array(found[np.repeat(~missed, size)]))
+        return pa.Table.from_arrays([keys, lists, pa.array(np.where(missed, "vocab_miss", "ok").tolist(), pa.string())], names=fields.names)
+
+    found = sheets.join(ids, "piece").drop("piece").groupBy("sheet").applyInArrow(whole, fields)
     none = F.when(F.col(text).isNotNull(), F.array().cast("array<long>"))
     return found.unionByName(df.where(empty).select(id_col, none.alias("ids"), F.lit("ok").alias("status")))
 

@@ -414,3 +414,21 @@ def test_ids_are_decoded_and_encoded_in_small_stretches(spark, monkeypatch):
     df = spark.createDataFrame([(0, "the thing"), (1, None), (2, ""), (3, "ab" * 40), (4, "x")], "doc_id long, text string").coalesce(1)
     found = {r["doc_id"]: r["content"] for r in enc.decode(encode(df, fixture_model()), fixture_model()).collect()}
     assert {k: v and bytes(v) for k, v in found.items()} == {0: b"the thing", 1: None, 2: b"", 3: b"ab" * 40, 4: b"x"}
+
+
+def test_encoding_by_join_shuffles_distinct_pieces_of_sheets(spark, monkeypatch):
+    """No row for each pretoken; sheets of a few documents, keys of any type, misses, long pieces and bytes give what one pass gives."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import encode as enc
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert "Generate" not in enc.encode_by_join(docs, fixture_model())._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(enc, "SHEET_BYTES", 5000)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "x" * 9000 + " q"), (5, "twice"), (5, "twice")], "doc_id long, text string")
+    docs = docs.unionByName(odd).select(F.struct("doc_id", F.lit("k").alias("k")).alias("key"), "text").coalesce(2)
+    got = lambda d: sorted(str(tuple(r)) for r in d.collect())
+    for m in (fixture_model(), fixture_model(vocab_size=300)):
+        assert got(enc.encode_by_join(docs, m, "key")) == got(encode(docs, m, "key"))
+    raw = spark.createDataFrame([(k, bytearray(b"ab \xff\xe9 cd\xc3" * k)) for k in range(900)], "doc_id long, text binary")
+    assert got(enc.encode_by_join(raw, fixture_model())) == got(encode(raw, fixture_model()))

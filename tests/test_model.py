@@ -432,3 +432,28 @@ def test_encoding_by_join_shuffles_distinct_pieces_of_sheets(spark, monkeypatch)
         assert got(enc.encode_by_join(docs, m, "key")) == got(encode(docs, m, "key"))
     raw = spark.createDataFrame([(k, bytearray(b"ab \xff\xe9 cd\xc3" * k)) for k in range(900)], "doc_id long, text binary")
     assert got(enc.encode_by_join(raw, fixture_model())) == got(encode(raw, fixture_model()))
+
+
+@pytest.fixture
+def long_words(spark, tmp_path):
+    """A folder with documents some of whose words are of over 15 bytes, and the same texts."""
+    texts = ["the internationalisation the thing", "n" * 3000 + " internationalisation's \u00e9t\u00e9", "", "the " * 20 + "counterrevolutionaries counterrevolutionaries", "-" * 40 + " of the things"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), texts
+
+
+def by_sql(sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet/*.parquet'")
+    return sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_words_of_any_length_are_merged(spark, long_words):
+    import __spark_entry__ as entry
+
+    got = {r["piece"]: (r["n"], r["symbols"]) for r in entry.queries()["bpe_words"](spark, long_words[0]).collect()}
+    assert got[" counterrevolutionaries"][0] == 2 and got["n" * 3000] == (1, " ".join(["6E"] * 3000)) and len(got["-" * 40][1].split()) == 40
+    assert sorted((p, *v) for p, v in got.items()) == by_sql(long_words[0], "bpe_words")

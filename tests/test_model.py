@@ -457,3 +457,18 @@ def test_words_of_any_length_are_merged(spark, long_words):
     got = {r["piece"]: (r["n"], r["symbols"]) for r in entry.queries()["bpe_words"](spark, long_words[0]).collect()}
     assert got[" counterrevolutionaries"][0] == 2 and got["n" * 3000] == (1, " ".join(["6E"] * 3000)) and len(got["-" * 40][1].split()) == 40
     assert sorted((p, *v) for p, v in got.items()) == by_sql(long_words[0], "bpe_words")
+
+
+@pytest.mark.parametrize("name", ["train_canonical_300", "train_cluster_300", "train_reference_k"])
+def test_words_of_any_length_are_trained_on(spark, long_words, name):
+    """Against plain training over all words, the repeated ones of over 15 bytes among them."""
+    import __spark_entry__ as entry
+    from tessera.functions.classes import classes
+    from tessera.functions.pretok import scan_bytes
+
+    words = {}
+    for text in long_words[1]:
+        for piece in scan_bytes(classes(spark), text.encode()):
+            words[piece] = words.get(piece, 0) + 1
+    got = [tuple(r)[1:] for r in sorted(entry.queries()[name](spark, long_words[0]).collect())]
+    assert got == merge_words(list(words.items()), 300, "reference" if "reference" in name else "canonical") and got[0] == (110, 110)

@@ -472,3 +472,16 @@ def test_words_of_any_length_are_trained_on(spark, long_words, name):
             words[piece] = words.get(piece, 0) + 1
     got = [tuple(r)[1:] for r in sorted(entry.queries()[name](spark, long_words[0]).collect())]
     assert got == merge_words(list(words.items()), 300, "reference" if "reference" in name else "canonical") and got[0] == (110, 110)
+
+
+def test_long_words_are_dealt_to_blocks_and_lanes_by_their_bytes(spark, monkeypatch):
+    from tessera.operators import clustertrain as ct
+    from tessera.operators import train as tr
+
+    words = [(bytes([97 + k]) * 700 + b"xyz", 2) for k in range(6)]
+    df = spark.createDataFrame([(bytearray(w), n) for w, n in words], "piece binary, n long").coalesce(1)
+    monkeypatch.setattr(ct, "BLOCK_BYTES", 1000)
+    assert ct._blocks(df).count() == 3 and ct.train_on_cluster(df, 20) == merge_words(words, 20)
+    assert tr._fits_driver(df)
+    monkeypatch.setattr(tr, "MOST_WORDS_BYTES", 1000)
+    assert not tr._fits_driver(df)

@@ -485,3 +485,11 @@ def test_long_words_are_dealt_to_blocks_and_lanes_by_their_bytes(spark, monkeypa
     assert tr._fits_driver(df)
     monkeypatch.setattr(tr, "MOST_WORDS_BYTES", 1000)
     assert not tr._fits_driver(df)
+
+
+@pytest.mark.parametrize("name", ["train_cluster_k"])
+def test_training_on_words_of_any_length_is_what_sql_gives(spark, long_words, name):
+    import __spark_entry__ as entry
+
+    got = sorted(map(tuple, entry.queries()[name](spark, long_words[0]).collect()))
+    assert got == by_sql(long_words[0], name) and got[0] == (0, 110, 110)

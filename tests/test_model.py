@@ -487,9 +487,18 @@ def test_long_words_are_dealt_to_blocks_and_lanes_by_their_bytes(spark, monkeypa
     assert not tr._fits_driver(df)
 
 
-@pytest.mark.parametrize("name", ["train_cluster_k"])
+@pytest.mark.parametrize("name", ["train_cluster_k", "train_canonical_k"])
 def test_training_on_words_of_any_length_is_what_sql_gives(spark, long_words, name):
     import __spark_entry__ as entry
 
     got = sorted(map(tuple, entry.queries()[name](spark, long_words[0]).collect()))
     assert got == by_sql(long_words[0], name) and got[0] == (0, 110, 110)
+
+
+def test_training_with_sql_goes_past_where_the_modes_part(spark):
+    """Order-dependent training can part from the canonical one late, at merge 194 of the reference's corpus."""
+    import __spark_entry__ as entry
+
+    docs = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in sorted(entry.queries()["train_canonical_k"](spark, docs).collect())]
+    assert len(got) >= 300 and got == [tuple(r) for r in sorted(entry.queries()["train_canonical_300"](spark, docs).collect())]

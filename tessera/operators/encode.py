@@ -290,16 +290,16 @@ class _Sheet:
         self.size += sum(map(len, docs)) + 32 * len(docs)
 
     def rows(self, sheet: int) -> pa.RecordBatch:
-        """A row for each piece; any one of them holds the documents' keys, numbers of pieces and pieces as numbers, the frequent ones low."""
+        """A row for each piece; any one of them holds the documents: keys, numbers of pieces, and pieces as numbers, the frequent ones low."""
         numbers, n = np.concatenate(self.numbers), len(self.seen)
         rank = np.empty(n, np.int64)
         rank[np.argsort(-np.bincount(numbers, minlength=n), kind="stable")] = np.arange(n)
         bearer = zlib.crc32(sheet.to_bytes(8, "little")) % n  # not the same piece in every sheet
         keys, counts, packed = pa.concat_arrays(self.keys), np.concatenate(self.counts), _pack(rank[numbers])
         held = lambda size: pa.array(np.where(np.arange(n + 1) > bearer, size, 0), pa.int32())
-        columns = [pa.array(list(self.seen), pa.binary()), pa.array(np.full(n, sheet)), pa.array(rank, pa.int32()), pa.ListArray.from_arrays(held(len(keys)), keys)]
-        columns += [pa.ListArray.from_arrays(held(len(counts)), pa.array(counts, pa.int32())), pa.array([packed if k == bearer else b"" for k in range(n)], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["piece", "sheet", "number", "keys", "counts", "numbers"])
+        docs = [pa.ListArray.from_arrays(held(len(keys)), keys), pa.ListArray.from_arrays(held(len(counts)), pa.array(counts, pa.int32())), pa.array([packed if k == bearer else b"" for k in range(n)], pa.binary())]
+        docs = pa.StructArray.from_arrays(docs, names=["keys", "counts", "numbers"], mask=pa.array(np.arange(n) != bearer))
+        return pa.RecordBatch.from_arrays([pa.array(list(self.seen), pa.binary()), pa.array(np.full(n, sheet)), pa.array(rank, pa.int32()), docs], names=["piece", "sheet", "number", "docs"])
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -312,7 +312,7 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _sheets(df: DataFrame, known: Classes) -> DataFrame:
-    """``piece``, ``sheet``, ``number``, ``keys``, ``counts``, ``numbers`` of the columns ``id`` and ``text`` (binary, not empty)."""
+    """``piece``, ``sheet``, ``number``, ``docs`` (``keys``, ``counts``, ``numbers``; null but once a sheet) of the columns ``id`` and ``text`` (binary, not empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -327,7 +327,8 @@ def _sheets(df: DataFrame, known: Classes) -> DataFrame:
         if sheet.size:
             yield sheet.rows(number)
 
-    fields = [("piece", T.BinaryType()), ("sheet", T.LongType()), ("number", T.IntegerType()), ("keys", T.ArrayType(df.schema["id"].dataType)), ("counts", T.ArrayType(T.IntegerType())), ("numbers", T.BinaryType())]
+    docs = T.StructType([T.StructField("keys", T.ArrayType(df.schema["id"].dataType)), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("numbers", T.BinaryType())])
+    fields = [("piece", T.BinaryType()), ("sheet", T.LongType()), ("number", T.IntegerType()), ("docs", docs)]
     return df.mapInArrow(run, T.StructType([T.StructField(*f) for f in fields]))
 
 
@@ -354,14 +355,15 @@ def encode_by_join(df: DataFrame, model: BpeModel, id_col: str = "doc_id", text:
     known = classes(spark)
     empty = F.coalesce(F.octet_length(text), F.lit(0)) == 0
     full = df.where(~empty).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sheets = _sheets(spread(full).select("id", F.col("text").cast("binary").alias("text")), known)
-    ids = _piece_ids(distinct_pieces(full, "text"), model)
+    dealt = (lambda d: d) if len(df.inputFiles()) >= spark.sparkContext.defaultParallelism else spread  # texts are most of what would be shuffled
+    sheets = _sheets(dealt(full).select("id", F.col("text").cast("binary").alias("text")), known)
+    ids = _piece_ids(distinct_pieces(dealt(full.select("text")), "text"), model)
     fields = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("status", T.StringType())])
 
     def whole(rows: pa.Table) -> pa.Table:
-        bearer = int(np.argmax(pc.binary_length(rows["numbers"]).to_numpy()))
-        keys, counts = rows["keys"][bearer].values, np.array(rows["counts"][bearer].as_py(), np.int64)
-        numbers = _unpack(rows["numbers"][bearer].as_py(), int(counts.sum()))
+        docs = rows["docs"].filter(pc.is_valid(rows["docs"]))[0]
+        keys, counts = docs["keys"].values, np.array(docs["counts"].as_py(), np.int64)
+        numbers = _unpack(docs["numbers"].as_py(), int(counts.sum()))
         order = np.argsort(rows["number"].to_numpy())
         packed = rows["packed"].take(pa.array(order)).to_pylist()
         table = np.frombuffer(b"".join(packed), "<i8")
